@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from lorequarry.llm import chat, exact_dedup, secret_scan
+from lorequarry.llm import chat, exact_dedup, secret_scan, simhash
 from lorequarry.session import read_table
 
 QUERIES = {
+    "op4_simhash_near_dedup": lambda spark, sf_dir: simhash.digest(read_table(spark, sf_dir, "documents")),
     "op5_exact_dedup": lambda spark, sf_dir: exact_dedup.digest(read_table(spark, sf_dir, "documents")),
     "op9_secret_scan": lambda spark, sf_dir: secret_scan.scan(read_table(spark, sf_dir, "documents")),
     "op10_chat_format": lambda spark, sf_dir: chat.digest(spark, read_table(spark, sf_dir, "conversations")),
