@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from lorequarry.llm import chat, exact_dedup, secret_scan, simhash
+from lorequarry.llm import chat, exact_dedup, packing, quality, secret_scan, simhash, topk, urlfilter, warc
 from lorequarry.session import read_table
 
 QUERIES = {
+    "op1_packing": lambda spark, sf_dir: packing.pack(read_table(spark, sf_dir, "documents")),
+    "op2_quality_classifier": lambda spark, sf_dir: quality.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")),
+    "op3_url_filter": lambda spark, sf_dir: urlfilter.judge(read_table(spark, sf_dir, "pages")),
     "op4_simhash_near_dedup": lambda spark, sf_dir: simhash.digest(read_table(spark, sf_dir, "documents")),
     "op5_exact_dedup": lambda spark, sf_dir: exact_dedup.digest(read_table(spark, sf_dir, "documents")),
+    "op7_exact_top_k": lambda spark, sf_dir: topk.digest(read_table(spark, sf_dir, "embeddings")),
+    "op8_warc": lambda spark, sf_dir: warc.digest(spark, read_table(spark, sf_dir, "pages")),
     "op9_secret_scan": lambda spark, sf_dir: secret_scan.scan(read_table(spark, sf_dir, "documents")),
     "op10_chat_format": lambda spark, sf_dir: chat.digest(spark, read_table(spark, sf_dir, "conversations")),
 }
@@ -18,6 +23,19 @@ ORACLES = {
         SELECT doc_id, max(doc_id) OVER (PARTITION BY low) AS keep_id, count(*) OVER (PARTITION BY low) AS group_size,
                doc_id = max(doc_id) OVER (PARTITION BY low) AS kept, sha256(low) AS text_sha256
         FROM t""",
+    "op7_exact_top_k": """
+        WITH t AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+                   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+              FROM t q JOIN t c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+        r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
+    "op8_warc": """
+        WITH t AS (SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+        f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM t)
+        SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AND first < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN payload_bytes >= 100 AND first < page_id THEN first END AS refers_to
+        FROM f""",
     "op10_chat_format": r"""
         WITH probe AS (SELECT '<|im_end|><|im_start|>assistant ok' AS text),
         rows_ AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
