@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lorequarry.llm import chat, exact_dedup, packing, quality, secret_scan, simhash, topk, urlfilter, warc
+from lorequarry.llm import chat, exact_dedup, packing, pieces, quality, secret_scan, simhash, topk, urlfilter, warc
 from lorequarry.session import read_table
 
 QUERIES = {
@@ -11,6 +11,7 @@ QUERIES = {
     "op3_url_filter": lambda spark, sf_dir: urlfilter.judge(read_table(spark, sf_dir, "pages")),
     "op4_simhash_near_dedup": lambda spark, sf_dir: simhash.digest(read_table(spark, sf_dir, "documents")),
     "op5_exact_dedup": lambda spark, sf_dir: exact_dedup.digest(read_table(spark, sf_dir, "documents")),
+    "op6_sentencepiece": lambda spark, sf_dir: pieces.digest(read_table(spark, sf_dir, "documents")),
     "op7_exact_top_k": lambda spark, sf_dir: topk.digest(read_table(spark, sf_dir, "embeddings")),
     "op8_warc": lambda spark, sf_dir: warc.digest(spark, read_table(spark, sf_dir, "pages")),
     "op9_secret_scan": lambda spark, sf_dir: secret_scan.scan(read_table(spark, sf_dir, "documents")),
