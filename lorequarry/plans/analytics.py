@@ -30,7 +30,7 @@ both("calls_by_tool", "SELECT event_type AS tool, count(*) AS calls, round(sum(v
 both("tool_p50_p95", "SELECT event_type AS tool, round(percentile_cont(0.5) WITHIN GROUP (ORDER BY value), 4) AS p50, round(percentile_cont(0.95) WITHIN GROUP (ORDER BY value), 4) AS p95, count(*) AS n FROM {events} GROUP BY event_type")
 both("quartiles", "SELECT lang, round(percentile_cont(0.25) WITHIN GROUP (ORDER BY n_chars), 4) AS q1, round(median(n_chars), 4) AS q2, round(percentile_cont(0.75) WITHIN GROUP (ORDER BY n_chars), 4) AS q3 FROM {documents} GROUP BY lang")
 both("nearest_rank", "SELECT event_type, round(value, 4) AS p95 FROM (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS rn, count(*) OVER (PARTITION BY event_type) AS n FROM {events}) t WHERE rn = CAST(floor(0.95 * (n - 1) + 0.5) AS BIGINT) + 1")
-both("ab_summary", "SELECT CAST(user_id % 3 AS INT) AS arm, count(*) AS calls, count(CASE WHEN event_type = 'error' THEN 1 END) AS errors, round(avg(CASE WHEN event_type = 'purchase' THEN 1.0 ELSE 0.0 END), 4) AS hit_rate, round(median(value), 4) AS median_value FROM {events} GROUP BY user_id % 3")
+both("ab_summary", "SELECT CAST(user_id % 3 AS INT) AS arm, count(*) AS calls, count(CASE WHEN event_type = 'error' THEN 1 END) AS errors, round(avg(CASE WHEN event_type = 'purchase' THEN 1.0E0 ELSE 0.0E0 END), 4) AS hit_rate, round(median(value), 4) AS median_value FROM {events} GROUP BY user_id % 3")
 both("ab_rotation", "SELECT user_id AS task, event_id % 3 AS rep, (user_id + event_id % 3) % 3 AS first_arm, count(*) AS n FROM {events} GROUP BY user_id, event_id % 3")
 both("documents_per_origin", "SELECT CASE WHEN source LIKE 'src1%' THEN '@base/src1' ELSE 'project' END AS origin, count(*) AS n FROM {documents} GROUP BY CASE WHEN source LIKE 'src1%' THEN '@base/src1' ELSE 'project' END")
 both("drop_reasons", "SELECT lower(substr(p_type, 1, CASE WHEN instr(p_type, ' ') = 0 THEN CAST(length(p_type) AS INT) ELSE CAST(instr(p_type, ' ') AS INT) - 1 END)) AS reason, count(*) AS n FROM {part} GROUP BY 1")
@@ -40,8 +40,6 @@ both("report_rollup", "SELECT c_mktsegment, o_orderpriority, count(*) AS n, roun
 both("daily_savings_zero_fill", """WITH RECURSIVE days AS (SELECT CAST(min(ts) AS DATE) AS d, 0 AS k FROM {events} UNION ALL SELECT CAST(d + INTERVAL 1 DAY AS DATE), k + 1 FROM days WHERE k < 13)
     SELECT d AS day, coalesce(round(sum(e.value), 2), 0) AS saved, count(e.event_id) AS n FROM days LEFT JOIN (SELECT event_id, CAST(ts AS DATE) AS day, value FROM {events} WHERE event_type = 'signup' AND value > 5) e ON e.day = d GROUP BY d""")
 both("usage_dedup_max", "SELECT conv_id, CAST(sum(m) AS BIGINT) AS tokens FROM (SELECT conv_id, CAST(floor(turn / 2) AS INT) AS message, max(length(text)) AS m FROM {conversations} GROUP BY conv_id, CAST(floor(turn / 2) AS INT)) t GROUP BY conv_id")
-both("gap_attribution", """WITH g AS (SELECT user_id, event_type, date_diff('second', lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id), ts) AS gap FROM {events})
-    SELECT user_id, CAST(coalesce(sum(CASE WHEN gap < 900 AND event_type = 'view' THEN gap END), 0) AS BIGINT) AS human, CAST(coalesce(sum(CASE WHEN gap < 900 AND event_type <> 'view' THEN gap END), 0) AS BIGINT) AS tool, count(CASE WHEN gap >= 900 THEN 1 END) AS idle FROM g GROUP BY user_id""".replace("date_diff('second', lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id), ts)", "CAST(floor(date_part('epoch', ts)) - floor(date_part('epoch', lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id))) AS BIGINT)"))
 both("turn_grouping", "SELECT conv_id, max(island) AS turns FROM (SELECT conv_id, sum(fresh) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS island FROM (SELECT conv_id, turn, CASE WHEN role = lag(role) OVER (PARTITION BY conv_id ORDER BY turn) THEN 0 ELSE 1 END AS fresh FROM {conversations}) a) b GROUP BY conv_id".replace("max(island)", "CAST(max(island) AS BIGINT)"))
 both("adoption_sessions", """SELECT count(*) AS sessions, count(CASE WHEN started > 0 THEN 1 END) AS with_start, count(CASE WHEN calls > 0 THEN 1 END) AS with_calls, count(CASE WHEN calls > 0 AND started = 0 THEN 1 END) AS calls_without_start
     FROM (SELECT user_id, CAST(ts AS DATE) AS day, count(CASE WHEN event_type = 'signup' THEN 1 END) AS started, count(CASE WHEN event_type = 'click' THEN 1 END) AS calls FROM {events} GROUP BY user_id, CAST(ts AS DATE)) t""")
@@ -60,7 +58,6 @@ both("duration_trend", """SELECT user_id, CASE WHEN n < 6 THEN 'few' WHEN newest
 both("consecutive_failures", """SELECT user_id, CAST(coalesce(min(CASE WHEN event_type <> 'view' THEN rn END) - 1, max(rn)) AS INT) AS streak FROM (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM {events}) a GROUP BY user_id""")
 both("health_checks", """SELECT check_name, level FROM (SELECT 'errors' AS check_name, CASE WHEN count(CASE WHEN event_type = 'error' THEN 1 END) > 0.3 * count(*) THEN 2 ELSE 0 END AS level FROM {events}
     UNION ALL SELECT 'labels', CASE WHEN count(*) = 0 THEN 2 ELSE 0 END FROM {labels} UNION ALL SELECT 'vectors', CASE WHEN count(*) < 10000 THEN 1 ELSE 0 END FROM {embeddings}) t""")
-both("run_duration", "SELECT l_orderkey, l_linenumber, CASE WHEN l_shipdate < o_orderdate THEN NULL ELSE CAST(CAST(l_shipdate AS DATE) - CAST(o_orderdate AS DATE) AS BIGINT) END AS days FROM {lineitem} JOIN {orders} ON o_orderkey = l_orderkey".replace("CAST(CAST(l_shipdate AS DATE) - CAST(o_orderdate AS DATE) AS BIGINT)", "CAST(floor(date_part('epoch', l_shipdate) / 86400) - floor(date_part('epoch', o_orderdate) / 86400) AS BIGINT)"))
 both("activity_totals", "SELECT count(*) AS events, count(DISTINCT user_id) AS sessions, count(DISTINCT event_type) AS kinds, count(CASE WHEN user_id IS NULL THEN 1 END) AS unidentified FROM {events}")
 both("session_groups", "SELECT user_id, CAST(ts AS DATE) AS day, count(CASE WHEN event_type = 'signup' THEN 1 END) AS starts, count(CASE WHEN event_type = 'click' THEN 1 END) AS calls, round(sum(value), 4) AS tokens FROM {events} GROUP BY user_id, CAST(ts AS DATE)")
 both("merge_new_events", "SELECT event_id, value FROM (SELECT event_id, value, row_number() OVER (PARTITION BY event_id ORDER BY v DESC) AS rn, ts FROM (SELECT event_id, value, ts, 1 AS v FROM {events} UNION ALL SELECT event_id, value + 1, ts, 2 FROM {events} WHERE event_id % 5 = 0) u) t WHERE rn = 1 ORDER BY ts DESC, event_id DESC LIMIT 500")
@@ -80,6 +77,26 @@ both("contract_search", "SELECT c.conv_id, c.turn, p.p_brand, p.p_retailprice FR
 both("external_penalty", "SELECT doc_id, round(CASE WHEN source = 'src0' THEN n_chars * 1.0E0 ELSE n_chars * 0.85E0 END, 2) AS score FROM {documents} ORDER BY score DESC, doc_id LIMIT 50")
 
 
+@query("gap_attribution", """WITH g AS (SELECT user_id, event_type, CAST(floor(epoch(ts)) - floor(epoch(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id))) AS BIGINT) AS gap FROM events)
+    SELECT user_id, CAST(coalesce(sum(gap) FILTER (gap < 900 AND event_type = 'view'), 0) AS BIGINT) AS human, CAST(coalesce(sum(gap) FILTER (gap < 900 AND event_type <> 'view'), 0) AS BIGINT) AS tool, count(*) FILTER (gap >= 900) AS idle FROM g GROUP BY user_id""")
+def gap_attribution(spark, sf_dir):
+    """Seconds between a client's consecutive events, dealt by what ended them; a quarter of an hour counts as idle."""
+    s = F.unix_seconds(F.col("ts").cast("timestamp"))
+    gap = s - F.lag(s).over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    rows = read_table(spark, sf_dir, "events").select("user_id", "event_type", gap.alias("gap"))
+    spent = lambda which: F.coalesce(F.sum(F.when((F.col("gap") < 900) & which, F.col("gap"))), F.lit(0))
+    view = F.col("event_type") == "view"
+    return rows.groupBy("user_id").agg(spent(view).alias("human"), spent(~view).alias("tool"), F.count_if(F.col("gap") >= 900).alias("idle"))
+
+
+@query("run_duration", "SELECT l_orderkey, l_linenumber, CASE WHEN l_shipdate >= o_orderdate THEN CAST(date_diff('day', o_orderdate, l_shipdate) AS INTEGER) END AS days FROM lineitem JOIN orders ON o_orderkey = l_orderkey")
+def run_duration(spark, sf_dir):
+    """Days from order to shipping; a negative duration is unknown."""
+    lines = read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate")
+    met = lines.join(read_table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return met.select("l_orderkey", "l_linenumber", F.when(F.col("l_shipdate") >= F.col("o_orderdate"), F.datediff("l_shipdate", "o_orderdate")).alias("days"))
+
+
 @query("rate_limit_range", """SELECT event_id, CAST(count(*) OVER (PARTITION BY user_id ORDER BY epoch(ts) RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW) AS BIGINT) AS recent FROM events""")
 def rate_limit_range(spark, sf_dir):
     """Calls of the last hour per client, as a range frame."""

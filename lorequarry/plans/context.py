@@ -1 +1,71 @@
-"""To be filled."""
+"""Context assembly queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from lorequarry.functions import text as T
+from lorequarry.operators import context as C
+from lorequarry.operators import search as S
+from lorequarry.plans.registry import both, query
+from lorequarry.plans.search import BM25_SQL, keyword
+from lorequarry.session import read_table
+
+both("intent_weights", "SELECT doc_id, round(n_chars * CASE WHEN doc_id % 3 = 0 THEN 1.25E0 WHEN doc_id % 3 = 1 THEN 1.1E0 ELSE 0.9E0 END, 3) AS weighed FROM {documents}")
+both("best_per_document", "SELECT source, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS rn FROM {documents}) t WHERE rn = 1")
+both("fragment_cap", "SELECT conv_id, turn FROM (SELECT conv_id, turn, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS used FROM {conversations}) t WHERE used <= 2000")
+
+
+@query("literal_dedup", f"""WITH {BM25_SQL}, h AS (SELECT kr.*, sha256(text) AS hash FROM kr JOIN d USING (doc_id) WHERE rank <= 20)
+    SELECT query_id, doc_id, row_number() OVER w = 1 AS kept, CASE WHEN row_number() OVER w > 1 THEN first_value(doc_id) OVER w END AS repeats FROM h WINDOW w AS (PARTITION BY query_id, hash ORDER BY rank)""")
+def literal_dedup(spark, sf_dir):
+    texts = read_table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("hash"))
+    return C.literal_dedup(keyword(spark, sf_dir, 20).join(texts, "doc_id")).select("query_id", "doc_id", "kept", "repeats")
+
+
+@query("context_pack")
+def context_pack(spark, sf_dir):
+    """Near-duplicates, maximal marginal relevance and a budget over the vector hits of twenty stated queries."""
+    vectors = read_table(spark, sf_dir, "embeddings")
+    asked = vectors.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), "embedding")
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "source", T.token_count(F.substring("text", 1, 1 << 30)).alias("tokens"))
+    hits = S.ranked(S.vector_scores(vectors, asked), 50, item="vec_id").withColumnRenamed("vec_id", "doc_id").join(docs, "doc_id")
+    hits = hits.join(vectors.select(F.col("vec_id").alias("doc_id"), F.col("embedding").cast("array<double>").alias("vector")), "doc_id")
+    return C.assemble(hits, asked.select("query_id", F.col("embedding").cast("array<double>").alias("query")), 3000)
+
+
+@query("noise_pruning", r"""SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda l: NOT regexp_matches(l, '(?i)^\s*(licensed under|copyright|import |from )') AND trim(l) <> '')) AS lines FROM documents""")
+def noise_pruning(spark, sf_dir):
+    kept = F.filter(F.split("text", "\n"), lambda line: ~line.rlike(r"(?i)^\s*(licensed under|copyright|import |from )") & (F.trim(line) != ""))
+    return read_table(spark, sf_dir, "documents").select("doc_id", F.size(kept).cast("long").alias("lines"))
+
+
+@query("line_truncation", """SELECT doc_id, count(*) AS lines FROM (SELECT doc_id, n, sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY n) AS used FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents) a) b WHERE used <= 1500 GROUP BY doc_id""")
+def line_truncation(spark, sf_dir):
+    lines = read_table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line"))
+    used = F.sum(F.length("line") + 1).over(Window.partitionBy("doc_id").orderBy("n"))
+    return lines.withColumn("used", used).where("used <= 1500").groupBy("doc_id").agg(F.count("*").alias("lines"))
+
+
+@query("sentence_select", r"""WITH s AS (SELECT conv_id, turn, unnest(list_filter(string_split_regex(text, '[.!?]\s+'), lambda x: trim(x) <> '')) AS s, generate_subscripts(list_filter(string_split_regex(text, '[.!?]\s+'), lambda x: trim(x) <> ''), 1) AS n FROM conversations),
+    r AS (SELECT conv_id, turn, n, s, sum(length(s)) OVER (PARTITION BY conv_id, turn ORDER BY CASE WHEN n = 1 THEN 0.5 ELSE 0 END + CASE WHEN contains(s, 'the') THEN 1 ELSE 0 END DESC, n ROWS UNBOUNDED PRECEDING) AS used FROM s)
+    SELECT conv_id, turn, count(*) AS kept, CAST(min(n) AS INTEGER) AS first FROM r WHERE used <= 300 GROUP BY conv_id, turn""")
+def sentence_select(spark, sf_dir):
+    parts = F.filter(F.split("text", r"[.!?]\s+"), lambda x: F.trim(x) != "")
+    rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(parts).alias("k", "s")).withColumn("n", F.col("k") + 1)
+    score = F.when(F.col("n") == 1, 0.5).otherwise(0.0) + F.when(F.contains("s", F.lit("the")), 1.0).otherwise(0.0)
+    used = F.sum(F.length("s")).over(Window.partitionBy("conv_id", "turn").orderBy(F.desc(score), "n").rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("used", used).where("used <= 300").groupBy("conv_id", "turn").agg(F.count("*").alias("kept"), F.min("n").alias("first"))
+
+
+@query("context_cache_key", """SELECT item_id, sha256('{"query":' || CAST(to_json(text) AS VARCHAR) || ',"budget":3000,"mode":"hybrid"}') AS key FROM benchmark""")
+def context_cache_key(spark, sf_dir):
+    return read_table(spark, sf_dir, "benchmark").select("item_id", F.sha2(F.to_json(F.struct(F.col("text").alias("query"), F.lit(3000).alias("budget"), F.lit("hybrid").alias("mode"))), 256).alias("key"))
+
+
+@query("rendered_context", """SELECT conv_id, string_agg('## [' || turn || '] ' || role || chr(10) || text, chr(10) ORDER BY turn) AS markdown FROM conversations GROUP BY conv_id""")
+def rendered_context(spark, sf_dir):
+    """Markdown of a conversation's turns; conversations in this table are at most a few turns long."""
+    part = F.format_string("## [%d] %s\n%s", "turn", "role", "text")
+    return read_table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", part.alias("part")))), lambda x: x["part"]), "\n").alias("markdown"))

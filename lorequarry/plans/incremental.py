@@ -1 +1,37 @@
-"""To be filled."""
+"""Incremental maintenance queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from lorequarry.operators import chunking, incremental
+from lorequarry.plans.registry import both, query
+from lorequarry.session import read_table
+
+both("change_token", "SELECT count(*) AS rows, max(event_id) AS generation, CAST(sum(event_id) AS BIGINT) AS token FROM {events} WHERE event_type <> 'view'")
+both("base_rows_excluded", "SELECT doc_id FROM {documents} WHERE source NOT IN (SELECT source FROM {documents} WHERE doc_id < 3)")
+
+
+@query("snapshot_changes", """SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN a.doc_id IS NULL THEN 'created' WHEN b.doc_id IS NULL THEN 'deleted' ELSE 'modified' END AS change FROM (SELECT doc_id, sha256(text) AS h FROM documents WHERE doc_id % 5 <> 0) a
+    FULL OUTER JOIN (SELECT doc_id, sha256(CASE WHEN doc_id % 7 = 0 THEN text || '.' ELSE text END) AS h FROM documents WHERE doc_id % 6 <> 0) b ON a.doc_id = b.doc_id WHERE a.h IS DISTINCT FROM b.h""")
+def snapshot_changes(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents")
+    old = docs.where("doc_id % 5 <> 0").select("doc_id", F.sha2("text", 256).alias("h"))
+    new = docs.where("doc_id % 6 <> 0").select("doc_id", F.sha2(F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit("."))).otherwise(F.col("text")), 256).alias("h"))
+    return incremental.diff(old, new, "doc_id", "h")
+
+
+@query("upsert_documents", "SELECT doc_id, n_chars FROM documents WHERE doc_id % 4 <> 0 UNION ALL SELECT doc_id, n_chars + 1 FROM documents WHERE doc_id % 8 = 0")
+def upsert_documents(spark, sf_dir):
+    """Every fourth document changes, and every other of those is deleted."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "n_chars")
+    changes = docs.where("doc_id % 4 = 0").select("doc_id", (F.col("n_chars") + 1).alias("n_chars"), (F.col("doc_id") % 8 != 0).alias("gone"))
+    return incremental.merge(docs, changes, "doc_id", "gone")
+
+
+@query("rehydrate")
+def rehydrate(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    chunks = chunking.line_chunks(docs, 2000).select("doc_id", "ordinal", "start_line", "end_line", F.sha2("content", 256).alias("hash"))
+    now = docs.where("doc_id % 9 <> 0").withColumn("text", F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit("edited "), "text")).otherwise(F.col("text")))
+    return incremental.rehydrated(chunks, now).groupBy("state").agg(F.count("*").alias("n"))

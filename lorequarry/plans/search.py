@@ -78,16 +78,16 @@ def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "embeddings").where("vec_id < 20").select(F.col("vec_id").alias("query_id"), "embedding")
 
 
-@query("vector_topk", f"WITH {VECTOR_SQL} SELECT query_id, vec_id, CAST(rank AS INTEGER) AS rank, round(score, 4) AS score FROM r WHERE rank <= 10")
+@query("vector_topk", f"WITH {VECTOR_SQL} SELECT query_id, vec_id, CAST(rank AS INTEGER) AS rank, score FROM r WHERE rank <= 10")
 def vector_topk(spark, sf_dir):
     rows = read_table(spark, sf_dir, "embeddings")
-    return S.ranked(S.vector_scores(rows, _asked(spark, sf_dir)), 10, item="vec_id").select("query_id", "vec_id", "rank", F.round("score", 4).alias("score"))
+    return S.ranked(S.vector_scores(rows, _asked(spark, sf_dir)), 10, item="vec_id").select("query_id", "vec_id", "rank", "score")
 
 
-@query("vector_filtered", f"WITH {VECTOR_SQL.replace('FROM u q JOIN u ON true WHERE', 'FROM u q JOIN u ON true WHERE u.label IN (1, 3) AND')} SELECT query_id, vec_id, CAST(rank AS INTEGER) AS rank, round(score, 4) AS score FROM r WHERE rank <= 10")
+@query("vector_filtered", f"WITH {VECTOR_SQL.replace('FROM u q JOIN u ON true WHERE', 'FROM u q JOIN u ON true WHERE u.label IN (1, 3) AND')} SELECT query_id, vec_id, CAST(rank AS INTEGER) AS rank, score FROM r WHERE rank <= 10")
 def vector_filtered(spark, sf_dir):
     rows = read_table(spark, sf_dir, "embeddings").where(F.col("label").isin(1, 3))
-    return S.ranked(S.vector_scores(rows, _asked(spark, sf_dir)), 10, item="vec_id").select("query_id", "vec_id", "rank", F.round("score", 4).alias("score"))
+    return S.ranked(S.vector_scores(rows, _asked(spark, sf_dir)), 10, item="vec_id").select("query_id", "vec_id", "rank", "score")
 
 
 @query("vector_two_stage")
@@ -150,9 +150,9 @@ def reranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.ranked(hits.withColumn("score", F.round(F.col("score") * factor, 7)), 1 << 30)
 
 
-@query("hybrid_rerank", f"WITH {BM25_SQL}, {COVER_SQL}, {RERANK_SQL} SELECT query_id, CAST(rank AS INTEGER) AS rank, doc_id, round(s, 5) AS score, matched_by FROM rr WHERE rank <= 10")
+@query("hybrid_rerank", f"WITH {BM25_SQL}, {COVER_SQL}, {RERANK_SQL} SELECT query_id, CAST(rank AS INTEGER) AS rank, doc_id, round(s, 7) AS score, matched_by FROM rr WHERE rank <= 10")
 def hybrid_rerank(spark, sf_dir):
-    return reranked(spark, sf_dir).where("rank <= 10").select("query_id", "rank", "doc_id", F.round("score", 5).alias("score"), "matched_by")
+    return reranked(spark, sf_dir).where("rank <= 10").select("query_id", "rank", "doc_id", "score", "matched_by")
 
 
 @query("diversify_per_source", f"""WITH {BM25_SQL}, {COVER_SQL}, {RERANK_SQL}, o AS (SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY rank) > 3 AS over FROM rr)

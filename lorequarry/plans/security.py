@@ -1 +1,52 @@
-"""To be filled."""
+"""Security queries. The corpus matches none of the content rules, so every seventh document gets one assignment derived from its id."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from lorequarry.operators import security as S
+from lorequarry.plans.registry import both, query
+from lorequarry.session import read_table
+
+both("placeholder_filter", "SELECT doc_id, v IN ('changeme', 'example', 'test', 'none') OR v LIKE '%your-%' AS placeholder FROM (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'example' WHEN 1 THEN 'your-key' WHEN 2 THEN 'none' ELSE source END AS v FROM {documents}) t")
+both("verdict_cache", "SELECT a.doc_id, a.n_chars = b.n_chars AS reusable FROM {documents} a JOIN (SELECT doc_id, n_chars + CASE WHEN doc_id % 10 = 0 THEN 1 ELSE 0 END AS n_chars FROM {documents}) b ON b.doc_id = a.doc_id")
+both("filename_deny", """SELECT doc_id, CASE WHEN p LIKE '%.py' THEN 'allow' WHEN p LIKE '%.env' OR p LIKE '%.pem' OR p LIKE '%id_rsa%' THEN 'block' ELSE 'allow' END AS verdict
+    FROM (SELECT doc_id, source || CASE doc_id % 5 WHEN 0 THEN '/.env' WHEN 1 THEN '/key.pem' WHEN 2 THEN '/tokens.py' WHEN 3 THEN '/id_rsa' ELSE '/a.md' END AS p FROM {documents}) t""")
+both("ignore_rules", """WITH rules AS (SELECT 1 AS place, 'src1' AS prefix, true AS drop_ UNION ALL SELECT 2, 'src17', false UNION ALL SELECT 3, 'src5', true)
+    SELECT doc_id, coalesce(max_by(drop_, place), false) AS ignored FROM {documents} LEFT JOIN rules ON substr(source, 1, CAST(length(prefix) AS INT)) = prefix GROUP BY doc_id""")
+
+
+def seeded(spark, sf_dir):
+    secret = F.concat(F.lit('\napi_key = "'), F.substring(F.sha2(F.col("doc_id").cast("string"), 256), 1, 32), F.lit('"'))
+    return read_table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 7 == 0, F.concat("text", secret)).otherwise(F.col("text")).alias("text"))
+
+
+_FOUND = r"""WITH s AS (SELECT doc_id, text || chr(10) || 'api_key = "' || substr(sha256(CAST(doc_id AS VARCHAR)), 1, 32) || '"' AS text, substr(sha256(CAST(doc_id AS VARCHAR)), 1, 32) AS v FROM documents WHERE doc_id % 7 = 0)"""
+
+
+@query("security_findings", _FOUND + " SELECT doc_id, 'generic-secret-assignment' AS rule, 3 AS severity, CAST(len(string_split(text, chr(10))) AS INTEGER) AS line, substr(sha256(v), 1, 16) AS digest FROM s")
+def security_findings(spark, sf_dir):
+    return S.findings(seeded(spark, sf_dir)).select("doc_id", "rule", "severity", "line", "digest")
+
+
+@query("verdict_per_file", _FOUND + " SELECT doc_id, 'redact' AS verdict, 'generic-secret-assignment' AS worst_rule, CAST(1 AS BIGINT) AS n FROM s")
+def verdict_per_file(spark, sf_dir):
+    return S.verdicts(S.findings(seeded(spark, sf_dir)))
+
+
+@query("redaction_counts", _FOUND + " SELECT doc_id, CAST(len(string_split(text, chr(10))) AS BIGINT) AS lines, sha256(replace(text, v, '[REDACTED:generic-secret-assignment]')) AS hash FROM s")
+def redaction_counts(spark, sf_dir):
+    docs = seeded(spark, sf_dir)
+    return S.redacted(docs, S.findings(docs)).select("doc_id", F.size(F.split("text", "\n")).cast("long").alias("lines"), F.sha2("text", 256).alias("hash"))
+
+
+@query("severity_adjust", "SELECT event_id, CAST(CASE WHEN user_id % 3 = 0 THEN least(s + 1, 4) WHEN user_id % 3 = 1 AND event_type <> 'error' THEN greatest(s - 1, 2) ELSE s END AS INTEGER) AS severity FROM (SELECT *, CASE event_type WHEN 'error' THEN 4 WHEN 'purchase' THEN 3 ELSE 2 END AS s FROM events) t")
+def severity_adjust(spark, sf_dir):
+    e, u = F.col("event_type"), F.col("user_id") % 3
+    s = F.when(e == "error", 4).when(e == "purchase", 3).otherwise(2)
+    return read_table(spark, sf_dir, "events").select("event_id", S.adjusted(s, u == 0, u == 1, e == "error").cast("int").alias("severity"))
+
+
+@query("scan_report", "SELECT CAST(count(*) FILTER (doc_id % 7 = 0) AS BIGINT) AS files, CAST(count(*) FILTER (doc_id % 7 = 0) AS BIGINT) AS findings, false AS failed FROM documents")
+def scan_report(spark, sf_dir):
+    return S.findings(seeded(spark, sf_dir)).agg(F.countDistinct("doc_id").alias("files"), F.count("*").alias("findings"), F.coalesce(F.max("severity") >= 4, F.lit(False)).alias("failed"))

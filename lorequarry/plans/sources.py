@@ -1 +1,40 @@
-"""To be filled."""
+"""Source and sink queries: each writes what it derives from a table in the shared folder and reads it back."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from lorequarry.functions import ids as I
+from lorequarry.plans.registry import query
+from lorequarry.session import checkpoint_dir, read_table
+from lorequarry.sources import files
+
+
+def folder(spark) -> str:
+    return f"{checkpoint_dir(spark)}/{uuid.uuid4().hex}"
+
+
+@query("json_log_roundtrip", "SELECT event_type AS tool, count(*) AS calls, round(sum(value), 2) AS ms FROM events GROUP BY event_type")
+def json_log_roundtrip(spark, sf_dir):
+    path = folder(spark)
+    good = read_table(spark, sf_dir, "events").select(F.to_json(F.struct(F.col("event_type").alias("tool"), F.col("value").alias("ms"))).alias("value"))
+    good.unionByName(good.limit(5).select(F.lit("{broken").alias("value"))).write.text(path)
+    return files.json_log(spark, path, "tool string, ms double").groupBy("tool").agg(F.count("*").alias("calls"), F.round(F.sum("ms"), 2).alias("ms"))
+
+
+@query("sharded_json_roundtrip", "SELECT count(*) AS n, count(DISTINCT doc_id) AS ids FROM documents")
+def sharded_json_roundtrip(spark, sf_dir):
+    path = folder(spark)
+    key = I.digest(F.col("doc_id"))
+    files.write_sharded_json(read_table(spark, sf_dir, "documents").select(key.alias("id"), "doc_id", I.shard_of(key, 16).alias("shard")), path)
+    return spark.read.schema("id string, doc_id long, shard string").json(path).agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("ids"))
+
+
+@query("file_tree_scan", "SELECT CAST(count(*) AS BIGINT) AS lines, CAST(sum(length(url)) AS BIGINT) AS chars FROM pages")
+def file_tree_scan(spark, sf_dir):
+    path = folder(spark)
+    read_table(spark, sf_dir, "pages").select("url").write.text(path)
+    lines = files.tree(spark, path, deny=r"/_SUCCESS$|\.crc$").where("state = 'text'").select(F.explode(F.split(F.regexp_replace("text", r"\n$", ""), "\n")).alias("line"))
+    return lines.agg(F.count("*").alias("lines"), F.sum(F.length("line")).alias("chars"))

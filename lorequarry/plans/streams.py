@@ -1 +1,38 @@
-"""To be filled."""
+"""Streaming queries, run over the whole table with one availableNow trigger, and their batch twins."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from lorequarry.plans.registry import query
+from lorequarry.session import read_table
+from lorequarry.streaming import events as E
+
+
+@query("stream_daily_counts", "SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n FROM events GROUP BY ALL")
+def stream_daily_counts(spark, sf_dir):
+    rows = E.drain(spark, E.daily_counts(E.stream(spark, sf_dir)))
+    return rows.groupBy("day", "event_type").agg(F.max_by("n", "__batch").alias("n"))
+
+
+@query("session_windows", """SELECT user_id, count(*) AS sessions FROM (SELECT user_id, CASE WHEN lag(ts) OVER (PARTITION BY user_id ORDER BY ts) > ts - INTERVAL 15 MINUTES THEN 0 ELSE 1 END AS fresh FROM events) t WHERE fresh = 1 GROUP BY user_id""")
+def session_windows(spark, sf_dir):
+    """The batch form of the streaming operator: the same plan without a trigger."""
+    events = read_table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return E.sessions(events).groupBy("user_id").agg(F.count("*").alias("sessions"))
+
+
+@query("sliding_windows", """SELECT strftime(w, '%Y-%m-%d %H:%M') AS start, count(*) AS n FROM (SELECT unnest([time_bucket(INTERVAL 6 HOURS, ts) - k * INTERVAL 6 HOURS FOR k IN [0, 1, 2, 3]]) AS w FROM events) t GROUP BY 1""")
+def sliding_windows(spark, sf_dir):
+    events = read_table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return E.sliding_counts(events).select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "n")
+
+
+@query("stream_once_per_session", "SELECT DISTINCT user_id FROM events WHERE event_type = 'error'")
+def stream_once_per_session(spark, sf_dir):
+    return E.drain(spark, E.once_per_session(E.stream(spark, sf_dir)), "append").select("user_id").distinct()
+
+
+@query("stream_session_ledger")
+def stream_session_ledger(spark, sf_dir):
+    return E.drain(spark, E.ledger(E.stream(spark, sf_dir)), "append").groupBy("user_id").agg(F.sum("n").alias("n"), F.sum("repeats").alias("repeats"))

@@ -1 +1,67 @@
-"""To be filled."""
+"""Task orchestration queries over orders, lines and events."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from lorequarry.operators import tasks as K
+from lorequarry.plans.registry import both, query
+from lorequarry.session import read_table
+
+both("state_machine_check", """WITH allowed AS (SELECT 'O' AS a, 'P' AS b UNION ALL SELECT 'P', 'F' UNION ALL SELECT 'O', 'F'), moves AS (SELECT o_custkey, lag(o_orderstatus) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS a, o_orderstatus AS b FROM {orders})
+    SELECT a, b, count(*) AS n FROM moves WHERE a IS NOT NULL AND a <> b AND NOT EXISTS (SELECT 1 FROM allowed WHERE allowed.a = moves.a AND allowed.b = moves.b) GROUP BY a, b""")
+both("lease_expiry", "SELECT o_orderkey FROM {orders} WHERE o_orderstatus = 'P' AND o_orderdate + INTERVAL 900 DAYS < (SELECT max(o_orderdate) FROM {orders})")
+both("promote_dependents", "SELECT b.l_orderkey, b.l_linenumber FROM {lineitem} a JOIN {lineitem} b ON b.l_orderkey = a.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 WHERE a.l_linestatus = 'F' AND b.l_linestatus = 'O'")
+both("result_validation", "SELECT l.doc_id, CASE WHEN d.doc_id IS NULL THEN 'missing' WHEN l.quality = 0 THEN 'rejected' WHEN d.source NOT LIKE 'src1%' THEN 'scope' ELSE 'ok' END AS result FROM {labels} l LEFT JOIN {documents} d ON d.doc_id = l.doc_id")
+both("track_edges", "SELECT DISTINCT o_orderpriority AS track, o_orderstatus AS needs FROM {orders}")
+both("impact_measure", "SELECT lang, least(100, count(DISTINCT source) * 5) AS impact FROM {documents} WHERE n_chars > 2000 GROUP BY lang")
+both("rehydrated_status", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' AND o_custkey % 3 = 0 THEN 'pending' ELSE o_orderstatus END AS status FROM {orders}")
+both("status_panel", "SELECT o_orderpriority AS lane, count(CASE WHEN o_orderstatus = 'O' THEN 1 END) AS open, count(CASE WHEN o_orderstatus = 'P' THEN 1 END) AS running, count(CASE WHEN o_orderstatus = 'F' THEN 1 END) AS finished FROM {orders} GROUP BY o_orderpriority")
+both("interval_next_run", "SELECT event_id, CASE event_type WHEN 'view' THEN NULL WHEN 'click' THEN ts + INTERVAL 300 SECONDS ELSE ts + INTERVAL 1 HOURS END AS next_run FROM {events}")
+both("signal_scores", """SELECT conv_id, turn, CAST((CASE WHEN text LIKE '%tion%' THEN 25 ELSE 0 END) + (CASE WHEN text LIKE '%the%' THEN 15 ELSE 0 END) + (CASE WHEN length(text) > 400 THEN 20 ELSE 0 END) - (CASE WHEN text LIKE '%and%' THEN 10 ELSE 0 END) AS INT) AS score FROM {conversations}""")
+
+
+def dimensions():
+    n, k = F.col("n_chars").cast("double"), F.col("doc_id")
+    return {"complexity": F.least(F.lit(100.0), F.floor(n / 200).cast("double")), "architecture": ((k % 5) * 15).cast("double"), "business_rule": ((k % 3) * 20).cast("double"), "dependency": ((k % 2) * 30).cast("double"), "risk": ((k % 7) * 10).cast("double"), "security": F.lit(0.0), "documentation": ((k % 4) * 12).cast("double")}
+
+
+_DIMS = {"complexity": "least(100.0, floor(CAST(n_chars AS DOUBLE) / 200))", "architecture": "CAST(doc_id % 5 * 15 AS DOUBLE)", "business_rule": "CAST(doc_id % 3 * 20 AS DOUBLE)", "dependency": "CAST(doc_id % 2 * 30 AS DOUBLE)", "risk": "CAST(doc_id % 7 * 10 AS DOUBLE)", "security": "CAST(0 AS DOUBLE)", "documentation": "CAST(doc_id % 4 * 12 AS DOUBLE)"}
+_ACTIVE = " + ".join(f"CASE WHEN {k} > 0 THEN 1.0 ELSE 0.0 END" for k in _DIMS)
+_SUM = " + ".join(f"CASE WHEN {k} > 0 THEN {k} * CAST({K.WEIGHTS[k]} AS DOUBLE) ELSE 0 END" for k in _DIMS)
+_WEIGHT = " + ".join(f"CASE WHEN {k} > 0 THEN CAST({K.WEIGHTS[k]} AS DOUBLE) ELSE 0 END" for k in _DIMS)
+
+
+@query("task_score", f"""WITH d AS (SELECT doc_id, {", ".join(f"{v} AS {k}" for k, v in _DIMS.items())} FROM documents)
+    SELECT doc_id, CAST(round_even(least(100.0, CAST(0.55 AS DOUBLE) * greatest({", ".join(f"{k} * CAST({K.WEIGHTS[k]} AS DOUBLE)" for k in _DIMS)}) / CAST(1.3 AS DOUBLE) + CAST(0.20 AS DOUBLE) * ({_SUM}) / ({_WEIGHT}) + CAST(30.0 AS DOUBLE) * ({_ACTIVE}) / 7), 0) AS INTEGER) AS score FROM d WHERE ({_ACTIVE}) > 0""")
+def task_score(spark, sf_dir):
+    scored = read_table(spark, sf_dir, "documents").select("doc_id", K.total_score(dimensions()).alias("score"))
+    return scored.where("score > 0")
+
+
+@query("task_bands")
+def task_bands(spark, sf_dir):
+    return read_table(spark, sf_dir, "documents").groupBy(K.band(K.total_score(dimensions())).alias("band")).agg(F.count("*").alias("n"))
+
+
+@query("merged_status", """SELECT event_id, CASE WHEN list_position(p, a) >= list_position(p, b) THEN a ELSE b END AS status FROM (SELECT event_id, ['pending', 'ready', 'queued', 'blocked', 'waiting_approval', 'running', 'retrying', 'failed', 'completed', 'cancelled'] AS p,
+    CASE event_type WHEN 'error' THEN 'failed' WHEN 'view' THEN 'ready' ELSE 'running' END AS a, CASE user_id % 3 WHEN 0 THEN 'completed' WHEN 1 THEN 'pending' ELSE 'cancelled' END AS b FROM events) t""")
+def merged_status(spark, sf_dir):
+    e, u = F.col("event_type"), F.col("user_id") % 3
+    a = F.when(e == "error", "failed").when(e == "view", "ready").otherwise("running")
+    b = F.when(u == 0, "completed").when(u == 1, "pending").otherwise("cancelled")
+    return read_table(spark, sf_dir, "events").select("event_id", K.merged_status(a, b).alias("status"))
+
+
+@query("backoff_due", "SELECT event_id, ts + to_seconds(CASE least(user_id % 5 + 1, 3) WHEN 1 THEN 30 WHEN 2 THEN 120 ELSE 600 END) AS due FROM events WHERE event_type = 'error'")
+def backoff_due(spark, sf_dir):
+    due = F.col("ts") + F.make_dt_interval(secs=K.backoff(F.col("user_id") % 5 + 1).cast("decimal(18,6)"))
+    return read_table(spark, sf_dir, "events").where("event_type = 'error'").select("event_id", due.alias("due"))
+
+
+@query("cron_next_fire", """SELECT event_id, CAST((SELECT min(g) FROM (SELECT unnest(generate_series(date_trunc('minute', ts) + INTERVAL 1 MINUTE, date_trunc('minute', ts) + INTERVAL 8 DAYS, INTERVAL 1 MINUTE)) AS g) s
+    WHERE extract(minute FROM g) IN (0, 20, 40) AND extract(hour FROM g) BETWEEN 8 AND 10 AND extract(dow FROM g) IN (1, 3, 5)) AS VARCHAR) AS fires FROM events WHERE user_id = 1""")
+def cron_next_fire(spark, sf_dir):
+    """Of one client's events: the reference SQL walks every minute, so the check stays on a key of the data."""
+    rows = read_table(spark, sf_dir, "events").where("user_id = 1")
+    return rows.select("event_id", F.date_format(K.cron_next("*/20 8-10 * * 1,3,5", F.col("ts").cast("timestamp")), "yyyy-MM-dd HH:mm:ss").alias("fires"))
