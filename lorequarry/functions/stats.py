@@ -14,7 +14,8 @@ def wilson(hits: Column, n: Column) -> tuple[Column, Column]:
     p, z2 = hits / m, Z95 * Z95
     centre, half = p + z2 / (2 * m), Z95 * F.sqrt(p * (1 - p) / m + z2 / (4 * m * m))
     low, high = (centre - half) / (1 + z2 / m), (centre + half) / (1 + z2 / m)
-    return F.coalesce(F.greatest(F.lit(0.0), low), F.lit(0.0)), F.coalesce(F.least(F.lit(1.0), high), F.lit(0.0))
+    none = F.coalesce(n, F.lit(0)) == 0
+    return F.when(none, 0.0).otherwise(F.greatest(F.lit(0.0), low)), F.when(none, 0.0).otherwise(F.least(F.lit(1.0), high))
 
 
 def entropy(text: Column) -> Column:
