@@ -44,12 +44,12 @@ both("turn_grouping", "SELECT conv_id, max(island) AS turns FROM (SELECT conv_id
 both("adoption_sessions", """SELECT count(*) AS sessions, count(CASE WHEN started > 0 THEN 1 END) AS with_start, count(CASE WHEN calls > 0 THEN 1 END) AS with_calls, count(CASE WHEN calls > 0 AND started = 0 THEN 1 END) AS calls_without_start
     FROM (SELECT user_id, CAST(ts AS DATE) AS day, count(CASE WHEN event_type = 'signup' THEN 1 END) AS started, count(CASE WHEN event_type = 'click' THEN 1 END) AS calls FROM {events} GROUP BY user_id, CAST(ts AS DATE)) t""")
 both("reminder_conversion", """SELECT count(*) AS reminded, count(CASE WHEN last_call > first_reminder THEN 1 END) AS converted FROM (SELECT user_id, min(CASE WHEN event_type = 'error' THEN ts END) AS first_reminder, max(CASE WHEN event_type = 'purchase' THEN ts END) AS last_call FROM {events} GROUP BY user_id) t WHERE first_reminder IS NOT NULL""")
-both("rate_limit_hits", """SELECT user_id, count(*) AS refused FROM (SELECT a.user_id, a.event_id, count(b.event_id) AS recent FROM {events} a JOIN {events} b ON b.user_id = a.user_id AND b.ts <= a.ts AND b.ts > a.ts - INTERVAL 12 HOURS GROUP BY a.user_id, a.event_id) t WHERE recent > 3 GROUP BY user_id""")
+both("rate_limit_hits", """SELECT user_id, count(*) AS refused FROM (SELECT user_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 12 HOURS PRECEDING AND CURRENT ROW) AS recent FROM {events}) t WHERE recent > 3 GROUP BY user_id""")
 both("agent_eval", "SELECT conv_id, count(CASE WHEN rn <= 3 AND text LIKE '%tion%' THEN 1 END) > 0 AS mentions, count(CASE WHEN text LIKE '%<|%' THEN 1 END) = 0 AS clean FROM (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM {conversations} WHERE role = 'assistant') t GROUP BY conv_id")
 both("prompt_footprint", "SELECT role, CAST(sum(CAST(floor((length(text) + 3) / 4) AS BIGINT)) AS BIGINT) AS tokens FROM {conversations} GROUP BY role")
 both("sessions_by_user", "SELECT user_id, count(*) AS sessions FROM (SELECT user_id, CASE WHEN lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) > ts - INTERVAL 15 MINUTES THEN 0 ELSE 1 END AS fresh FROM {events}) t WHERE fresh = 1 GROUP BY user_id")
 both("token_trial", "SELECT l.doc_id, d.n_chars AS whole, least(d.n_chars, 3000) AS assembled, round(least(d.n_chars, 3000) / CAST(nullif(d.n_chars, 0) AS DOUBLE), 4) AS ratio FROM {labels} l JOIN {documents} d ON d.doc_id = l.doc_id WHERE l.quality = 1")
-both("auto_cases", "SELECT p_partkey, p_name FROM (SELECT p_partkey, p_name, row_number() OVER (ORDER BY d.n DESC, p_partkey) AS rn FROM {part} JOIN (SELECT l_partkey, count(*) AS n FROM {lineitem} GROUP BY l_partkey) d ON d.l_partkey = p_partkey) t WHERE rn <= 20")
+both("auto_cases", """SELECT p_partkey, p_name FROM {part} JOIN (SELECT l_partkey, count(*) AS n FROM {lineitem} GROUP BY l_partkey) d ON d.l_partkey = p_partkey ORDER BY d.n DESC, p_partkey LIMIT 20""")
 both("conclusive_flag", f"""SELECT lang, n, hits, round(2 * {stats.Z95} * sqrt(p * (1 - p) / n), 4) <= 0.2 AS conclusive FROM (SELECT lang, count(*) AS n, count(CASE WHEN n_chars > 1000 THEN 1 END) AS hits, avg(CASE WHEN n_chars > 1000 THEN 1.0E0 ELSE 0.0E0 END) AS p FROM {{documents}} GROUP BY lang) t""")
 
 # panel
@@ -66,7 +66,7 @@ both("event_filter", "SELECT event_id FROM {events} WHERE event_type IN ('click'
 both("project_state", "SELECT c_custkey, CASE WHEN n = 0 THEN 'empty' WHEN failed > 5 THEN 'failed' WHEN open > 3 THEN 'running' WHEN n > 12 THEN 'busy' ELSE 'ready' END AS state FROM (SELECT c_custkey, count(o_orderkey) AS n, count(CASE WHEN o_orderstatus = 'F' THEN 1 END) AS failed, count(CASE WHEN o_orderstatus = 'O' THEN 1 END) AS open FROM {customer} LEFT JOIN {orders} ON o_custkey = c_custkey GROUP BY c_custkey) t")
 both("active_job", "SELECT o_custkey, o_orderkey, o_orderstatus FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY CASE o_orderstatus WHEN 'P' THEN 0 WHEN 'O' THEN 1 ELSE 2 END, o_orderdate DESC, o_orderkey) AS rn FROM {orders}) t WHERE rn = 1")
 both("savings_ratio", "SELECT user_id, round(greatest(0.0, (base - used) / nullif(base, 0)), 4) AS ratio, round(greatest(0.0, base - used), 4) AS saved FROM (SELECT user_id, sum(CASE WHEN event_type = 'view' THEN value ELSE 0 END) AS base, sum(CASE WHEN event_type = 'click' THEN value ELSE 0 END) AS used FROM {events} GROUP BY user_id) t")
-both("multi_key_sort", "SELECT c_custkey, CAST(row_number() OVER (ORDER BY c_mktsegment, last_use DESC NULLS LAST, c_custkey) AS INT) AS place FROM {customer} LEFT JOIN (SELECT o_custkey, max(o_orderdate) AS last_use FROM {orders} GROUP BY o_custkey) o ON o_custkey = c_custkey")
+both("multi_key_sort", """SELECT c_custkey, CAST(row_number() OVER (PARTITION BY c_mktsegment ORDER BY last_use DESC NULLS LAST, c_custkey) AS INT) AS place FROM {customer} LEFT JOIN (SELECT o_custkey, max(o_orderdate) AS last_use FROM {orders} GROUP BY o_custkey) o ON o_custkey = c_custkey""")
 both("first_last_change", "SELECT user_id, round((last_value - first_value_) / nullif(first_value_, 0) * 100, 2) AS change FROM (SELECT user_id, min_by(value, event_id) AS first_value_, max_by(value, event_id) AS last_value FROM {events} GROUP BY user_id) t")
 both("goals_met", "SELECT count(CASE WHEN n > 100 THEN 1 END) AS met, count(*) AS total FROM (SELECT event_type, count(*) AS n FROM {events} GROUP BY event_type) t")
 both("missing_embeddings", "SELECT greatest(d - v, 0) AS missing FROM (SELECT (SELECT count(*) FROM {documents}) AS d, (SELECT count(*) FROM {embeddings}) AS v) t")

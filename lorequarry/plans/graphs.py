@@ -15,8 +15,9 @@ both("technology_detection", "SELECT tech, max(confidence) AS confidence FROM (S
 both("layer_clear", "SELECT p_partkey FROM {part} WHERE p_type NOT IN (SELECT p_type FROM {part} WHERE p_size = 1) OR p_brand = 'Brand#11'")
 both("seed_entities", """WITH top AS (SELECT doc_id, source, n_chars FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS rn FROM {documents}) t WHERE rn <= 10)
     SELECT coalesce(l.doc_id, top.doc_id) AS entity, CASE WHEN l.doc_id IS NULL THEN 'file' ELSE 'symbol' END AS kind, max(top.n_chars) AS score FROM top LEFT JOIN {labels} l ON l.doc_id = top.doc_id GROUP BY 1, 2""")
-both("name_resolution", "SELECT DISTINCT c.conv_id, p.p_partkey FROM {conversations} c JOIN {part} p ON lower(p.p_brand) = lower('brand#' || c.turn || c.turn) AND p.p_partkey <> c.conv_id")
-both("repo_map_budget", """SELECT node, CAST(used AS BIGINT) AS used FROM (SELECT node, n, sum(n) OVER (ORDER BY degree DESC, node ROWS UNBOUNDED PRECEDING) AS used FROM (SELECT s_suppkey AS node, length(s_name) + 10 AS n, d.degree FROM {supplier} JOIN (SELECT l_suppkey, count(*) AS degree FROM {lineitem} GROUP BY l_suppkey) d ON d.l_suppkey = s_suppkey) t) u WHERE used <= 600""")
+both("name_resolution", """SELECT c.conv_id, c.turn, p.part FROM {conversations} c JOIN (SELECT lower(p_brand) AS brand, min(p_partkey) AS part FROM {part} GROUP BY lower(p_brand)) p ON p.brand = lower('brand#' || c.turn || c.turn) AND p.part <> c.conv_id""")
+both("repo_map_budget", """SELECT nation, node, CAST(used AS BIGINT) AS used FROM (SELECT nation, node, sum(n) OVER (PARTITION BY nation ORDER BY degree DESC, node ROWS UNBOUNDED PRECEDING) AS used FROM (SELECT s_nationkey AS nation, s_suppkey AS node, length(s_name) + 10 AS n, d.degree FROM {supplier}
+    JOIN (SELECT l_suppkey, count(*) AS degree FROM {lineitem} GROUP BY l_suppkey) d ON d.l_suppkey = s_suppkey) t) u WHERE used <= 90""")
 both("neighbors_two_way", "SELECT DISTINCT l_suppkey AS node, l_partkey AS other, 'out' AS direction FROM {lineitem} WHERE l_suppkey < 4 UNION ALL SELECT DISTINCT l_partkey, l_suppkey, 'in' FROM {lineitem} WHERE l_suppkey < 4")
 both("ranked_files", "SELECT p_brand AS file, p_name AS symbol, CAST(rn AS INT) AS rn, degree FROM (SELECT p_brand, p_name, degree, row_number() OVER (PARTITION BY p_brand ORDER BY degree DESC, p_name, p_partkey) AS rn FROM {part} JOIN (SELECT l_partkey, count(*) AS degree FROM {lineitem} GROUP BY l_partkey) d ON d.l_partkey = p_partkey) t WHERE rn <= 3")
 

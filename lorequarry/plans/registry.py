@@ -12,7 +12,7 @@ from lorequarry.session import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-PLANS = ("search", "text", "relational", "analytics", "graphs", "security", "context", "tasks", "incremental", "streams", "sources")
+PLANS = ("search", "text", "relational", "analytics", "graphs", "security", "context", "tasks", "incremental", "streams", "sources", "parsing")
 
 
 def query(name: str, sql: str | None = None):

@@ -9,7 +9,8 @@ both("coarse_only", "SELECT d.doc_id, e.label FROM {documents} d JOIN {embedding
 both("edges_both_ways", """SELECT o_orderkey AS node, 'out' AS direction, c_name AS other FROM {orders} JOIN {customer} ON c_custkey = o_custkey
     UNION ALL SELECT c_custkey AS node, 'in' AS direction, CAST(o_orderkey AS STRING) AS other FROM {customer} JOIN {orders} ON c_custkey = o_custkey""")
 both("representatives", """WITH own AS (SELECT c_custkey AS entity, o_orderkey AS item, 1 AS pass, o_totalprice AS w FROM {customer} JOIN {orders} ON o_custkey = c_custkey),
-    more AS (SELECT c.c_custkey AS entity, s.s_suppkey AS item, 2 AS pass, s.s_acctbal AS w FROM {customer} c JOIN {supplier} s ON s.s_nationkey = c.c_nationkey
+    best AS (SELECT s_nationkey, s_suppkey, s_acctbal FROM (SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC, s_suppkey) AS k FROM {supplier}) s WHERE k <= 3),
+    more AS (SELECT c.c_custkey AS entity, s.s_suppkey AS item, 2 AS pass, s.s_acctbal AS w FROM {customer} c JOIN best s ON s.s_nationkey = c.c_nationkey
              WHERE NOT EXISTS (SELECT 1 FROM {orders} o WHERE o.o_custkey = c.c_custkey)),
     r AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY w DESC, item) AS rn FROM (SELECT * FROM own UNION ALL SELECT * FROM more) u)
     SELECT entity, item, pass, CAST(rn AS INT) AS rn FROM r WHERE rn <= 3""")
@@ -21,8 +22,8 @@ both("referential_integrity", """SELECT 'lineitem_order' AS fk, count(*) AS brok
     UNION ALL SELECT 'absolute_path', count(*) FROM {documents} WHERE source LIKE '/%' OR source LIKE '_:%'""")
 both("ready_queue", """SELECT o_orderkey AS task, o_orderpriority AS priority FROM {orders} o WHERE o_orderstatus <> 'F'
     AND NOT EXISTS (SELECT 1 FROM {lineitem} l WHERE l.l_orderkey = o.o_orderkey AND l.l_linestatus = 'O' AND l.l_shipdate > o.o_orderdate + INTERVAL 60 DAYS)""")
-both("queue_order", """SELECT o_orderkey AS task, CAST(row_number() OVER (ORDER BY CAST(substr(o_orderpriority, 1, 1) AS INT), o_orderdate, o_orderkey) AS INT) AS place
-    FROM {orders} WHERE o_orderstatus = 'O' ORDER BY place LIMIT 100""")
+both("queue_order", """SELECT o_orderkey AS task, CAST(row_number() OVER (ORDER BY lane, o_orderdate, o_orderkey) AS INT) AS place FROM (SELECT o_orderkey, o_orderdate, CAST(substr(o_orderpriority, 1, 1) AS INT) AS lane
+    FROM {orders} WHERE o_orderstatus = 'O' ORDER BY lane, o_orderdate, o_orderkey LIMIT 100) t""")
 both("dependency_listing", """SELECT a.l_orderkey AS task, a.l_linenumber AS step, b.l_linenumber AS needs, p.p_name AS title FROM {lineitem} a
     JOIN {lineitem} b ON b.l_orderkey = a.l_orderkey AND b.l_linenumber = a.l_linenumber - 1 JOIN {part} p ON p.p_partkey = b.l_partkey""")
 both("dangling_relations", """SELECT l_orderkey, l_linenumber FROM {lineitem} l WHERE NOT EXISTS (SELECT 1 FROM {part} p WHERE p.p_partkey = l.l_partkey AND p.p_size > 2)
@@ -40,9 +41,11 @@ both("link_with_fallback", """WITH provides AS (SELECT DISTINCT s_nationkey AS p
               WHERE NOT EXISTS (SELECT 1 FROM exact e WHERE e.project = c.project AND e.route = c.route AND e.verb = c.verb) GROUP BY c.project, c.route, c.verb)
     SELECT project, route, verb, 'linked' AS state, round(confidence, 4) AS confidence FROM exact UNION ALL SELECT project, route, verb, 'divergent', round(confidence * 0.6, 4) FROM other
     UNION ALL SELECT c.project, c.route, c.verb, 'unresolved', CAST(NULL AS DOUBLE) FROM consumes c WHERE NOT EXISTS (SELECT 1 FROM provides p WHERE p.route = c.route AND p.project <> c.project)""")
-both("deepest_prefix", """WITH roots AS (SELECT DISTINCT substr(url, 1, CAST(instr(url, '.') AS INT)) AS root FROM {pages} UNION SELECT 'http' AS root)
-    SELECT page_id, root FROM (SELECT page_id, root, row_number() OVER (PARTITION BY page_id ORDER BY length(root) DESC, root) AS rn FROM {pages} JOIN roots ON root = substr(url, 1, CAST(instr(url, '.') AS INT)) OR root = substr(url, 1, 4)) x WHERE rn = 1""")
-both("first_tool_result", """SELECT a.conv_id, a.turn, min(b.turn) AS answered FROM {conversations} a JOIN {conversations} b ON b.conv_id = a.conv_id AND b.turn > a.turn AND b.role = 'assistant' WHERE a.role = 'user' GROUP BY a.conv_id, a.turn""")
+both("deepest_prefix", """WITH roots AS (SELECT DISTINCT substr(url, 1, CAST(instr(url, '.') AS INT)) AS root FROM {pages} UNION SELECT 'http' AS root),
+    tried AS (SELECT page_id, substr(url, 1, CAST(instr(url, '.') AS INT)) AS prefix FROM {pages} UNION ALL SELECT page_id, substr(url, 1, 4) FROM {pages})
+    SELECT page_id, max_by(root, length(root)) AS root FROM tried JOIN roots ON root = prefix GROUP BY page_id""")
+both("first_tool_result", """SELECT conv_id, turn, answered FROM (SELECT conv_id, turn, role, min(CASE WHEN role = 'assistant' THEN turn END) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS answered FROM {conversations}) t
+    WHERE role = 'user' AND answered IS NOT NULL""")
 
 # set operations
 both("union_distinct_endpoints", "SELECT o_custkey AS node FROM {orders} UNION SELECT c_custkey FROM {customer}")
@@ -65,12 +68,13 @@ both("run_history_page", "SELECT o_orderkey, o_orderdate, o_totalprice FROM {ord
 both("severity_order", "SELECT event_type, CAST(CASE event_type WHEN 'error' THEN 4 WHEN 'purchase' THEN 3 WHEN 'signup' THEN 2 ELSE 1 END AS INT) AS severity, count(*) AS n FROM {events} GROUP BY event_type ORDER BY severity DESC, event_type")
 both("eviction", """SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id DESC) AS n, sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id DESC ROWS UNBOUNDED PRECEDING) AS bytes FROM {documents}) t WHERE n > 20 OR bytes > 60000""")
 both("ordered_distinct", "SELECT lang, min(doc_id) AS first_seen FROM {documents} GROUP BY lang")
-both("stable_tiebreak", "SELECT c_custkey, c_acctbal, CAST(row_number() OVER (ORDER BY round(c_acctbal, -2) DESC, c_custkey) AS INT) AS place FROM {customer}")
+both("stable_tiebreak", """SELECT c_custkey, c_acctbal, CAST(row_number() OVER (PARTITION BY c_mktsegment ORDER BY round(c_acctbal, -2) DESC, c_custkey) AS INT) AS place FROM {customer}""")
 both("latest_write_wins", """SELECT doc_id, n_chars, version FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY version DESC) AS rn FROM (SELECT doc_id, n_chars, 1 AS version FROM {documents} UNION ALL SELECT doc_id, n_chars + 1, 2 FROM {documents} WHERE doc_id % 4 = 0) u) t WHERE rn = 1""")
 
 # filters and lookups
-both("id_prefix_lookup", "SELECT c_custkey, c_name, count(*) OVER () > 1 AS ambiguous FROM {customer} WHERE c_name LIKE 'Customer#00000001%' ORDER BY c_custkey LIMIT 2")
-both("entity_lookup_tiers", """SELECT p_partkey, p_name, tier FROM (SELECT p_partkey, p_name, tier, min(tier) OVER () AS best FROM (SELECT p_partkey, p_name, CASE WHEN CAST(p_partkey AS STRING) = 'part 7' THEN 1 WHEN lower(p_name) = 'part 7' THEN 2 WHEN lower(p_name) LIKE '%7%' THEN 3 ELSE 4 END AS tier FROM {part}) a WHERE tier < 4) b WHERE tier = best""")
+both("id_prefix_lookup", """SELECT c_custkey, c_name, count(*) OVER () > 1 AS ambiguous FROM (SELECT c_custkey, c_name FROM {customer} WHERE c_name LIKE 'Customer#00000001%' ORDER BY c_custkey LIMIT 2) t""")
+both("entity_lookup_tiers", """WITH a AS (SELECT p_partkey, p_name, CASE WHEN CAST(p_partkey AS STRING) = 'part 7' THEN 1 WHEN lower(p_name) = 'part 7' THEN 2 WHEN lower(p_name) LIKE '%7%' THEN 3 ELSE 4 END AS tier FROM {part})
+    SELECT p_partkey, p_name, tier FROM a WHERE tier < 4 AND tier = (SELECT min(tier) FROM a)""")
 both("optional_predicates", "SELECT doc_id, lang FROM {documents} WHERE 1 = 1 AND lang = 'de' AND n_chars BETWEEN 500 AND 5000")
 both("test_path_exclusion", "SELECT page_id FROM {pages} WHERE url NOT LIKE '%/de/%' AND url NOT LIKE '%#top' AND url NOT LIKE '%utm_%'")
 both("private_hidden", "SELECT s_suppkey, s_name FROM {supplier} WHERE CASE WHEN s_suppkey % 4 = 0 THEN 'private' ELSE 'public' END <> 'private'")
