@@ -73,7 +73,7 @@ both("latest_write_wins", """SELECT doc_id, n_chars, version FROM (SELECT *, row
 
 # filters and lookups
 both("id_prefix_lookup", """SELECT c_custkey, c_name, count(*) OVER () > 1 AS ambiguous FROM (SELECT c_custkey, c_name FROM {customer} WHERE c_name LIKE 'Customer#00000001%' ORDER BY c_custkey LIMIT 2) t""")
-both("entity_lookup_tiers", """WITH a AS (SELECT p_partkey, p_name, CASE WHEN CAST(p_partkey AS STRING) = 'part 7' THEN 1 WHEN lower(p_name) = 'part 7' THEN 2 WHEN lower(p_name) LIKE '%7%' THEN 3 ELSE 4 END AS tier FROM {part})
+both("entity_lookup_tiers", """WITH a AS (SELECT p_partkey, p_name, CASE WHEN CAST(p_partkey AS STRING) = 'red widget' THEN 1 WHEN lower(p_name) = 'red widget' THEN 2 WHEN lower(p_name) LIKE '%widget%' THEN 3 ELSE 4 END AS tier FROM {part})
     SELECT p_partkey, p_name, tier FROM a WHERE tier < 4 AND tier = (SELECT min(tier) FROM a)""")
 both("optional_predicates", "SELECT doc_id, lang FROM {documents} WHERE 1 = 1 AND lang = 'de' AND n_chars BETWEEN 500 AND 5000")
 both("test_path_exclusion", "SELECT page_id FROM {pages} WHERE url NOT LIKE '%/de/%' AND url NOT LIKE '%#top' AND url NOT LIKE '%utm_%'")
