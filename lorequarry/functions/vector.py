@@ -18,19 +18,22 @@ def norm(v: Column) -> Column:
     return F.sqrt(dot(v, v))
 
 
+def _with(fields: Column, f) -> Column:
+    """``f`` of a struct that is computed once, not once per element of what ``f`` maps over."""
+    return F.element_at(F.transform(F.array(fields), f), 1)
+
+
 def normalized(v: Column) -> Column:
     """Scaled to length one; the zero vector stays."""
-    n = norm(v)
-    return F.transform(doubles(v), lambda x: F.when(n > 0, x / n).otherwise(x))
+    parts = F.struct(doubles(v).alias("v"), norm(v).alias("n"))
+    return _with(parts, lambda s: F.transform(s["v"], lambda x: F.when(s["n"] > 0, x / s["n"]).otherwise(x)))
 
 
 def quantized(v: Column, dims: int) -> Column:
     """The first ``dims`` components, scaled to length one, as (codes 0..255, scale, offset); rounding is half to even."""
-    u = normalized(F.slice(v, 1, dims))
-    low = F.array_min(u)
-    scale = (F.array_max(u) - low) / 255
-    codes = F.transform(u, lambda x: F.when(scale > 0, F.bround((x - low) / scale)).otherwise(F.lit(0.0)).cast("int"))
-    return F.struct(codes.alias("codes"), scale.alias("scale"), low.alias("offset"))
+    code = lambda s: F.transform(s["u"], lambda x: F.when(s["scale"] > 0, F.bround((x - s["low"]) / s["scale"])).otherwise(F.lit(0.0)).cast("int"))
+    scaled = _with(F.struct(normalized(F.slice(v, 1, dims)).alias("u")), lambda s: F.struct(s["u"].alias("u"), F.array_min(s["u"]).alias("low"), ((F.array_max(s["u"]) - F.array_min(s["u"])) / 255).alias("scale")))
+    return _with(scaled, lambda s: F.struct(code(s).alias("codes"), s["scale"].alias("scale"), s["low"].alias("offset")))
 
 
 def dequantized(q: Column) -> Column:

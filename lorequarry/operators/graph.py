@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from lorequarry.functions.stats import hop_penalty
 from lorequarry.session import cut
 
 DAMPING, ROUNDS, TOLERANCE = 0.85, 50, 1e-10
+#: Pairs of nodes up to which PageRank runs in one task; they take some ten MB.
+SMALL = 200_000
 DEPTH, NODES, FANOUT, DECAY = 2, 200, 25, 0.6
 
 
@@ -26,6 +30,8 @@ def pagerank(edges: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS, t
     pairs = edges.where("src <> dst").groupBy("src", "dst").agg(F.sum("weight").alias("w"))
     out = pairs.groupBy("src").agg(F.sum("w").alias("out"))
     flows = cut(pairs.join(out, "src").select("src", "dst", (F.col("w") / F.col("out")).alias("share")))
+    if flows.limit(SMALL + 1).count() <= SMALL:
+        return _pagerank_small(flows, damping, rounds, tolerance)
     nodes = cut(flows.select(F.col("src").alias("node")).union(flows.select("dst")).distinct().join(out.select(F.col("src").alias("node"), F.lit(True).alias("gives")), "node", "left"))
     n = nodes.count()
     if not n:
@@ -44,6 +50,25 @@ def pagerank(edges: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS, t
     return rank.select("node", "rank")
 
 
+def _pagerank_small(flows: DataFrame, damping: float, rounds: int, tolerance: float) -> DataFrame:
+    """The same iteration in one task, for at most SMALL pairs: a job per round would cost more than the sums."""
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["src", "dst"])
+        nodes, at = np.unique(np.concatenate([part["src"], part["dst"]]), return_inverse=True)
+        src, dst, n = at[: len(part)], at[len(part) :], len(nodes)
+        loose, rank = np.bincount(src, minlength=n) == 0, np.full(n, 1 / n)
+        for _ in range(rounds):
+            new = (1 - damping) / n + damping * (np.bincount(dst, weights=rank[src] * part["share"].to_numpy(), minlength=n) + rank[loose].sum() / n)
+            moved, rank = np.abs(new - rank).sum(), new
+            if moved < tolerance:
+                break
+        return pd.DataFrame({"node": nodes, "rank": rank})
+
+    kind = flows.schema["src"].dataType.simpleString()
+    return flows.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(run, f"node {kind}, rank double")
+
+
 def expand(edges: DataFrame, seeds: DataFrame, depth: int = DEPTH, fanout: int = FANOUT, most: int = NODES, decay: float = DECAY) -> DataFrame:
     """(node, score, depth): best score that reaches a node over at most ``depth`` hops.
 

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorequarry.functions import text as T
-from lorequarry.functions import vector as V
 
 K1, B, FLOOR = 1.2, 0.75, 1e-6
 RRF_K = 60
+#: Queries of one batch of vector search, which every task holds.
+QUERIES = 4096
 KEYWORD_WEIGHT, SEMANTIC_WEIGHT = 0.8, 1.0
 #: Fixed factors of the deterministic rerank.
 SYMBOL, DOC_QUESTION, CODE_IDENTIFIER, SHORT, REDACTED = 1.5, 1.2, 1.2, 0.8, 0.9
@@ -47,20 +52,64 @@ def ranked(scored: DataFrame, k: int, by: str = "query_id", item: str = "doc_id"
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def vector_scores(rows: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, vec_id, score): cosine of every row with each of a stated, small query set."""
-    unit = rows.select("vec_id", V.normalized(F.col("embedding")).alias("v"))
-    asked = queries.select("query_id", V.normalized(F.col("embedding")).alias("q"))
-    return unit.join(F.broadcast(asked)).select("query_id", "vec_id", F.round(V.dot(F.col("v"), F.col("q")), 6).alias("score"))
+def _stated(queries: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and unit vectors of a stated query batch, whose size is checked."""
+    rows = queries.select("query_id", "embedding").limit(QUERIES + 1).collect()
+    if len(rows) > QUERIES:
+        raise ValueError(f"a batch holds at most {QUERIES} queries; split it")
+    q = np.array([r.embedding for r in rows], dtype=float).reshape(len(rows), -1)
+    return np.array([r.query_id for r in rows], dtype=np.int64), _unit(q)
+
+
+def _unit(m: np.ndarray) -> np.ndarray:
+    n = np.linalg.norm(m, axis=1, keepdims=True)
+    return np.divide(m, n, out=m.copy(), where=n > 0)
+
+
+def _coarse(m: np.ndarray, dims: int) -> np.ndarray:
+    """Leading components, scaled, quantised to 256 steps and back."""
+    u = _unit(m[:, :dims])
+    low = u.min(1, keepdims=True)
+    scale = (u.max(1, keepdims=True) - low) / 255
+    return np.where(scale > 0, np.round(np.divide(u - low, scale, out=np.zeros_like(u), where=scale > 0)), 0.0) * scale + low
+
+
+def vector_scores(rows: DataFrame, queries: DataFrame, most: int, dims: int | None = None) -> DataFrame:
+    """(query_id, vec_id, coarse, score): cosines of rows with a stated query batch, the ``most`` best of each Arrow batch.
+
+    ``coarse`` orders the selection: it is the cosine over quantised leading ``dims`` components, or the score itself.
+    Each task hands on at most ``most`` rows per query and batch, so the shuffle does not grow with the product.
+    """
+    ids, q = _stated(queries)
+    qc = _unit(q[:, :dims]) if dims else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            vec = batch.column(0).to_numpy()
+            if not len(vec) or not len(ids):
+                continue
+            m = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(vec), -1)
+            score = np.round(_unit(m) @ q.T, 6)
+            coarse = np.round(_coarse(m, dims) @ qc.T, 6) if dims else score
+            best = np.lexsort((np.broadcast_to(vec[:, None], coarse.shape), -coarse), axis=0)[:most]
+            k = np.broadcast_to(np.arange(len(ids)), best.shape).ravel()
+            at = best.ravel()
+            yield pa.RecordBatch.from_arrays([pa.array(ids[k]), pa.array(vec[at]), pa.array(coarse[at, k]), pa.array(score[at, k])], ["query_id", "vec_id", "coarse", "score"])
+
+    return rows.select("vec_id", "embedding").mapInArrow(run, "query_id long, vec_id long, coarse double, score double")
+
+
+def vector_top(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(query_id, vec_id, score, rank): the k nearest by cosine."""
+    return ranked(vector_scores(rows, queries, k).drop("coarse"), k, item="vec_id")
 
 
 def two_stage(rows: DataFrame, queries: DataFrame, k: int, dims: int = 32) -> DataFrame:
     """Coarse scores on quantised leading components choose max(10 k, 100) candidates, exact cosines rank them."""
-    asked = F.broadcast(queries.select("query_id", V.normalized(F.col("embedding")).alias("q"), V.normalized(F.slice("embedding", 1, dims)).alias("qc")))
-    held = rows.select("vec_id", V.normalized(F.col("embedding")).alias("v"), V.dequantized(V.quantized(F.col("embedding"), dims)).alias("c"))
-    coarse = held.join(asked).select("query_id", "vec_id", "v", "q", F.round(V.dot(F.col("c"), F.col("qc")), 6).alias("score"))
-    chosen = ranked(coarse, max(10 * k, 100), item="vec_id")
-    return ranked(chosen.select("query_id", "vec_id", F.round(V.dot(F.col("v"), F.col("q")), 6).alias("score")), k, item="vec_id")
+    most = max(10 * k, 100)
+    w = Window.partitionBy("query_id").orderBy(F.desc("coarse"), "vec_id")
+    chosen = vector_scores(rows, queries, most, dims).withColumn("r", F.row_number().over(w)).where(F.col("r") <= most)
+    return ranked(chosen.select("query_id", "vec_id", "score"), k, item="vec_id")
 
 
 def rrf(rankings: DataFrame, weights: dict[str, float]) -> DataFrame:

@@ -30,7 +30,7 @@ def context_pack(spark, sf_dir):
     vectors = read_table(spark, sf_dir, "embeddings")
     asked = vectors.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), "embedding")
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "source", T.token_count(F.substring("text", 1, 1 << 30)).alias("tokens"))
-    hits = S.ranked(S.vector_scores(vectors, asked), 50, item="vec_id").withColumnRenamed("vec_id", "doc_id").join(docs, "doc_id")
+    hits = S.vector_top(vectors, asked, 50).withColumnRenamed("vec_id", "doc_id").join(docs, "doc_id")
     hits = hits.join(vectors.select(F.col("vec_id").alias("doc_id"), F.col("embedding").cast("array<double>").alias("vector")), "doc_id")
     return C.assemble(hits, asked.select("query_id", F.col("embedding").cast("array<double>").alias("query")), 3000)
 

@@ -81,13 +81,13 @@ def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("vector_topk", f"WITH {VECTOR_SQL} SELECT query_id, vec_id, CAST(rank AS INTEGER) AS rank, score FROM r WHERE rank <= 10")
 def vector_topk(spark, sf_dir):
     rows = read_table(spark, sf_dir, "embeddings")
-    return S.ranked(S.vector_scores(rows, _asked(spark, sf_dir)), 10, item="vec_id").select("query_id", "vec_id", "rank", "score")
+    return S.vector_top(rows, _asked(spark, sf_dir), 10).select("query_id", "vec_id", "rank", "score")
 
 
 @query("vector_filtered", f"WITH {VECTOR_SQL.replace('FROM u q JOIN u ON true WHERE', 'FROM u q JOIN u ON true WHERE u.label IN (1, 3) AND')} SELECT query_id, vec_id, CAST(rank AS INTEGER) AS rank, score FROM r WHERE rank <= 10")
 def vector_filtered(spark, sf_dir):
     rows = read_table(spark, sf_dir, "embeddings").where(F.col("label").isin(1, 3))
-    return S.ranked(S.vector_scores(rows, _asked(spark, sf_dir)), 10, item="vec_id").select("query_id", "vec_id", "rank", "score")
+    return S.vector_top(rows, _asked(spark, sf_dir), 10).select("query_id", "vec_id", "rank", "score")
 
 
 @query("vector_two_stage")

@@ -19,7 +19,9 @@ def plain_rank(edges, damping=0.85):
     return rank
 
 
-def test_pagerank_equals_a_plain_loop(spark):
+@pytest.mark.parametrize("small", [0, 1000])
+def test_pagerank_equals_a_plain_loop(spark, monkeypatch, small):
+    monkeypatch.setattr(graph, "SMALL", small)
     edges = [(1, 2, 1.0), (2, 3, 2.0), (3, 1, 1.0), (1, 3, 0.5), (4, 1, 1.0), (3, 5, 1.0)]
     got = {r.node: r.rank for r in graph.pagerank(spark.createDataFrame(edges, "src long, dst long, weight double"), rounds=50).collect()}
     want = plain_rank(edges)
@@ -114,7 +116,7 @@ def test_diversify_moves_and_drops_nothing(spark):
 def test_two_stage_recall(spark):
     rows = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
     asked = rows.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), "embedding")
-    exact = S.ranked(S.vector_scores(rows, asked), 10, item="vec_id").select("query_id", "vec_id")
+    exact = S.vector_top(rows, asked, 10).select("query_id", "vec_id")
     assert S.two_stage(rows, asked, 10).join(exact, ["query_id", "vec_id"], "left_semi").count() >= 180
 
 
