@@ -46,6 +46,21 @@ def bm25(docs: DataFrame, terms: DataFrame, prefix: bool = False) -> DataFrame:
     return weighed.join(terms, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum("w"), 6).alias("score"))
 
 
+def bm25_fields(docs: DataFrame, terms: DataFrame, weights: dict[str, float]) -> DataFrame:
+    """BM25 over several fields: a term's frequency is the weighted sum over fields, a row's length its tokens in all of them."""
+    weighed_by = lambda w: lambda t: F.struct(t.alias("t"), F.lit(w).alias("w"))
+    fields = [F.transform(T.words(F.coalesce(F.col(f), F.lit(""))), weighed_by(w)) for f, w in weights.items()]
+    tokens = docs.select("doc_id", F.concat(*fields).alias("tokens"))
+    stats = tokens.agg(F.count("*").cast("double").alias("n_docs"), F.avg(F.size("tokens")).alias("avg_dl"))
+    posts = tokens.select("doc_id", F.size("tokens").cast("double").alias("dl"), F.explode("tokens").alias("x")).select("doc_id", "dl", F.col("x.t").alias("term"), F.col("x.w").alias("w"))
+    tf = posts.join(terms.select("term").distinct(), "term").groupBy("term", "doc_id", "dl").agg(F.sum("w").alias("tf"))
+    df = tf.groupBy("term").agg(F.count("*").cast("double").alias("df"))
+    idf = F.greatest(F.ln((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(FLOOR))
+    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avg_dl")))
+    weighed = tf.join(df, "term").join(F.broadcast(stats)).select("term", "doc_id", weight.alias("s"))  # one row of totals
+    return weighed.join(terms, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum("s"), 6).alias("score"))
+
+
 def ranked(scored: DataFrame, k: int, by: str = "query_id", item: str = "doc_id") -> DataFrame:
     """The k best items per query with their rank; ties go to the smaller item."""
     w = Window.partitionBy(by).orderBy(F.desc("score"), item)

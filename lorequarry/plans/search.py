@@ -55,6 +55,19 @@ def keyword_filtered(spark, sf_dir):
     return S.ranked(S.bm25(docs, S.query_terms(queries_of(spark, sf_dir))), 10).select("query_id", "doc_id", "rank", F.round("score", 4).alias("score"))
 
 
+@query("keyword_weighted", r"""WITH f AS (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+')) AS term, 1.0 AS w FROM documents UNION ALL SELECT doc_id, unnest(regexp_extract_all(lower(split_part(text, chr(10), 1)), '[\p{L}\p{N}]+')), 4.0 FROM documents
+    UNION ALL SELECT doc_id, unnest(regexp_extract_all(lower(source), '[\p{L}\p{N}]+')), 0.5 FROM documents),
+    q AS (SELECT item_id AS query_id, unnest(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'))) AS term FROM benchmark),
+    l AS (SELECT doc_id, CAST(count(*) AS DOUBLE) AS dl FROM f GROUP BY doc_id), st AS (SELECT CAST(count(*) AS DOUBLE) AS n, avg(dl) AS a FROM l),
+    tf AS (SELECT term, doc_id, CAST(sum(w) AS DOUBLE) AS tf FROM f WHERE term IN (SELECT term FROM q) GROUP BY term, doc_id), df AS (SELECT term, CAST(count(*) AS DOUBLE) AS df FROM tf GROUP BY term),
+    s AS (SELECT query_id, doc_id, round(sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / a))), 6) AS score FROM tf JOIN df USING (term) JOIN l USING (doc_id) JOIN q USING (term), st GROUP BY query_id, doc_id),
+    r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM s) SELECT query_id, doc_id, rank FROM r WHERE rank <= 10""")
+def keyword_weighted(spark, sf_dir):
+    """Content, the first line as a heading (weight 4) and the source as context (0.5)."""
+    docs = read_table(spark, sf_dir, "documents").withColumn("heading", F.substring_index("text", "\n", 1))
+    return S.ranked(S.bm25_fields(docs, S.query_terms(queries_of(spark, sf_dir)), {"text": 1.0, "heading": 4.0, "source": 0.5}), 10).select("query_id", "doc_id", "rank")
+
+
 @query("prefix_terms", """WITH d AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'))) AS t FROM documents),
     q AS (SELECT item_id AS query_id, list_last(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS term FROM benchmark)
     SELECT query_id, substr(term, 1, 4) AS prefix, count(DISTINCT doc_id) AS docs FROM q JOIN d ON substr(t, 1, 4) = substr(term, 1, 4) WHERE length(term) >= 4 GROUP BY ALL""")

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +33,26 @@ def json_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(f"{schema}, _corrupt_record string").option("mode", "PERMISSIVE").json(path).cache().where("_corrupt_record IS NULL").drop("_corrupt_record")
 
 
+def content_token(rows: DataFrame, volatile: tuple[str, ...] = ()) -> str:
+    """A digest of a table's rows in any order, without the volatile columns."""
+    kept = [F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in sorted(rows.columns) if c not in volatile]
+    n, total = rows.select(F.xxhash64(*kept).cast("decimal(38,0)").alias("h")).agg(F.count("*"), F.sum("h")).first()
+    return f"{n}:{total}"
+
+
+def stable_write(rows: DataFrame, path: str, volatile: tuple[str, ...] = ()) -> bool:
+    """Write Parquet unless the folder holds equal rows already; says whether it wrote."""
+    spark = rows.sparkSession
+    try:
+        held = content_token(spark.read.parquet(path), volatile)
+    except AnalysisException:
+        held = None  # nothing there yet
+    if held == content_token(rows, volatile):
+        return False
+    rows.write.mode("overwrite").parquet(path)
+    return True
+
+
 def write_sharded_json(rows: DataFrame, path: str, shard: str = "shard") -> None:
     """One folder of JSON lines per shard."""
     rows.repartition(shard).sortWithinPartitions(*[c for c in rows.columns if c != shard][:1]).write.partitionBy(shard).mode("overwrite").json(path)

@@ -154,3 +154,11 @@ def test_file_tree_states(spark, tmp_path):
     (tmp_path / "x.skip").write_text("no")
     out = {r.path.rsplit("/", 1)[1]: (r.state, r.text) for r in files.tree(spark, f"file://{tmp_path}", deny=r"\.skip$").collect()}
     assert out == {"a.txt": ("text", "ok é"), "b.bin": ("binary", None), "c.txt": ("latin1", "é")}
+
+
+def test_stable_write(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a", 5), (2, None, 6)], "id long, v string, at int")
+    path = f"file://{tmp_path}/t"
+    assert files.stable_write(rows, path, ("at",))
+    assert not files.stable_write(rows.withColumn("at", F.lit(9)), path, ("at",))
+    assert files.stable_write(rows.where("id = 1"), path, ("at",)) and spark.read.parquet(path).count() == 1
