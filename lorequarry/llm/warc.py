@@ -1,7 +1,7 @@
 """WARC archives: a deterministic sharded writer, and a reader that checks what it reads.
 
 Records are dealt to shards by ranges of page id. The ranges come from an exact histogram of record bytes over at most
-``BUCKETS`` id ranges, so they depend on the data alone, and any run over equal rows makes equal files. Within a shard,
+``BUCKETS`` id ranges, cut where bytes add up to a shard, so they depend on the data alone, and any run over equal rows makes equal files. Within a shard,
 records follow page ids; a file is rolled when its compressed size reaches a limit. Each record is a gzip member of its own
 with headers and digests made anew. A task writes under a temporary name that no other attempt shares and then moves the
 file to its final name; a retried or doubled task moves the same bytes there. The manifest, written by Spark's own commit,
@@ -23,12 +23,12 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lorequarry.session import checkpoint_dir
+from lorequarry.session import checkpoint_dir, cut
 
-BUCKETS = 4096
+BUCKETS = 1 << 14
 SHARD_BYTES, FILE_BYTES = 64 << 20, 32 << 20
 LEAST_REVISIT = 100
 LEVEL = 6
@@ -122,21 +122,15 @@ def _write(path: str, file_bytes: int):
     return run
 
 
-def _shards(rows: DataFrame, shard_bytes: int):
-    """A column that gives each row's shard, from an exact histogram of bytes over id ranges."""
+def _shards(rows: DataFrame, shard_bytes: int) -> tuple[DataFrame, F.Column, int]:
+    """(bucket, shard) from an exact histogram of bytes over id ranges, a row's bucket, and the number of shards."""
     low, high = rows.agg(F.min("page_id"), F.max("page_id")).first()
-    if low is None:
-        return F.lit(0)
-    width = (high - low) // BUCKETS + 1
-    bucket = F.expr(f"cast((page_id - {low}L) div {width}L as int)")
-    sizes = dict(rows.where("page_id IS NOT NULL").groupBy(bucket.alias("b")).agg(F.sum(F.col("n") + 500)).collect())  # at most BUCKETS rows
-    shard, held, of = 0, 0, []
-    for b in range(max(sizes) + 1):
-        if held >= shard_bytes:
-            shard, held = shard + 1, 0
-        held += sizes.get(b, 0)
-        of.append(shard)
-    return F.coalesce(F.element_at(F.array(*map(F.lit, of)), bucket + 1), F.lit(0)) if shard else F.lit(0)
+    low, high = low or 0, high or 0
+    bucket = F.expr(f"cast((page_id - {low}L) div {(high - low) // BUCKETS + 1}L as int)")
+    sizes = rows.where("page_id IS NOT NULL").groupBy(bucket.alias("bucket")).agg(F.sum(F.col("n") + 500).alias("bytes"))
+    before = F.sum("bytes").over(Window.orderBy("bucket")) - F.col("bytes")  # at most BUCKETS rows
+    placed = cut(sizes.select("bucket", F.floor(before / shard_bytes).cast("int").alias("shard")))
+    return placed, bucket, (placed.agg(F.max("shard")).first()[0] or 0) + 1
 
 
 def write(pages: DataFrame, path: str, shard_bytes: int = SHARD_BYTES, file_bytes: int = FILE_BYTES) -> DataFrame:
@@ -149,12 +143,13 @@ def write(pages: DataFrame, path: str, shard_bytes: int = SHARD_BYTES, file_byte
     long = keyed.where(F.col("n") >= LEAST_REVISIT)
     first = long.groupBy("digest", "n").agg(F.min("page_id").alias("first"), F.count("*").alias("c")).where("c > 1")
     refers = long.join(first, ["digest", "n"]).where("page_id > first").select("page_id", "digest", "first").distinct()
-    shard = _shards(rows.select("page_id", "n"), shard_bytes)
+    placed, bucket, shards = _shards(rows.select("page_id", "n"), shard_bytes)
     # the payloads move once; which of them are revisits travels beside them as rows without payload, sorted first
-    columns = lambda refers_to, url, body: [shard.cast("int").alias("shard"), "page_id", "digest", refers_to.cast("long").alias("refers_to"), url.cast("string").alias("url"), body.cast("binary").alias("payload")]
+    columns = lambda refers_to, url, body: ["page_id", "digest", refers_to.cast("long").alias("refers_to"), url.cast("string").alias("url"), body.cast("binary").alias("payload")]
     none = F.lit(None)
     stream = rows.withColumn("digest", F.sha2("payload", 256)).select(*columns(none, F.col("url"), F.col("payload"))).unionByName(refers.select(*columns(F.col("first"), none, none)))
-    sorted_ = stream.repartition("shard").sortWithinPartitions("shard", "page_id", F.col("payload").isNotNull(), "digest", "url")
+    dealt = stream.withColumn("bucket", bucket).join(F.broadcast(placed), "bucket", "left").select(F.coalesce("shard", F.lit(0)).alias("shard"), "page_id", "digest", "refers_to", "url", "payload")
+    sorted_ = dealt.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "page_id", F.col("payload").isNotNull(), "digest", "url")
     sorted_.mapInArrow(_write(path, file_bytes), MANIFEST).write.parquet(f"{path}/_manifest")
     store, root = filesystem(path)
     store.create_dir(f"{root}/_temporary")
