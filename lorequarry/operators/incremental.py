@@ -26,3 +26,8 @@ def rehydrated(chunks: DataFrame, docs: DataFrame) -> DataFrame:
     met = chunks.join(docs.select("doc_id", "text"), "doc_id", "left").withColumn("content", F.array_join(lines, "\n"))
     state = F.when(F.col("text").isNull(), "missing").when(F.sha2("content", 256) == F.col("hash"), "ok").otherwise("mismatch")
     return met.select(*chunks.columns, state.alias("state"))
+
+
+def refresh(derived: DataFrame, recomputed: DataFrame, touched: DataFrame, key: str) -> DataFrame:
+    """Rows derived per key (postings, edges) after some keys changed: only theirs are replaced, also when nothing is left of them."""
+    return derived.join(touched.select(key).distinct(), key, "left_anti").unionByName(recomputed.select(*derived.columns))

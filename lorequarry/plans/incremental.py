@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lorequarry.operators import chunking, incremental
+from lorequarry.functions import text as T
+from lorequarry.operators import chunking, incremental, security
 from lorequarry.plans.registry import both, query
 from lorequarry.session import read_table
 
@@ -35,3 +36,39 @@ def rehydrate(spark, sf_dir):
     chunks = chunking.line_chunks(docs, 2000).select("doc_id", "ordinal", "start_line", "end_line", F.sha2("content", 256).alias("hash"))
     now = docs.where("doc_id % 9 <> 0").withColumn("text", F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit("edited "), "text")).otherwise(F.col("text")))
     return incremental.rehydrated(chunks, now).groupBy("state").agg(F.count("*").alias("n"))
+
+
+@query("index_maintenance", r"""SELECT doc_id, count(DISTINCT w) AS terms FROM (SELECT doc_id, unnest(regexp_extract_all(lower(CASE WHEN doc_id % 6 = 0 THEN 'new words ' || text ELSE text END), '[\p{L}\p{N}]+')) AS w FROM documents WHERE doc_id % 10 <> 9) t GROUP BY doc_id""")
+def index_maintenance(spark, sf_dir):
+    """Postings after every sixth document changed and every tenth went: only touched documents are tokenised again."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    postings = lambda d: d.select("doc_id", F.explode(F.array_distinct(T.words(F.col("text")))).alias("term"))
+    edited = docs.where("doc_id % 6 = 0").withColumn("text", F.concat(F.lit("new words "), "text"))
+    gone = docs.where("doc_id % 10 = 9").select("doc_id")
+    now = incremental.refresh(postings(docs), postings(edited.join(gone, "doc_id", "left_anti")), edited.select("doc_id").unionByName(gone), "doc_id")
+    return now.groupBy("doc_id").agg(F.count("*").alias("terms"))
+
+
+@query("graph_refresh", "SELECT o_custkey AS src, count(*) AS edges, round(sum(CASE WHEN o_custkey % 5 = 0 THEN o_totalprice * 2 ELSE o_totalprice END), 2) AS weight FROM orders GROUP BY o_custkey")
+def graph_refresh(spark, sf_dir):
+    """Outgoing edges of touched customers are rewritten, all others stay."""
+    edges = read_table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("src"), F.col("o_orderkey").alias("dst"), F.col("o_totalprice").alias("w"))
+    touched = edges.where("src % 5 = 0")
+    now = incremental.refresh(edges, touched.withColumn("w", F.col("w") * 2), touched, "src")
+    return now.groupBy("src").agg(F.count("*").alias("edges"), F.round(F.sum("w"), 2).alias("weight"))
+
+
+@query("board_roundtrip", "SELECT CASE WHEN o_orderstatus = 'P' THEN 'pending' ELSE o_orderstatus END AS status, count(*) AS n FROM orders GROUP BY 1")
+def board_roundtrip(spark, sf_dir):
+    """A board as JSON rows and back; what was running elsewhere is pending here."""
+    rows = read_table(spark, sf_dir, "orders").select(F.to_json(F.struct("o_orderkey", F.col("o_orderstatus").alias("status"), F.lit(None).cast("string").alias("none"))).alias("j"))
+    back = rows.select(F.from_json("j", "o_orderkey long, status string").alias("r")).select("r.*")
+    return back.groupBy(F.when(F.col("status") == "P", "pending").otherwise(F.col("status")).alias("status")).agg(F.count("*").alias("n"))
+
+
+@query("export_rescan", "SELECT CAST(count(*) AS BIGINT) AS exported, CAST(0 AS BIGINT) AS blocked FROM pages")
+def export_rescan(spark, sf_dir):
+    """Rows go out only after another scan; pages hold no secrets of the content rules."""
+    pages = read_table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.regexp_replace("html", "<[^>]*>", "\n").alias("text"))
+    bad = security.verdicts(security.findings(pages), "strict").where("verdict = 'block'").select("doc_id", F.lit(1).alias("bad"))
+    return pages.select("doc_id").join(bad, "doc_id", "left").agg(F.count_if(F.col("bad").isNull()).alias("exported"), F.count("bad").alias("blocked"))

@@ -31,6 +31,10 @@ both("touch_batches", """SELECT lane, batch, count(*) AS n, min(user_id) AS firs
 both("metric_by_class", "SELECT quality, toxic, count(*) AS cases, round(avg(CASE WHEN n_chars > 1500 THEN 1.0E0 ELSE 0.0E0 END), 4) AS rate FROM {labels} l JOIN {documents} d ON d.doc_id = l.doc_id GROUP BY quality, toxic")
 both("session_union", "SELECT user_id, min(ts) AS started, max(ts) AS ended, count(*) AS n FROM (SELECT user_id, ts FROM {events} WHERE event_type = 'view' UNION ALL SELECT user_id, ts FROM {events} WHERE event_type = 'click') t GROUP BY user_id HAVING min(ts) >= (SELECT min(ts) FROM {events})")
 
+both("pruned_directories", "SELECT source, max(CASE WHEN doc_id % 7 = 0 THEN 0 ELSE 1 END) = 0 OR source LIKE 'src1_' AS pruned FROM {documents} GROUP BY source")
+both("vector_diagnostics", "SELECT count(*) AS vectors, count(CASE WHEN embedding IS NULL THEN 1 END) AS coarse_only, count(DISTINCT label) AS models, count(CASE WHEN embedding IS NULL THEN 1 END) > 0 AS partial FROM {embeddings}")
+both("scoped_documents", "SELECT doc_id, source AS project FROM {documents} WHERE source = 'src3' AND n_chars BETWEEN 200 AND 4000")
+
 
 def notations(spark, sf_dir):
     """Each document's first line in one of five notations, by its id."""
@@ -130,3 +134,19 @@ def version_log(spark, sf_dir):
     parts = F.split("line", "\t")
     rows = read_table(spark, sf_dir, "orders").select(line.alias("line")).select(F.to_timestamp_ntz(parts[1], F.lit("yyyy-MM-dd HH:mm:ss")).alias("at"), F.regexp_extract(parts[3], r"^[AMDR]\d* src/(\d+)$", 1).cast("long").alias("o_custkey"))
     return rows.groupBy("o_custkey").agg(F.count("*").alias("commits"), F.max("at").alias("last"))
+
+
+@query("import_extraction", r"""SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'os.path' WHEN doc_id % 3 = 1 THEN './' || source ELSE 'App\' || lang END AS module FROM documents""")
+def import_extraction(spark, sf_dir):
+    """Modules that a line imports, in three languages."""
+    k = F.col("doc_id") % 3
+    line = F.when(k == 0, "from os.path import join").when(k == 1, F.concat(F.lit("const a = require('./"), "source", F.lit("')"))).otherwise(F.concat(F.lit("use App\\"), "lang", F.lit(";")))
+    found = F.coalesce(*[F.nullif(F.regexp_extract("line", p, 1), F.lit("")) for p in (r"^\s*from\s+([\w.]+)\s+import", r"""(?:from\s+|require\()\s*['"]([^'"]+)['"]""", r"^\s*use\s+([\w\\]+)")])
+    return read_table(spark, sf_dir, "documents").select("doc_id", line.alias("line")).select("doc_id", found.alias("module"))
+
+
+@query("simulated_arms", "SELECT user_id, arm, CAST('0x' || substr(sha256(user_id || ':' || arm), 1, 6) AS BIGINT) % 1000 AS tokens FROM (SELECT DISTINCT user_id, event_type AS arm FROM events) t")
+def simulated_arms(spark, sf_dir):
+    """Results of arms that follow from a hash of task and arm, the same in every run."""
+    arms = read_table(spark, sf_dir, "events").select("user_id", F.col("event_type").alias("arm")).distinct()
+    return arms.select("user_id", "arm", (F.conv(F.substring(F.sha2(F.concat_ws(":", F.col("user_id").cast("string"), "arm"), 256), 1, 6), 16, 10).cast("long") % 1000).alias("tokens"))
