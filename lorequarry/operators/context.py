@@ -52,17 +52,14 @@ def mmr_order(vectors: list, scores: list[float], query, k: int, weight: float =
 def budget_choice(docs: list, tokens: list[int], scores: list[float], budget: int, overhead: int = 0) -> list[int]:
     """Indices chosen: the best hit of each of the first three documents, then by score per token, while the budget lasts."""
     usable, used, chosen = int(budget * (1 - RESERVE - MARGIN)), 0, []
-    firsts = list({d: i for i, d in reversed(list(enumerate(docs)))}.values())
+    firsts = {d: i for i, d in reversed(list(enumerate(docs)))}.values()
     reserved = sorted(firsts)[:SOURCES]
     rest = sorted((i for i in range(len(docs)) if i not in reserved), key=lambda i: -scores[i] / max(tokens[i], 1))
-    skipped = []
     for i in [*reserved, *rest]:
         cost = tokens[i] + overhead
         if used + cost <= usable:
             chosen.append(i)
             used += cost
-        elif i in reserved:
-            skipped.append(i)
     return sorted(chosen)
 
 
