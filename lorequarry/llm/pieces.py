@@ -46,6 +46,7 @@ class Codec:
             raise ValueError("a piece of this model crosses words")
         self.bytes = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.score = np.array([sp.get_score(i) for i in range(n)])
+        self.place = np.unique(-self.score, return_inverse=True)[1].astype(np.int64)
         self.out = [b"" if sp.is_control(i) or sp.is_unknown(i) else bytes([self.bytes.index(i)]) if sp.is_byte(i) else sp.id_to_piece(i).replace(SPACE, " ").encode() for i in range(n)]
         self.longest = max(map(len, self.ids))
         # pieces in order, as rows of symbols padded with zeros
@@ -61,7 +62,14 @@ class Codec:
         n = len(codes)
         padded = np.concatenate([codes, np.zeros(self.longest + 1, dtype=np.int64)])
         _, rank = np.unique(padded, return_inverse=True)
-        width = 1
+        # several symbols fit one integer, so the first sort goes by more than one of them
+        bits = max(1, int(rank.max()).bit_length())
+        width = min(63 // bits, self.longest)
+        symbols = np.concatenate([rank, np.zeros(width, dtype=rank.dtype)]).astype(np.int64)
+        key = np.zeros(len(rank), dtype=np.int64)
+        for k in range(width):
+            key = key << bits | symbols[k : k + len(rank)]
+        _, rank = np.unique(key, return_inverse=True)
         while width < self.longest:
             key = rank.astype(np.int64) * (len(rank) + 1)
             key[:-width] += rank[width:] + 1
@@ -120,26 +128,27 @@ class Codec:
             if not len(at):
                 break
             own = owner[a[at]]
-            best = at[np.lexsort((at, -self.score[piece[at]], own))]
-            first = np.concatenate(([True], owner[a[best[1:]]] != owner[a[best[:-1]]]))
-            chosen = best[first]
+            # units lie one after another, so the best edge of each is a minimum over a run: by score, then by place
+            runs = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+            chosen = np.minimum.reduceat(self.place[piece[at]] << 32 | at, runs) & 0xFFFFFFFF
             lengths[a[chosen]] += lengths[b[chosen]]
             live[b[chosen]] = False
             changing = np.zeros(int(owner[-1]) + 2, dtype=bool)
             changing[owner[a[chosen]]] = True
             open_ = open_[live[open_] & changing[owner[open_]]]
         kept = np.flatnonzero(live)
-        ids = table[starts[kept], lengths[kept]]
-        cuts = np.searchsorted(owner[kept], np.arange(len(held) + 1))
+        ids = table[starts[kept], lengths[kept]].astype(np.int32)
+        cuts = np.searchsorted(owner[kept], np.arange(len(held) + 1)).tolist()
+        missing = set(owner[kept[ids < 0]].tolist())
         for j, k in enumerate(held):
             part = ids[cuts[j] : cuts[j + 1]]
-            if (part < 0).any():
+            if j in missing:
                 unit, fixed, place = units[k], [], 0
                 for i, n in zip(part.tolist(), lengths[kept[cuts[j] : cuts[j + 1]]].tolist(), strict=True):
                     fixed += [i] if i >= 0 else [self.bytes[b] for b in unit[place : place + n].encode()]
                     place += n
-                part = np.array(fixed)
-            out[k] = part.astype(np.int32)
+                part = np.array(fixed, dtype=np.int32)
+            out[k] = part
 
     def encode_long(self, unit: str) -> np.ndarray:
         """The same merges for one unit, by a heap over adjacent segments."""
