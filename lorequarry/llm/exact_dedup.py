@@ -104,8 +104,10 @@ def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     # groups of one need no comparison, and most chunks of copies meet in the map-side aggregation already
     pieces = source.mapInArrow(_fingerprints(modulus, True), "fp long, n long, at int, chunk binary")
     compared = pieces.groupBy("fp", "n", "at").agg((F.min("chunk") == F.max("chunk")).alias("same"))
-    split = compared.where(~F.col("same")).select("fp", "n").distinct().withColumn("split", F.lit(True))
-    keyed = rows.join(split, ["fp", "n"], "left").withColumn("key", F.when(F.col("split"), F.col("sha")).otherwise(F.lit(""))).drop("split")
+    split = cut(compared.where(~F.col("same")).select("fp", "n").distinct().withColumn("split", F.lit(True)))
+    keyed = rows.withColumn("key", F.lit(""))
+    if not split.isEmpty():
+        keyed = rows.join(split, ["fp", "n"], "left").withColumn("key", F.when(F.col("split"), F.col("sha")).otherwise(F.lit(""))).drop("split")
     last = F.struct(F.col("id").isNotNull().alias("given"), "id", "row")
     groups = keyed.groupBy("fp", "n", "key").agg(F.max(last).alias("last"), F.count("*").alias("group_size"))
     return cut(
