@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lorequarry.llm.common import ascii_lower
+from lorequarry.llm.common import BROADCAST_ROWS, ascii_lower
 from lorequarry.session import cut
 
 #: (rule, verdict)
@@ -88,6 +88,7 @@ def judge(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD) -> DataFr
     edges = cut(edges.select(both.alias("e"), "w").select("e.kind", F.col("e.a").alias("src"), F.col("e.b").alias("dst"), "w"))
     seeds = hosts.select(F.lit("trust").alias("kind"), "host", F.col("trusted").alias("score")).unionByName(hosts.select(F.lit("distrust").alias("kind"), "host", F.col("blocked").alias("score")))
     spread_ = spread(edges, cut(seeds.where("score > 0"))).groupBy("host").agg(*[F.max(F.when(F.col("kind") == k, F.col("score"))).alias(k) for k in ("trust", "distrust")])
-    ranks = hosts.select("host").join(spread_, "host", "left").select("host", *[F.round(F.coalesce(c, F.lit(0.0)), 9).alias(c) for c in ("trust", "distrust")])
+    ranks = cut(hosts.select("host").join(spread_, "host", "left").select("host", *[F.round(F.coalesce(c, F.lit(0.0)), 9).alias(c) for c in ("trust", "distrust")]))
+    few = ranks.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS  # else a shuffled join
     of_host = F.when(F.coalesce(F.col("distrust") - F.col("trust"), F.lit(0.0)) >= threshold, "block").otherwise("allow")
-    return ruled.drop("html").join(ranks, "host", "left").select("page_id", "host", "path", "rule", F.coalesce("said", of_host).alias("verdict"), "trust", "distrust")
+    return ruled.drop("html").join(F.broadcast(ranks) if few else ranks, "host", "left").select("page_id", "host", "path", "rule", F.coalesce("said", of_host).alias("verdict"), "trust", "distrust")
