@@ -11,6 +11,10 @@ taking one fingerprint against those not yet reached, so a bucket hands on at mo
 still joins exactly what its links within the radius join. A bucket of more than ``BUCKET`` distinct fingerprints is dealt
 into pairs of blocks, each a group of its own. Links become components in Spark.
 
+Where a similarity is asked for too, those components only bound the search: no pair within the radius leaves one. Each is
+then searched by radius and exact Jaccard similarity of whole shingle sets at once, and only a member that passes both is
+taken out of the search, so links join exactly what pairs with both properties join.
+
 Defined results: null and empty texts have fingerprint zero and link like any other; a text with fewer words than a
 shingle is one shingle; rows with a null id count but name no component; repeated rows have equal rows; an empty table
 gives no rows; other columns are not read.
@@ -25,13 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorequarry.llm.common import texts, without
+from lorequarry.llm.common import BROADCAST_ROWS, texts, without
 from lorequarry.llm.components import components
 from lorequarry.session import cut
 
 BUCKET = 16_384
-#: 32-bit minima that a similarity is estimated from: a standard error of 0.035 at 0.8.
-SKETCH = 128
+#: Bytes of shingle sets in a block of a group of which similarities are computed.
+SET_BYTES = 1 << 25
 _OFFSETS = np.arange(8) * 256
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
@@ -76,43 +80,106 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _fingerprints(width: int, sketch: bool):
+def _fingerprints(width: int, sets: bool):
+    """(id, h, text) to (id, h, fp), with ``sets`` also the digest of the shingle set and its size."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, held in texts(batch.column(1)):
-                fps, sketches = [], []
+            for first, held in texts(batch.column(2)):
+                fps, nodes, sizes = [], [], []
                 for text in held:
                     hashes = shingle_hashes(text, width)
                     fps.append(_signed(fingerprint(hashes)))
-                    if sketch:
-                        sketches.append(_sketch(hashes))
-                more = [pa.array(sketches, pa.binary())] if sketch else []
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(fps)), pa.array(fps, pa.int64()), *more], ["id", "fp", "sketch"][: 2 + sketch])
+                    if sets:
+                        own = np.unique(hashes)
+                        nodes.append(_digest(own))
+                        sizes.append(len(own))
+                more = [pa.array(nodes, pa.string()), pa.array(sizes, pa.int64())] if sets else []
+                columns = [batch.column(c).slice(first, len(fps)) for c in range(2)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(fps, pa.int64()), *more], ["id", "h", "fp", "node", "n"][: 3 + 2 * sets])
+
+    return run
+
+
+def _digest(shingles: np.ndarray) -> str:
+    import xxhash
+
+    return xxhash.xxh3_128_hexdigest(shingles.astype("<u8").tobytes())
+
+
+def _sets(width: int):
+    """(text) to (node, shingles): the sorted distinct hashes of a text's shingles, and their digest."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, held in texts(batch.column(0), 1 << 22):
+                found = {_digest(own): own.astype("<u8").tobytes() for own in (np.unique(shingle_hashes(t, width)) for t in held)}
+                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.binary())], ["node", "shingles"])
 
     return run
 
 
-def _sketch(hashes: np.ndarray) -> bytes:
-    """The least distinct hashes of a shingle set, sorted; two such sketches estimate the sets' Jaccard similarity."""
-    mixed = np.unique((hashes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype("<u4")
-    return mixed[:SKETCH].tobytes()
+def similar(one: np.ndarray, others: list[np.ndarray], similarity: float) -> np.ndarray:
+    """Which of ``others`` have at least that Jaccard similarity to ``one``; all are sorted and distinct. Two empty sets have 1."""
+    sizes = np.array([len(o) for o in others], dtype=np.int64)
+    common = np.zeros(len(others), dtype=np.int64)
+    if len(one) and sizes.any():
+        joined = np.concatenate(others)
+        at = np.minimum(np.searchsorted(one, joined), len(one) - 1)
+        common = np.bincount(np.repeat(np.arange(len(others)), sizes)[one[at] == joined], minlength=len(others))
+    union = len(one) + sizes - common
+    return np.where(union > 0, common / np.maximum(union, 1), 1.0) >= similarity
+
+
+def similar_links(fps: np.ndarray, sets: list[np.ndarray], radius: int, similarity: float) -> list[tuple[int, int]]:
+    """A forest over the pairs of places within the radius whose sets are similar; only a link takes a member out of the search."""
+    sizes = np.array([len(x) for x in sets], dtype=np.int64)
+    out, rest = [], np.arange(len(fps))
+    while len(rest):
+        queue, rest = [int(rest[0])], rest[1:]
+        while queue and len(rest):
+            x = queue.pop()
+            near = np.flatnonzero(np.bitwise_count(fps[rest] ^ fps[x]) <= radius)
+            less, more = np.minimum(sizes[rest[near]], sizes[x]), np.maximum(sizes[rest[near]], sizes[x])
+            near = near[np.where(more > 0, less / np.maximum(more, 1), 1.0) >= similarity]
+            if len(near):
+                near = near[similar(sets[x], [sets[k] for k in rest[near]], similarity)]
+                found = rest[near].tolist()
+                out += [(x, y) for y in found]
+                queue += found
+                rest = np.delete(rest, near)
+    return out
+
+
+def _similar_links(radius: int, similarity: float):
+    """For mapInArrow over rows (g, i, j, fp, node, shingles) sorted by group g, i, j: (a, b), links between nodes."""
+
+    def solved(held: list[tuple]) -> list[tuple[str, str]]:
+        fps = np.array([fp for fp, _, _ in held], dtype=np.int64).view(np.uint64)
+        found = similar_links(fps, [np.frombuffer(x, "<u8") for _, _, x in held], radius, similarity)
+        return [(held[x][1], held[y][1]) for x, y in found]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+        for batch in batches:
+            out = []
+            for *at, fp, node, shingles in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if at != key:
+                    out += solved(held)
+                    key, held = at, []
+                held.append((fp, node, shingles))
+            yield _named(out)
+        yield _named(solved(held))
+
+    return run
 
 
-def resemblance(a: bytes, b: bytes) -> float:
-    """Estimated Jaccard similarity of two shingle sets; exact while both fit their sketches."""
-    x, y = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
-    union = np.union1d(x, y)[:SKETCH]
-    if not len(union):
-        return 1.0
-    return float(np.isin(union, x).astype(int) @ np.isin(union, y).astype(int)) / len(union)
+def _named(pairs: list[tuple[str, str]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.string()) for k in (0, 1)], ["a", "b"])
 
 
-def bucket_links(fps: np.ndarray, radius: int, every: bool) -> list[tuple[int, int]]:
-    """Links within a bucket of distinct fingerprints: a forest over what is within the radius, or every such pair of a few."""
-    if every and len(fps) <= 8:
-        i, j = np.triu_indices(len(fps), 1)
-        near = np.bitwise_count(fps[i] ^ fps[j]) <= radius
-        return [(int(fps[a]), int(fps[b])) for a, b in zip(i[near], j[near], strict=True)]
+def bucket_links(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
+    """Links within a bucket of distinct fingerprints: a forest over what is within the radius."""
     out, rest = [], fps
     while len(rest):
         queue, rest = [rest[0]], rest[1:]
@@ -127,7 +194,7 @@ def bucket_links(fps: np.ndarray, radius: int, every: bool) -> list[tuple[int, i
     return out
 
 
-def _links(radius: int, every: bool):
+def _links(radius: int):
     """For mapInArrow over rows (bucket columns.., fp) sorted by bucket: links of each bucket, a pair once a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,11 +213,11 @@ def _links(radius: int, every: bool):
             sizes = np.diff(cuts)
             first = tuple(c[0] for c in bucket)
             if key is not None and first != key:
-                out.update(bucket_links(np.concatenate(held), radius, every))
+                out.update(bucket_links(np.concatenate(held), radius))
                 held = []
             if len(sizes) > 1:
                 if held:
-                    out.update(bucket_links(np.concatenate([*held, fp[: cuts[1]]]), radius, every))
+                    out.update(bucket_links(np.concatenate([*held, fp[: cuts[1]]]), radius))
                     held, begin = [], 1
                 else:
                     begin = 0
@@ -159,14 +226,14 @@ def _links(radius: int, every: bool):
                 near = np.bitwise_count(fp[two] ^ fp[two + 1]) <= radius
                 out.update(zip(fp[two[near]].tolist(), fp[two[near] + 1].tolist(), strict=True))
                 for a, k in zip(at[n > 2].tolist(), n[n > 2].tolist(), strict=True):
-                    out.update(bucket_links(fp[a : a + k], radius, every))
+                    out.update(bucket_links(fp[a : a + k], radius))
                 held = []
             held.append(fp[cuts[-2] :])
             key = tuple(c[-1] for c in bucket)
             if out:
                 yield _pairs(out)
         if held and sum(map(len, held)) > 1:
-            out = set(bucket_links(np.concatenate(held), radius, every))
+            out = set(bucket_links(np.concatenate(held), radius))
             if out:
                 yield _pairs(out)
 
@@ -178,43 +245,67 @@ def _pairs(pairs: set[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x[:, 0].copy()), pa.array(x[:, 1].copy())], ["a", "b"])
 
 
-def links(nodes: DataFrame, radius: int, parts: int = 1, every: bool = False, bucket: int = BUCKET) -> DataFrame:
+def links(nodes: DataFrame, radius: int, parts: int = 1, bucket: int = BUCKET) -> DataFrame:
     """(a, b): links between distinct fingerprints ``fp`` of ``nodes`` that join exactly what pairs within the radius join."""
     tables = F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m)).cast("long")).alias("key")) for t, m in enumerate(masks(radius, parts))]))
     dealt = nodes.select("fp", tables.alias("x")).select("x.t", "x.key", "fp")
     large = cut(dealt.groupBy("t", "key").count().where(F.col("count") > bucket))
     pairs = "a long, b long"
     if large.isEmpty():
-        return dealt.repartition("t", "key").sortWithinPartitions("t", "key", "fp").mapInArrow(_links(radius, every), pairs).distinct()
-    small = dealt.join(large, ["t", "key"], "left_anti").repartition("t", "key").sortWithinPartitions("t", "key", "fp").mapInArrow(_links(radius, every), pairs)
+        return dealt.repartition("t", "key").sortWithinPartitions("t", "key", "fp").mapInArrow(_links(radius), pairs).distinct()
+    small = dealt.join(large, ["t", "key"], "left_anti").repartition("t", "key").sortWithinPartitions("t", "key", "fp").mapInArrow(_links(radius), pairs)
     # a large bucket: members are dealt into blocks of half a bucket, and every pair of blocks is a group of its own
     blocks = F.ceil(F.col("count") / (bucket / 2))
     own = F.pmod(F.xxhash64("fp"), blocks)
     met = F.explode(F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j"))))
     split = dealt.join(large, ["t", "key"]).select("t", "key", met.alias("m"), "fp").select("t", "key", "m.i", "m.j", "fp")
-    hot = split.repartition("t", "key", "i", "j").sortWithinPartitions("t", "key", "i", "j", "fp").mapInArrow(_links(radius, every), pairs)
+    hot = split.repartition("t", "key", "i", "j").sortWithinPartitions("t", "key", "i", "j", "fp").mapInArrow(_links(radius), pairs)
     return small.unionByName(hot).distinct()
 
 
+def similar_pairs(docs: DataFrame, nodes: DataFrame, width: int, radius: int, parts: int, similarity: float, bucket: int = BUCKET) -> DataFrame:
+    """(a, b): links between ``nodes`` (fp, node, h, n) that join exactly what pairs within the radius and similar join.
+
+    Links over fingerprints alone give groups that no such pair leaves. Shingle sets are computed once more from ``docs``
+    (h, text), for one text of each node of a group of two or more, and each group is searched by radius and sets at once.
+    """
+    roots = components(links(nodes.select("fp").distinct(), radius, parts, bucket), "a", "b")
+    placed = cut(nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("g", F.coalesce("root", "fp")).select("g", "fp", "node", "h", "n"))
+    groups = placed.groupBy("g").agg(F.count("*").alias("of"), F.sum("n").alias("total")).where(F.col("of") > 1)
+    blocks = F.greatest(F.ceil(F.col("of") / (bucket / 2)), F.ceil(F.col("total") * 8 / SET_BYTES))
+    members = cut(placed.join(groups.select("g", blocks.alias("blocks")), "g"))
+    asked = cut(members.select("h").distinct())
+    few = asked.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    sets = docs.join(F.broadcast(asked) if few else asked, "h", "left_semi").select("text").mapInArrow(_sets(width), "node string, shingles binary")
+    sets = sets.groupBy("node").agg(F.min("shingles").alias("shingles"))  # equal digests have equal sets
+    # members of a large group are dealt into blocks, and every pair of blocks is a group of its own
+    own = F.pmod(F.xxhash64("fp", "node"), F.col("blocks"))
+    others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda j: (j != own) | (F.col("blocks") == 1))
+    met = F.explode(F.transform(others, lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j"))))
+    dealt = members.join(sets, "node").select("g", "fp", "node", "shingles", met.alias("m")).select("g", "m.i", "m.j", "fp", "node", "shingles")
+    return dealt.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j").mapInArrow(_similar_links(radius, similarity), "a string, b string")
+
+
 def near_groups(docs: DataFrame, width: int = 4, radius: int = 4, parts: int = 1, similarity: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of ``docs``: id, fp, component (the smallest id reachable over links within the radius).
 
-    With a ``similarity``, links also need that estimated Jaccard similarity of their shingle sets.
+    With a ``similarity``, links also need that Jaccard similarity of their shingle sets.
     """
-    kept = "id long, fp long" + (", sketch binary" if similarity is not None else "")
-    rows = cut(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_fingerprints(width, similarity is not None), kept))
-    nodes = rows.groupBy("fp").agg(F.min("id").alias("first"))
-    found = links(nodes, radius, parts, every=similarity is not None)
-    if similarity is not None:
-        # one sketch stands for all texts of a fingerprint: equal 64-bit fingerprints hold equal or nearly equal texts
-        one = rows.groupBy("fp").agg(F.min("sketch").alias("sketch"))
-        alike = F.udf(lambda a, b: resemblance(a, b) >= similarity, "boolean")
-        met = found.join(one.select(F.col("fp").alias("a"), F.col("sketch").alias("sa")), "a").join(one.select(F.col("fp").alias("b"), F.col("sketch").alias("sb")), "b")
-        found = met.where(alike("sa", "sb")).select("a", "b")
+    text = F.col(text_col).cast("string")
+    held = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("h"), text.alias("text"))
+    rows = cut(held.mapInArrow(_fingerprints(width, similarity is not None), "id long, h long, fp long" + (", node string, n long" if similarity is not None else "")))
+    if similarity is None:
+        rows = rows.withColumn("node", F.col("fp"))
+        found = links(rows.select("fp").distinct(), radius, parts)
+    else:
+        # one shingle set stands for all texts of a fingerprint
+        nodes = rows.groupBy("fp").agg(F.min(F.struct("node", "h", "n")).alias("x")).select("fp", "x.node", "x.h", "x.n")
+        rows = rows.drop("node").join(nodes.select("fp", "node"), "fp")
+        found = similar_pairs(held, nodes, width, radius, parts, similarity)
     roots = components(found, "a", "b")
-    named = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    named = rows.groupBy("node").agg(F.min("id").alias("first")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("first").alias("component"))
-    return rows.select("id", "fp").join(named.join(least, "root").select("fp", "component"), "fp")
+    return rows.select("id", "fp", "node").join(named.join(least, "root").select("node", "component"), "node").select("id", "fp", "component")
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -92,3 +92,51 @@ def test_near_dedup_keeps_one_of_each_group(spark):
     rows = [(i, b, "x") for i, b in enumerate(base)] + [(10 + i, b.replace(b.split()[200], "changed", 1), "x") for i, b in enumerate(base)]
     out = s.near_dedup(spark.createDataFrame(rows, "doc_id long, text string, component string"))
     assert sorted(r.doc_id for r in out.collect()) == list(range(6)) and out.columns == ["doc_id", "text", "component"]
+
+
+def brute_pairs(rows, radius, similarity, width=5):
+    """The smallest id of each row's group, over all pairs within the radius whose exact shingle sets are similar (equal sets link)."""
+    fps = {i: brute_fp(t, width) for i, t in rows}
+    sets = {i: set(s.shingle_hashes(t.encode(), width).tolist()) for i, t in rows}
+    least = {i: i for i, _ in rows}
+    def root(i):
+        while least[i] != i:
+            i = least[i]
+        return i
+    for i in fps:
+        for j in fps:
+            if i < j and (sets[i] == sets[j] or (fps[i] ^ fps[j]).bit_count() <= radius and len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= similarity):
+                a, b = root(i), root(j)
+                least[max(a, b)] = min(a, b)
+    return {i: root(i) for i in least}
+
+
+def family(rng, n, words=60, changed=12):
+    """Texts that share one passage: all close in fingerprint, of them a part similar."""
+    base = [f"w{rng.randrange(3000)}" for _ in range(words)]
+    out = []
+    for _ in range(n):
+        text = (rng.choice(out).split() if out and rng.random() < 0.4 else base)[:]
+        for _ in range(rng.randrange(changed)):
+            text[rng.randrange(words)] = f"x{rng.randrange(9999)}"
+        out.append(" ".join(text))
+    return out
+
+
+def test_links_of_dense_families_grow_only_over_similar_pairs(spark, monkeypatch):
+    rng = random.Random(10)
+    # x is near y and z in bits but similar to neither, and y and z are similar
+    sets = [np.arange(0, 10, dtype=np.uint64), np.arange(5, 25, dtype=np.uint64), np.arange(5, 24, dtype=np.uint64)]
+    more = [np.arange(100 * k, 100 * k + 20, dtype=np.uint64) for k in range(1, 10)]
+    assert s.similar_links(np.arange(12, dtype=np.uint64), sets + more, 9, 0.8) == [(1, 2)]
+    texts = [t for _ in range(3) for t in family(rng, 60)]
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    for radius, parts in ((9, 2), (30, 1)):
+        monkeypatch.setattr(s, "masks", lambda *_: [0])  # a single bucket holds every fingerprint
+        want = brute_pairs(rows, radius, 0.8)
+        assert 3 < len(set(want.values())) < len(rows)
+        for size in (s.SET_BYTES, 4096):
+            monkeypatch.setattr(s, "SET_BYTES", size)
+            got = {r.id: r.component for r in s.near_groups(docs, 5, radius, parts, 0.8).collect()}
+            assert got == want
