@@ -298,9 +298,7 @@ def near_groups(docs: DataFrame, width: int = 4, radius: int = 4, parts: int = 1
         rows = rows.withColumn("node", F.col("fp"))
         found = links(rows.select("fp").distinct(), radius, parts)
     else:
-        # one shingle set stands for all texts of a fingerprint
-        nodes = rows.groupBy("fp").agg(F.min(F.struct("node", "h", "n")).alias("x")).select("fp", "x.node", "x.h", "x.n")
-        rows = rows.drop("node").join(nodes.select("fp", "node"), "fp")
+        nodes = rows.groupBy("fp", "node").agg(F.min("h").alias("h"), F.min("n").alias("n"))
         found = similar_pairs(held, nodes, width, radius, parts, similarity)
     roots = components(found, "a", "b")
     named = rows.groupBy("node").agg(F.min("id").alias("first")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))

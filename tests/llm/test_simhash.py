@@ -140,3 +140,29 @@ def test_links_of_dense_families_grow_only_over_similar_pairs(spark, monkeypatch
             monkeypatch.setattr(s, "SET_BYTES", size)
             got = {r.id: r.component for r in s.near_groups(docs, 5, radius, parts, 0.8).collect()}
             assert got == want
+
+
+def test_texts_of_one_fingerprint_and_pairs_about_the_limit_are_decided_exactly(spark):
+    rng = random.Random(12)
+    line = "again "
+    own = [" ".join(f"{c}{k}" for k in range(40)) for c in "ab"]
+    rows = [(k, line * 200 + t) for k, t in enumerate(own)]
+    assert brute_fp(rows[0][1], 5) == brute_fp(rows[1][1], 5)
+    # one block of n words is new: similarity on either side of 0.8, at far more shingles than a sketch holds
+    for k in range(12):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+        n = 38 + k
+        rows += [(10 + 2 * k, " ".join(words)), (11 + 2 * k, " ".join(words[: 400 - n] + [f"n{rng.randrange(10**6)}" for _ in range(n)]))]
+    want = brute_pairs(rows, 30, 0.8)
+    assert want[1] == 1 and 14 < len(set(want.values())) < 26
+    s_masks = s.masks
+    s.masks = lambda *_: [0]
+    try:
+        got = {r.id: r.component for r in s.near_groups(spark.createDataFrame(rows, "doc_id long, text string"), 5, 30, 1, 0.8).collect()}
+    finally:
+        s.masks = s_masks
+    assert got == want
+    # equal shingle sets are one node whatever their fingerprints
+    rows = [(3, "a b c d e f g " + "a b c d e f g " * 9), (1, "a b c d e f g " * 2), (2, "q r s t u")]
+    assert brute_fp(rows[0][1], 5) != brute_fp(rows[1][1], 5)
+    assert {r.id: r.component for r in s.near_groups(spark.createDataFrame(rows, "doc_id long, text string"), 5, 0, 1, 0.8).collect()} == {1: 1, 3: 1, 2: 2}
