@@ -1,7 +1,8 @@
 """Exact top-k by inner product with a Voronoi join.
 
 A bounded sample gives pivots; every row goes to its nearest pivot's cell. Per cell a summary keeps the smallest distances
-to the pivot. From summaries alone each query gets a score that its k-th best surely reaches: a row at distance d from
+to the pivot, of rows of distinct ids. From summaries alone each query gets a score that its k-th best of other ids surely
+reaches: a row at distance d from
 pivot p scores between q.p - |q| d and q.p + |q| d. Per group of queries and cell follows the least distance from the
 pivot at which a row can still matter to any query of the group; only such rows are replicated to the group. Groups are
 solved locally, by blocks of at most about ``BLOCK`` rows, and the blocks' best are merged. Bounds carry a slack above any
@@ -20,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,8 +61,9 @@ def _cells(pivots: np.ndarray):
     return run
 
 
-def _needs(pivots: np.ndarray, cells: np.ndarray, distances: np.ndarray, k: int):
+def _needs(pivots: np.ndarray, cells: np.ndarray, distances: np.ndarray, ids: list, k: int):
     """Per query (row, id, vec, grp): what distance from each pivot a row must have to matter, least per group and batch."""
+    held = np.array(ids, dtype=object)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -68,8 +71,9 @@ def _needs(pivots: np.ndarray, cells: np.ndarray, distances: np.ndarray, k: int)
             norm = np.sqrt((q**2).sum(1))
             to = q @ pivots.T
             floor = to[:, cells] - norm[:, None] * distances
-            # the k + 1 best lower bounds may include the query itself
-            sure = np.sort(floor, axis=1)[:, -(k + 1)] if floor.shape[1] > k else np.full(len(q), -np.inf)
+            # rows that share the query's id don't count; of k + 1 distinct ids a cell, k are left
+            floor[batch.column(1).to_numpy()[:, None] == held] = -np.inf
+            sure = np.sort(floor, axis=1)[:, -k] if floor.shape[1] >= k else np.full(len(q), -np.inf)
             with np.errstate(divide="ignore", invalid="ignore"):
                 least = np.where(norm[:, None] > 0, (sure[:, None] - SLACK - to) / norm[:, None], -np.inf)
             grp = np.array(batch.column(3).to_pylist())
@@ -81,13 +85,14 @@ def _needs(pivots: np.ndarray, cells: np.ndarray, distances: np.ndarray, k: int)
 
 
 def _replicate(least: np.ndarray, groups: np.ndarray, blocks: int):
-    """Rows (id, vec, cell, d) to (grp, block, id, vec) for each group that may need them."""
+    """Rows (id, vec, cell, d) to (grp, block, id, vec) for each group that may need them; blocks are dealt in turn."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn = TaskContext.get().partitionId() if TaskContext.get() else 0
         for batch in batches:
             cell, d = batch.column(2).to_numpy(), batch.column(3).to_numpy()
-            ids = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            block = ((ids * 0x9E3779B1) >> 12) % blocks if blocks > 1 else np.zeros(len(ids), dtype=np.int64)
+            block = (turn + np.arange(len(d), dtype=np.int64)) % blocks
+            turn += len(d)
             for g, row in zip(groups.tolist(), least, strict=True):
                 at = pa.array(np.flatnonzero(d >= row[cell] - 1e-6))
                 if len(at):
@@ -135,7 +140,8 @@ def top_k(rows: DataFrame, queries, k: int = K, id_col: str = "vec_id", vector_c
     placed = cut(good.mapInArrow(_cells(points), "id long, vec array<long>, cell int, d double"))
     n = placed.count()
     near = Window.partitionBy("cell").orderBy("d")
-    summary = placed.select("cell", "d").withColumn("r", F.row_number().over(near)).where(F.col("r") <= k + 1).select("cell", "d").collect()  # k + 1 rows a pivot
+    apart = placed.groupBy("cell", "id").agg(F.min("d").alias("d"))
+    summary = apart.withColumn("r", F.row_number().over(near)).where(F.col("r") <= k + 1).select("cell", "id", "d").collect()  # k + 1 rows a pivot
     cells, distances = np.array([r.cell for r in summary], dtype=int), np.array([r.d for r in summary], dtype=float)
     asked = placed.where(queries & F.col("id").isNotNull()).withColumn("row", F.monotonically_increasing_id())
     # groups are cells dealt to a bounded number, and a group with too many queries is split by id
@@ -145,7 +151,7 @@ def top_k(rows: DataFrame, queries, k: int = K, id_col: str = "vec_id", vector_c
     counts = dict(grouped.groupBy("g").count().collect())  # at most GROUPS rows
     split = F.coalesce(*[F.when(F.col("g") == g, F.lit(math.ceil(c / (4 * GROUP_QUERIES)))) for g, c in counts.items()], F.lit(1))
     grouped = cut(grouped.select("row", "id", "vec", (F.col("g") + base * F.pmod(F.xxhash64("row"), split)).cast("int").alias("grp")))
-    needs = grouped.mapInArrow(_needs(points, cells, distances, k), "grp int, cell int, least double").groupBy("grp", "cell").agg(F.min("least").alias("least"))
+    needs = grouped.mapInArrow(_needs(points, cells, distances, [r.id for r in summary], k), "grp int, cell int, least double").groupBy("grp", "cell").agg(F.min("least").alias("least"))
     table = {(r.grp, r.cell): r.least for r in needs.collect()}  # a number per group and pivot
     groups = np.array(sorted({g for g, _ in table}), dtype=int)
     least = np.array([[table[g, c] for c in range(len(points))] for g in groups.tolist()], dtype=float).reshape(len(groups), len(points))

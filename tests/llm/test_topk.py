@@ -45,3 +45,23 @@ def test_clusters_ties_and_small_blocks(spark, monkeypatch, pivots):
     centres = [[rng.gauss(0, 1) for _ in range(6)] for _ in range(8)]
     rows = [(i, [c + rng.gauss(0, 0.05) for c in rng.choice(centres)]) for i in range(600)] + [(600 + i, centres[0]) for i in range(300)]
     hold(spark, rows, pivots=pivots)
+
+
+@pytest.mark.parametrize("copies", [2, 10])
+def test_a_lone_query_whose_id_repeats(spark, monkeypatch, copies):
+    monkeypatch.setattr(t, "BLOCK", 40)
+    rng = random.Random(copies)
+    # copies are the longest rows and lie at a pivot of their own; all others have ids that are never asked
+    rows = [(50, [4.0, 4.0])] * copies + [(50 * k + 1, [rng.gauss(0, 1), rng.gauss(0, 1)]) for k in range(1, 120)]
+    hold(spark, rows)
+    hold(spark, rows, pivots=500)
+
+
+def test_rows_of_one_id_are_dealt_to_all_blocks():
+    import numpy as np
+    import pyarrow as pa
+
+    n = 600
+    batch = pa.RecordBatch.from_arrays([pa.array([7] * n), pa.array([[1, 2]] * n), pa.array([0] * n, pa.int32()), pa.array([1.0] * n)], ["id", "vec", "cell", "d"])
+    sent = [b for out in t._replicate(np.array([[0.0]]), np.array([0]), 3)([batch]) for b in out.column(1).to_pylist()]
+    assert sorted(map(sent.count, range(3))) == [200, 200, 200]
