@@ -20,7 +20,6 @@ packed one by one; null ids pass through; an empty table gives no rows; other co
 from __future__ import annotations
 
 import base64
-import re
 import zlib
 from collections import deque
 from collections.abc import Iterator
@@ -37,7 +36,13 @@ SIZE, END_ID, GRID = 2048, 1, 8
 SENTENCE_PENALTY, WORD_PENALTY = 1, 4
 #: Tokens of a block, and how many of its last windows are reopened with the next.
 BLOCK, REOPENED = 1 << 20, 4
-_SENTENCE = re.compile(rb"[.!?]+[\"')\]]*(?=\s)|\n")
+_END, _CLOSE, _SPACE = 1, 2, 3
+_KINDS = np.zeros(256, dtype=np.uint8)
+for _kind, _bytes in ((_END, b".!?"), (_CLOSE, b"\"')]"), (_SPACE, b" \t\n\r\x0b\x0c")):
+    _KINDS[list(_bytes)] = _kind
+_PRICES = np.array([0, WORD_PENALTY, SENTENCE_PENALTY, 0])
+#: Bytes of text in a run whose candidates are found at once.
+RUN = 1 << 22
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -57,23 +62,43 @@ class Encoder:
             self.lengths[i] = len(token)
 
     def ids(self, text: bytes) -> np.ndarray:
-        return self._encoding.encode_to_numpy(text.decode(), allowed_special="all")
+        """Ids of a text and the end id."""
+        found = self._encoding.encode_to_numpy(text.decode(), allowed_special="all")
+        return np.append(found, np.array([END_ID], dtype=found.dtype))
 
 
-def candidates(text: bytes, ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Token offsets of a document (after 0, its end included) where a cut may fall, and what each costs."""
-    n = len(ids) + 1
-    ends = np.fromiter((m.end() for m in _SENTENCE.finditer(text)), dtype=np.int64)
-    at = np.searchsorted(np.cumsum(lengths[ids]), ends) + 1 if len(ends) else ends
-    at = np.unique(at[at < n])
-    known = np.concatenate(([0], at, [n]))
-    gaps = np.diff(known)
-    far = np.flatnonzero(gaps > GRID)
-    fill = [np.arange(known[k] + GRID, known[k + 1], GRID) for k in far]
-    places = np.concatenate([at, *fill, [n]])
-    price = np.concatenate([np.full(len(at), SENTENCE_PENALTY), *(np.full(len(x), WORD_PENALTY) for x in fill), [0]])
-    order = np.argsort(places, kind="stable")
-    return places[order], price[order]
+def sentence_ends(data: np.ndarray) -> np.ndarray:
+    """Byte offsets where a sentence ends: before a space that follows end marks and closing marks, and after a line feed."""
+    kind = _KINDS[data]
+    space = np.flatnonzero(kind == _SPACE)
+    # the last byte before each space that is no closing mark decides
+    other = np.maximum.accumulate(np.where(kind == _CLOSE, -1, np.arange(len(data))))
+    space_ = space[space > 0]
+    before = other[space_ - 1]
+    ended = space_[(before >= 0) & (kind[before] == _END)]
+    return np.union1d(ended, np.flatnonzero(data == 10) + 1)
+
+
+def candidates(held: list[bytes], ids: list[np.ndarray], lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Token offsets in a run of documents (each with its end id) where a cut may fall, and what each costs.
+
+    A zero byte stands between documents, as long as the end id's single place, so that bytes and tokens stay aligned.
+    """
+    sizes = np.fromiter((len(x) for x in ids), dtype=np.int64, count=len(ids))
+    tokens = np.concatenate(ids)
+    width = lengths[tokens]
+    stops = np.cumsum(sizes)
+    width[stops - 1] = 1  # the end ids
+    data = np.frombuffer(b"\0".join(held) + b"\0", dtype=np.uint8)
+    kind = np.zeros(len(tokens) + 1, dtype=np.int8)  # 0: no cut, 1: within a sentence, 2: sentence end, 3: document end
+    kind[np.searchsorted(np.cumsum(width), sentence_ends(data)) + 1] = 2
+    kind[stops] = 3
+    known = np.concatenate(([0], np.flatnonzero(kind)))
+    inner = (np.diff(known) - 1) // GRID
+    step = np.arange(inner.sum()) - np.repeat(np.cumsum(inner) - inner, inner) + 1
+    kind[np.repeat(known[:-1], inner) + GRID * step] = 1
+    places = np.flatnonzero(kind)
+    return places, _PRICES[kind[places]]
 
 
 def cuts(places: list[int], price: list[int], size: int = SIZE, ended: bool = True) -> list[int]:
@@ -115,11 +140,11 @@ class _Shard:
         self.places, self.price, self.size = [0], [0], 0
         self.sequence = shard << 32
 
-    def add(self, doc_id, ids: np.ndarray, places: np.ndarray, price: np.ndarray) -> None:
-        self.docs.append((doc_id, len(ids), 0, ids))
+    def add(self, doc_ids: list, ids: list[np.ndarray], places: np.ndarray, price: np.ndarray) -> None:
+        self.docs += [(doc_id, len(x), 0, x) for doc_id, x in zip(doc_ids, ids, strict=True)]
         self.places += (places + self.size).tolist()
         self.price += price.tolist()
-        self.size += len(ids)
+        self.size += sum(map(len, ids))
 
     def settle(self, last: bool) -> list[tuple]:
         """Rows of the windows that are certain: all but the last few, or all at the end of the shard."""
@@ -175,12 +200,11 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     shard = _Shard(context.partitionId() if context else 0)
     for batch in batches:
         ids_of = batch.column(0).to_pylist()
-        for first, held in texts(batch.column(1)):
-            for k, text in enumerate(held):
-                ids = encoder.ids(text)
-                shard.add(ids_of[first + k], np.append(ids, np.array([END_ID], dtype=ids.dtype)), *candidates(text, ids, encoder.lengths))
-                if shard.size >= BLOCK and (rows := shard.settle(False)):
-                    yield _batch(rows)
+        for first, held in texts(batch.column(1), RUN):
+            ids = [encoder.ids(text) for text in held]
+            shard.add(ids_of[first : first + len(held)], ids, *candidates(held, ids, encoder.lengths))
+            if shard.size >= BLOCK and (rows := shard.settle(False)):
+                yield _batch(rows)
     if rows := shard.settle(True):
         yield _batch(rows)
 

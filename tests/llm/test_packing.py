@@ -1,5 +1,6 @@
 import functools
 import random
+import re
 import zlib
 from collections import defaultdict
 
@@ -92,10 +93,30 @@ def test_blocks_reopen_windows(spark, monkeypatch):
     texts = {i: "".join(rng.choice(["word ", "end. ", "\n"]) for _ in range(rng.randrange(3000))) for i in range(60)}
     for i, t in texts.items():
         ids = encoder.ids(t.encode())
-        shard.add(i, np.append(ids, [1]), *p.candidates(t.encode(), ids, encoder.lengths))
+        shard.add([i], [ids], *p.candidates([t.encode()], [ids], encoder.lengths))
         if shard.size > 20_000:
             rows += shard.settle(False)
     rows += shard.settle(True)
     names = [c.split()[0] for c in p.PIECES.split(", ")]
     from pyspark.sql import Row
-    assert hold([Row(**dict(zip(names, r, strict=True))) for r in rows], texts, lambda t: [*encoder.ids(t.encode()).tolist(), 1]) < 0.01
+    assert hold([Row(**dict(zip(names, r, strict=True))) for r in rows], texts, lambda t: encoder.ids(t.encode()).tolist()) < 0.01
+
+
+def test_candidates_of_a_run_equal_a_search_by_expression():
+    encoder, rng = p.Encoder(), random.Random(5)
+    sentence = re.compile(rb"[.!?]+[\"')\]]*(?=\s)|\n")
+    parts = [b"word", b" ", b".", b"!", b'"', b")", b"'", b"]", b"\n", b"\t", "日本".encode(), b"<|endoftext|>", b"\0", b"long words of a text that go on and on and on"]
+    held = [b"".join(rng.choice(parts) for _ in range(rng.randrange(60))) for _ in range(200)]
+    ids = [encoder.ids(t) for t in held]
+    want, at = {}, 0
+    for text, own in zip(held, ids, strict=True):
+        ends = np.cumsum(encoder.lengths[own[:-1]])
+        known = {at: 0, at + len(own): 0} | {at + int(np.searchsorted(ends, m.end())) + 1: p.SENTENCE_PENALTY for m in sentence.finditer(text)}
+        stops = sorted(known)
+        want |= known
+        for a, b in zip(stops, stops[1:], strict=False):
+            want |= {k: p.WORD_PENALTY for k in range(a + p.GRID, b, p.GRID)}
+        at += len(own)
+    del want[0]
+    places, price = p.candidates(held, ids, encoder.lengths)
+    assert dict(zip(places.tolist(), price.tolist(), strict=True)) == want
