@@ -37,15 +37,30 @@ def texts(column: pa.Array, most: int = 1 << 24) -> Iterator[tuple[int, list[byt
         yield first, held
 
 
-def without(docs: DataFrame, dropped: DataFrame, on: list[str]) -> DataFrame:
+def fresh(docs: DataFrame, *names: str) -> list[str]:
+    """Names for helper columns that no column of ``docs`` has, whatever its case."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name in taken:
+            name += "_"
+        taken.add(name)
+        out.append(name)
+    return out
+
+
+def without(docs: DataFrame, dropped: DataFrame, keys: dict[str, Column], how: str = "left_anti") -> DataFrame:
     """``docs`` less the rows whose keys (null-safe) are in ``dropped``, which is already materialised.
 
-    A short list is broadcast, so that the texts need no shuffle; a longer one goes through a shuffled anti join.
+    ``keys`` gives each column of ``dropped`` its expression over ``docs``. A short list is broadcast, so that the texts need
+    no shuffle; a longer one goes through a shuffled anti join. With ``how="left_semi"`` those rows stay instead.
     """
     few = dropped.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    gone = dropped.select(*[F.col(c).alias(f"__gone_{c}") for c in on])
+    names = dict(zip(keys, fresh(docs, *(f"gone_{i}" for i in range(len(keys)))), strict=True))
+    held = dict(zip(keys, fresh(docs, *(f"held_{i}" for i in range(len(keys)))), strict=True))
+    gone = dropped.select(*[F.col(c).alias(n) for c, n in names.items()])
+    marked = docs.select("*", *[keys[c].alias(n) for c, n in held.items()])
     same = None
-    for c in on:
-        one = docs[c].eqNullSafe(gone[f"__gone_{c}"])
+    for c in keys:
+        one = F.col(held[c]).eqNullSafe(F.col(names[c]))
         same = one if same is None else same & one
-    return docs.join(F.broadcast(gone) if few else gone, same, "left_anti")
+    return marked.join(F.broadcast(gone) if few else gone, same, how).drop(*held.values())

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorequarry.llm.common import ascii_lower, texts, without
+from lorequarry.llm.common import ascii_lower, fresh, texts, without
 from lorequarry.session import cut
 
 PRIME, BASE = (1 << 61) - 1, 0x1B873593CC9E2D51
@@ -120,15 +120,14 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     found = decisions(docs, id_col, text_col)
     # a key stays when one of its rows does; rows that repeat a whole key are reduced to one below
     keys = found.groupBy("id", "sha").agg(F.max("kept").alias("stays"), F.count("*").alias("n"))
-    marked = docs.withColumn("__sha", F.sha2(ascii_lower(F.col(text_col).cast("string")), 256)).withColumn("__id", F.col(id_col).cast("long"))
-    on = ["__id", "__sha"]
-    named = lambda which: keys.where(which).select(F.col("id").alias("__id"), F.col("sha").alias("__sha"))
-    kept = without(marked, cut(named(~F.col("stays"))), on)
-    again = cut(named(F.col("stays") & (F.col("n") > 1)))
-    if not again.isEmpty():
-        twice = marked.join(again.select(F.col("__id").alias("__i"), F.col("__sha").alias("__s")), F.col("__id").eqNullSafe(F.col("__i")) & F.col("__sha").eqNullSafe(F.col("__s")), "left_semi")
-        kept = without(kept, again, on).unionByName(twice.dropDuplicates(on))
-    return kept.drop(*on)
+    on = {"id": F.col(id_col).cast("long"), "sha": F.sha2(ascii_lower(F.col(text_col).cast("string")), 256)}
+    kept = without(docs, cut(keys.where(~F.col("stays")).select("id", "sha")), on)
+    again = cut(keys.where(F.col("stays") & (F.col("n") > 1)).select("id", "sha"))
+    if again.isEmpty():
+        return kept
+    names = fresh(docs, *on)
+    twice = without(kept, again, on, "left_semi").select("*", *[on[c].alias(n) for c, n in zip(on, names, strict=True)])
+    return without(kept, again, on).unionByName(twice.dropDuplicates(names).drop(*names))
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -41,8 +41,8 @@ ORDER, BITS = 5, 12
 SHARD_ROWS, TOGETHER = 1 << 20, 4
 QUANTILE, MARGIN = 0.995, 0.2  # the margin is in nats a symbol
 FOLDS = 2
-#: Distinct words that a task holds scores or counts of before it starts afresh.
-WORDS = 1 << 19
+#: Distinct words that a task holds scores or counts of before it starts afresh, and bytes of text that it splits at once.
+WORDS, RUN = 1 << 17, 1 << 21
 #: Size of the alphabet that the lowest order falls back on evenly.
 ALPHABET = 1 << BITS
 _MASK = (1 << BITS) - 1
@@ -80,7 +80,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen: dict[str, Counter] = {}
     for batch in batches:
         langs = batch.column(0).to_pylist()
-        for first, held in texts(batch.column(1)):
+        for first, held in texts(batch.column(1), RUN):
             for k, text in enumerate(held):
                 seen.setdefault(langs[first + k], Counter()).update(text.split())
             if sum(map(len, seen.values())) >= WORDS:
@@ -226,7 +226,7 @@ def _scores(held: list):
         known: dict = {}
         for batch in batches:
             langs = batch.column(2).to_pylist()
-            for first, run_of in texts(batch.column(3)):
+            for first, run_of in texts(batch.column(3), RUN):
                 split = [t.split() for t in run_of]
                 fresh: dict = {}
                 for k, words in enumerate(split):
@@ -298,6 +298,5 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the rows that the classifier rejects, all columns unchanged."""
-    gone = cut(judge(docs, labels, id_col=id_col, text_col=text_col).where(~F.col("keep")).select(F.col("id").alias("__id"), F.col("hash").alias("__hash")).distinct())
-    marked = docs.withColumn("__id", F.col(id_col).cast("long")).withColumn("__hash", F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
-    return without(marked, gone, ["__id", "__hash"]).drop("__id", "__hash")
+    gone = cut(judge(docs, labels, id_col=id_col, text_col=text_col).where(~F.col("keep")).select("id", "hash").distinct())
+    return without(docs, gone, {"id": F.col(id_col).cast("long"), "hash": F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))})
