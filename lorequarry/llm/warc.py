@@ -1,34 +1,40 @@
 """WARC archives: a deterministic sharded writer, and a reader that checks what it reads.
 
-Records are dealt to shards by ranges of page id. The ranges come from an exact histogram of record bytes over at most
-``BUCKETS`` id ranges, cut where bytes add up to a shard, so they depend on the data alone, and any run over equal rows makes equal files. Within a shard,
-records follow page ids; a file is rolled when its compressed size reaches a limit. Each record is a gzip member of its own
-with headers and digests made anew. A task writes under a temporary name that no other attempt shares and then moves the
-file to its final name; a retried or doubled task moves the same bytes there. The manifest, written by Spark's own commit,
-is what makes files part of the archive: readers open what it lists and nothing else.
+Shards are ranges of (page id, payload digest). The range sort of ids and sizes gives every record the exact number of
+bytes before it, whatever partitions the sort chose, and a shard begins where these pass a multiple of the shard's size. So
+the ranges depend on the data alone, far-off ids and many records of one id change nothing, and any run over equal rows
+makes equal files. Within a shard, records follow page ids; a file is rolled when its compressed size reaches a limit. Each
+record is a gzip member of its own with headers and digests made anew. A task writes under a temporary name that no other
+attempt shares and then moves the file to its final name, which ends in a digest of its bytes; a retried or doubled task
+makes the same name and leaves a finished file alone. The manifest, written by Spark's own commit, is what makes files part
+of the archive: readers open what it lists and nothing else.
 
 The first page (the smallest id) of equal payloads of at least ``LEAST_REVISIT`` bytes is a response, the others revisit it.
 
 Defined results: null html is an empty payload; a null url is named after its page; control characters and spaces of urls
 are percent-encoded; null ids come first, in shard 0, and are always responses; rows that repeat the smallest id of a
-payload are all responses; an empty table makes an empty manifest; other columns are not read.
+payload are all responses; rows that repeat an id and its payload lie in one shard; an empty table makes an empty manifest;
+other columns are not read.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 import uuid
 import zlib
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lorequarry.session import checkpoint_dir, cut
 
-BUCKETS = 1 << 14
+#: Shards are larger than SHARD_BYTES where there would be more than SHARDS, which bounds the list of their first keys.
+SHARDS = 1 << 16
 SHARD_BYTES, FILE_BYTES = 64 << 20, 32 << 20
 LEAST_REVISIT = 100
 LEVEL = 6
@@ -70,10 +76,10 @@ class _File:
 
     def __init__(self, path: str, shard: int, number: int):
         self.fs, self.root = filesystem(path)
-        self.name, self.shard, self.number = f"part-{shard:05d}-{number:05d}.warc.gz", shard, number
+        self.shard, self.number = shard, number
         self.temporary = f"{self.root}/_temporary/{uuid.uuid4().hex}"
         self.fs.create_dir(self.temporary)
-        self.out = self.fs.open_output_stream(f"{self.temporary}/{self.name}", compression=None)
+        self.out = self.fs.open_output_stream(f"{self.temporary}/open", compression=None)
         self.sha, self.size, self.records = hashlib.sha256(), 0, 0
 
     def add(self, data: bytes) -> None:
@@ -87,12 +93,11 @@ class _File:
         from pyarrow import fs
 
         self.out.close()
-        final = f"{self.root}/{self.name}"
-        if self.fs.get_file_info(final).type != fs.FileType.NotFound:
-            self.fs.delete_file(final)  # another attempt's, of the same bytes
-        self.fs.move(f"{self.temporary}/{self.name}", final)
+        name = f"part-{self.shard:05d}-{self.number:05d}-{self.sha.hexdigest()[:16]}.warc.gz"
+        if self.fs.get_file_info(f"{self.root}/{name}").type == fs.FileType.NotFound:  # else another attempt's, of the same bytes
+            self.fs.move(f"{self.temporary}/open", f"{self.root}/{name}")
         self.fs.delete_dir(self.temporary)
-        return self.name, self.shard, self.number, self.records, self.size, self.sha.hexdigest()
+        return name, self.shard, self.number, self.records, self.size, self.sha.hexdigest()
 
 
 def _write(path: str, file_bytes: int):
@@ -122,15 +127,34 @@ def _write(path: str, file_bytes: int):
     return run
 
 
-def _shards(rows: DataFrame, shard_bytes: int) -> tuple[DataFrame, F.Column, int]:
-    """(bucket, shard) from an exact histogram of bytes over id ranges, a row's bucket, and the number of shards."""
-    low, high = rows.agg(F.min("page_id"), F.max("page_id")).first()
-    low, high = low or 0, high or 0
-    bucket = F.expr(f"cast((page_id - {low}L) div {(high - low) // BUCKETS + 1}L as int)")
-    sizes = rows.where("page_id IS NOT NULL").groupBy(bucket.alias("bucket")).agg(F.sum(F.col("n") + 500).alias("bytes"))
-    before = F.sum("bytes").over(Window.orderBy("bucket")) - F.col("bytes")  # at most BUCKETS rows
-    placed = cut(sizes.select("bucket", F.floor(before / shard_bytes).cast("int").alias("shard")))
-    return placed, bucket, (placed.agg(F.max("shard")).first()[0] or 0) + 1
+def first_keys(keyed: DataFrame, shard_bytes: int) -> list[tuple[int, str]]:
+    """The first (page id, digest) of every shard but shard 0, of rows (page_id, digest, n)."""
+    total = keyed.agg(F.sum(F.col("n") + 500)).first()[0] or 0
+    size = max(shard_bytes, -(-total // SHARDS))
+    rows = keyed.where("page_id IS NOT NULL").select("page_id", "digest", (F.col("n") + 500).alias("bytes"))
+    ordered = cut(rows.repartitionByRange("page_id", "digest").sortWithinPartitions("page_id", "digest").withColumn("p", F.spark_partition_id()))
+    before = ordered.groupBy("p").agg(F.min(F.struct("page_id", "digest")).alias("first"), F.sum("bytes").alias("bytes"))
+    before = before.select("p", (F.sum("bytes").over(Window.orderBy("first")) - F.col("bytes")).alias("before"))  # a row per partition
+    own = F.sum("bytes").over(Window.partitionBy("p").orderBy("page_id", "digest").rowsBetween(Window.unboundedPreceding, 0)) - F.col("bytes")
+    placed = ordered.withColumn("own", own).join(F.broadcast(before), "p")
+    firsts = placed.groupBy(F.floor((F.col("before") + F.col("own")) / size).alias("shard")).agg(F.min(F.struct("page_id", "digest")).alias("first"))
+    found = sorted({(r.first.page_id, r.first.digest) for r in firsts.where("shard > 0").select("first").collect()})  # at most SHARDS rows
+    return found
+
+
+def shard_column(page_id: F.Column, digest: F.Column, firsts: list[tuple[int, str]]) -> F.Column:
+    """The number of shards that begin at or before a record."""
+    import numpy as np
+
+    ids, digests = np.array([i for i, _ in firsts], dtype=np.int64), [d for _, d in firsts]
+
+    def place(page: pd.Series, of: pd.Series) -> pd.Series:
+        low, high = (np.searchsorted(ids, page.to_numpy(), side) for side in ("left", "right"))
+        for k in np.flatnonzero(low < high).tolist():  # a shard begins within this id
+            high[k] = bisect.bisect_right(digests, of.iloc[k], int(low[k]), int(high[k]))
+        return pd.Series(high.astype("int32"))
+
+    return F.pandas_udf(place, "int")(F.coalesce(page_id, F.lit(-(1 << 63))), digest)
 
 
 def write(pages: DataFrame, path: str, shard_bytes: int = SHARD_BYTES, file_bytes: int = FILE_BYTES) -> DataFrame:
@@ -139,22 +163,23 @@ def write(pages: DataFrame, path: str, shard_bytes: int = SHARD_BYTES, file_byte
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     payload = F.encode(html, "utf-8")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"), F.octet_length(html).cast("long").alias("n"))
-    keyed = rows.select("page_id", "n", F.sha2("payload", 256).alias("digest"))
+    rows = rows.withColumn("digest", F.sha2("payload", 256))
+    keyed = cut(rows.select("page_id", "n", "digest"))  # 100 bytes a page
     long = keyed.where(F.col("n") >= LEAST_REVISIT)
     first = long.groupBy("digest", "n").agg(F.min("page_id").alias("first"), F.count("*").alias("c")).where("c > 1")
     refers = long.join(first, ["digest", "n"]).where("page_id > first").select("page_id", "digest", "first").distinct()
-    placed, bucket, shards = _shards(rows.select("page_id", "n"), shard_bytes)
+    firsts = first_keys(keyed, shard_bytes)
     # the payloads move once; which of them are revisits travels beside them as rows without payload, sorted first
     columns = lambda refers_to, url, body: ["page_id", "digest", refers_to.cast("long").alias("refers_to"), url.cast("string").alias("url"), body.cast("binary").alias("payload")]
     none = F.lit(None)
-    stream = rows.withColumn("digest", F.sha2("payload", 256)).select(*columns(none, F.col("url"), F.col("payload"))).unionByName(refers.select(*columns(F.col("first"), none, none)))
-    dealt = stream.withColumn("bucket", bucket).join(F.broadcast(placed), "bucket", "left").select(F.coalesce("shard", F.lit(0)).alias("shard"), "page_id", "digest", "refers_to", "url", "payload")
-    sorted_ = dealt.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "page_id", F.col("payload").isNotNull(), "digest", "url")
+    stream = rows.select(*columns(none, F.col("url"), F.col("payload"))).unionByName(refers.select(*columns(F.col("first"), none, none)))
+    dealt = stream.select(shard_column(F.col("page_id"), F.col("digest"), firsts).alias("shard"), "page_id", "digest", "refers_to", "url", "payload")
+    sorted_ = dealt.repartitionById(len(firsts) + 1, F.col("shard")).sortWithinPartitions("shard", "page_id", F.col("payload").isNotNull(), "digest", "url")
     sorted_.mapInArrow(_write(path, file_bytes), MANIFEST).write.parquet(f"{path}/_manifest")
     store, root = filesystem(path)
     store.create_dir(f"{root}/_temporary")
     store.delete_dir(f"{root}/_temporary")
-    return spark.read.parquet(f"{path}/_manifest")
+    return spark.read.schema(MANIFEST).parquet(f"{path}/_manifest")
 
 
 def members(chunks: Iterator[bytes]) -> Iterator[bytes]:
@@ -212,8 +237,9 @@ def _read(path: str):
 
 
 def read(manifest: DataFrame, path: str) -> DataFrame:
-    """The records of the files that a manifest lists, each checked as it streams by."""
-    return manifest.select("file", "records").repartition("file").mapInArrow(_read(path), READ)
+    """The records of the files that a manifest lists, each checked as it streams by; every file is a task's own."""
+    files = manifest.count()
+    return manifest.select("file", "records").repartition(max(1, files)).mapInArrow(_read(path), READ)
 
 
 def digest(spark: SparkSession, pages: DataFrame) -> DataFrame:
