@@ -8,7 +8,8 @@ has at most ``radius``, so no pair within that many bits can be missed.
 
 Fingerprints are reduced to distinct ones before any search. Small buckets of a table are compared whole batches at a time;
 a bucket with more than one near pair is searched breadth first, each step taking one fingerprint against those not yet
-reached, so a bucket hands on fewer links than it has members and still joins exactly what its links join. A bucket of
+reached, so a bucket hands on fewer links than it has members and still joins exactly what its links join. A few tables
+are searched first and label nodes by their least neighbour, so that a large group is not linked once more by every table. A bucket of
 more than ``BUCKET`` distinct fingerprints is named instead, and then dealt into pairs of blocks, each a group of its own.
 Links become components in Spark.
 
@@ -39,6 +40,8 @@ from lorequarry.session import cut
 BUCKET = 16_384
 #: Buckets up to this size are compared many at a time.
 SMALL = 64
+#: Every which table goes first.
+EARLY = 12
 #: Bits of 128 that may differ between texts of similarity 0.8: the mean is 19.4 and the standard deviation 4.
 REACH = 32
 #: Bytes of shingle sets in a block of a group of which similarities are computed.
@@ -198,23 +201,26 @@ def _named(pairs: list[tuple[str, str]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.string()) for k in (0, 1)], ["a", "b"])
 
 
-def bucket_links(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Places linked within a bucket of distinct fingerprints (rows of words): a forest over what is within the radius."""
+def bucket_links(fps: np.ndarray, labels: np.ndarray, radius: int) -> list[tuple[int, int]]:
+    """Places linked within a bucket of distinct fingerprints (rows of words): a forest over what is within the radius.
+
+    Places of one label count as joined already and are not linked again.
+    """
     out, rest = [], np.arange(len(fps))
     while len(rest):
         queue, rest = [int(rest[0])], rest[1:]
         while queue and len(rest):
             x = queue.pop()
-            near = differing(fps[rest], fps[x]) <= radius
-            if near.any():
-                found = rest[near].tolist()
-                out += [(x, y) for y in found]
-                queue += found
-                rest = rest[~near]
+            own = labels[rest] == labels[x]
+            met = own | (differing(fps[rest], fps[x]) <= radius)
+            if met.any():
+                out += [(x, y) for y in rest[met & ~own].tolist()]
+                queue += rest[met].tolist()
+                rest = rest[~met]
     return out
 
 
-def links_of(fps: np.ndarray, bounds: np.ndarray, radius: int) -> list[tuple[int, int]]:
+def links_of(fps: np.ndarray, labels: np.ndarray, bounds: np.ndarray, radius: int) -> list[tuple[int, int]]:
     """Places linked within the buckets that ``bounds`` cuts: those of small ones by comparing each row with the next, next but one, .."""
     sizes = np.diff(bounds)
     small = sizes <= SMALL
@@ -223,7 +229,7 @@ def links_of(fps: np.ndarray, bounds: np.ndarray, radius: int) -> list[tuple[int
     while len(here):
         step += 1
         here = here[ends[here] > here + step]
-        near = here[differing(fps[here], fps[here + step]) <= radius]
+        near = here[(differing(fps[here], fps[here + step]) <= radius) & (labels[here] != labels[here + step])]
         hits.append(np.stack([near, near + step], axis=1))
     hits = np.concatenate(hits) if hits else np.zeros((0, 2), dtype=np.int64)
     bucket = np.searchsorted(bounds, hits[:, 0], side="right") - 1
@@ -231,12 +237,12 @@ def links_of(fps: np.ndarray, bounds: np.ndarray, radius: int) -> list[tuple[int
     out = list(map(tuple, hits[np.isin(bucket, which[count == 1])].tolist()))
     for k in [*which[count > 1].tolist(), *np.flatnonzero(~small).tolist()]:
         begin = int(bounds[k])
-        out += [(begin + x, begin + y) for x, y in bucket_links(fps[begin : bounds[k + 1]], radius)]
+        out += [(begin + x, begin + y) for x, y in bucket_links(fps[begin : bounds[k + 1]], labels[begin : bounds[k + 1]], radius)]
     return out
 
 
 def _links(radius: int, keys: int, most: int | None):
-    """For mapInArrow over rows (``keys`` bucket columns, fingerprint words) sorted by bucket: (a, b, t), links between first words.
+    """For mapInArrow over rows (``keys`` bucket columns, label, fingerprint words) sorted by bucket: (a, b, t), links between labels.
 
     A bucket of more than ``most`` members is not searched; it comes out as (its key, null, its table).
     """
@@ -248,18 +254,16 @@ def _links(radius: int, keys: int, most: int | None):
             if not batch.num_rows:
                 continue
             now = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns], axis=1)
-            named = []
             if large is not None:  # the rest of a bucket that is named already
-                now = now[(now[:, :keys] != large).any(axis=1).argmax() :] if (now[:, :keys] != large).any() else now[:0]
-                if not len(now):
+                other = (now[:, :keys] != large).any(axis=1)
+                if not other.any():
                     continue
-                large = None
+                now, large = now[other.argmax() :], None
             now = now if held is None else np.concatenate([held, now])
             bounds = np.flatnonzero(np.concatenate(([True], (now[1:, :keys] != now[:-1, :keys]).any(axis=1), [True])))
-            whole, held = now[: bounds[-2]], now[bounds[-2] :]
+            whole, held, named = now[: bounds[-2]], now[bounds[-2] :], []
             if len(held) > most:
-                named.append(held[0, :keys])
-                held, large = None, now[-1, :keys]
+                named, large, held = [held[0, :keys]], held[0, :keys], None
             out = solved(whole, bounds[:-1], named)
             if out.num_rows:
                 yield out
@@ -267,17 +271,11 @@ def _links(radius: int, keys: int, most: int | None):
             yield solved(held, np.array([0, len(held)]), [])
 
     def solved(rows: np.ndarray, bounds: np.ndarray, named: list) -> pa.RecordBatch:
-        fps = rows[:, keys:].view(np.uint64)
-        over = np.flatnonzero(np.diff(bounds) > most)
-        named = named + [rows[bounds[k], :keys] for k in over.tolist()]
-        keep = np.ones(len(rows), dtype=bool)
-        for k in over.tolist():
-            keep[bounds[k] : bounds[k + 1]] = False
-        if len(over):
-            sizes = np.delete(np.diff(bounds), over)
-            fps, rows, bounds = fps[keep], rows[keep], np.concatenate(([0], np.cumsum(sizes)))
-        found = np.array(links_of(fps, bounds, radius), dtype=np.int64).reshape(-1, 2)
-        pairs = np.unique(np.sort(rows[:, keys][found], axis=1), axis=0)
+        sizes = np.diff(bounds)
+        named = [*named, *(rows[k, :keys] for k in bounds[:-1][sizes > most].tolist())]
+        rows, sizes = rows[np.repeat(sizes <= most, sizes)], sizes[sizes <= most]
+        found = links_of(rows[:, keys + 1 :].view(np.uint64), rows[:, keys], np.concatenate(([0], np.cumsum(sizes))), radius)
+        pairs = np.unique(np.sort(rows[:, keys][np.array(found, dtype=np.int64).reshape(-1, 2)], axis=1), axis=0)
         a = [*pairs[:, 0].tolist(), *(int(x[1]) for x in named)]
         b = [*pairs[:, 1].tolist(), *([None] * len(named))]
         t = [*([None] * len(pairs)), *(int(x[0]) for x in named)]
@@ -286,17 +284,17 @@ def _links(radius: int, keys: int, most: int | None):
     return run
 
 
-def links(nodes: DataFrame, words: list[str], radius: int, parts: int = 1, reach: int | None = None, bucket: int = BUCKET) -> DataFrame:
-    """(a, b): links between the first words of distinct fingerprints, joining what pairs that meet in a table and are within ``reach`` join.
+def links(nodes: DataFrame, words: list[str], tables: list[tuple[int, int]], reach: int, bucket: int = BUCKET) -> DataFrame:
+    """(a, b): links between the labels of distinct fingerprints, joining what pairs that meet in a table and are within ``reach`` join.
 
-    ``words`` are the columns of the fingerprint; parts are dealt evenly to them, and each part covers ``radius``.
+    ``nodes`` has a column ``label`` and the columns ``words`` of the fingerprint; a table is the place of a word and a mask.
     """
-    reach, spread, kinds = radius if reach is None else reach, "t int, key long", "a long, b long, t int"
-    tables = [_signed(m) for m in masks(radius, parts // len(words))]
-    t = F.explode(F.sequence(F.lit(0), F.lit(len(words) * len(tables) - 1)))
-    word = F.element_at(F.array(*words), (F.col("t") / len(tables)).cast("int") + 1)
-    key = word.bitwiseAND(F.element_at(F.array(*[F.lit(m).cast("long") for m in tables]), F.col("t") % len(tables) + 1))
-    dealt = nodes.select(t.alias("t"), *words).select("t", key.alias("key"), *words)
+    kinds = "a long, b long, t int"
+    constant = lambda values, kind: F.array(*[F.lit(v).cast(kind) for v in values])
+    word = F.element_at(F.array(*words), F.element_at(constant([w + 1 for w, _ in tables], "int"), F.col("t") + 1))
+    key = word.bitwiseAND(F.element_at(constant([_signed(m) for _, m in tables], "long"), F.col("t") + 1))
+    columns = ["label", *words]
+    dealt = nodes.select(F.explode(F.sequence(F.lit(0), F.lit(len(tables) - 1))).alias("t"), *columns).select("t", key.alias("key"), *columns)
     found = cut(dealt.repartition("t", "key").sortWithinPartitions("t", "key", *words).mapInArrow(_links(reach, 2, bucket), kinds).distinct())
     large = found.where("t IS NOT NULL").select("t", F.col("a").alias("key"))
     joined = found.where("t IS NULL").select("a", "b")
@@ -308,18 +306,37 @@ def links(nodes: DataFrame, words: list[str], radius: int, parts: int = 1, reach
     blocks = F.ceil(F.col("count") / (bucket / 2))
     own = F.pmod(F.xxhash64(*words), blocks)
     met = F.explode(F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j"))))
-    split = sized.select("t", "key", met.alias("m"), *words).select("t", "key", "m.i", "m.j", *words)
+    split = sized.select("t", "key", met.alias("m"), *columns).select("t", "key", "m.i", "m.j", *columns)
     solved = split.repartition("t", "key", "i", "j").sortWithinPartitions("t", "key", "i", "j", *words).mapInArrow(_links(reach, 4, None), kinds)
     return joined.unionByName(solved.where("t IS NULL").select("a", "b")).distinct()
 
 
+def near_components(nodes: DataFrame, words: list[str], radius: int, parts: int = 1, reach: int | None = None, bucket: int = BUCKET) -> DataFrame:
+    """(node, root) for the first words of distinct fingerprints: what pairs that meet in a table and are within ``reach`` join.
+
+    Parts are dealt evenly to the words, and each covers ``radius``. A few tables go first, and a node's least neighbour
+    there is its label: nodes of one label are joined already, so the other tables hand on few links of a large group.
+    """
+    reach = radius if reach is None else reach
+    tables = [(w, m) for w in range(len(words)) for m in masks(radius, parts // len(words))]
+    first, others = tables[::EARLY], [t for k, t in enumerate(tables) if k % EARLY]
+    nodes = cut(nodes.select(F.col(words[0]).alias("label"), *words))
+    early = links(nodes, words, first, reach, bucket)
+    if others:
+        both = early.select(F.col("a").alias("label"), F.col("b").alias("to")).unionByName(early.select(F.col("b").alias("label"), F.col("a").alias("to")))
+        least = both.groupBy("label").agg(F.min("to").alias("to"))
+        labelled = nodes.join(least, "label", "left").select(F.least("label", "to").alias("label"), *words)
+        early = early.unionByName(links(labelled, words, others, reach, bucket))
+    return components(early, "a", "b")
+
+
 def similar_pairs(docs: DataFrame, nodes: DataFrame, width: int, radius: int, parts: int, reach: int, similarity: float, bucket: int = BUCKET) -> DataFrame:
     """(a, b): links between ``nodes`` (fp, more, node, h, n) within a group that ``links`` joins, within reach, and similar.
 
     Shingle sets are computed once more from ``docs`` (h, text), for one text of each node of a group of two or more, and
     each group is searched by reach and sets at once.
     """
-    roots = components(links(nodes.select("fp", "more").distinct(), ["fp", "more"], radius, parts, reach, bucket), "a", "b")
+    roots = near_components(nodes.select("fp", "more").distinct(), ["fp", "more"], radius, parts, reach, bucket)
     placed = cut(nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("g", F.coalesce("root", "fp")).select("g", "fp", "more", "node", "h", "n"))
     groups = placed.groupBy("g").agg(F.count("*").alias("of"), F.sum("n").alias("total")).where(F.col("of") > 1)
     blocks = F.greatest(F.ceil(F.col("of") / (bucket / 2)), F.ceil(F.col("total") * 8 / SET_BYTES))
@@ -348,11 +365,10 @@ def near_groups(docs: DataFrame, width: int = 4, radius: int = 4, parts: int = 1
     rows = cut(held.mapInArrow(_fingerprints(width, similarity is not None), "id long, h long, fp long" + (", more long, node string, n long" if similarity is not None else "")))
     if similarity is None:
         rows = rows.withColumn("node", F.col("fp"))
-        found = links(rows.select("fp").distinct(), ["fp"], radius, parts, reach)
+        roots = near_components(rows.select("fp").distinct(), ["fp"], radius, parts, reach)
     else:
         nodes = rows.groupBy("fp", "more", "node").agg(F.min("h").alias("h"), F.min("n").alias("n"))
-        found = similar_pairs(held, nodes, width, radius, parts, reach, similarity)
-    roots = components(found, "a", "b")
+        roots = components(similar_pairs(held, nodes, width, radius, parts, reach, similarity), "a", "b")
     named = rows.groupBy("node").agg(F.min("id").alias("first")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("first").alias("component"))
     return rows.select("id", "fp", "node").join(named.join(least, "root").select("node", "component"), "node").select("id", "fp", "component")

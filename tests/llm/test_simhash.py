@@ -61,9 +61,7 @@ def test_links_join_what_pairs_within_the_radius_join_in_any_bucket_size(spark):
     nodes = spark.createDataFrame([(s._signed(f),) for _, f in rows], "fp long").repartition(5)
     want = brute_components(rows)
     for bucket in (s.BUCKET, 4):
-        found = s.links(nodes, ["fp"], 4, bucket=bucket).collect()
-        from lorequarry.llm.components import components
-        roots = {r.node: r.root for r in components(spark.createDataFrame(found), "a", "b").collect()}
+        roots = {r.node: r.root for r in s.near_components(nodes, ["fp"], 4, bucket=bucket).collect()}
         got = {}
         for i, f in rows:
             got.setdefault(roots.get(s._signed(f), s._signed(f)), []).append(i)
@@ -194,9 +192,7 @@ def test_groups_of_any_size_in_one_bucket_equal_brute_force(spark, monkeypatch):
             fps.append((s._signed(x),))
             x ^= 1 << rng.randrange(64)
     nodes = spark.createDataFrame(fps, "fp long").distinct()
-    from lorequarry.llm.components import components
-
-    roots = {r.node: r.root for r in components(s.links(nodes, ["fp"], 4), "a", "b").collect()}
+    roots = {r.node: r.root for r in s.near_components(nodes, ["fp"], 4).collect()}
     groups = {}
     for fp, k in want.items():
         groups.setdefault(k, set()).add(roots.get(fp, fp))
