@@ -2,9 +2,9 @@
 
 A text is cut into chunks of bytes. Each chunk hashes on its own, and hashes combine by length-shifted arithmetic,
 ``h(xy) = h(x) * B**len(y) + h(y) mod (2**61 - 1)``, so a huge text never needs one long sequential pass. Texts whose
-fingerprint and length agree form a group; the group's chunks are then compared byte by byte as they stream through an
-aggregation (smallest chunk equal to largest chunk at every position). A group that fails the comparison is split by
-SHA-256, so results do not hang on the fingerprint.
+fingerprint and length agree form a group; the chunks of groups of two or more are then compared byte by byte as they
+stream through an aggregation (smallest chunk equal to largest chunk at every position). A group that fails the comparison
+is split by SHA-256, so results do not hang on the fingerprint.
 
 Defined results: a null text counts as empty; texts are equal when they are identical after lower-casing A-Z only; of
 equal texts the row with the largest id stays, a null id counts as the smallest, and among rows that repeat the largest
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorequarry.llm.common import ascii_lower, fresh, texts, without
+from lorequarry.llm.common import BROADCAST_ROWS, ascii_lower, fresh, texts, without
 from lorequarry.session import cut
 
 PRIME, BASE = (1 << 61) - 1, 0x1B873593CC9E2D51
@@ -63,7 +63,7 @@ def fingerprint(data: bytes, modulus: int = PRIME) -> int:
 
 
 def _fingerprints(modulus: int, chunks: bool):
-    """A function for mapInArrow: with ``chunks`` a row per chunk (fp, n, at, chunk), else one per text (id, fp, n, sha)."""
+    """For mapInArrow over (id, text, h): with ``chunks`` a row per chunk (fp, n, at, chunk), else one per text (id, h, fp, n, sha)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -86,7 +86,8 @@ def _fingerprints(modulus: int, chunks: bool):
                 elif rows:
                     fp, n, sha = zip(*rows, strict=True)
                     ids = batch.column(0).slice(first, len(rows))
-                    yield pa.RecordBatch.from_arrays([ids, pa.array(fp, pa.int64()), pa.array(n, pa.int64()), pa.array(sha, pa.string())], ["id", "fp", "n", "sha"])
+                    h = batch.column(2).slice(first, len(rows))
+                    yield pa.RecordBatch.from_arrays([ids, h, pa.array(fp, pa.int64()), pa.array(n, pa.int64()), pa.array(sha, pa.string())], ["id", "h", "fp", "n", "sha"])
 
     return run
 
@@ -98,11 +99,15 @@ def _chunk_batch(rows: list[tuple]) -> pa.RecordBatch:
 
 def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus: int = PRIME) -> DataFrame:
     """Per row of ``docs``: id, sha, keep_id, group_size, kept; materialised. ``modulus`` is lowered only by tests."""
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    text = F.col(text_col).cast("string")
+    source = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("h"))
     # one narrow pass; what is kept of a text is 100 bytes
-    rows = cut(source.mapInArrow(_fingerprints(modulus, False), "id long, fp long, n long, sha string").withColumn("row", F.monotonically_increasing_id()))
-    # groups of one need no comparison, and most chunks of copies meet in the map-side aggregation already
-    pieces = source.mapInArrow(_fingerprints(modulus, True), "fp long, n long, at int, chunk binary")
+    rows = cut(source.mapInArrow(_fingerprints(modulus, False), "id long, h long, fp long, n long, sha string").withColumn("row", F.monotonically_increasing_id()))
+    # only texts of groups of two or more are read again, and most of their chunks meet in the map-side aggregation
+    several = rows.groupBy("fp", "n").agg(F.count("*").alias("of")).where("of > 1").select("fp", "n")
+    asked = cut(rows.join(several, ["fp", "n"]).select("h").distinct())
+    few = asked.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    pieces = source.join(F.broadcast(asked) if few else asked, "h", "left_semi").select("id", "text").mapInArrow(_fingerprints(modulus, True), "fp long, n long, at int, chunk binary")
     compared = pieces.groupBy("fp", "n", "at").agg((F.min("chunk") == F.max("chunk")).alias("same"))
     split = cut(compared.where(~F.col("same")).select("fp", "n").distinct().withColumn("split", F.lit(True)))
     keyed = rows.withColumn("key", F.lit(""))
