@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from lorequarry.session import cut
 
 K = 5
-#: Bounds on what the driver holds: pivots (with their K + 1 least distances) and groups of queries.
-PIVOTS, GROUPS = 128, 64
+#: Pivots are the square root of the rows, within these bounds; groups of queries are at most GROUPS. Together they bound what the driver holds.
+PIVOTS, GROUPS = (128, 2048), 1024
 GROUP_QUERIES, BLOCK = 512, 32_768
 SLACK = 0.5
 _EXACT = 1 << 53
@@ -131,9 +131,20 @@ def _solve(dim: int, k: int):
     return run
 
 
-def top_k(rows: DataFrame, queries, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding", pivots: int = PIVOTS) -> DataFrame:
+def chained(points: np.ndarray) -> np.ndarray:
+    """The place of each pivot in a chain that always goes on to the nearest pivot not yet in it."""
+    place, now, left = np.zeros(len(points), dtype=int), 0, np.ones(len(points), dtype=bool)
+    for k in range(len(points)):
+        place[now], left[now] = k, False
+        if left.any():
+            now = int(np.where(left, ((points - points[now]) ** 2).sum(1), np.inf).argmin())
+    return place
+
+
+def top_k(rows: DataFrame, queries, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding", pivots: int | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row for which ``queries`` (a column over ``id``) holds, its k best others."""
     good = quantised(rows, id_col, vector_col)
+    pivots = pivots or min(max(math.isqrt(good.count()), PIVOTS[0]), PIVOTS[1])
     found = good.orderBy(F.xxhash64("id", "vec")).limit(pivots).select("vec").collect()  # a bounded sample; any pivots give exact results
     points = np.unique(np.array([r.vec for r in found], dtype=float), axis=0) if found else np.zeros((1, 0))
     dim = points.shape[1]
@@ -144,17 +155,27 @@ def top_k(rows: DataFrame, queries, k: int = K, id_col: str = "vec_id", vector_c
     summary = apart.withColumn("r", F.row_number().over(near)).where(F.col("r") <= k + 1).select("cell", "id", "d").collect()  # k + 1 rows a pivot
     cells, distances = np.array([r.cell for r in summary], dtype=int), np.array([r.d for r in summary], dtype=float)
     asked = placed.where(queries & F.col("id").isNotNull()).withColumn("row", F.monotonically_increasing_id())
-    # groups are cells dealt to a bounded number, and a group with too many queries is split by id
-    total = asked.count()
-    base = max(1, min(GROUPS, math.ceil(total / GROUP_QUERIES)))
-    grouped = asked.withColumn("g", F.col("cell") % base)
-    counts = dict(grouped.groupBy("g").count().collect())  # at most GROUPS rows
-    split = F.coalesce(*[F.when(F.col("g") == g, F.lit(math.ceil(c / (4 * GROUP_QUERIES)))) for g, c in counts.items()], F.lit(1))
-    grouped = cut(grouped.select("row", "id", "vec", (F.col("g") + base * F.pmod(F.xxhash64("row"), split)).cast("int").alias("grp")))
+    # groups are runs of cells along a chain of near pivots, so that one bound serves a group's queries; at most GROUPS
+    of_cell = dict(asked.groupBy("cell").count().collect())  # at most a row per pivot
+    total, chain = sum(of_cell.values()), np.argsort(chained(points))
+    size, grp, first = max(GROUP_QUERIES, math.ceil(2 * total / GROUPS)), 0, {}
+    held, parts = 0, {}
+    for c in chain.tolist():
+        n = of_cell.get(c, 0)
+        if held and held + n > size:
+            grp, held = grp + 1, 0
+        first[c], parts[c] = grp, max(1, math.ceil(n / size))
+        held += n
+        if parts[c] > 1:
+            grp, held = grp + parts[c], 0
+    table = F.create_map(*[F.lit(int(x)) for c in chain.tolist() for x in (c, first[c])])
+    split = F.create_map(*[F.lit(int(x)) for c in chain.tolist() for x in (c, parts[c])])
+    spread_ = F.pmod(F.xxhash64("row"), F.element_at(split, F.col("cell")))
+    grouped = cut(asked.select("row", "id", "vec", (F.element_at(table, F.col("cell")) + spread_).cast("int").alias("grp")))
     needs = grouped.mapInArrow(_needs(points, cells, distances, [r.id for r in summary], k), "grp int, cell int, least double").groupBy("grp", "cell").agg(F.min("least").alias("least"))
-    table = {(r.grp, r.cell): r.least for r in needs.collect()}  # a number per group and pivot
-    groups = np.array(sorted({g for g, _ in table}), dtype=int)
-    least = np.array([[table[g, c] for c in range(len(points))] for g in groups.tolist()], dtype=float).reshape(len(groups), len(points))
+    bounds = {(r.grp, r.cell): r.least for r in needs.collect()}  # a number per group and pivot
+    groups = np.array(sorted({g for g, _ in bounds}), dtype=int)
+    least = np.array([[bounds[g, c] for c in range(len(points))] for g in groups.tolist()], dtype=float).reshape(len(groups), len(points))
     blocks = max(1, math.ceil(n / BLOCK))
     sent = placed.mapInArrow(_replicate(least, groups, blocks), "grp int, block long, id long, vec array<long>")
     met = grouped.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
