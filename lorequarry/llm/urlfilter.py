@@ -1,10 +1,9 @@
 """URL filter: rules, and beyond them trust and distrust that spread over the host graph.
 
 Rules name a host and a path prefix; a rule fits its host and all subdomains if the path starts with its prefix, and the
-longest fitting rule decides. Where none fits, the host decides. Edges between hosts are the links found in pages, ties
-between a host and its parent domain, and passages that pages of several hosts carry alike: a passage is a node between its
-hosts, so a common one costs an edge a host, not one a pair. Seeds come from the rules: a host is a trusted seed to the share
-of its pages that a rule allows, a blocked seed to the share that one blocks. Trust is personalised PageRank from the trusted
+longest fitting rule decides. Where none fits, the host decides. Edges between hosts are the links found in pages, and ties
+between a host and its parent domain. Seeds come from the rules: a host is a trusted seed to the share of its pages that a
+rule allows, a blocked seed to the share that one blocks. Trust is personalised PageRank from the trusted
 seeds along edges, ``t = (1 - a) s + a * sum over u -> v of w(u, v) t(u)``; distrust is the same from the blocked seeds
 along reversed edges, so a host that links to blocked ones is distrusted. Each direction's weights sum to one at their
 source, and both scores are scaled by ``1 - a``, so that a host's own seed counts in full.
@@ -12,7 +11,7 @@ source, and both scores are scaled by ``1 - a``, so that a host's own seed count
 A host is blocked when distrust less trust is at or above a threshold. The threshold is learned from rules held out: scores
 are also spread from the seeds of one half of the ruled pages (dealt by a hash of the url), and of all thresholds the one
 that tells blocked from allowed pages of the other half best, by the mean of both recalls, is taken; of equals the highest,
-which blocks least. Where the held-out half lacks a class, ``THRESHOLD`` stands in.
+which blocks least. It is above zero, so a host without evidence is allowed. Where the held-out half lacks a class, ``THRESHOLD`` stands in.
 
 Ranks are DataFrames of one row per node; an iteration is a join on the edge's source and a sum per target, so a hub is
 pre-aggregated and its join can be split. Iterations stop when no rank moves by more than ``TOLERANCE``.
@@ -31,12 +30,11 @@ from lorequarry.session import cut
 
 #: (rule, verdict)
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
-DAMPING, ROUNDS, TOLERANCE, THRESHOLD = 0.5, 40, 1e-5, 0.25
+DAMPING, ROUNDS, TOLERANCE, THRESHOLD = 0.5, 40, 1e-3, 0.25
 #: Steps of the learned threshold over a margin of -1 to 1, which bounds its histogram.
 STEPS = 200
 #: Rounds between cuts of the lineage; convergence is looked at there.
 EVERY = 4
-_PASSAGE = r">([^<>]{40,})<"
 _LINK = r"""(?i)href\s*=\s*["']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s>]+)"""
 
 
@@ -59,21 +57,13 @@ def fitting_rule(host_: Column, path_: Column, rules) -> Column:
 
 
 def host_edges(pages: DataFrame, hosts: DataFrame) -> DataFrame:
-    """(kind, src, dst, w): edges along which trust and distrust flow; the weights of a kind at a source sum to one.
-
-    Nodes are hosts, and shared passages under names that start with a slash, which no host does.
-    """
+    """(kind, src, dst, w): edges along which trust and distrust flow; the weights of a kind at a source sum to one."""
     named = pages.where("host <> ''")
     links = named.select(F.col("host").alias("src"), F.explode(F.regexp_extract_all("html", F.lit(_LINK), F.lit(1))).alias("to"))
     links = links.select("src", F.regexp_replace(ascii_lower(F.col("to")), r"^.*@|:\d*$", "").alias("dst"))
     child = hosts.select("host", F.expr("substring(host, instr(host, '.') + 1)").alias("parent")).where("instr(parent, '.') > 0 AND host <> parent")
     ties = child.select(F.col("host").alias("src"), F.col("parent").alias("dst")).unionByName(child.select(F.col("parent").alias("src"), F.col("host").alias("dst")))
-    text = F.explode(F.array_distinct(F.regexp_extract_all("html", F.lit(_PASSAGE), F.lit(1))))
-    carried = named.select("host", text.alias("text")).groupBy("host", F.concat(F.lit("/"), F.hex(F.xxhash64("text"))).alias("passage")).agg(F.count("*").alias("n"))
-    shared = carried.groupBy("passage").agg(F.min("host").alias("first"), F.max("host").alias("last")).where("first <> last").select("passage")
-    carried = carried.join(shared, "passage")
     counts = links.unionByName(ties).where("src <> dst AND dst <> ''").groupBy("src", "dst").agg(F.count("*").alias("n"))
-    counts = counts.unionByName(carried.select(F.col("host").alias("src"), F.col("passage").alias("dst"), "n")).unionByName(carried.select(F.col("passage").alias("src"), F.col("host").alias("dst"), "n"))
     ways = F.array(F.struct(F.lit("trust").alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b")), F.struct(F.lit("distrust").alias("kind"), F.col("dst").alias("a"), F.col("src").alias("b")))
     directed = cut(counts.select(F.explode(ways).alias("e"), "n").select("e.kind", F.col("e.a").alias("src"), F.col("e.b").alias("dst"), "n"))
     total = directed.groupBy("kind", "src").agg(F.sum("n").alias("total"))
@@ -108,7 +98,7 @@ def learned(counts: list[tuple[int, int, int]]) -> float:
     for step, b, a in sorted(counts, reverse=True):
         caught, spared = caught + b, spared - a
         told = (caught / blocked + spared / allowed) / 2
-        if told > best + 1e-12:
+        if step > 0 and told > best + 1e-12:
             best, at = told, step / STEPS
     return at
 

@@ -45,3 +45,24 @@ def test_empty_table_and_damage(spark, tmp_path):
     assert w.parse(good)[1] == 7
     with pytest.raises(ValueError):
         w.parse(good.replace(b"payload\r\n\r\n", b"paYload\r\n\r\n"))
+
+
+def test_far_off_ids_and_many_rows_of_one_id_leave_shards_small(spark, tmp_path):
+    import random
+
+    rng = random.Random(7)
+    html = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(5000))
+    rows = [(k, "u", html()) for k in range(600)] + [(1 << 60, "far", html()), (-(1 << 63), "low", html()), ((1 << 63) - 1, "high", html())] + [(300, f"again {k}", html()) for k in range(300)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    firsts = []
+    for k, parts in enumerate((2, 7)):
+        manifest = w.write(df.repartition(parts), f"{tmp_path}/{k}", shard_bytes=100_000)
+        by = {}
+        for r in manifest.collect():
+            by[r.shard] = by.get(r.shard, 0) + r.records
+        assert sum(by.values()) == len(rows) and len(by) > 45 and max(by.values()) * 5500 <= 100_000 + 2 * 5500
+        read = w.read(manifest, f"{tmp_path}/{k}")
+        assert read.rdd.getNumPartitions() == manifest.count()
+        assert sorted((tuple(r) for r in read.collect()), key=str) == brute(rows)
+        firsts.append(sorted(r.sha256 for r in manifest.collect()))
+    assert firsts[0] == firsts[1]
