@@ -31,22 +31,24 @@ def near_places(vectors: list, threshold: float = NEAR) -> list[bool]:
 
 
 def mmr_order(vectors: list, scores: list[float], query, k: int, weight: float = LAMBDA) -> list[int]:
-    """Indices in the order in which relevance less redundancy picks them; ties go to the first."""
-    has = np.array([v is not None for v in vectors])
-    size = next((len(v) for v in vectors if v is not None), 0)
-    m = np.array([v if v is not None else np.zeros(size) for v in vectors], dtype=float).reshape(len(vectors), size)
-    relevance = np.where(has, m @ query if size else 0.0, np.array(scores, dtype=float))
-    near, chosen, left = np.zeros(len(vectors)), [], np.ones(len(vectors), dtype=bool)
-    first = True
-    while left.any() and len(chosen) < k:
-        value = np.where(left, weight * relevance - (1 - weight) * np.where(has, near, 0.0), -np.inf)
-        best = int(np.argmax(value))
-        chosen.append(best)
-        left[best] = False
-        if has[best]:
-            similar = m @ m[best]
-            near, first = (similar if first else np.maximum(near, similar)), False
-    return chosen
+    """Places in the order in which relevance less redundancy picks them; ties go to the first.
+
+    All similarities come from one Gram matrix of the hits that have a vector. A hit without one is as relevant as its
+    score and redundant to nothing, and makes nothing redundant.
+    """
+    known = [i for i, v in enumerate(vectors) if v is not None]
+    gram, merit = np.zeros((len(vectors), len(vectors))), weight * np.array(scores, dtype=float)
+    if known:
+        held = np.array([vectors[i] for i in known], dtype=float)
+        gram[np.ix_(known, known)] = held @ held.T
+        merit[known] = weight * (held @ query)
+    order: list[int] = []
+    rest = list(range(len(vectors)))
+    while rest and len(order) < k:
+        against = [i for i in order if vectors[i] is not None]
+        worth = merit[rest] - (1 - weight) * (gram[np.ix_(rest, against)].max(axis=1) if against else 0.0)
+        order.append(rest.pop(int(worth.argmax())))
+    return order
 
 
 def budget_choice(docs: list, tokens: list[int], scores: list[float], budget: int, overhead: int = 0) -> list[int]:

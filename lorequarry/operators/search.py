@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,7 +14,7 @@ from lorequarry.functions import text as T
 
 K1, B, FLOOR = 1.2, 0.75, 1e-6
 RRF_K = 60
-#: Queries of one batch of vector search, which every task holds.
+#: Queries of one block of vector search, which every task holds; a larger batch is searched block by block.
 QUERIES = 4096
 KEYWORD_WEIGHT, SEMANTIC_WEIGHT = 0.8, 1.0
 #: Fixed factors of the deterministic rerank.
@@ -67,11 +68,15 @@ def ranked(scored: DataFrame, k: int, by: str = "query_id", item: str = "doc_id"
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def _blocks(queries: DataFrame) -> list[DataFrame]:
+    """The queries in blocks of about half of QUERIES, dealt by a hash of their ids."""
+    blocks = max(1, -(-2 * queries.count() // QUERIES))
+    return [queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k) for k in range(blocks)]
+
+
 def _stated(queries: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and unit vectors of a stated query batch, whose size is checked."""
-    rows = queries.select("query_id", "embedding").limit(QUERIES + 1).collect()
-    if len(rows) > QUERIES:
-        raise ValueError(f"a batch holds at most {QUERIES} queries; split it")
+    """Ids and unit vectors of a block of queries."""
+    rows = queries.select("query_id", "embedding").collect()
     q = np.array([r.embedding for r in rows], dtype=float).reshape(len(rows), -1)
     return np.array([r.query_id for r in rows], dtype=np.int64), _unit(q)
 
@@ -90,11 +95,15 @@ def _coarse(m: np.ndarray, dims: int) -> np.ndarray:
 
 
 def vector_scores(rows: DataFrame, queries: DataFrame, most: int, dims: int | None = None) -> DataFrame:
-    """(query_id, vec_id, coarse, score): cosines of rows with a stated query batch, the ``most`` best of each Arrow batch.
+    """(query_id, vec_id, coarse, score): cosines of rows with a query batch, the ``most`` best of each Arrow batch.
 
     ``coarse`` orders the selection: it is the cosine over quantised leading ``dims`` components, or the score itself.
     Each task hands on at most ``most`` rows per query and batch, so the shuffle does not grow with the product.
     """
+    return functools.reduce(DataFrame.unionByName, [_block_scores(rows, block, most, dims) for block in _blocks(queries)])
+
+
+def _block_scores(rows: DataFrame, queries: DataFrame, most: int, dims: int | None) -> DataFrame:
     ids, q = _stated(queries)
     qc = _unit(q[:, :dims]) if dims else None
 

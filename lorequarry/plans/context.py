@@ -26,9 +26,9 @@ def literal_dedup(spark, sf_dir):
 
 @query("context_pack")
 def context_pack(spark, sf_dir):
-    """Near-duplicates, maximal marginal relevance and a budget over the vector hits of twenty stated queries."""
+    """Near-duplicates, maximal marginal relevance and a budget over the vector hits of every fiftieth vector."""
     vectors = read_table(spark, sf_dir, "embeddings")
-    asked = vectors.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), "embedding")
+    asked = vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "source", T.token_count(F.col("text")).alias("tokens"))
     hits = S.vector_top(vectors, asked, 50).withColumnRenamed("vec_id", "doc_id").join(docs, "doc_id")
     hits = hits.join(vectors.select(F.col("vec_id").alias("doc_id"), F.col("embedding").cast("array<double>").alias("vector")), "doc_id")

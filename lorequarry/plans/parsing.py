@@ -10,10 +10,16 @@ from lorequarry.operators import parsing
 from lorequarry.plans.registry import both, query
 from lorequarry.session import read_table
 
+#: Endings of made-up paths, and what they stand for, stated here for the check.
+_ENDINGS = ("md", "MARKDOWN", "txt", "rst", "py", "pyi", "php", "js", "jsx", "ts", "tsx", "json", "yaml", "yml", "xml", "sql", "toml", "html", "py~", "")
+_BY_ENDING = (
+    (".md", "markdown"), (".markdown", "markdown"), (".txt", "text"), (".rst", "text"), (".py", "python"), (".pyi", "python"), (".php", "php"), (".js", "javascript"), (".jsx", "javascript"),
+    (".ts", "typescript"), (".tsx", "typescript"), (".json", "json"), (".yaml", "yaml"), (".yml", "yaml"), (".xml", "xml"), (".sql", "sql"), (".toml", "toml"),
+)
+
 both("path_lookup", "SELECT doc_id FROM {documents} WHERE EXISTS (SELECT 1 FROM {labels} l WHERE l.doc_id = documents.doc_id AND l.quality = 0)".replace("{documents} WHERE", "{documents} AS documents WHERE"))
 both("selected_prefixes", "SELECT doc_id FROM {documents} d WHERE EXISTS (SELECT 1 FROM (SELECT DISTINCT source FROM {documents} WHERE doc_id < 5) p WHERE p.source = d.source)")
 both("fingerprints", "SELECT source, count(*) AS files, CAST(sum(n_chars) AS BIGINT) AS size FROM {documents} GROUP BY source")
-both("language_by_extension", "SELECT doc_id, CASE substr(p, CAST(instr(p, '.') AS INT)) WHEN '.py' THEN 'python' WHEN '.md' THEN 'markdown' WHEN '.sql' THEN 'sql' END AS language FROM (SELECT doc_id, concat(source, CASE doc_id % 4 WHEN 0 THEN '.py' WHEN 1 THEN '.md' WHEN 2 THEN '.sql' ELSE '.bin' END) AS p FROM {documents}) t")
 both("topological_levels", """WITH RECURSIVE lv AS (SELECT n_nationkey AS node, 0 AS level FROM {nation} WHERE n_nationkey < 3 UNION ALL SELECT n.n_nationkey, lv.level + 1 FROM lv JOIN {nation} n ON n.n_nationkey = lv.node * 2 + 1 WHERE lv.level < 6)
     SELECT node, CAST(max(level) AS INT) AS level FROM lv GROUP BY node""")
 both("services", """SELECT p_brand AS service, count(DISTINCT l_suppkey) AS used_by, count(*) AS refs FROM {lineitem} JOIN {part} ON p_partkey = l_partkey GROUP BY p_brand HAVING count(*) >= 3""")
@@ -59,27 +65,29 @@ def parsed_nodes(spark, sf_dir):
     return parsing.parse(notations(spark, sf_dir)).groupBy("kind", "degraded").agg(F.count("*").alias("n"))
 
 
-@query("command_classes", """SELECT class, count(*) AS n FROM (SELECT CASE event_type WHEN 'view' THEN 'read' WHEN 'click' THEN 'search' WHEN 'error' THEN 'search' ELSE 'other' END AS class FROM events) t GROUP BY class""")
-def command_classes(spark, sf_dir):
-    """Shell lines made from event types, classified in Arrow batches."""
-    e = F.col("event_type")
-    line = F.when(e == "view", "cd x && FOO=1 sudo cat a.txt | wc").when(e == "click", "xargs -0 grep -n foo").when(e == "error", "cat a | git ls-files").otherwise("make test")
-    rows = read_table(spark, sf_dir, "events").select(line.alias("line"))
-
-    def classes(frames):
-        for series in frames:
-            yield series.map(parsing.command_class)
+@query("language_by_extension", """SELECT doc_id, e.language FROM (SELECT doc_id, lower('.' || [%s][doc_id %% 20 + 1]) AS ext FROM documents) d
+    LEFT JOIN (VALUES %s) AS e(ext, language) USING (ext)""" % (
+    ", ".join(f"'{x}'" for x in _ENDINGS), ", ".join(f"('{x}', '{name}')" for x, name in _BY_ENDING)))
+def language_by_extension(spark, sf_dir):
+    """Paths made of a document's source and an ending by its id; the closed list decides."""
+    ending = F.element_at(F.array(*map(F.lit, _ENDINGS)), (F.col("doc_id") % len(_ENDINGS) + 1).cast("int"))
+    return read_table(spark, sf_dir, "documents").select("doc_id", parsing.language(F.concat("source", F.lit("/a.b/x."), ending)).alias("language"))
 
-    return rows.select(F.pandas_udf(_typed(classes), "string")("line").alias("class")).groupBy("class").agg(F.count("*").alias("n"))
 
+#: Shell lines (``{}`` is a word of the data) and their classes, stated here for the check.
+_LINES = (
+    ("cd x && FOO=1 sudo cat {}.txt | wc", "read"), ("xargs -0 grep -n {}", "search"), ("cat {} | git ls-files", "search"), ("make {}", "other"),
+    ("/usr/bin/head -n 3 {}", "read"), ("sed -n 1,20p {}", "read"), ("sed s/a/b/ {}", "other"), ("C:\\tools\\RG.exe {}", "search"), ("git commit -m {}", "other"),
+    ("(time -p find . -name {})", "search"), ("env A=1 B=2 nice -n5 less {}", "read"), ("echo {} ; Select-String x", "search"), ("grepx {} || catx", "other"), ("", "other"),
+)
 
-def _typed(f):
-    from collections.abc import Iterator
 
-    import pandas as pd
-
-    f.__annotations__ = {"frames": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return f
+@query("command_classes", "SELECT class, count(*) AS n FROM (SELECT [%s][event_id %% %d + 1] AS class FROM events) t GROUP BY class" % (", ".join(f"'{c}'" for _, c in _LINES), len(_LINES)))
+def command_classes(spark, sf_dir):
+    """Shell lines that each name an event's type and user, by the class of their command."""
+    line = F.element_at(F.array(*[F.lit(x) for x, _ in _LINES]), (F.col("event_id") % len(_LINES) + 1).cast("int"))
+    line = F.replace(line, F.lit("{}"), F.concat_ws("-", "event_type", F.col("user_id").cast("string")))
+    return read_table(spark, sf_dir, "events").select(parsing.command_class(line).alias("class")).groupBy("class").agg(F.count("*").alias("n"))
 
 
 @query("common_path_prefix", """WITH s AS (SELECT source, unnest(string_split(source || '/' || lang || '/x', '/')) AS part, generate_subscripts(string_split(source || '/' || lang || '/x', '/'), 1) AS k FROM documents)
@@ -90,10 +98,10 @@ def common_path_prefix(spark, sf_dir):
     return per.groupBy("source").agg(F.coalesce(F.min(F.when(F.col("n") > 1, F.col("k"))) - 1, F.max("k")).alias("shared"))
 
 
-@query("folded_search", """SELECT doc_id, CASE WHEN starts_with(f, 'e') THEN 1 ELSE 2 END AS tier FROM (SELECT doc_id, strip_accents(lower(substr(text, 1, 40))) AS f FROM documents) t WHERE contains(f, 'e')""")
+@query("folded_search", """SELECT doc_id, CASE WHEN starts_with(f, 'e') THEN 1 ELSE 2 END AS tier FROM (SELECT doc_id, strip_accents(lower(text)) AS f FROM documents) t WHERE contains(f, 'e')""")
 def folded_search(spark, sf_dir):
     """Accents and case fold away; a hit at the start ranks before one inside."""
-    folded = F.translate(F.lower(F.substring("text", 1, 40)), "áàâäãåéèêëíìîïóòôöõúùûüçñ", "aaaaaaeeeeiiiiooooouuuucn")
+    folded = F.translate(F.lower("text"), "áàâäãåéèêëíìîïóòôöõúùûüçñ", "aaaaaaeeeeiiiiooooouuuucn")
     return read_table(spark, sf_dir, "documents").select("doc_id", folded.alias("f")).where("contains(f, 'e')").select("doc_id", F.when(F.startswith("f", F.lit("e")), 1).otherwise(2).alias("tier"))
 
 
