@@ -5,14 +5,19 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from lorequarry.session import cut
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Rows of a side that may be broadcast: ids and a digest take under 100 bytes a row, so 20 MB at most.
 BROADCAST_ROWS = 200_000
 
+#: Rows of narrow columns that a task should at least have: every task of a shuffle writes a file with a block per partition.
+TASK_ROWS = 250_000
+
 
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z and nothing else; null counts as empty."""
@@ -37,6 +42,18 @@ def texts(column: pa.Array, most: int = 1 << 24) -> Iterator[tuple[int, list[byt
         yield first, held
 
 
+def cut_narrow(df: DataFrame, *observed: Column, weight: int = 1) -> tuple[DataFrame, tuple]:
+    """A table of ids, hashes or links, cut and read in as many tasks as its rows ask for; and its count, then ``observed``.
+
+    A large table keeps its partitions: tasks are merged only below ``TASK_ROWS`` rows each, without a shuffle; a row that
+    the next step turns into ``weight`` rows counts as that many.
+    """
+    seen = Observation()
+    held = cut(df.observe(seen, F.count("*").alias("n"), *[c.alias(f"c{i}") for i, c in enumerate(observed)]))
+    found = (seen.get["n"], *(seen.get[f"c{i}"] for i in range(len(observed))))
+    return held.coalesce(1 + found[0] * weight // TASK_ROWS), found
+
+
 def fresh(docs: DataFrame, *names: str) -> list[str]:
     """Names for helper columns that no column of ``docs`` has, whatever its case."""
     taken, out = {c.lower() for c in docs.columns}, []

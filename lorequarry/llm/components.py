@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorequarry.session import cut
+from lorequarry.llm.common import cut_narrow
 
 
 def _counted(edges: DataFrame) -> tuple[DataFrame, tuple]:
     """The edges, cut, and what tells two rounds apart: their number and a sum of hashes, observed as they are written."""
-    seen = Observation()
-    held = cut(edges.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("hash")))
-    return held, (seen.get["n"], seen.get["hash"])
+    return cut_narrow(edges, F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")))
 
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:

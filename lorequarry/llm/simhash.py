@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorequarry.llm.common import BROADCAST_ROWS, texts, without
+from lorequarry.llm.common import BROADCAST_ROWS, cut_narrow, texts, without
 from lorequarry.llm.components import components
 from lorequarry.session import cut
 
@@ -294,14 +294,15 @@ def links(nodes: DataFrame, words: list[str], tables: list[tuple[int, int]], rea
     word = F.element_at(F.array(*words), F.element_at(constant([w + 1 for w, _ in tables], "int"), F.col("t") + 1))
     key = word.bitwiseAND(F.element_at(constant([_signed(m) for _, m in tables], "long"), F.col("t") + 1))
     columns = ["label", *words]
-    dealt = nodes.select(F.explode(F.sequence(F.lit(0), F.lit(len(tables) - 1))).alias("t"), *columns).select("t", key.alias("key"), *columns)
-    found = cut(dealt.repartition("t", "key").sortWithinPartitions("t", "key", *words).mapInArrow(_links(reach, 2, bucket), kinds).distinct())
+    dealt = nodes.select(F.explode(F.sequence(F.lit(0), F.lit(len(tables) - 1))).alias("t"), *columns)
+    keyed = lambda df: df.select("t", key.alias("key"), *columns)  # noqa: E731  keys are computed again after the shuffle, which thus moves less
+    found, _ = cut_narrow(keyed(dealt.repartition("t", key)).sortWithinPartitions("t", "key", *words).mapInArrow(_links(reach, 2, bucket), kinds).distinct())
     large = found.where("t IS NOT NULL").select("t", F.col("a").alias("key"))
     joined = found.where("t IS NULL").select("a", "b")
     if large.isEmpty():
         return joined
     # a large bucket: members are dealt into blocks of half a bucket, and every pair of blocks is a group of its own
-    hot = dealt.join(large, ["t", "key"])
+    hot = keyed(dealt).join(large, ["t", "key"])
     sized = hot.join(cut(hot.groupBy("t", "key").count()), ["t", "key"])
     blocks = F.ceil(F.col("count") / (bucket / 2))
     own = F.pmod(F.xxhash64(*words), blocks)
@@ -320,7 +321,7 @@ def near_components(nodes: DataFrame, words: list[str], radius: int, parts: int
     reach = radius if reach is None else reach
     tables = [(w, m) for w in range(len(words)) for m in masks(radius, parts // len(words))]
     first, others = tables[::EARLY], [t for k, t in enumerate(tables) if k % EARLY]
-    nodes = cut(nodes.select(F.col(words[0]).alias("label"), *words))
+    nodes, _ = cut_narrow(nodes.select(F.col(words[0]).alias("label"), *words), weight=len(tables))
     early = links(nodes, words, first, reach, bucket)
     if others:
         both = early.select(F.col("a").alias("label"), F.col("b").alias("to")).unionByName(early.select(F.col("b").alias("label"), F.col("a").alias("to")))
@@ -337,12 +338,13 @@ def similar_pairs(docs: DataFrame, nodes: DataFrame, width: int, radius: int, pa
     each group is searched by reach and sets at once.
     """
     roots = near_components(nodes.select("fp", "more").distinct(), ["fp", "more"], radius, parts, reach, bucket)
-    placed = cut(nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("g", F.coalesce("root", "fp")).select("g", "fp", "more", "node", "h", "n"))
+    placed = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("g", F.coalesce("root", "fp"))
+    placed, _ = cut_narrow(placed.select("g", "fp", "more", "node", "h", "n"))
     groups = placed.groupBy("g").agg(F.count("*").alias("of"), F.sum("n").alias("total")).where(F.col("of") > 1)
     blocks = F.greatest(F.ceil(F.col("of") / (bucket / 2)), F.ceil(F.col("total") * 8 / SET_BYTES))
-    members = cut(placed.join(groups.select("g", blocks.alias("blocks")), "g"))
-    asked = cut(members.select("h").distinct())
-    few = asked.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    members, _ = cut_narrow(placed.join(groups.select("g", blocks.alias("blocks")), "g"))
+    asked, (n,) = cut_narrow(members.select("h").distinct())
+    few = n <= BROADCAST_ROWS
     sets = docs.join(F.broadcast(asked) if few else asked, "h", "left_semi").select("text").mapInArrow(_sets(width), "node string, shingles binary")
     sets = sets.groupBy("node").agg(F.min("shingles").alias("shingles"))  # equal digests have equal sets
     # members of a large group are dealt into blocks, and every pair of blocks is a group of its own
@@ -362,12 +364,12 @@ def near_groups(docs: DataFrame, width: int = 4, radius: int = 4, parts: int = 1
     text = F.col(text_col).cast("string")
     reach = radius if reach is None else reach
     held = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("h"), text.alias("text"))
-    rows = cut(held.mapInArrow(_fingerprints(width, similarity is not None), "id long, h long, fp long" + (", more long, node string, n long" if similarity is not None else "")))
+    rows, _ = cut_narrow(held.mapInArrow(_fingerprints(width, similarity is not None), "id long, h long, fp long" + (", more long, node string, n long" if similarity is not None else "")))
     if similarity is None:
         rows = rows.withColumn("node", F.col("fp"))
         roots = near_components(rows.select("fp").distinct(), ["fp"], radius, parts, reach)
     else:
-        nodes = rows.groupBy("fp", "more", "node").agg(F.min("h").alias("h"), F.min("n").alias("n"))
+        nodes, _ = cut_narrow(rows.groupBy("fp", "more", "node").agg(F.min("h").alias("h"), F.min("n").alias("n")))
         roots = components(similar_pairs(held, nodes, width, radius, parts, reach, similarity), "a", "b")
     named = rows.groupBy("node").agg(F.min("id").alias("first")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("first").alias("component"))
@@ -383,5 +385,5 @@ def digest(docs: DataFrame) -> DataFrame:
 def near_dedup(docs: DataFrame, width: int = 5, radius: int = 4, parts: int = 4, reach: int = REACH, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document, the one with the smallest id, of each group of near-duplicates. Null ids stay."""
     found = near_groups(docs, width, radius, parts, reach, similarity, id_col, text_col)
-    gone = cut(found.where(F.col("id") != F.col("component")).select(F.col("id").alias(id_col)).distinct())
+    gone, _ = cut_narrow(found.where(F.col("id") != F.col("component")).select(F.col("id").alias(id_col)).distinct())
     return without(docs, gone, {id_col: F.col(id_col).cast("long")})
