@@ -364,12 +364,13 @@ def near_groups(docs: DataFrame, width: int = 4, radius: int = 4, parts: int = 1
     text = F.col(text_col).cast("string")
     reach = radius if reach is None else reach
     held = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("h"), text.alias("text"))
-    rows, _ = cut_narrow(held.mapInArrow(_fingerprints(width, similarity is not None), "id long, h long, fp long" + (", more long, node string, n long" if similarity is not None else "")))
+    tables = parts << radius + 1  # each fingerprint is dealt to all of them, so its rows stay in as many tasks as that asks for
+    rows, _ = cut_narrow(held.mapInArrow(_fingerprints(width, similarity is not None), "id long, h long, fp long" + (", more long, node string, n long" if similarity is not None else "")), weight=tables)
     if similarity is None:
         rows = rows.withColumn("node", F.col("fp"))
         roots = near_components(rows.select("fp").distinct(), ["fp"], radius, parts, reach)
     else:
-        nodes, _ = cut_narrow(rows.groupBy("fp", "more", "node").agg(F.min("h").alias("h"), F.min("n").alias("n")))
+        nodes, _ = cut_narrow(rows.groupBy("fp", "more", "node").agg(F.min("h").alias("h"), F.min("n").alias("n")), weight=tables)
         roots = components(similar_pairs(held, nodes, width, radius, parts, reach, similarity), "a", "b")
     named = rows.groupBy("node").agg(F.min("id").alias("first")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("first").alias("component"))
