@@ -79,3 +79,19 @@ def assemble(hits: DataFrame, queries: DataFrame, budget: int, k: int = 20) -> D
         return pd.DataFrame({"query_id": part["query_id"], "doc_id": part["doc_id"], "place": range(1, len(part) + 1), "tokens": part["tokens"]})
 
     return hits.join(queries, "query_id").groupBy("query_id").applyInPandas(one, "query_id long, doc_id long, place int, tokens long")
+
+
+def hard_cap(fragments: DataFrame, budget: int, footer: int = 0) -> DataFrame:
+    """Fragments (query_id, place, tokens, header) whose rendering stays within a budget; adds ``used`` and ``shortened``.
+
+    A fragment costs its tokens and those of its header, and the footer is paid once. The last fragments go until the rest
+    fits, so the longest fitting run of places stays; where not even the first fits, it stays alone, shortened to what
+    the budget leaves. A budget that does not hold the first header and the footer leaves nothing; null tokens count as none.
+    """
+    w = Window.partitionBy("query_id").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+    tokens, header = F.coalesce("tokens", F.lit(0)), F.coalesce("header", F.lit(0))
+    run = fragments.withColumn("used", F.sum(tokens + header).over(w) + footer)
+    first = F.row_number().over(Window.partitionBy("query_id").orderBy("place")) == 1
+    alone = first & (F.col("used") > budget) & (header + footer < budget)
+    run = run.withColumn("shortened", alone).where((F.col("used") <= budget) | F.col("shortened"))
+    return run.withColumn("tokens", F.when(F.col("shortened"), budget - footer - header).otherwise(tokens)).withColumn("used", F.least("used", F.lit(budget)))

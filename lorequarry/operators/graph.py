@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorequarry.functions.stats import hop_penalty
+from lorequarry.operators import search as S
 from lorequarry.session import cut
 
 DAMPING, ROUNDS, TOLERANCE = 0.85, 50, 1e-10
-#: Pairs of nodes up to which PageRank runs in one task; they take some ten MB.
-SMALL = 200_000
 DEPTH, NODES, FANOUT, DECAY = 2, 200, 25, 0.6
+#: Rows of a node that stand for it, and weights of the two rankings that graph search fuses.
+STAND, HYBRID_WEIGHT, GRAPH_WEIGHT = 2, 1.0, 0.7
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -30,8 +29,6 @@ def pagerank(edges: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS, t
     pairs = edges.where("src <> dst").groupBy("src", "dst").agg(F.sum("weight").alias("w"))
     out = pairs.groupBy("src").agg(F.sum("w").alias("out"))
     flows = cut(pairs.join(out, "src").select("src", "dst", (F.col("w") / F.col("out")).alias("share")))
-    if flows.limit(SMALL + 1).count() <= SMALL:
-        return _pagerank_small(flows, damping, rounds, tolerance)
     nodes = cut(flows.select(F.col("src").alias("node")).union(flows.select("dst")).distinct().join(out.select(F.col("src").alias("node"), F.lit(True).alias("gives")), "node", "left"))
     n = nodes.count()
     if not n:
@@ -50,27 +47,8 @@ def pagerank(edges: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS, t
     return rank.select("node", "rank")
 
 
-def _pagerank_small(flows: DataFrame, damping: float, rounds: int, tolerance: float) -> DataFrame:
-    """The same iteration in one task, for at most SMALL pairs: a job per round would cost more than the sums."""
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["src", "dst"])
-        nodes, at = np.unique(np.concatenate([part["src"], part["dst"]]), return_inverse=True)
-        src, dst, n = at[: len(part)], at[len(part) :], len(nodes)
-        loose, rank = np.bincount(src, minlength=n) == 0, np.full(n, 1 / n)
-        for _ in range(rounds):
-            new = (1 - damping) / n + damping * (np.bincount(dst, weights=rank[src] * part["share"].to_numpy(), minlength=n) + rank[loose].sum() / n)
-            moved, rank = np.abs(new - rank).sum(), new
-            if moved < tolerance:
-                break
-        return pd.DataFrame({"node": nodes, "rank": rank})
-
-    kind = flows.schema["src"].dataType.simpleString()
-    return flows.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(run, f"node {kind}, rank double")
-
-
-def expand(edges: DataFrame, seeds: DataFrame, depth: int = DEPTH, fanout: int = FANOUT, most: int = NODES, decay: float = DECAY) -> DataFrame:
-    """(node, score, depth): best score that reaches a node over at most ``depth`` hops.
+def expand(edges: DataFrame, seeds: DataFrame, depth: int = DEPTH, fanout: int = FANOUT, most: int = NODES, decay: float = DECAY, by: tuple[str, ...] = ()) -> DataFrame:
+    """(node, score, depth): best score that reaches a node over at most ``depth`` hops; with ``by``, for each value of those columns of the seeds.
 
     Level by level: a node's ``fanout`` heaviest edges carry ``score * decay ** (hop + 1) * weight / ln(degree + e)``; a node
     keeps its best score and travels on whenever it improves; new nodes of a level are limited to the best ``most``.
@@ -78,14 +56,18 @@ def expand(edges: DataFrame, seeds: DataFrame, depth: int = DEPTH, fanout: int =
     both = edges.select("rid", F.col("src").alias("node"), F.col("dst").alias("other"), "weight").unionByName(edges.select("rid", F.col("dst").alias("node"), F.col("src").alias("other"), "weight")).where("node <> other")
     heavy = Window.partitionBy("node").orderBy(F.desc("weight"), "other")
     step = cut(both.withColumn("r", F.row_number().over(heavy)).where(F.col("r") <= fanout).join(degrees(edges).withColumnRenamed("node", "other"), "other").select("node", "other", (F.col("weight") * hop_penalty(F.col("degree"))).alias("factor")))
-    found = cut(seeds.groupBy("node").agg(F.max("score").alias("score")).withColumn("depth", F.lit(0)))
+    keys = [*by, "node"]
+    fresh = Window.partitionBy(*by).orderBy(F.desc("new"), "node")
+    found = cut(seeds.groupBy(*keys).agg(F.max("score").alias("score")).withColumn("depth", F.lit(0)))
     front = found
     for hop in range(depth):
-        sent = front.join(step, "node").groupBy(F.col("other").alias("node")).agg(F.max(F.col("score") * decay ** (hop + 1) * F.col("factor")).alias("new"))
-        met = sent.join(found.select("node", F.col("score").alias("old")), "node", "left").where("new > coalesce(old, 0)")
-        kept = met.where("old IS NOT NULL").select("node", F.col("new").alias("score")).unionByName(met.where("old IS NULL").orderBy(F.desc("new"), "node").limit(most).select("node", F.col("new").alias("score")))
+        sent = front.join(step, "node").groupBy(*by, F.col("other").alias("node")).agg(F.max(F.col("score") * decay ** (hop + 1) * F.col("factor")).alias("new"))
+        met = sent.join(found.select(*keys, F.col("score").alias("old")), keys, "left").where("new > coalesce(old, 0)")
+        first = met.where("old IS NULL")
+        first = first.withColumn("r", F.row_number().over(fresh)).where(F.col("r") <= most) if by else first.orderBy(F.desc("new"), "node").limit(most)
+        kept = met.where("old IS NOT NULL").select(*keys, F.col("new").alias("score")).unionByName(first.select(*keys, F.col("new").alias("score")))
         front = cut(kept.withColumn("depth", F.lit(hop + 1)))
-        found = cut(found.join(front.select("node"), "node", "left_anti").unionByName(front))
+        found = cut(found.join(front.select(*keys), keys, "left_anti").unionByName(front))
     return found
 
 
@@ -93,3 +75,25 @@ def upsert(rows: DataFrame) -> DataFrame:
     """One row per id: largest weight and confidence, first summary that is not null by order of arrival."""
     summary = F.min_by("summary", F.when(F.col("summary").isNotNull(), F.col("seq")))
     return rows.groupBy("id").agg(F.max("weight").alias("weight"), F.max("confidence").alias("confidence"), summary.alias("summary"))
+
+
+def stand_ins(mentions: DataFrame, most: int = STAND) -> DataFrame:
+    """(node, doc_id): the ``most`` heaviest documents of each node of mentions (node, doc_id, weight); ties go to the smaller id."""
+    w = Window.partitionBy("node").orderBy(F.desc("weight"), "doc_id")
+    return mentions.withColumn("r", F.row_number().over(w)).where(F.col("r") <= most).select("node", "doc_id")
+
+
+def search(base: DataFrame, mentions: DataFrame, edges: DataFrame, seeds: int, more: DataFrame | None = None) -> DataFrame:
+    """(query_id, doc_id, score, matched_by): a ranking and what a graph reaches from its first hits, fused.
+
+    ``base`` is (query_id, doc_id, rank). Nodes that the first ``seeds`` hits mention start the expansion at 1 / rank; nodes that
+    it reaches are stood in for by documents, of ``mentions`` and ``more``, ranked by the best score of their nodes. Both rankings are fused by reciprocal
+    ranks at the weights 1.0 and 0.7. A hit without a node, and a node without documents, add nothing; no hits give no rows.
+    """
+    hits = base.select("query_id", "doc_id", "rank")
+    start = hits.where(F.col("rank") <= seeds).join(mentions.select("node", "doc_id"), "doc_id").select("query_id", "node", (1.0 / F.col("rank")).alias("score"))
+    reached = expand(edges, start, by=("query_id",)).where("depth > 0")
+    found = reached.join(stand_ins(mentions if more is None else mentions.unionByName(more)), "node").groupBy("query_id", "doc_id").agg(F.round(F.max("score"), 9).alias("score"))
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
+    graph = found.select("query_id", "doc_id", F.row_number().over(w).alias("rank"), F.lit("graph").alias("source"))
+    return S.rrf(hits.withColumn("source", F.lit("hybrid")).unionByName(graph), {"hybrid": HYBRID_WEIGHT, "graph": GRAPH_WEIGHT})

@@ -68,6 +68,18 @@ def ranked(scored: DataFrame, k: int, by: str = "query_id", item: str = "doc_id"
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def at_least(hits: DataFrame, min_score: float) -> DataFrame:
+    """Hits whose score reaches ``min_score``; ranks are those of the whole ranking, and a null score does not reach it."""
+    return hits.where(F.col("score") >= min_score)
+
+
+def scope(said: Column) -> Column:
+    """A struct (kind, project) of a stated scope: ``all``, ``project:`` and a name, or else the current project."""
+    named = F.startswith(said, F.lit("project:"))
+    kind = F.when(said == "all", F.lit("all")).when(named, F.lit("project")).otherwise(F.lit("current"))
+    return F.struct(kind.alias("kind"), F.when(named, F.substring(said, 9, 1 << 30)).alias("project"))
+
+
 def _blocks(queries: DataFrame) -> list[DataFrame]:
     """The queries in blocks of about half of QUERIES, dealt by a hash of their ids."""
     blocks = max(1, -(-2 * queries.count() // QUERIES))

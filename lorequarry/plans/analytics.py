@@ -24,7 +24,7 @@ both("concepts_two_levels", """WITH c AS (SELECT DISTINCT l_orderkey AS doc, l_p
 both("size_by_category", "SELECT lang AS category, count(*) AS files, CAST(sum(n_chars) AS BIGINT) AS bytes, max(n_chars) AS largest, max_by(doc_id, n_chars * 1000000 + doc_id) AS largest_doc, count(CASE WHEN n_chars > 20000 THEN 1 END) AS oversized FROM {documents} GROUP BY lang")
 both("size_projection", "SELECT count(*) AS chunks, count(*) * (180 + 64) + count(*) * 60 AS projected, count(*) * (180 + 64) + count(*) * 60 > 1000000 AS refused FROM {documents}")
 both("manifest_counts", "SELECT (SELECT count(*) FROM {documents}) AS documents, (SELECT count(*) FROM {embeddings}) AS vectors, (SELECT count(*) FROM {conversations}) AS turns, (SELECT count(*) FROM {pages}) AS pages")
-both("baseline_tokens", "SELECT lang, coalesce(CAST(sum(n_chars) AS BIGINT), 0) AS baseline FROM {documents} WHERE doc_id % 3 = 0 GROUP BY lang")
+both("baseline_tokens", "SELECT lang, coalesce(CAST(sum(n_chars) AS BIGINT), 0) AS baseline FROM {documents} GROUP BY lang")
 both("status_counts", "SELECT o_orderstatus AS status, count(*) AS n FROM {orders} GROUP BY o_orderstatus")
 both("calls_by_tool", "SELECT event_type AS tool, count(*) AS calls, round(sum(value), 2) AS tokens, count(CASE WHEN value < 1 THEN 1 END) AS degraded, max_by(user_id, event_id) AS last_client FROM {events} GROUP BY event_type")
 both("tool_p50_p95", "SELECT event_type AS tool, round(percentile_cont(0.5) WITHIN GROUP (ORDER BY value), 4) AS p50, round(percentile_cont(0.95) WITHIN GROUP (ORDER BY value), 4) AS p95, count(*) AS n FROM {events} GROUP BY event_type")

@@ -69,3 +69,19 @@ def rendered_context(spark, sf_dir):
     """Markdown of a conversation's turns; conversations in this table are at most a few turns long."""
     part = F.format_string("## [%d] %s\n%s", "turn", "role", "text")
     return read_table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", part.alias("part")))), lambda x: x["part"]), "\n").alias("markdown"))
+
+
+_TOKENS = r"CAST(coalesce(list_sum(list_transform(regexp_extract_all(coalesce({}, ''), '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_\s]'), lambda t: CASE WHEN length(t) <= 4 THEN 1 ELSE CAST(ceil(length(t) / 4.0) AS BIGINT) END)), 0) AS BIGINT)"
+
+
+@query("hard_cap", f"""WITH {BM25_SQL}, h AS (SELECT query_id, doc_id, rank, {_TOKENS.format("text")} AS tokens, {_TOKENS.format("'## [' || rank || '] ' || source || '/' || doc_id || '.md'")} AS header FROM kr JOIN d USING (doc_id) WHERE rank <= 20),
+    u AS (SELECT *, sum(tokens + header) OVER (PARTITION BY query_id ORDER BY rank ROWS UNBOUNDED PRECEDING) + 20 AS used FROM h)
+    SELECT query_id, doc_id, CAST(rank AS INTEGER) AS place, CAST(CASE WHEN used > 1500 THEN 1480 - header ELSE tokens END AS BIGINT) AS tokens, CAST(least(used, 1500) AS BIGINT) AS used, used > 1500 AS shortened
+    FROM u WHERE used <= 1500 OR (rank = 1 AND header + 20 < 1500)""")
+def hard_cap(spark, sf_dir):
+    """Keyword hits in order of rank, with the headers and the footer that their rendering has, under 1500 tokens."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    hits = keyword(spark, sf_dir, 20).join(docs, "doc_id")
+    header = T.token_count(F.format_string("## [%d] %s/%d.md", "rank", "source", "doc_id"))
+    rows = hits.select("query_id", "doc_id", F.col("rank").alias("place"), T.token_count(F.col("text")).alias("tokens"), header.alias("header"))
+    return C.hard_cap(rows, 1500, 20).drop("header").select("query_id", "doc_id", "place", F.col("tokens").cast("long").alias("tokens"), F.col("used").cast("long").alias("used"), "shortened")

@@ -46,7 +46,7 @@ def notations(spark, sf_dir):
     """Each document's first line in one of five notations, by its id."""
     docs, k = read_table(spark, sf_dir, "documents"), F.col("doc_id") % 5
     name = F.concat(F.lit("part_"), F.col("doc_id").cast("string"))
-    said = F.to_json(F.array(F.substring(F.substring_index("text", "\n", 1), 1, 40)))
+    said = F.to_json(F.array(F.substring_index("text", "\n", 1)))
     texts = {
         "python": F.concat(F.lit("import os\n\nclass A:\n    def "), name, F.lit("(self):\n        return "), said, F.lit("\n\ndef last():\n    return 1\n")),
         "markdown": F.concat(F.lit("# Title\n\n```\n# not\n```\n## "), name, F.lit("\n"), said, F.lit("\nSet\n===\nend")),
@@ -120,7 +120,7 @@ def masked_echo(spark, sf_dir):
     """Words of queries that look random come back as a preview only."""
     from lorequarry.functions.stats import looks_random
 
-    word = F.explode(F.split(F.concat(F.substring("text", 1, 60), F.lit(" "), F.substring(F.sha2("text", 256), 1, 20)), " ")).alias("w")
+    word = F.explode(F.split(F.concat("text", F.lit(" "), F.substring(F.sha2("text", 256), 1, 20)), " ")).alias("w")
     words = read_table(spark, sf_dir, "benchmark").select("item_id", word)
     return words.select("item_id", F.when(looks_random(F.col("w")), F.concat(F.substring("w", 1, 4), F.lit("…"), F.substring("w", -4, 4))).otherwise(F.col("w")).alias("shown"))
 

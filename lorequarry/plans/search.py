@@ -68,6 +68,27 @@ def keyword_weighted(spark, sf_dir):
     return S.ranked(S.bm25_fields(docs, S.query_terms(queries_of(spark, sf_dir)), {"text": 1.0, "heading": 4.0, "source": 0.5}), 10).select("query_id", "doc_id", "rank")
 
 
+@query("keyword_min_score", f"WITH {BM25_SQL} SELECT query_id, doc_id, CAST(rank AS INTEGER) AS rank FROM kr WHERE rank <= 10 AND score >= 8")
+def keyword_min_score(spark, sf_dir):
+    return S.at_least(keyword(spark, sf_dir), 8.0).select("query_id", "doc_id", "rank")
+
+
+@query("scoped_counts", """WITH s AS (SELECT doc_id, coalesce(source, '') AS own, CASE doc_id % 3 WHEN 0 THEN 'all' WHEN 1 THEN 'project:' || lang ELSE 'here' END AS said FROM documents),
+    k AS (SELECT *, CASE WHEN said = 'all' THEN '*' WHEN said LIKE 'project:%' THEN replace(said, 'project:', 'l/') ELSE 's/' || own END AS p FROM s),
+    n AS (SELECT '*' AS p, count(*) AS docs FROM documents UNION ALL SELECT 'l/' || lang, count(*) FROM documents GROUP BY lang UNION ALL SELECT 's/' || source, count(*) FROM documents GROUP BY source)
+    SELECT k.doc_id, CASE left(k.p, 1) WHEN '*' THEN 'all' WHEN 'l' THEN 'project' ELSE 'current' END AS kind, n.docs FROM k JOIN n USING (p)""")
+def scoped_counts(spark, sf_dir):
+    """Per document, how many documents the scope that it states admits: all, those of a language, or those of its source."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", F.coalesce("source", F.lit("")).alias("source"), "lang")
+    k = F.col("doc_id") % 3
+    said = F.when(k == 0, F.lit("all")).when(k == 1, F.concat(F.lit("project:"), "lang")).otherwise(F.lit("here"))
+    asked = docs.select("doc_id", "source", S.scope(said).alias("s")).select("doc_id", "s.kind", F.when(F.col("s.kind") == "current", F.col("source")).otherwise(F.col("s.project")).alias("name"))
+    kinds = F.explode(F.array(F.struct(F.lit("all").alias("kind"), F.lit(None).cast("string").alias("name")), F.struct(F.lit("project").alias("kind"), F.col("lang").alias("name")), F.struct(F.lit("current").alias("kind"), F.col("source").alias("name"))))
+    sizes = docs.select(kinds.alias("x")).groupBy("x.kind", "x.name").agg(F.count("*").alias("docs"))
+    met = (asked["kind"] == sizes["kind"]) & asked["name"].eqNullSafe(sizes["name"])
+    return asked.join(sizes, met).select("doc_id", asked["kind"], "docs")
+
+
 @query("prefix_terms", """WITH d AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'))) AS t FROM documents),
     q AS (SELECT item_id AS query_id, list_last(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS term FROM benchmark)
     SELECT query_id, substr(term, 1, 4) AS prefix, count(DISTINCT doc_id) AS docs FROM q JOIN d ON substr(t, 1, 4) = substr(term, 1, 4) WHERE length(term) >= 4 GROUP BY ALL""")
@@ -87,7 +108,7 @@ VECTOR_SQL = f"""
 
 
 def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A stated set of twenty query vectors against all rows."""
+    """Every fiftieth vector as a query against all rows."""
     return read_table(spark, sf_dir, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
 
 

@@ -127,9 +127,9 @@ def tool_category(spark, sf_dir):
     return read_table(spark, sf_dir, "events").select("event_id", F.when(e == "view", "read").when(e == "click", "search").otherwise("other").alias("category"))
 
 
-@query("clean_subjects", r"SELECT doc_id, trim(regexp_replace(regexp_replace(trim('fix(' || lang || '): ' || substr(split_part(text, chr(10), 1), 1, 40) || ' (DOC-' || doc_id || ')'), '^[a-z]+(\([^)]*\))?!?:\s*', ''), '\s*\([A-Z]+-[0-9]+\)\s*$', '')) AS subject FROM documents")
+@query("clean_subjects", r"SELECT doc_id, trim(regexp_replace(regexp_replace(trim('fix(' || lang || '): ' || split_part(text, chr(10), 1) || ' (DOC-' || doc_id || ')'), '^[a-z]+(\([^)]*\))?!?:\s*', ''), '\s*\([A-Z]+-[0-9]+\)\s*$', '')) AS subject FROM documents")
 def clean_subjects(spark, sf_dir):
-    s = F.concat(F.lit("fix("), "lang", F.lit("): "), F.substring(F.substring_index("text", "\n", 1), 1, 40), F.lit(" (DOC-"), F.col("doc_id").cast("string"), F.lit(")"))
+    s = F.concat(F.lit("fix("), "lang", F.lit("): "), F.substring_index("text", "\n", 1), F.lit(" (DOC-"), F.col("doc_id").cast("string"), F.lit(")"))
     return docs(spark, sf_dir).select("doc_id", T.clean_subject(s).alias("subject"))
 
 

@@ -19,9 +19,7 @@ def plain_rank(edges, damping=0.85):
     return rank
 
 
-@pytest.mark.parametrize("small", [0, 1000])
-def test_pagerank_equals_a_plain_loop(spark, monkeypatch, small):
-    monkeypatch.setattr(graph, "SMALL", small)
+def test_pagerank_equals_a_plain_loop(spark):
     edges = [(1, 2, 1.0), (2, 3, 2.0), (3, 1, 1.0), (1, 3, 0.5), (4, 1, 1.0), (3, 5, 1.0)]
     got = {r.node: r.rank for r in graph.pagerank(spark.createDataFrame(edges, "src long, dst long, weight double"), rounds=50).collect()}
     want = plain_rank(edges)
@@ -162,3 +160,35 @@ def test_stable_write(spark, tmp_path):
     assert files.stable_write(rows, path, ("at",))
     assert not files.stable_write(rows.withColumn("at", F.lit(9)), path, ("at",))
     assert files.stable_write(rows.where("id = 1"), path, ("at",)) and spark.read.parquet(path).count() == 1
+
+
+def test_expand_keeps_queries_apart(spark):
+    edges = spark.createDataFrame([("a", 1, 2, 1.0), ("b", 3, 4, 1.0)], "rid string, src long, dst long, weight double")
+    seeds = spark.createDataFrame([(10, 1, 1.0), (11, 3, 1.0)], "query_id long, node long, score double")
+    out = {(r.query_id, r.node) for r in graph.expand(edges, seeds, by=("query_id",)).collect()}
+    assert out == {(10, 1), (10, 2), (11, 3), (11, 4)}
+
+
+def test_graph_search_adds_what_the_graph_reaches(spark):
+    base = spark.createDataFrame([(1, 100, 1), (1, 101, 2)], "query_id long, doc_id long, rank int")
+    mentions = spark.createDataFrame([("a", 100, 5), ("b", 200, 1), ("b", 201, 3), ("b", 202, 2)], "node string, doc_id long, weight int")
+    edges = spark.createDataFrame([("e", "a", "b", 1.0)], "rid string, src string, dst string, weight double")
+    out = {r.doc_id: (r.score, r.matched_by) for r in graph.search(base, mentions, edges, 1).collect()}
+    assert out.keys() == {100, 101, 201, 202}
+    assert out[100] == (pytest.approx(1 / 61, abs=1e-8), "hybrid") and out[201] == (pytest.approx(0.7 / 61, abs=1e-8), "graph")
+    assert graph.search(base.limit(0), mentions, edges, 1).count() == 0
+
+
+@pytest.mark.parametrize("budget, kept", [(100, [(1, 40, False), (2, 30, False)]), (30, [(1, 15, True)]), (15, []), (1000, [(1, 40, False), (2, 30, False), (3, None, False)])])
+def test_hard_cap_counts_headers_and_footer(spark, budget, kept):
+    rows = spark.createDataFrame([(1, 1, 40, 10), (1, 2, 30, 10), (1, 3, None, 10)], "query_id long, place int, tokens long, header long")
+    out = [(r.place, r.tokens, r.shortened) for r in context.hard_cap(rows, budget, 5).orderBy("place").collect()]
+    assert out == [(p, t or 0, s) for p, t, s in kept]
+
+
+def test_min_score_and_scope(spark):
+    hits = spark.createDataFrame([(1, 0.5), (2, 0.4), (3, None)], "doc_id long, score double")
+    assert [r.doc_id for r in S.at_least(hits, 0.5).collect()] == [1]
+    said = spark.createDataFrame([("all",), ("project:a:b",), ("project:",), ("current",), ("other",), (None,)], "said string")
+    got = [tuple(r.s) for r in said.select(S.scope(F.col("said")).alias("s")).collect()]
+    assert got == [("all", None), ("project", "a:b"), ("project", ""), ("current", None), ("current", None), ("current", None)]

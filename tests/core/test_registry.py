@@ -29,7 +29,7 @@ def oracle():
 
 
 #: One query of each plan module; the whole list is compared by the driver.
-SOME = ("keyword_bm25", "hybrid_rerank", "eval_hit_mrr_ndcg", "token_count", "content_id", "ready_queue", "link_with_fallback", "snapshot_diff", "tool_p50_p95", "gap_attribution", "graph_upsert", "security_findings", "redaction_counts", "literal_dedup", "task_score", "cron_next_fire", "snapshot_changes", "command_classes", "language_by_extension", "folded_search", "vector_topk", "vector_filtered", "intent_detect", "verdict_per_file", "session_windows", "stream_daily_counts", "json_log_roundtrip")
+SOME = ("keyword_bm25", "hybrid_rerank", "eval_hit_mrr_ndcg", "token_count", "content_id", "ready_queue", "link_with_fallback", "snapshot_diff", "tool_p50_p95", "gap_attribution", "graph_upsert", "security_findings", "redaction_counts", "literal_dedup", "task_score", "cron_next_fire", "snapshot_changes", "command_classes", "language_by_extension", "folded_search", "vector_topk", "vector_filtered", "intent_detect", "verdict_per_file", "session_windows", "stream_daily_counts", "json_log_roundtrip", "graph_search", "hard_cap", "keyword_min_score", "scoped_counts", "clean_subjects", "parsed_nodes", "neighbors_two_way", "baseline_tokens")
 
 
 @pytest.mark.parametrize("name", SOME)
