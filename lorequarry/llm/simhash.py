@@ -356,7 +356,7 @@ def similar_pairs(docs: DataFrame, nodes: DataFrame, width: int, radius: int, pa
 
 
 def near_groups(docs: DataFrame, width: int = 4, radius: int = 4, parts: int = 1, reach: int | None = None, similarity: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row of ``docs``: id, fp, component (the smallest id reachable over links).
+    """Per row of ``docs``: id, h (a hash of its text), fp, component (the smallest id reachable over links).
 
     Fingerprints of 64 bits link within the reach (the radius, if none is given). With a ``similarity`` they have 128 bits,
     and links also need that Jaccard similarity of their shingle sets.
@@ -374,7 +374,7 @@ def near_groups(docs: DataFrame, width: int = 4, radius: int = 4, parts: int = 1
         roots = components(similar_pairs(held, nodes, width, radius, parts, reach, similarity), "a", "b")
     named = rows.groupBy("node").agg(F.min("id").alias("first")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("first").alias("component"))
-    return rows.select("id", "fp", "node").join(named.join(least, "root").select("node", "component"), "node").select("id", "fp", "component")
+    return rows.select("id", "h", "fp", "node").join(named.join(least, "root").select("node", "component"), "node").select("id", "h", "fp", "component")
 
 
 def digest(docs: DataFrame) -> DataFrame:
@@ -384,7 +384,10 @@ def digest(docs: DataFrame) -> DataFrame:
 
 
 def near_dedup(docs: DataFrame, width: int = 5, radius: int = 4, parts: int = 4, reach: int = REACH, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document, the one with the smallest id, of each group of near-duplicates. Null ids stay."""
+    """``docs`` with one document, the one with the smallest id, of each group of near-duplicates. Null ids stay.
+
+    Rows leave by id and text, so that an id which repeats with another text keeps the rows that have no duplicate.
+    """
     found = near_groups(docs, width, radius, parts, reach, similarity, id_col, text_col)
-    gone, _ = cut_narrow(found.where(F.col("id") != F.col("component")).select(F.col("id").alias(id_col)).distinct())
-    return without(docs, gone, {id_col: F.col(id_col).cast("long")})
+    gone, _ = cut_narrow(found.where(F.col("id") != F.col("component")).select("id", "h").distinct())
+    return without(docs, gone, {"id": F.col(id_col).cast("long"), "h": F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))})

@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorequarry.session import cut
@@ -35,11 +35,11 @@ SLACK = 0.5
 _EXACT = 1 << 53
 
 
-def quantised(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(id, vec) of the rows that take part: integers floor(256 x) in vectors of the commonest length."""
+def quantised(rows: DataFrame, id_col: str, vector_col: str, *more: Column) -> DataFrame:
+    """(id, vec) and ``more`` of the rows that take part: integers floor(256 x) in vectors of the commonest length."""
     x = F.col(vector_col)
     sound = x.isNotNull() & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v.cast("double")) & (F.abs(v.cast("double")) < float("inf")))
-    good = rows.where(sound).select(F.col(id_col).cast("long").alias("id"), F.transform(x, lambda v: F.floor(v.cast("double") * 256).cast("long")).alias("vec"))
+    good = rows.where(sound).select(F.col(id_col).cast("long").alias("id"), F.transform(x, lambda v: F.floor(v.cast("double") * 256).cast("long")).alias("vec"), *more)
     size = good.groupBy(F.size("vec").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
     return good.where(F.size("vec") == (size.n if size else 0))
 
@@ -141,8 +141,11 @@ def chained(points: np.ndarray) -> np.ndarray:
     return place
 
 
-def top_k(rows: DataFrame, queries, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding", pivots: int | None = None) -> DataFrame:
-    """(query_id, rank, vec_id, score): for each row for which ``queries`` (a column over ``id``) holds, its k best others."""
+def dealt(rows: DataFrame, queries, k: int, id_col: str, vector_col: str, pivots: int | None) -> tuple[DataFrame, DataFrame, int]:
+    """Queries (row, id, vec, grp, block), the rows that each group needs (grp, block, id, vec), and the dimension.
+
+    Every group's rows are dealt into ``ceil(rows / BLOCK)`` blocks, and its queries meet each of them.
+    """
     good = quantised(rows, id_col, vector_col)
     pivots = pivots or min(max(math.isqrt(good.count()), PIVOTS[0]), PIVOTS[1])
     found = good.orderBy(F.xxhash64("id", "vec")).limit(pivots).select("vec").collect()  # a bounded sample; any pivots give exact results
@@ -161,11 +164,11 @@ def top_k(rows: DataFrame, queries, k: int = K, id_col: str = "vec_id", vector_c
     size, grp, first = max(GROUP_QUERIES, math.ceil(2 * total / GROUPS)), 0, {}
     held, parts = 0, {}
     for c in chain.tolist():
-        n = of_cell.get(c, 0)
-        if held and held + n > size:
+        of = of_cell.get(c, 0)
+        if held and held + of > size:
             grp, held = grp + 1, 0
-        first[c], parts[c] = grp, max(1, math.ceil(n / size))
-        held += n
+        first[c], parts[c] = grp, max(1, math.ceil(of / size))
+        held += of
         if parts[c] > 1:
             grp, held = grp + parts[c], 0
     table = F.create_map(*[F.lit(int(x)) for c in chain.tolist() for x in (c, first[c])])
@@ -173,12 +176,19 @@ def top_k(rows: DataFrame, queries, k: int = K, id_col: str = "vec_id", vector_c
     spread_ = F.pmod(F.xxhash64("row"), F.element_at(split, F.col("cell")))
     grouped = cut(asked.select("row", "id", "vec", (F.element_at(table, F.col("cell")) + spread_).cast("int").alias("grp")))
     needs = grouped.mapInArrow(_needs(points, cells, distances, [r.id for r in summary], k), "grp int, cell int, least double").groupBy("grp", "cell").agg(F.min("least").alias("least"))
-    bounds = {(r.grp, r.cell): r.least for r in needs.collect()}  # a number per group and pivot
-    groups = np.array(sorted({g for g, _ in bounds}), dtype=int)
-    least = np.array([[bounds[g, c] for c in range(len(points))] for g in groups.tolist()], dtype=float).reshape(len(groups), len(points))
+    bounds = needs.toArrow()  # a number per group and pivot: at most GROUPS x PIVOTS[1] of them, 32 MB
+    groups, place = np.unique(bounds.column("grp").to_numpy(), return_inverse=True)
+    least = np.full((len(groups), len(points)), -np.inf)
+    least[place, bounds.column("cell").to_numpy()] = bounds.column("least").to_numpy()
     blocks = max(1, math.ceil(n / BLOCK))
     sent = placed.mapInArrow(_replicate(least, groups, blocks), "grp int, block long, id long, vec array<long>")
     met = grouped.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    return met, sent, dim
+
+
+def top_k(rows: DataFrame, queries, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding", pivots: int | None = None) -> DataFrame:
+    """(query_id, rank, vec_id, score): for each row for which ``queries`` (a column over ``id``) holds, its k best others."""
+    met, sent, dim = dealt(rows, queries, k, id_col, vector_col, pivots)
     local = met.groupBy("grp", "block").cogroup(sent.groupBy("grp", "block")).applyInArrow(_solve(dim, k), "row long, query_id long, vec_id long, score long")
     best = Window.partitionBy("row").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"))
     return local.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

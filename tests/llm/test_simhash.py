@@ -228,3 +228,9 @@ def test_near_dedup_edges(spark):
     assert out.columns == docs.columns
     assert sorted(((r.doc_id, r.gone_0) for r in out.collect()), key=str) == sorted([(4, 1), (7, 1), (7, 2), (11, 1), (None, 1)], key=str)
     assert s.near_dedup(docs.limit(0)).count() == 0
+
+
+def test_near_dedup_drops_rows_by_id_and_text(spark):
+    rows = [(1, "one and the same text here"), (2, "one and the same text here"), (2, "a thing that no other row says at all")]
+    out = s.near_dedup(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(tuple, out.collect())) == [rows[0], rows[2]]

@@ -65,3 +65,13 @@ def test_rows_of_one_id_are_dealt_to_all_blocks():
     batch = pa.RecordBatch.from_arrays([pa.array([7] * n), pa.array([[1, 2]] * n), pa.array([0] * n, pa.int32()), pa.array([1.0] * n)], ["id", "vec", "cell", "d"])
     sent = [b for out in t._replicate(np.array([[0.0]]), np.array([0]), 3)([batch]) for b in out.column(1).to_pylist()]
     assert sorted(map(sent.count, range(3))) == [200, 200, 200]
+
+
+def test_no_worker_takes_more_than_a_block(spark, monkeypatch):
+    monkeypatch.setattr(t, "BLOCK", 100)
+    rng = random.Random(1)
+    rows = spark.createDataFrame([(i, [rng.gauss(0, 1) for _ in range(4)]) for i in range(2000)], "vec_id long, embedding array<double>").repartition(3)
+    met, sent, _ = t.dealt(rows, t.F.col("id") % 50 == 0, 5, "vec_id", "embedding", None)
+    assert met.select("block").distinct().count() == math.ceil(2000 / 100)
+    largest = sent.groupBy("grp", "block").count().agg(t.F.max("count")).first()[0]
+    assert 0 < largest <= 110
