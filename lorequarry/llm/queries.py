@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lorequarry.llm import chat, exact_dedup, packing, pieces, quality, secret_scan, simhash, topk, urlfilter, warc
+from lorequarry.llm import chat, exact_dedup, hardneg, packing, pieces, quality, secret_scan, simhash, topk, urlfilter, warc
 from lorequarry.session import read_table
 
 QUERIES = {
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_warc": lambda spark, sf_dir: warc.digest(spark, read_table(spark, sf_dir, "pages")),
     "op9_secret_scan": lambda spark, sf_dir: secret_scan.scan(read_table(spark, sf_dir, "documents")),
     "op10_chat_format": lambda spark, sf_dir: chat.digest(spark, read_table(spark, sf_dir, "conversations")),
+    "op12_hard_negatives": lambda spark, sf_dir: hardneg.digest(read_table(spark, sf_dir, "embeddings")),
 }
 
 ORACLES = {
@@ -47,4 +48,14 @@ ORACLES = {
                sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
                CAST(sum(length('<|im_start|>' || role || chr(10) || body || '<|im_end|>' || chr(10))) AS BIGINT) AS formatted_chars
         FROM escaped GROUP BY conv_id""",
+    "op12_hard_negatives": """
+        WITH g AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+                   FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT a.vec_id AS anchor_id, a.label = c.label AS same, c.vec_id, CAST(list_sum(list_transform(list_zip(a.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+              FROM g a JOIN g c ON a.vec_id <> c.vec_id WHERE a.vec_id % 50 = 0),
+        p AS (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS r FROM s WHERE same),
+        n AS (SELECT p.anchor_id, p.vec_id AS positive_id, p.score AS positive_score, s.vec_id AS negative_id, s.score AS negative_score,
+                     CAST(row_number() OVER (PARTITION BY p.anchor_id, p.vec_id ORDER BY s.score DESC, s.vec_id) AS INTEGER) AS rank
+              FROM p JOIN s USING (anchor_id) WHERE p.r <= 5 AND NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score)
+        SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3""",
 }
