@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lorequarry.llm import chat, exact_dedup, hardneg, packing, pieces, quality, secret_scan, simhash, topk, urlfilter, warc
+from lorequarry.llm import chat, exact_dedup, hardneg, packing, pieces, pst, quality, secret_scan, simhash, topk, urlfilter, warc
 from lorequarry.session import read_table
 
 QUERIES = {
@@ -17,6 +17,7 @@ QUERIES = {
     "op9_secret_scan": lambda spark, sf_dir: secret_scan.scan(read_table(spark, sf_dir, "documents")),
     "op10_chat_format": lambda spark, sf_dir: chat.digest(spark, read_table(spark, sf_dir, "conversations")),
     "op12_hard_negatives": lambda spark, sf_dir: hardneg.digest(read_table(spark, sf_dir, "embeddings")),
+    "op13_lm_scoring": lambda spark, sf_dir: pst.digest(read_table(spark, sf_dir, "documents")),
 }
 
 ORACLES = {
