@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,6 +23,24 @@ WORK_PREFIX = r"(^|/)(task|tasks|backlog|stories|planning)/"
 TEST_PREFIX = r"(^|/)(tests|test|spec|specs|__tests__)/"
 
 
+def _marks() -> tuple[str, str]:
+    """Letters that decompose into one letter and combining marks, and those letters, over the Latin and Greek-extended blocks."""
+    marked, plain = "", ""
+    for code in (*range(0xC0, 0x250), *range(0x1E00, 0x2000)):
+        first, *rest = unicodedata.normalize("NFD", chr(code))
+        if rest and all(unicodedata.combining(c) for c in rest):
+            marked, plain = marked + chr(code), plain + first
+    return marked, plain
+
+
+MARKED, PLAIN = _marks()
+
+
+def folded(text: Column) -> Column:
+    """Text without diacritics: composed letters become their base letter, combining marks go."""
+    return F.regexp_replace(F.translate(text, MARKED, PLAIN), r"\p{M}+", "")
+
+
 def words(text: Column) -> Column:
     """Lower-cased runs of letters and digits."""
     return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))

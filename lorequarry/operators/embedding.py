@@ -1,4 +1,8 @@
-"""Deterministic hashing vectors: no model and no network, for tests of what stands around an embedder."""
+"""Deterministic hashing vectors: no model and no network.
+
+``embed`` hashes with BLAKE2b in Arrow batches. ``Hashing`` is an embedder for search: documents and queries go through the
+same Columns, hashed with MD5, so nothing leaves the JVM and SQL can state the same vectors.
+"""
 
 from __future__ import annotations
 
@@ -35,3 +39,31 @@ def embed(docs: DataFrame, dims: int) -> DataFrame:
     rows = docs.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("hash"), "text")
     vectors = rows.groupBy("hash").agg(F.first("text").alias("text")).select("hash", F.pandas_udf(run, "array<float>")("text").alias("vector"))
     return rows.drop("text").join(vectors, "hash").select("doc_id", "hash", "vector")
+
+
+class Hashing:
+    """Embeds rows (an id column and ``text``): a word adds 1 and 0.5 in two slots, a pair of neighbours 0.75; of length one."""
+
+    def __init__(self, dims: int = 64):
+        self.dims = dims
+
+    def documents(self, docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
+        """(vec_id, embedding); a null or blank text has its first slot alone, repeated ids add up."""
+        words = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"\s+"), lambda w: w != "")
+        number = lambda t: F.conv(F.substring(F.md5(t), 1, 15), 16, 10).cast("long")
+        held = docs.select(F.col(id_col).alias("vec_id"), words.alias("words"))
+        one = held.select("vec_id", F.explode("words").alias("t")).groupBy("vec_id", "t").agg(F.count("*").alias("n")).select("vec_id", "n", number(F.col("t")).alias("h"))
+        slots = F.explode(F.array(F.struct(F.pmod("h", F.lit(self.dims)).alias("slot"), (F.col("n") * 1.0).alias("w")), F.struct(F.pmod(F.shiftright("h", 16), F.lit(self.dims)).alias("slot"), (F.col("n") * 0.5).alias("w")))).alias("x")
+        pair = F.zip_with("words", F.slice("words", F.lit(2), F.greatest(F.size("words") - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
+        two = held.where(F.size("words") > 1).select("vec_id", F.explode(F.slice(pair, F.lit(1), F.size("words") - 1)).alias("t")).select("vec_id", F.pmod(number(F.col("t")), F.lit(self.dims)).alias("slot"), F.lit(0.75).alias("w"))
+        none = held.where(F.size("words") == 0).select("vec_id", F.lit(0).cast("long").alias("slot"), F.lit(1.0).alias("w"))
+        summed = one.select("vec_id", slots).select("vec_id", "x.slot", "x.w").unionByName(two).unionByName(none).groupBy("vec_id", "slot").agg(F.sum("w").alias("w"))
+        # at most ``dims`` entries a row
+        sparse = summed.groupBy("vec_id").agg(F.map_from_entries(F.collect_list(F.struct("slot", "w"))).alias("m"))
+        dense = sparse.select("vec_id", F.transform(F.sequence(F.lit(0), F.lit(self.dims - 1)), lambda k: F.coalesce(F.try_element_at("m", k.cast("long")), F.lit(0.0))).alias("v"))
+        length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
+        return dense.withColumn("length", length).select("vec_id", F.transform("v", lambda x: x / F.col("length")).alias("embedding"))
+
+    def queries(self, queries: DataFrame, id_col: str = "query_id") -> DataFrame:
+        """(query_id, embedding): this model treats queries as documents."""
+        return self.documents(queries, id_col).withColumnRenamed("vec_id", "query_id")

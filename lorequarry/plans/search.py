@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from lorequarry.functions import stats
 from lorequarry.functions import text as T
+from lorequarry.operators import embedding
+from lorequarry.operators import index as IX
 from lorequarry.operators import search as S
 from lorequarry.plans.registry import query
 from lorequarry.session import read_table
@@ -140,19 +142,40 @@ def cosine_by_label(spark, sf_dir):
     return a.join(b, "k").groupBy("a", "b").agg(F.round(F.sum(F.col("x") * F.col("y")) / (F.sqrt(F.sum(F.col("x") * F.col("x"))) * F.sqrt(F.sum(F.col("y") * F.col("y")))), 4).alias("cosine"))
 
 
-# a second ranking for fusion: documents by the number of a query's eight-character prefixes that they hold
-COVER_SQL = f"""
-    c AS (SELECT query_id, doc_id, CAST(count(*) AS DOUBLE) AS score FROM (SELECT DISTINCT doc_id, term FROM p) JOIN q USING (term) GROUP BY query_id, doc_id),
-    cr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM c),
+#: The semantic leg: cosines of hashing vectors of queries and documents (``operators.embedding.Hashing``), stated over slots.
+SEMANTIC_SQL = r"""
+    tk AS (SELECT doc_id AS id, 'd' AS kind, list_filter(string_split_regex(lower(coalesce(text, '')), '\s+'), lambda x: x <> '') AS t FROM documents
+           UNION ALL SELECT item_id, 'q', list_filter(string_split_regex(lower(text), '\s+'), lambda x: x <> '') FROM benchmark),
+    h1 AS (SELECT id, kind, CAST('0x' || left(md5(w), 15) AS BIGINT) AS h FROM (SELECT id, kind, unnest(t) AS w FROM tk)),
+    h2 AS (SELECT id, kind, CAST('0x' || left(md5(w), 15) AS BIGINT) AS h FROM (SELECT id, kind, unnest(list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])) AS w FROM tk)),
+    sl AS (SELECT id, kind, h % 64 AS slot, 1.0 AS w FROM h1 UNION ALL SELECT id, kind, (h >> 16) % 64, 0.5 FROM h1 UNION ALL SELECT id, kind, h % 64, 0.75 FROM h2
+           UNION ALL SELECT id, kind, 0, 1.0 FROM tk WHERE len(t) = 0),
+    sv AS (SELECT id, kind, slot, CAST(sum(w) AS DOUBLE) AS w FROM sl GROUP BY ALL),
+    sn AS (SELECT id, kind, sqrt(sum(w * w)) AS n FROM sv GROUP BY ALL),
+    sd AS (SELECT id, kind, slot, w / n AS w FROM sv JOIN sn USING (id, kind)),
+    c AS (SELECT q.id AS query_id, d.id AS doc_id, round(sum(coalesce(x.w * y.w, 0)), 6) AS score FROM sn q JOIN sn d ON q.kind = 'q' AND d.kind = 'd'
+          LEFT JOIN sd x ON x.kind = 'q' AND x.id = q.id LEFT JOIN sd y ON y.kind = 'd' AND y.id = d.id AND y.slot = x.slot GROUP BY q.id, d.id),
+    cr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM c)"""
+
+FUSED_SQL = f"""{SEMANTIC_SQL},
     rk AS (SELECT 'keyword' AS source, query_id, doc_id, rank FROM kr WHERE rank <= 30 UNION ALL SELECT 'semantic', query_id, doc_id, rank FROM cr WHERE rank <= 30),
     fu AS (SELECT query_id, doc_id, round(sum(CASE source WHEN 'keyword' THEN 0.8 ELSE 1.0 END / (60 + rank)), 8) AS score, string_agg(DISTINCT source, ',' ORDER BY source) AS matched_by FROM rk GROUP BY query_id, doc_id)"""
 
 
+def semantic(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
+    """The nearest documents of each query by the vectors of one embedder."""
+    model = embedding.Hashing(64)
+    hits = S.vector_top(model.documents(read_table(spark, sf_dir, "documents")), model.queries(queries_of(spark, sf_dir)), k)
+    return hits.select("query_id", F.col("vec_id").alias("doc_id"), "score", "rank")
+
+
+@query("semantic_search", f"WITH {SEMANTIC_SQL} SELECT query_id, doc_id, CAST(rank AS INTEGER) AS rank, round(score, 5) AS score FROM cr WHERE rank <= 10")
+def semantic_search(spark, sf_dir):
+    return semantic(spark, sf_dir).select("query_id", "doc_id", "rank", F.round("score", 5).alias("score"))
+
+
 def rankings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, terms = read_table(spark, sf_dir, "documents"), S.query_terms(queries_of(spark, sf_dir))
-    held = docs.select("doc_id", F.explode(F.array_distinct(T.words(F.col("text")))).alias("term"))
-    cover = held.join(terms, "term").groupBy("query_id", "doc_id").agg(F.count("*").cast("double").alias("score"))
-    rows = [S.ranked(S.bm25(docs, terms), 30).withColumn("source", F.lit("keyword")), S.ranked(cover, 30).withColumn("source", F.lit("semantic"))]
+    rows = [keyword(spark, sf_dir, 30).withColumn("source", F.lit("keyword")), semantic(spark, sf_dir, 30).withColumn("source", F.lit("semantic"))]
     return rows[0].unionByName(rows[1]).select("source", "query_id", "doc_id", "rank")
 
 
@@ -160,7 +183,7 @@ def fused(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.rrf(rankings(spark, sf_dir), {"keyword": S.KEYWORD_WEIGHT, "semantic": S.SEMANTIC_WEIGHT})
 
 
-@query("rrf_fusion", f"WITH {BM25_SQL}, {COVER_SQL} SELECT query_id, doc_id, round(score, 6) AS score, matched_by FROM fu")
+@query("rrf_fusion", f"WITH {BM25_SQL}, {FUSED_SQL} SELECT query_id, doc_id, round(score, 6) AS score, matched_by FROM fu")
 def rrf_fusion(spark, sf_dir):
     return fused(spark, sf_dir).select("query_id", "doc_id", F.round("score", 6).alias("score"), "matched_by")
 
@@ -184,12 +207,12 @@ def reranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.ranked(hits.withColumn("score", F.round(F.col("score") * factor, 7)), 1 << 30)
 
 
-@query("hybrid_rerank", f"WITH {BM25_SQL}, {COVER_SQL}, {RERANK_SQL} SELECT query_id, CAST(rank AS INTEGER) AS rank, doc_id, round(s, 7) AS score, matched_by FROM rr WHERE rank <= 10")
+@query("hybrid_rerank", f"WITH {BM25_SQL}, {FUSED_SQL}, {RERANK_SQL} SELECT query_id, CAST(rank AS INTEGER) AS rank, doc_id, round(s, 7) AS score, matched_by FROM rr WHERE rank <= 10")
 def hybrid_rerank(spark, sf_dir):
     return reranked(spark, sf_dir).where("rank <= 10").select("query_id", "rank", "doc_id", "score", "matched_by")
 
 
-@query("diversify_per_source", f"""WITH {BM25_SQL}, {COVER_SQL}, {RERANK_SQL}, o AS (SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY rank) > 3 AS over FROM rr)
+@query("diversify_per_source", f"""WITH {BM25_SQL}, {FUSED_SQL}, {RERANK_SQL}, o AS (SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY rank) > 3 AS over FROM rr)
     SELECT query_id, doc_id, CAST(rank AS INTEGER) AS rank, CAST(row_number() OVER (PARTITION BY query_id ORDER BY over, rank) AS INTEGER) AS place FROM o""")
 def diversify_per_source(spark, sf_dir):
     return S.diversify(reranked(spark, sf_dir), "source").select("query_id", "doc_id", "rank", "place")
@@ -253,3 +276,63 @@ def no_answer_threshold(spark, sf_dir):
     limit = good.select(F.element_at("s", (F.floor(0.10 * (F.size("s") - 1)) + 1).cast("int")).alias("threshold"))
     none = queries_of(spark, sf_dir).join(relevance(spark, sf_dir), "query_id", "left_anti").select("query_id").join(first, "query_id", "left")
     return none.join(F.broadcast(limit)).groupBy(F.round("threshold", 4).alias("threshold")).agg(F.count("*").alias("no_answer_cases"), F.count_if(F.col("score") >= F.col("threshold")).alias("false_positives"))
+
+
+def _index_sql(documents: str, weight: float) -> str:
+    """BM25 over text and source, without diacritics; the last term of a query is a prefix. ``documents`` states the rows indexed."""
+    words = r"regexp_extract_all(lower(strip_accents(coalesce({}, ''))), '[\p{{L}}\p{{N}}]+')"
+    return f"""WITH d AS (SELECT doc_id, {words.format("text")} AS a, {words.format("source")} AS b FROM ({documents})),
+        l AS (SELECT doc_id, CAST(len(a) + len(b) AS DOUBLE) AS dl FROM d), st AS (SELECT CAST(count(*) AS DOUBLE) AS n, avg(dl) AS avgdl FROM l),
+        p AS (SELECT doc_id, term, CAST(sum(w) AS DOUBLE) AS tf FROM (SELECT doc_id, unnest(a) AS term, 1.0 AS w FROM d UNION ALL SELECT doc_id, unnest(b), {weight} FROM d) GROUP BY ALL),
+        w AS (SELECT item_id, unnest(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+')) AS t, generate_subscripts(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+'), 1) AS pos FROM benchmark),
+        s AS (SELECT item_id AS query_id, lower(t) AS word, min(pos) AS pos FROM w GROUP BY ALL),
+        u AS (SELECT DISTINCT query_id, lower(strip_accents(word)) AS token, pos = max(pos) OVER (PARTITION BY query_id) AND length(word) > 1 AS prefix FROM s),
+        k AS (SELECT DISTINCT token, prefix FROM u),
+        m AS (SELECT token, prefix, doc_id, sum(tf) AS tf FROM k JOIN p ON term = token OR (prefix AND starts_with(term, token)) GROUP BY ALL),
+        f AS (SELECT token, prefix, CAST(count(*) AS DOUBLE) AS df FROM m GROUP BY ALL),
+        r AS (SELECT query_id, doc_id, round(sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / avgdl))), 6) AS score
+              FROM u JOIN m USING (token, prefix) JOIN f USING (token, prefix) JOIN l USING (doc_id), st GROUP BY query_id, doc_id),
+        o AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM r)
+        SELECT query_id, doc_id, rank, round(score, 4) AS score FROM o WHERE rank <= 10"""
+
+
+def _kept(spark: SparkSession, docs: DataFrame) -> IX.Index:
+    index = IX.Index(spark, IX.folder(spark, "index"), ("text", "source"))
+    index.apply(docs)
+    return index
+
+
+@query("index_search", _index_sql("SELECT doc_id, text, source FROM documents", 0.5))
+def index_search(spark, sf_dir):
+    """Searches a kept index: postings are written once and only asked buckets are read."""
+    index = _kept(spark, read_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return index.search(queries_of(spark, sf_dir), 10, weights={"source": 0.5}).select("query_id", "doc_id", "rank", F.round("score", 4).alias("score"))
+
+
+@query("index_maintained", _index_sql("SELECT doc_id, CASE WHEN doc_id % 6 = 0 THEN 'nouveau ' || coalesce(text, '') ELSE text END AS text, source FROM documents WHERE doc_id % 10 <> 9", 1.0))
+def index_maintained(spark, sf_dir):
+    """A batch of edits and a batch of deletions go into segments of their own, and are merged; only edited documents are tokenised again."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    index = _kept(spark, docs)
+    index.apply(docs.where("doc_id % 6 = 0").withColumn("text", F.concat(F.lit("nouveau "), F.coalesce("text", F.lit("")))))
+    index.apply(None, docs.where("doc_id % 10 = 9").select("doc_id"))
+    index.merge()
+    return index.search(queries_of(spark, sf_dir)).select("query_id", "doc_id", "rank", F.round("score", 4).alias("score"))
+
+
+@query("index_phrases", r"""WITH d AS (SELECT doc_id, regexp_extract_all(lower(strip_accents(coalesce(text, ''))), '[\p{L}\p{N}]+') AS a FROM documents),
+    l AS (SELECT doc_id, CAST(len(a) AS DOUBLE) AS dl, ' ' || array_to_string(a, '  ') || ' ' AS s FROM d), st AS (SELECT CAST(count(*) AS DOUBLE) AS n, avg(dl) AS avgdl FROM l),
+    q AS (SELECT item_id AS query_id, ' ' || array_to_string(regexp_extract_all(lower(strip_accents(text)), '[\p{L}\p{N}]+')[2:4], '  ') || ' ' AS phrase FROM benchmark
+          WHERE item_id % 5 <> 0 AND len(regexp_extract_all(text, '[\p{L}\p{N}]+')) >= 4),
+    m AS (SELECT query_id, doc_id, dl, (length(s) - length(replace(s, phrase, ''))) / length(phrase) AS tf FROM q JOIN l ON contains(s, phrase)),
+    f AS (SELECT query_id, CAST(count(*) AS DOUBLE) AS df FROM m GROUP BY query_id),
+    r AS (SELECT query_id, doc_id, round(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / avgdl)), 6) AS score FROM m JOIN f USING (query_id), st)
+    SELECT query_id, doc_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, round(score, 4) AS score FROM r
+    QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 10""")
+def index_phrases(spark, sf_dir):
+    """Three words of each passage as a phrase, ranked from positions; every fifth query has an open quote, which gives no rows."""
+    index = IX.Index(spark, IX.folder(spark, "index"))
+    index.apply(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    words = F.slice(IX.tokens(F.col("text")), 2, 3)
+    asked = queries_of(spark, sf_dir).where(F.size(IX.tokens(F.col("text"))) >= 4).select("query_id", F.concat(F.lit('"'), F.array_join(words, " "), F.when(F.col("query_id") % 5 != 0, '"').otherwise("")).alias("text"))
+    return index.search(asked, raw=True).select("query_id", "doc_id", "rank", F.round("score", 4).alias("score"))
