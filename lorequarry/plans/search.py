@@ -293,7 +293,7 @@ def _index_sql(documents: str, weight: float) -> str:
         r AS (SELECT query_id, doc_id, round(sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / avgdl))), 6) AS score
               FROM u JOIN m USING (token, prefix) JOIN f USING (token, prefix) JOIN l USING (doc_id), st GROUP BY query_id, doc_id),
         o AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM r)
-        SELECT query_id, doc_id, rank, round(score, 4) AS score FROM o WHERE rank <= 10"""
+        SELECT query_id, doc_id, rank, score FROM o WHERE rank <= 10"""
 
 
 def _kept(spark: SparkSession, docs: DataFrame) -> IX.Index:
@@ -306,7 +306,7 @@ def _kept(spark: SparkSession, docs: DataFrame) -> IX.Index:
 def index_search(spark, sf_dir):
     """Searches a kept index: postings are written once and only asked buckets are read."""
     index = _kept(spark, read_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
-    return index.search(queries_of(spark, sf_dir), 10, weights={"source": 0.5}).select("query_id", "doc_id", "rank", F.round("score", 4).alias("score"))
+    return index.search(queries_of(spark, sf_dir), 10, weights={"source": 0.5}).select("query_id", "doc_id", "rank", "score")
 
 
 @query("index_maintained", _index_sql("SELECT doc_id, CASE WHEN doc_id % 6 = 0 THEN 'nouveau ' || coalesce(text, '') ELSE text END AS text, source FROM documents WHERE doc_id % 10 <> 9", 1.0))
@@ -317,7 +317,7 @@ def index_maintained(spark, sf_dir):
     index.apply(docs.where("doc_id % 6 = 0").withColumn("text", F.concat(F.lit("nouveau "), F.coalesce("text", F.lit("")))))
     index.apply(None, docs.where("doc_id % 10 = 9").select("doc_id"))
     index.merge()
-    return index.search(queries_of(spark, sf_dir)).select("query_id", "doc_id", "rank", F.round("score", 4).alias("score"))
+    return index.search(queries_of(spark, sf_dir)).select("query_id", "doc_id", "rank", "score")
 
 
 @query("index_phrases", r"""WITH d AS (SELECT doc_id, regexp_extract_all(lower(strip_accents(coalesce(text, ''))), '[\p{L}\p{N}]+') AS a FROM documents),

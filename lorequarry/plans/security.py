@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lorequarry.operators import ignore
 from lorequarry.operators import security as S
 from lorequarry.plans.registry import both, query
 from lorequarry.session import read_table
@@ -16,6 +17,51 @@ both("ignore_rules", """WITH rules AS (SELECT 1 AS place, 'src1' AS prefix, true
     SELECT doc_id, coalesce(max_by(drop_, place), false) AS ignored FROM {documents} LEFT JOIN rules ON substr(source, 1, CAST(length(prefix) AS INT)) = prefix GROUP BY doc_id""")
 
 
+IGNORE_FILES = {
+    ".gitignore": "*.log\n/src1/\nsrc2/**\n!src2/en/*.md\n**/de/*.py\n",
+    "src3/.gitignore": "fr/\n!*.log\n",
+    ".localignore": "!src5/**/*.log\n",
+}
+_IGNORE_SQL = """p AS (SELECT source AS s, lang AS l, CASE doc_id % 4 WHEN 0 THEN 'md' WHEN 1 THEN 'log' WHEN 2 THEN 'py' ELSE 'tmp' END AS e, doc_id FROM documents),
+    q AS (SELECT *, s || '/' || l || '/' || doc_id || '.' || e AS path, e = 'log' OR s = 'src1' OR (s = 'src2' AND NOT (l = 'en' AND e = 'md')) OR (l = 'de' AND e = 'py') AS root FROM p),
+    d AS (SELECT path, s, l, CASE WHEN s = 'src5' AND e = 'log' THEN false WHEN s = 'src3' AND l = 'fr' AND e <> 'log' THEN true WHEN s = 'src3' AND e = 'log' THEN false ELSE root OR e = 'tmp' END AS ignored,
+                 CASE WHEN s = 'src5' AND e = 'log' THEN '.localignore (negation)' WHEN s = 'src3' AND l = 'fr' AND e <> 'log' THEN 'src3/.gitignore' WHEN s = 'src3' AND e = 'log' THEN 'src3/.gitignore (negation)'
+                      WHEN root THEN '.gitignore' WHEN e = 'tmp' THEN 'builtin' END AS source FROM q)"""
+_PRUNED = "s = 'src1' OR (s = 'src2' AND l <> 'en') OR (s = 'src3' AND l = 'fr')"
+
+
+def _tree(spark, sf_dir):
+    """A path for each document, the given rules, and ignore files at the root and in one folder."""
+    ext = F.element_at(F.array(*map(F.lit, ("md", "log", "py", "tmp"))), (F.col("doc_id") % 4 + 1).cast("int"))
+    paths = read_table(spark, sf_dir, "documents").select(F.concat_ws("/", "source", "lang", F.concat_ws(".", "doc_id", ext)).alias("path"))
+    return paths, ignore.configured(spark, ["*.tmp"], "builtin", 0), spark.createDataFrame(list(IGNORE_FILES.items()), "path string, text string")
+
+
+IGNORE_KINDS = {".gitignore": 1, ".dockerignore": 2, ".localignore": 3}
+
+
+@query("ignore_decisions", f"WITH {_IGNORE_SQL} SELECT path, ignored, source FROM d")
+def ignore_decisions(spark, sf_dir):
+    """Every path against anchored, folder, double-star and negated rules of nested files, with the source that decided."""
+    paths, given, files = _tree(spark, sf_dir)
+    return ignore.decide(paths, given.unionByName(ignore.found(files, IGNORE_KINDS)))
+
+
+@query("ignore_pruned", f"WITH {_IGNORE_SQL} SELECT DISTINCT s || '/' || l AS path FROM d WHERE {_PRUNED} UNION SELECT DISTINCT s FROM d WHERE s = 'src1'")
+def ignore_pruned(spark, sf_dir):
+    """Folders that a walk need not enter: ignored, and no negation leads into them."""
+    paths, given, files = _tree(spark, sf_dir)
+    dirs = paths.select(F.explode(ignore.folders(F.col("path"))).alias("path")).where("path <> ''").distinct()
+    return ignore.prunable(dirs, given.unionByName(ignore.found(files, IGNORE_KINDS)))
+
+
+@query("ignore_walk", f"WITH {_IGNORE_SQL} SELECT path, ignored FROM d WHERE NOT ({_PRUNED})")
+def ignore_walk(spark, sf_dir):
+    """What a walk from the root meets."""
+    paths, given, files = _tree(spark, sf_dir)
+    return ignore.walk(paths, given, files, IGNORE_KINDS).select("path", "ignored")
+
+
 def seeded(spark, sf_dir):
     secret = F.concat(F.lit('\napi_key = "'), F.substring(F.sha2(F.col("doc_id").cast("string"), 256), 1, 32), F.lit('"'))
     return read_table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 7 == 0, F.concat("text", secret)).otherwise(F.col("text")).alias("text"))
