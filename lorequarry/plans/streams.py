@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lorequarry.plans.registry import query
 from lorequarry.session import read_table
 from lorequarry.streaming import events as E
+from lorequarry.streaming import tail as L
 
 
 @query("stream_daily_counts", "SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n FROM events GROUP BY ALL")
@@ -36,3 +37,26 @@ def stream_once_per_session(spark, sf_dir):
 @query("stream_session_ledger")
 def stream_session_ledger(spark, sf_dir):
     return E.drain(spark, E.ledger(E.stream(spark, sf_dir)), "append").groupBy("user_id").agg(F.sum("n").alias("n"), F.sum("repeats").alias("repeats"))
+
+
+_BURSTS = """m AS (SELECT CAST(user_id AS VARCHAR) AS key, epoch_us(ts) // 1000 AS ms, epoch_us(max(ts) OVER ()) // 1000 AS top FROM events),
+    s AS (SELECT *, CASE WHEN ms - lag(ms) OVER (PARTITION BY key ORDER BY ms) <= 21600000 THEN 0 ELSE 1 END AS fresh FROM m),
+    g AS (SELECT *, sum(fresh) OVER (PARTITION BY key ORDER BY ms ROWS UNBOUNDED PRECEDING) AS burst FROM s),
+    b AS (SELECT key, min(ms) AS first, max(ms) AS last, count(*) AS n, max(top) AS top FROM g GROUP BY key, burst)"""
+
+
+def _changes(events):
+    """Events as changes of the thing that they name, by user."""
+    return events.select(F.col("user_id").cast("string").alias("key"), "ts", F.concat_ws("/", "event_type", "props").alias("path"))
+
+
+@query("debounced_changes", f"WITH {_BURSTS} SELECT key, first, last, n FROM b")
+def debounced_changes(spark, sf_dir):
+    """Bursts of a user's events with six quiet hours after them, over the finished table."""
+    return L.debounced(_changes(read_table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))), 21_600_000)
+
+
+@query("stream_debounce", f"WITH {_BURSTS} SELECT key, first, last, n FROM b WHERE last + 21600000 < top")
+def stream_debounce(spark, sf_dir):
+    """The same from a stream: event-time timers hand on each burst whose quiet period the watermark has passed."""
+    return E.drain(spark, L.debounce(_changes(E.stream(spark, sf_dir)), 21_600_000, most=1 << 30), "append").select("key", "first", "last", "n")

@@ -52,25 +52,32 @@ def once_per_session(events: DataFrame) -> DataFrame:
 
 
 def ledger(events: DataFrame, ttl_ms: int = 45 * 60 * 1000, most: int = 2000) -> DataFrame:
-    """(user_id, event_type, n, repeats): kept state per client of what was seen within the time to live, oldest out first."""
+    """(user_id, n, repeats): kept state per client of what was seen within the time to live, oldest out first.
+
+    Entries lie in order of time, so only the old end is looked at; a client that stays away for the time to live loses its state.
+    """
 
     def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         seen: dict[str, int] = dict(zip(*state.get, strict=True)) if state.exists else {}
         n = repeats = 0
         for frame in frames:
             for kind, at in sorted(zip(frame["event_type"], frame["ms"].astype(int), strict=True), key=lambda x: x[1]):
-                seen = {k: t for k, t in seen.items() if at - t <= ttl_ms}
-                repeats += kind in seen
+                while seen and at - seen[first := next(iter(seen))] > ttl_ms:
+                    del seen[first]
+                repeats += seen.pop(kind, None) is not None
                 n += 1
-                seen.pop(kind, None)
                 seen[kind] = at
-                while len(seen) > most:
-                    seen.pop(next(iter(seen)))
+                if len(seen) > most:
+                    del seen[next(iter(seen))]
         state.update((list(seen), list(seen.values())))
+        state.setTimeoutTimestamp(max(max(seen.values(), default=0) + ttl_ms, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"user_id": [key[0]], "n": [n], "repeats": [repeats]})
 
-    rows = events.select("user_id", "event_type", F.unix_millis("ts").alias("ms"))
-    return rows.groupBy("user_id").applyInPandasWithState(update, "user_id long, n long, repeats long", "kinds array<string>, at array<long>", "append", GroupStateTimeout.NoTimeout)
+    rows = events.withWatermark("ts", LATE).select("user_id", "event_type", "ts", F.unix_millis("ts").alias("ms"))
+    return rows.groupBy("user_id").applyInPandasWithState(update, "user_id long, n long, repeats long", "kinds array<string>, at array<long>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def drain(spark: SparkSession, df: DataFrame, mode: str = "update") -> DataFrame:
