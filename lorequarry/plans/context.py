@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lorequarry.functions import text as T
+from lorequarry.operators import compress as K
 from lorequarry.operators import context as C
 from lorequarry.operators import search as S
 from lorequarry.plans.registry import both, query
@@ -85,3 +86,36 @@ def hard_cap(spark, sf_dir):
     header = T.token_count(F.format_string("## [%d] %s/%d.md", "rank", "source", "doc_id"))
     rows = hits.select("query_id", "doc_id", F.col("rank").alias("place"), T.token_count(F.col("text")).alias("tokens"), header.alias("header"))
     return C.hard_cap(rows, 1500, 20).drop("header").select("query_id", "doc_id", "place", F.col("tokens").cast("long").alias("tokens"), F.col("used").cast("long").alias("used"), "shortened")
+
+
+def _tok(x: str) -> str:
+    return rf"coalesce(list_sum(list_transform(regexp_extract_all({x}, '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_\s]'), lambda t: CASE WHEN length(t) <= 4 THEN 1 ELSE CAST(ceil(length(t) / 4.0) AS BIGINT) END)), 0)"
+
+
+#: Prose with a target of 120 tokens and the query "the of and", over lines and sentences in rows.
+_COMPRESS_SQL = rf"""WITH t AS (SELECT doc_id, coalesce(text, '') AS text, {_tok("coalesce(text, '')")} AS n FROM documents),
+    l AS (SELECT doc_id, unnest(string_split(regexp_replace(text, '\n$', ''), chr(10))) AS x, generate_subscripts(string_split(regexp_replace(text, '\n$', ''), chr(10)), 1) AS i FROM t WHERE n > 120),
+    k AS (SELECT * FROM l WHERE NOT regexp_matches(x, '(?i)^\s*(?:#|//|\*|/\*)\s*(?:copyright|licensed under|SPDX-License|all rights reserved)') AND NOT regexp_matches(x, '(?i)^\s*(?:#|//|<!--)\s*(?:auto-?generated|do not edit|@generated)')),
+    b AS (SELECT *, lag(x) OVER (PARTITION BY doc_id ORDER BY i) AS prev FROM k),
+    p AS (SELECT t.doc_id, t.n, regexp_replace(coalesce(string_agg(x, chr(10) ORDER BY i) FILTER (NOT (trim(x) = '' AND coalesce(trim(prev) = '', false))), ''), '^\n+|\n+$', '', 'g') AS p FROM t LEFT JOIN b USING (doc_id) WHERE t.n > 120 GROUP BY t.doc_id, t.n),
+    q AS (SELECT *, {_tok("p")} AS np, starts_with(ltrim(split_part(p, chr(10), 1)), '#') AS headed, split_part(p, chr(10), 1) AS head FROM p),
+    s AS (SELECT doc_id, headed, head, list_filter(list_transform(string_split(regexp_replace(CASE WHEN headed THEN substr(p, length(head) + 2) ELSE p END, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda y: regexp_replace(y, '^\s+|\s+$', '', 'g')), lambda y: y <> '') AS s FROM q WHERE np > 120),
+    u AS (SELECT doc_id, headed, head, unnest(s) AS s, generate_subscripts(s, 1) AS i FROM s WHERE len(s) > 1),
+    r AS (SELECT *, {_tok("s")} AS cost, len(list_intersect(list_distinct(regexp_extract_all(lower(s), '[\p{{L}}\p{{N}}_]+')), ['the', 'of', 'and'])) / 3 + CASE WHEN i = 1 THEN 0.5 ELSE 0 END AS near FROM u),
+    c AS (SELECT *, CASE WHEN headed THEN {_tok("head")} ELSE 0 END + sum(cost) OVER (PARTITION BY doc_id ORDER BY near DESC, i ROWS UNBOUNDED PRECEDING) AS used, row_number() OVER (PARTITION BY doc_id ORDER BY near DESC, i) AS place FROM r),
+    j AS (SELECT doc_id, regexp_replace(CASE WHEN headed THEN head || chr(10) ELSE '' END || string_agg(s, ' ' ORDER BY i), '^\s+|\s+$', '', 'g') AS d FROM c WHERE used <= 120 OR place = 1 GROUP BY doc_id, headed, head),
+    d AS (SELECT q.doc_id, q.n, q.np, q.p, coalesce(j.d, q.p) AS d FROM q LEFT JOIN j USING (doc_id)),
+    e AS (SELECT *, {_tok("d")} AS nd FROM d),
+    m AS (SELECT doc_id, unnest(string_split(regexp_replace(d, '\n$', ''), chr(10))) AS x, generate_subscripts(string_split(regexp_replace(d, '\n$', ''), chr(10)), 1) AS i FROM e WHERE np > 120 AND nd > 120),
+    v AS (SELECT *, {_tok("'…(truncado)'")} + sum({_tok("x")}) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS used FROM m),
+    w AS (SELECT doc_id, coalesce(string_agg(x, chr(10) ORDER BY i) FILTER (used <= 120), substr(min(x) FILTER (i = 1), 1, 360)) || chr(10) || '…(truncado)' AS d FROM v GROUP BY doc_id),
+    o AS (SELECT t.doc_id, CASE WHEN t.n <= 120 THEN 'none' WHEN e.np <= 120 THEN 'prune' WHEN e.nd <= 120 THEN 'sentences' ELSE 'truncate' END AS strategy,
+                 CASE WHEN t.n <= 120 THEN t.text WHEN e.np <= 120 THEN e.p WHEN e.nd <= 120 THEN e.d ELSE w.d END AS text, t.n FROM t LEFT JOIN e USING (doc_id) LEFT JOIN w USING (doc_id))
+    SELECT doc_id, strategy, sha256(text) AS hash, CAST(n - {_tok("text")} AS BIGINT) AS saved_tokens FROM o"""
+
+
+@query("compressed_fragments", _COMPRESS_SQL)
+def compressed_fragments(spark, sf_dir):
+    """Documents as prose through the whole cascade, towards 120 tokens."""
+    rows = K.compress(read_table(spark, sf_dir, "documents").select("doc_id", "text"), target=120, query=F.lit("the of and"))
+    return rows.select("doc_id", "strategy", F.sha2("compressed", 256).alias("hash"), F.col("saved_tokens").cast("long").alias("saved_tokens"))

@@ -20,8 +20,6 @@ _BY_ENDING = (
 both("path_lookup", "SELECT doc_id FROM {documents} WHERE EXISTS (SELECT 1 FROM {labels} l WHERE l.doc_id = documents.doc_id AND l.quality = 0)".replace("{documents} WHERE", "{documents} AS documents WHERE"))
 both("selected_prefixes", "SELECT doc_id FROM {documents} d WHERE EXISTS (SELECT 1 FROM (SELECT DISTINCT source FROM {documents} WHERE doc_id < 5) p WHERE p.source = d.source)")
 both("fingerprints", "SELECT source, count(*) AS files, CAST(sum(n_chars) AS BIGINT) AS size FROM {documents} GROUP BY source")
-both("topological_levels", """WITH RECURSIVE lv AS (SELECT n_nationkey AS node, 0 AS level FROM {nation} WHERE n_nationkey < 3 UNION ALL SELECT n.n_nationkey, lv.level + 1 FROM lv JOIN {nation} n ON n.n_nationkey = lv.node * 2 + 1 WHERE lv.level < 6)
-    SELECT node, CAST(max(level) AS INT) AS level FROM lv GROUP BY node""")
 both("services", """SELECT p_brand AS service, count(DISTINCT l_suppkey) AS used_by, count(*) AS refs FROM {lineitem} JOIN {part} ON p_partkey = l_partkey GROUP BY p_brand HAVING count(*) >= 3""")
 both("repo_map_lines", "SELECT source, concat(source, ': ', min(lang), ', ', max(lang)) AS line FROM {documents} GROUP BY source")
 both("tolerant_timestamps", "SELECT event_id, TRY_CAST(CASE WHEN event_id % 7 = 0 THEN 'not a date' ELSE CAST(ts AS STRING) END AS DATE) AS day FROM {events}")

@@ -1,6 +1,11 @@
-"""Joins, set operations, sorts, windows and changes of tables: one SQL text runs on Spark and on the oracle."""
+"""Joins, set operations, sorts, windows and changes of tables: mostly one SQL text that runs on Spark and on the oracle."""
 
-from lorequarry.plans.registry import both
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from lorequarry.operators import dag
+from lorequarry.plans.registry import both, query
+from lorequarry.session import read_table
 
 # joins
 both("missing_vectors", "SELECT d.doc_id FROM {documents} d WHERE NOT EXISTS (SELECT 1 FROM {embeddings} e WHERE e.vec_id = d.doc_id)")
@@ -53,10 +58,49 @@ both("missing_paths", "SELECT doc_id FROM {documents} WHERE doc_id % 3 <> 0 EXCE
 both("snapshot_diff", """SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN a.doc_id IS NULL THEN 'created' WHEN b.doc_id IS NULL THEN 'deleted' ELSE 'modified' END AS change
     FROM (SELECT doc_id, n_chars FROM {documents} WHERE doc_id % 5 <> 0) a FULL OUTER JOIN (SELECT doc_id, n_chars + CASE WHEN doc_id % 7 = 0 THEN 1 ELSE 0 END AS n_chars FROM {documents} WHERE doc_id % 6 <> 0) b
     ON a.doc_id = b.doc_id WHERE a.doc_id IS NULL OR b.doc_id IS NULL OR a.n_chars <> b.n_chars""")
-both("transitive_closure", """WITH RECURSIVE up AS (SELECT n_nationkey AS node, n_nationkey % 5 AS parent, 1 AS depth FROM {nation} UNION ALL SELECT u.node, u.parent * 3 % 25, u.depth + 1 FROM up u JOIN {nation} n ON n.n_nationkey = u.parent WHERE u.depth < 4)
-    SELECT DISTINCT node, parent FROM up""")
-both("cycle_detection", """WITH RECURSIVE reach AS (SELECT n_nationkey AS start, (n_nationkey * 3 + 1) % 25 AS node, 1 AS depth FROM {nation} UNION ALL SELECT start, (node * 3 + 1) % 25, depth + 1 FROM reach WHERE depth < 25 AND node <> start)
-    SELECT start, CAST(min(depth) AS INT) AS length FROM reach WHERE node = start GROUP BY start""")
+# an order requires the customer's order before it, and every third one also the order before that
+_REQUIRES = """o AS (SELECT o_orderkey AS src, lag(o_orderkey, 1) OVER w AS a, lag(o_orderkey, 2) OVER w AS b FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)),
+    e AS (SELECT src, a AS dst FROM o WHERE a IS NOT NULL UNION ALL SELECT src, b FROM o WHERE b IS NOT NULL AND src % 3 = 0)"""
+
+
+def _requires(spark, sf_dir):
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    o = read_table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("src"), F.lag("o_orderkey", 1).over(w).alias("a"), F.lag("o_orderkey", 2).over(w).alias("b"))
+    return o.select("src", F.col("a").alias("dst")).unionByName(o.where("src % 3 = 0").select("src", F.col("b").alias("dst"))).where("dst IS NOT NULL")
+
+
+def _orders(spark, sf_dir):
+    return read_table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("node"))
+
+
+@query("transitive_closure", f"""WITH RECURSIVE {_REQUIRES}, r AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON e.src = r.dst) SELECT src, dst FROM r""")
+def transitive_closure(spark, sf_dir):
+    return dag.closure(_requires(spark, sf_dir)).select("src", "dst")
+
+
+@query("topological_levels", f"""WITH RECURSIVE {_REQUIRES}, r AS (SELECT o_orderkey AS node, 0 AS level FROM orders UNION SELECT e.src, r.level + 1 FROM r JOIN e ON e.dst = r.node) SELECT node, CAST(max(level) AS INTEGER) AS level FROM r GROUP BY node""")
+def topological_levels(spark, sf_dir):
+    return dag.levels(_orders(spark, sf_dir), _requires(spark, sf_dir))
+
+
+@query("topological_order", f"""WITH RECURSIVE {_REQUIRES}, r AS (SELECT o_orderkey AS node, 0 AS level FROM orders UNION SELECT e.src, r.level + 1 FROM r JOIN e ON e.dst = r.node), l AS (SELECT node, max(level) AS level FROM r GROUP BY node)
+    SELECT node, row_number() OVER (ORDER BY level, node) AS place FROM l""")
+def topological_order(spark, sf_dir):
+    """What is required comes first, ties by key."""
+    return dag.topological(_orders(spark, sf_dir), _requires(spark, sf_dir)).select("node", "place")
+
+
+@query("cycle_detection", f"""WITH RECURSIVE {_REQUIRES}, f AS (SELECT o_custkey AS c, arg_min(o_orderkey, (o_orderdate, o_orderkey)) AS first, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS last FROM orders GROUP BY o_custkey),
+    k AS (SELECT DISTINCT a.first AS src, b.last AS dst FROM f a JOIN f b ON b.c = a.c + a.c % 2), r AS (SELECT src, dst, dst AS node, 1 AS n FROM k WHERE src <> dst UNION SELECT r.src, r.dst, e.dst, n + 1 FROM r JOIN e ON e.src = r.node)
+    SELECT k.src, k.dst, CAST(CASE WHEN k.src = k.dst THEN 1 ELSE min(r.n) END AS INTEGER) AS length FROM k LEFT JOIN r ON r.src = k.src AND r.dst = k.dst AND r.node = k.src GROUP BY k.src, k.dst""")
+def cycle_detection(spark, sf_dir):
+    """Would a customer's first order close a cycle by requiring their last one, or (odd keys) the next customer's?"""
+    key = F.struct("o_orderdate", "o_orderkey")
+    ends = read_table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c")).agg(F.min_by("o_orderkey", key).alias("first"), F.max_by("o_orderkey", key).alias("last"))
+    asked = ends.select((F.col("c") + F.col("c") % 2).alias("c"), F.col("first").alias("src")).join(ends.select("c", F.col("last").alias("dst")), "c").select("src", "dst")
+    found = dag.closed_cycles(_requires(spark, sf_dir), asked)
+    return found.select("src", "dst", (F.size("path") - 1).alias("length")).withColumn("length", F.when(F.col("length") > 0, F.col("length")))
+
 
 # windows, sorts and limits
 both("neighbour_rows", "SELECT conv_id, turn, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS before, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS after FROM {conversations}")
