@@ -47,7 +47,7 @@ def test_sentences_near_the_query_and_the_heading_stay(spark):
     said = [f"Sentence number {i} about any matter." for i in range(60)]
     said[41] = "How login works here."
     got, strategy, _, n = run(spark, "## Login\n\n" + " ".join(said), 40, query="login works")
-    assert strategy == "sentences" and n <= 40 and got == "## Login\n" + " ".join([said[0], said[1], said[2], said[41]])
+    assert strategy == "sentences" and n <= 40 and got == "## Login\n" + " ".join([said[0], said[1], said[41]])
 
 
 def test_truncation_is_marked(spark):
