@@ -31,3 +31,9 @@ def rehydrated(chunks: DataFrame, docs: DataFrame) -> DataFrame:
 def refresh(derived: DataFrame, recomputed: DataFrame, touched: DataFrame, key: str) -> DataFrame:
     """Rows derived per key (postings, edges) after some keys changed: only theirs are replaced, also when nothing is left of them."""
     return derived.join(touched.select(key).distinct(), key, "left_anti").unionByName(recomputed.select(*derived.columns))
+
+
+def change_token(state: DataFrame, configuration: str) -> DataFrame:
+    """(token): a digest of the one row of ``state`` (run, generation) and of the configuration."""
+    part = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    return state.select(F.sha2(F.concat_ws(":", part("run"), part("generation"), F.lit(configuration)), 256).alias("token"))

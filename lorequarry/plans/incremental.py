@@ -5,12 +5,35 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lorequarry.functions import text as T
-from lorequarry.operators import chunking, incremental, security
+from lorequarry.operators import chunking, incremental, knowledge, security
 from lorequarry.plans.registry import both, query
 from lorequarry.session import read_table
 
-both("change_token", "SELECT count(*) AS rows, max(event_id) AS generation, CAST(sum(event_id) AS BIGINT) AS token FROM {events} WHERE event_type <> 'view'")
-both("base_rows_excluded", "SELECT doc_id FROM {documents} WHERE source NOT IN (SELECT source FROM {documents} WHERE doc_id < 3)")
+both("base_rows_excluded", "SELECT doc_id FROM {documents} d WHERE NOT EXISTS (SELECT 1 FROM {documents} b WHERE b.doc_id < 3 AND b.source = d.source)")
+
+
+@query("change_token", "SELECT sha256((SELECT CAST(arg_max(event_id, (ts, event_id)) AS VARCHAR) FROM events WHERE event_type <> 'view') || ':' || (SELECT CAST(count(*) AS VARCHAR) FROM events) || ':' || 'bm25=1.2,0.75') AS token")
+def change_token(spark, sf_dir):
+    """A digest of the last effective run, the generation and the configuration: it changes when any of them does."""
+    events = read_table(spark, sf_dir, "events")
+    last = events.where("event_type <> 'view'").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("run"))
+    return incremental.change_token(last.join(events.agg(F.count("*").alias("generation"))), "bm25=1.2,0.75")
+
+
+@query("graph_incremental", r"""WITH d AS (SELECT doc_id, regexp_extract_all(lower(CASE WHEN doc_id % 31 = 5 AND doc_id < 1400 THEN text || ' ' || (SELECT text FROM documents WHERE doc_id = 7) ELSE text END), '[\p{L}\p{N}]+') AS w FROM documents),
+    e AS (SELECT 'd' || doc_id AS id, w[1] AS name, doc_id FROM d WHERE len(w) > 0 QUALIFY count(*) OVER (PARTITION BY w[1]) <= 4), m AS (SELECT DISTINCT doc_id, unnest(w) AS name FROM d)
+    SELECT 'd' || m.doc_id AS src, count(*) AS edges, sha256(string_agg(e.id, ',' ORDER BY e.doc_id)) AS hash FROM m JOIN e ON e.name = m.name AND e.doc_id <> m.doc_id GROUP BY m.doc_id""")
+def graph_incremental(spark, sf_dir):
+    """Some documents gain another's text: only edges born in them are derived again, and the graph equals a full build."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    extract = knowledge.titles_and_words(T.words)
+    graph = knowledge.build(docs, extract)
+    touched = docs.where("doc_id % 31 = 5 AND doc_id < 1400").select("doc_id")
+    more = docs.where("doc_id = 7").select(F.col("text").alias("more"))
+    now = docs.join(F.broadcast(more), F.col("doc_id").isNotNull(), "left").select("doc_id", F.when((F.col("doc_id") % 31 == 5) & (F.col("doc_id") < 1400), F.concat_ws(" ", "text", "more")).otherwise(F.col("text")).alias("text"))
+    after = knowledge.update(graph, now, touched, extract)
+    hash_ = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.substring("dst", 2, 20).cast("long"))), lambda i: F.concat(F.lit("d"), i)), ","), 256)
+    return after.edges.groupBy("src").agg(F.count("*").alias("edges"), hash_.alias("hash"))
 
 
 @query("snapshot_changes", """SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN a.doc_id IS NULL THEN 'created' WHEN b.doc_id IS NULL THEN 'deleted' ELSE 'modified' END AS change FROM (SELECT doc_id, sha256(text) AS h FROM documents WHERE doc_id % 5 <> 0) a

@@ -7,9 +7,10 @@ import uuid
 from pyspark.sql import functions as F
 
 from lorequarry.functions import ids as I
+from lorequarry.functions import vector as V
 from lorequarry.plans.registry import query
 from lorequarry.session import checkpoint_dir, read_table
-from lorequarry.sources import files
+from lorequarry.sources import files, vectors
 
 
 def folder(spark) -> str:
@@ -38,3 +39,16 @@ def file_tree_scan(spark, sf_dir):
     read_table(spark, sf_dir, "pages").select("url").write.text(path)
     lines = files.tree(spark, path, deny=r"/_SUCCESS$|\.crc$").where("state = 'text'").select(F.explode(F.split(F.regexp_replace("text", r"\n$", ""), "\n")).alias("line"))
     return lines.agg(F.count("*").alias("lines"), F.sum(F.length("line")).alias("chars"))
+
+
+@query("vector_store_roundtrip", "SELECT vec_id, CAST(CAST('0x' || left(md5(CAST(vec_id AS VARCHAR)), 2) AS INTEGER) % 16 AS INTEGER) AS shard, true AS same FROM embeddings")
+def vector_store_roundtrip(spark, sf_dir):
+    """Quantised vectors through sixteen sorted shards and back, byte for byte."""
+    rows = read_table(spark, sf_dir, "embeddings").select("vec_id", F.md5(F.col("vec_id").cast("string").cast("binary")).alias("id"), V.quantized(F.col("embedding"), 32).alias("q"))
+    held = rows.select("vec_id", "id", F.col("q.scale").cast("float").alias("scale"), F.col("q.offset").cast("float").alias("offset"), F.col("q.codes").cast("array<int>").alias("codes"))
+    path = f"{checkpoint_dir(spark)}/vectors-{uuid.uuid4().hex[:12]}"
+    vectors.write_store(held.drop("vec_id"), path, "hashing-64", 32)
+    back, _ = vectors.read_store(spark, path, "hashing-64", 32)
+    met = held.join(back.select("id", F.col("codes").alias("c"), F.col("scale").alias("s"), F.col("offset").alias("o")), "id", "left")
+    same = F.col("codes").eqNullSafe(F.col("c")) & F.col("scale").eqNullSafe(F.col("s")) & F.col("offset").eqNullSafe(F.col("o"))
+    return met.select("vec_id", (F.conv(F.substring("id", 1, 2), 16, 10).cast("int") % 16).alias("shard"), same.alias("same"))
