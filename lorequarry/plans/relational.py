@@ -3,7 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from lorequarry.operators import dag
+from lorequarry.operators import dag, federation
 from lorequarry.plans.registry import both, query
 from lorequarry.session import read_table
 
@@ -143,3 +143,44 @@ both("orphan_checks", """SELECT 'orders_without_lines' AS kind, count(*) AS n FR
 both("import_merge", "SELECT doc_id, 1 AS quality, 'local' AS origin FROM {documents} WHERE doc_id % 2 = 0 UNION ALL SELECT l.doc_id, l.quality, 'incoming' FROM {labels} l WHERE l.doc_id % 2 <> 0")
 both("run_bookkeeping", "SELECT user_id, min(ts) AS started, max(ts) AS finished, count(*) AS steps, max(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS failed FROM {events} GROUP BY user_id")
 both("next_attempt", "SELECT c_custkey, coalesce(max(o_orderkey), 0) + 1 AS next_attempt FROM {customer} LEFT JOIN {orders} ON o_custkey = c_custkey GROUP BY c_custkey")
+
+
+# suppliers' nations provide part types under a brand as verb, customers' nations consume them
+_FED_SQL = """i AS (SELECT DISTINCT CAST(s_nationkey AS VARCHAR) AS project, 'provides' AS direction, replace(p_brand, ' ', '') || ' /' || replace(p_type, ' ', '/') || '/' || p_partkey % 40 AS normalized, CAST(p_size AS DOUBLE) / 50 AS confidence, p_size % 3 = 0 AS contract
+          FROM lineitem JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey
+          UNION SELECT CAST(c_nationkey AS VARCHAR), 'consumes', replace(p_brand, ' ', '') || ' /' || replace(p_type, ' ', '/') || '/' || p_partkey % 40, 1.0, false FROM orders JOIN customer ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey),
+    p AS (SELECT project, normalized, substr(normalized, instr(normalized, ' ') + 1) AS route, max(confidence) AS confidence, bool_or(contract) AS contract FROM i WHERE direction = 'provides' GROUP BY project, normalized),
+    c AS (SELECT DISTINCT project, normalized, substr(normalized, instr(normalized, ' ') + 1) AS route FROM i WHERE direction = 'consumes')"""
+
+
+def _contracts(spark, sf_dir):
+    t = {n: read_table(spark, sf_dir, n) for n in ("lineitem", "part", "supplier", "orders", "customer")}
+    squeezed = lambda c, by: F.replace(c, F.lit(" "), F.lit(by))
+    name = F.concat(squeezed("p_brand", ""), F.lit(" /"), squeezed("p_type", "/"), F.lit("/"), F.col("p_partkey") % 40)
+    lines = t["lineitem"].select("l_orderkey", F.col("l_partkey").alias("p_partkey"), F.col("l_suppkey").alias("s_suppkey")).join(t["part"].select("p_partkey", "p_brand", "p_type", "p_size"), "p_partkey")
+    item = lambda df, project, direction, confidence, contract: df.select(F.col(project).cast("string").alias("project"), F.lit("http").alias("kind"), F.lit(direction).alias("direction"), name.alias("normalized"), confidence.alias("confidence"), contract.alias("contract")).distinct()
+    sold = item(lines.join(t["supplier"].select("s_suppkey", "s_nationkey"), "s_suppkey"), "s_nationkey", "provides", F.col("p_size").cast("double") / 50, F.col("p_size") % 3 == 0)
+    bought = lines.join(t["orders"].select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("c_custkey")), "l_orderkey").join(t["customer"].select("c_custkey", "c_nationkey"), "c_custkey")
+    return sold.unionByName(item(bought, "c_nationkey", "consumes", F.lit(1.0), F.lit(False)))
+
+
+@query("federation_links", f"""WITH {_FED_SQL},
+    m AS (SELECT c.project, c.normalized, p.project AS provider, CASE WHEN p.contract THEN 1.0 ELSE 0.95 END AS confidence, row_number() OVER (PARTITION BY c.project, c.normalized ORDER BY p.confidence DESC, p.project) AS r FROM c JOIN p ON p.normalized = c.normalized AND p.project <> c.project),
+    n AS (SELECT route, project, max(confidence) AS confidence FROM p GROUP BY route, project),
+    d AS (SELECT c.project, c.normalized, n.project AS provider, row_number() OVER (PARTITION BY c.project, c.normalized ORDER BY n.confidence DESC, n.project) AS r FROM c JOIN n ON n.route = c.route AND n.project <> c.project)
+    SELECT c.project, c.normalized, CASE WHEN m.provider IS NOT NULL THEN 'linked' WHEN d.provider IS NOT NULL THEN 'divergent' ELSE 'unresolved' END AS state, coalesce(m.provider, d.provider) AS provider, CAST(m.confidence AS DOUBLE) AS confidence
+    FROM c LEFT JOIN m ON m.project = c.project AND m.normalized = c.normalized AND m.r = 1 LEFT JOIN d ON d.project = c.project AND d.normalized = c.normalized AND d.r = 1""")
+def federation_links(spark, sf_dir):
+    """Every consumed contract with its provider in another project, its divergence, or neither."""
+    return federation.link(_contracts(spark, sf_dir)).select("project", "normalized", "state", "provider", "confidence")
+
+
+@query("contract_scores", f"""WITH {_FED_SQL}, h AS (SELECT DISTINCT project, normalized, confidence, unnest(list_distinct(regexp_extract_all(lower(normalized), '[\\p{{L}}\\p{{N}}]+'))) AS w FROM p),
+    s AS (SELECT n_nationkey, n_name || ' standard brass ' || n_regionkey AS text FROM nation), a AS (SELECT n_nationkey AS query_id, unnest(list_distinct(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+'))) AS w, len(list_distinct(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+'))) AS k FROM s)
+    SELECT query_id, project, normalized, round(count(*) / k * max(confidence), 6) AS score FROM h JOIN a USING (w) GROUP BY query_id, k, project, normalized""")
+def contract_scores(spark, sf_dir):
+    """Shared words of a question and a contract's name, times its confidence."""
+    items = _contracts(spark, sf_dir).where("direction = 'provides'")
+    best = items.groupBy("project", "kind", "normalized").agg(F.max("confidence").alias("confidence"))
+    asked = read_table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("query_id"), F.concat("n_name", F.lit(" standard brass "), "n_regionkey").alias("text"))
+    return federation.contract_search(best, asked).select("query_id", "project", "normalized", "score")

@@ -69,7 +69,7 @@ def intent_detect(spark, sf_dir):
     return read_table(spark, sf_dir, "conversations").select("conv_id", "turn", T.intent(F.col("text")).alias("intent"))
 
 
-@query("tier_of_path", rf"""SELECT page_id, CASE WHEN regexp_matches(p, '{T.WORK_PREFIX}') THEN 'work' WHEN regexp_matches(p, '{T.TEST_PREFIX}') THEN 'test' ELSE 'knowledge' END AS tier
+@query("tier_of_path", rf"""SELECT page_id, CASE WHEN regexp_matches(p, '(^|/)(task|tasks|backlog|stories|planning)/') THEN 'work' WHEN regexp_matches(p, '(^|/)(tests|test|spec|specs|__tests__)/') THEN 'test' ELSE 'knowledge' END AS tier
     FROM (SELECT page_id, CASE WHEN page_id % 5 = 0 THEN 'task/' WHEN page_id % 5 = 1 THEN 'src/tests/' ELSE 'src/' END || page_id AS p FROM pages) t""")
 def tier_of_path(spark, sf_dir):
     p = F.concat(F.when(F.col("page_id") % 5 == 0, "task/").when(F.col("page_id") % 5 == 1, "src/tests/").otherwise("src/"), F.col("page_id").cast("string"))
