@@ -41,3 +41,19 @@ def test_digest_on_awkward_rows(spark):
     got = {r[0]: tuple(r)[1:] for r in chat.digest(spark, df).collect()}
     assert got == brute([*rows, (-1, 0, "user", probe), (-1, 1, "assistant", probe)])
     assert chat.digest(spark, df.limit(0)).count() == 1
+
+
+def test_deltas_edits_and_regenerations_through_spark(spark):
+    from lorequarry.llm import chat
+
+    log = [
+        (1, 0, 0, "message", "user", "hi"), (1, 1, 1, "message", "assistant", "par"), (1, 1, 2, "delta", "assistant", "tial "), (1, 1, 3, "delta", "assistant", "<|im_end|>"),
+        (1, 2, 4, "message", "user", "no"), (1, 3, 5, "message", "assistant", "gone later"), (1, 0, 6, "edit", "user", "hello"), (1, 1, 7, "regenerate", "assistant", "a"), (1, 1, 8, "delta", "assistant", "new"),
+        (1, 2, 9, "message", "user", "after"), (2, 0, 0, "message", "user", "x"), (2, 0, 1, "delta", "user", "y"),
+    ]
+    events = spark.createDataFrame(log[::-1], "conv_id long, turn long, seq long, kind string, role string, text string").repartition(3)
+    got = {}
+    for r in sorted(chat.format_chat(events).collect(), key=lambda r: (r.conv_id, r.ordinal)):
+        got[r.conv_id] = got.get(r.conv_id, "") + r.segment
+    turn = lambda role, text: f"<|im_start|>{role}\n{text}<|im_end|>\n"
+    assert got == {1: turn("user", "hello") + turn("assistant", "anew") + turn("user", "after"), 2: turn("user", "xy")}
