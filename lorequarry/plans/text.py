@@ -8,7 +8,7 @@ from lorequarry.functions import ids as I
 from lorequarry.functions import stats as ST
 from lorequarry.functions import text as T
 from lorequarry.functions import vector as V
-from lorequarry.operators import chunking, embedding
+from lorequarry.operators import chunking, embedding, units
 from lorequarry.plans.registry import query
 from lorequarry.session import read_table
 
@@ -216,6 +216,51 @@ def parsed_pages(spark, sf_dir):
     return chunking.page_chunks(read_table(spark, sf_dir, "pages"), 512, 24)
 
 
+def sources(spark, sf_dir, stem="DocBody"):
+    """Each whole document as a Python source: one class, whose methods return its lines."""
+    lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda s: F.regexp_replace(s, r'[\\"\x00-\x1f\x85\u2028\u2029]', " "))
+    body = F.transform(lines, lambda s, i: F.concat(F.lit("    def line_"), (i + 1).cast("string"), F.lit('(self):\n        return "'), s, F.lit('"\n')))
+    text = F.concat(F.lit("import os\n\n\nclass "), F.lit(stem), F.col("doc_id").cast("string"), F.lit(":\n"), F.array_join(body, "\n"))
+    name = F.concat(F.lit("src/doc_"), F.col("doc_id").cast("string"), F.lit(".py"))
+    return docs(spark, sf_dir).select("doc_id", name.alias("path"), F.lit("python").alias("lang"), text.alias("text"))
+
+
+_TOKENS = r"list_sum(list_transform(regexp_extract_all(%s, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]'), lambda t: CASE WHEN length(t) <= 4 THEN 1 ELSE ceil(length(t) / 4.0) END))"
+#: The same sources line by line: their chunks follow from the lines, with two parts where a line passes the limit.
+_UNITS = rf"""p AS (SELECT doc_id, 'src/doc_' || doc_id || '.py' AS path, '{{stem}}' || doc_id AS cls, list_transform(string_split(coalesce(text, ''), chr(10)), lambda s: regexp_replace(s, '[\\"\x00-\x1f\x{{{{85}}}}\x{{{{2028}}}}\x{{{{2029}}}}]', ' ', 'g')) AS lines FROM documents),
+    l AS (SELECT doc_id, path, cls, n, '    def line_' || n || '(self):' AS head, '        return "' || lines[n] || '"' AS said FROM (SELECT *, unnest(range(1, len(lines) + 1)) AS n FROM p) t),
+    w AS (SELECT *, {_TOKENS % "head || chr(10) || said"} > 512 AS parted FROM l),
+    c AS (SELECT doc_id, path, 0 AS place, 0 AS part, 'file' AS kind, NULL AS symbol, 1 AS start_line, 1 AS end_line, 'import os' AS content FROM p
+        UNION ALL SELECT doc_id, path, 0, 1, 'class', cls, 4, 4, 'class ' || cls || ':' || chr(10) || '# métodos: ' || list_aggregate(list_transform(range(1, len(lines) + 1), lambda i: 'line_' || i), 'string_agg', ', ') FROM p
+        UNION ALL SELECT doc_id, path, n, 0, 'method', cls || '.line_' || n || CASE WHEN parted THEN '#part-1' ELSE '' END, 2 + 3 * n, 2 + 3 * n + CASE WHEN parted THEN 0 ELSE 1 END, CASE WHEN parted THEN head ELSE head || chr(10) || said END FROM w
+        UNION ALL SELECT doc_id, path, n, 1, 'method', cls || '.line_' || n || '#part-2', 3 + 3 * n, 3 + 3 * n, said FROM w WHERE parted),
+    u AS (SELECT *, row_number() OVER (PARTITION BY doc_id, content ORDER BY place, part) - 1 AS copy FROM c),
+    i AS (SELECT *, substr(sha256(path || chr(0) || content || CASE WHEN copy > 0 THEN '::copy-' || copy || '::' ELSE '' END || chr(0) || '1'), 1, 32) AS chunk_id, trim(string_split(content, chr(10))[1]) AS said FROM u),
+    units AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY place, part) - 1 AS INTEGER) AS ordinal, chunk_id, CASE WHEN kind = 'method' THEN max(CASE WHEN kind = 'class' THEN chunk_id END) OVER (PARTITION BY doc_id) END AS parent_id, kind, symbol,
+        CAST(start_line AS INTEGER) AS start_line, CAST(end_line AS INTEGER) AS end_line, content, path || CASE WHEN symbol IS NULL THEN '' ELSE ' › ' || kind || ' ' || symbol || ' › doc ' || doc_id || ' ' || lower(regexp_replace(regexp_replace(symbol, '^([A-Z][a-z]+)([A-Z])', '\1 \2'), '[._-]+', ' ', 'g'))
+        || ' › ' || CASE WHEN length(said) > 160 THEN substr(said, 1, 159) || '…' ELSE said END END AS context FROM i)"""
+
+
+def _units(stem):
+    return _UNITS.replace("{stem}", stem).replace("{{", "{").replace("}}", "}")
+
+
+@query("code_units", f"""WITH {_units("DocBody")} SELECT doc_id, ordinal, chunk_id, parent_id, kind, symbol, start_line, end_line, sha256(content) AS hash, context FROM units""")
+def code_units(spark, sf_dir):
+    """Class headers without bodies, methods and their parts, with ids, parents and contexts."""
+    made = units.units(sources(spark, sf_dir), 512, 0)
+    return made.select("doc_id", "ordinal", "chunk_id", "parent_id", "kind", "symbol", "start_line", "end_line", F.sha2("content", 256).alias("hash"), "context")
+
+
+@query("rechunked_units", f"""WITH {_units("DocBody")}, old AS (SELECT * FROM units), new AS (SELECT * FROM (WITH {_units("DocPage")} SELECT * FROM units) t)
+    SELECT coalesce(o.chunk_id, n.chunk_id) AS chunk_id, CASE WHEN o.chunk_id IS NULL THEN 'added' WHEN n.chunk_id IS NULL THEN 'removed' WHEN o.parent_id IS NOT DISTINCT FROM n.parent_id THEN 'kept' ELSE 'moved' END AS state,
+        n.chunk_id IS NOT NULL AND o.context IS DISTINCT FROM n.context AS embed FROM old o FULL JOIN new n ON n.chunk_id = o.chunk_id""")
+def rechunked_units(spark, sf_dir):
+    """What a renaming of all classes does to chunks and vectors: methods keep their ids, not their contexts."""
+    old, new = (units.units(sources(spark, sf_dir, stem), 512, 0) for stem in ("DocBody", "DocPage"))
+    return units.rechunked(old, new)
+
+
 @query("hashed_vectors")
 def hashed_vectors(spark, sf_dir):
     """Deterministic hashing vectors; equal texts are embedded once and joined back by hash."""
