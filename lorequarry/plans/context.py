@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lorequarry.functions import text as T
 from lorequarry.operators import compress as K
 from lorequarry.operators import context as C
+from lorequarry.operators import dictionary as DI
 from lorequarry.operators import search as S
 from lorequarry.plans.registry import both, query
 from lorequarry.plans.search import BM25_SQL, keyword
@@ -119,3 +120,39 @@ def compressed_fragments(spark, sf_dir):
     """Documents as prose through the whole cascade, towards 120 tokens."""
     rows = K.compress(read_table(spark, sf_dir, "documents").select("doc_id", "text"), target=120, query=F.lit("the of and"))
     return rows.select("doc_id", "strategy", F.sha2("compressed", 256).alias("hash"), F.col("saved_tokens").cast("long").alias("saved_tokens"))
+
+
+#: Sections of a supplier's dictionary, by part; lines rank by price and cost their quantity.
+_SECTIONS = ("glossary", "docs", "services", "data_stores", "modules", "technologies", "repo_map")
+_ENTRIES = f"""e AS (SELECT project, section, tokens, row_number() OVER (PARTITION BY project, section ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) AS place FROM (SELECT l_suppkey AS project, {list(_SECTIONS)}[l_partkey % 7 + 1] AS section,
+        CAST(floor(l_quantity) AS BIGINT) AS tokens, l_extendedprice, l_orderkey, l_linenumber FROM lineitem) t)"""
+
+
+def dictionary_entries(spark, sf_dir):
+    section = F.element_at(F.array(*map(F.lit, _SECTIONS)), (F.col("l_partkey") % 7 + 1).cast("int"))
+    lines = read_table(spark, sf_dir, "lineitem").select(
+        F.col("l_suppkey").alias("project"), section.alias("section"), F.floor("l_quantity").cast("long").alias("tokens"), "l_extendedprice", "l_orderkey", "l_linenumber"
+    )
+    ranked = Window.partitionBy("project", "section").orderBy(F.desc("l_extendedprice"), "l_orderkey", "l_linenumber")
+    return lines.select("project", "section", F.row_number().over(ranked).alias("place"), "tokens")
+
+
+@query("dictionary_budget", f"""WITH RECURSIVE {_ENTRIES}, rules(section, turn, least) AS (VALUES ('glossary', 1, 5), ('docs', 2, 10), ('services', 3, 12), ('data_stores', 4, 10), ('modules', 5, 10)),
+    n AS (SELECT project, section, count(*) AS n, sum(tokens) AS tokens FROM e GROUP BY project, section),
+    s AS (SELECT project, section, turn, least, n AS length, NULL::BIGINT AS was, 0 AS k FROM n JOIN rules USING (section) UNION ALL SELECT project, section, turn, least, greatest(length * 2 // 3, least), length, k + 1 FROM s WHERE length > least),
+    g AS (SELECT s.project, s.section, s.turn, s.k, s.length, sum(tokens) AS saved FROM s JOIN e ON e.project = s.project AND e.section = s.section AND e.place > s.length AND e.place <= s.was GROUP BY ALL),
+    w AS (SELECT project, sum(tokens) AS whole FROM n GROUP BY project),
+    d AS (SELECT g.*, whole - coalesce(sum(saved) OVER (PARTITION BY g.project ORDER BY turn, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) > 6000 AS done FROM g JOIN w ON w.project = g.project),
+    c AS (SELECT project, section, min(length) AS kept, sum(saved) AS saved FROM d WHERE done GROUP BY project, section)
+    SELECT n.project, n.section, n.n, coalesce(kept, n.n) AS kept, coalesce(kept < n.n, false) AS cut, CAST(whole - coalesce(sum(saved) OVER (PARTITION BY n.project), 0) AS BIGINT) AS total FROM n JOIN w ON w.project = n.project LEFT JOIN c ON c.project = n.project AND c.section = n.section""")
+def dictionary_budget(spark, sf_dir):
+    """Dictionaries of suppliers cut section by section until each fits 6000 tokens."""
+    return DI.fitted(dictionary_entries(spark, sf_dir), 6000)
+
+
+@query("dictionary_level", f"""WITH {_ENTRIES}, most(section, zero, one) AS (VALUES ('technologies', 8, 20), ('repo_map', 10, 25), ('services', 8, 12), ('modules', 6, 20), ('docs', 0, 10)),
+    t AS (SELECT project, CAST(sum(CASE WHEN place <= coalesce(zero, 0) THEN tokens ELSE 0 END) AS BIGINT) AS a, CAST(sum(CASE WHEN place <= coalesce(one, 0) THEN tokens ELSE 0 END) AS BIGINT) AS b, CAST(sum(tokens) AS BIGINT) AS c FROM e LEFT JOIN most USING (section) GROUP BY project)
+    SELECT project, CASE WHEN c <= 2100 THEN 2 WHEN b <= 2100 THEN 1 ELSE 0 END AS level, CASE WHEN c <= 2100 THEN c WHEN b <= 2100 THEN b ELSE a END AS tokens FROM t""")
+def dictionary_level(spark, sf_dir):
+    """The fullest reading of each dictionary that fits 2100 tokens."""
+    return DI.reading_level(dictionary_entries(spark, sf_dir), 2100)
