@@ -8,10 +8,11 @@ seeds along edges, ``t = (1 - a) s + a * sum over u -> v of w(u, v) t(u)``; dist
 along reversed edges, so a host that links to blocked ones is distrusted. Each direction's weights sum to one at their
 source, and both scores are scaled by ``1 - a``, so that a host's own seed counts in full.
 
-A host is blocked when distrust less trust is at or above a threshold. The threshold is learned from rules held out: scores
-are also spread from the seeds of one half of the ruled pages (dealt by a hash of the url), and of all thresholds the one
-that tells blocked from allowed pages of the other half best, by the mean of both recalls, is taken; of equals the highest,
-which blocks least. It is above zero, so a host without evidence is allowed. Where the held-out half lacks a class, ``THRESHOLD`` stands in.
+A host is blocked when distrust less trust is at or above a threshold. The threshold is learned from hosts held out: scores
+are also spread from the seeds of one half of the hosts (dealt by a hash of the name), so the other half has only what its
+neighbours send, as a host without a rule does; of all thresholds the one that tells its blocked from its allowed pages best,
+by the mean of both recalls, is taken; of equals the highest, which blocks least. It is above zero, so a host without
+evidence is allowed. Where the held-out half lacks a class, ``THRESHOLD`` stands in.
 
 Ranks are DataFrames of one row per node; an iteration is a join on the edge's source and a sum per target, so a hub is
 pre-aggregated and its join can be split. Iterations stop when no rank moves by more than ``TOLERANCE``.
@@ -106,17 +107,20 @@ def learned(counts: list[tuple[int, int, int]]) -> float:
 def judge(pages: DataFrame, rules=RULES, threshold: float | None = None) -> DataFrame:
     """Per row of (page_id, url, html): page_id, host, path, rule, verdict, trust, distrust. Without a threshold it is learned."""
     url = F.col("url").cast("string")
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), host(url).alias("host"), path(url).alias("path"), F.col("html").cast("string").alias("html"), (F.crc32(F.coalesce(url, F.lit("")).cast("binary")) % 2 == 0).alias("seeds"))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), host(url).alias("host"), path(url).alias("path"), F.col("html").cast("string").alias("html"))
     ruled = rows.withColumn("rule", fitting_rule(F.col("host"), F.col("path"), rules))
     verdicts = F.create_map(*[F.lit(x) for rule in rules for x in rule]) if rules else F.create_map()
     ruled = ruled.withColumn("said", F.when(F.col("rule").isNotNull(), F.try_element_at(verdicts, F.col("rule"))) if rules else F.lit(None).cast("string"))
     is_ = lambda what: F.coalesce(F.col("said"), F.lit("")) == what
     share = lambda what: F.avg(is_(what).cast("double"))
-    half = lambda what: F.coalesce(F.avg(F.when(F.col("seeds"), is_(what).cast("double"))), F.lit(0.0))
-    left = lambda what: F.sum((is_(what) & ~F.col("seeds")).cast("long"))
+    ruled_pages = lambda what: F.sum(is_(what).cast("long"))
     kinds = {"trust": "allow", "distrust": "block"}
-    measures = [f(what).alias(f"{name}_{what}") for what in kinds.values() for name, f in (("score", share), ("half", half), ("left", left))]
-    hosts = cut(ruled.where("host <> ''").groupBy("host").agg(*measures))
+    measures = [f(what).alias(f"{name}_{what}") for what in kinds.values() for name, f in (("score", share), ("pages", ruled_pages))]
+    hosts = ruled.where("host <> ''").groupBy("host").agg(*measures)
+    # half of the hosts seed what the threshold is learned from; the others, held out whole, only receive
+    seeding = F.crc32(F.col("host").cast("binary")) % 2 == 0
+    halves = [F.when(seeding, F.col(f"score_{what}")).otherwise(F.lit(0.0)).alias(f"half_{what}") for what in kinds.values()]
+    hosts = cut(hosts.select("host", *[f"score_{what}" for what in kinds.values()], *halves, *[F.when(seeding, 0).otherwise(F.col(f"pages_{what}")).alias(f"left_{what}") for what in kinds.values()]))
     seeds = None
     for kind, what in kinds.items():
         one = hosts.select(F.lit(kind).alias("kind"), "host", F.col(f"score_{what}").alias("score"), F.col(f"half_{what}").alias("half")).where("score > 0")

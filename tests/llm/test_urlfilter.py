@@ -35,7 +35,7 @@ def brute(rows):
     by = defaultdict(list)
     for _, h, p, _, url in pages:
         if h:
-            by[h].append((verdict.get(rule_of(h, p)), zlib.crc32((url or "").encode()) % 2 == 0))
+            by[h].append((verdict.get(rule_of(h, p)), zlib.crc32(h.encode()) % 2 == 0))
     for _, h, _, html, _ in pages:
         for to in re.findall(r"""(?i)href\s*=\s*["']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s>]+)""", html or ""):
             if h and to.lower() != h:
@@ -113,6 +113,25 @@ def test_trust_and_distrust_reach_unruled_hosts(spark):
     assert got == {1: "block", 2: "block", 3: "allow", 4: "allow"}
 
 
+def clustered():
+    """Hosts with rules that link to their like, and hosts without one that only link or are linked to."""
+    ring = lambda name, i: f'<a href="http://{name % ((i + 1) % 24)}/">'
+    pages = [(f"http://{'s%d.net' % i}/a", ring("s%d.net", i)) for i in range(24)] + [(f"http://{'g%d.org' % i}/fr/", ring("g%d.org", i) + f'<a href="http://friend{i}.info/">') for i in range(24)]
+    pages += [(f"http://feeder{i}.info/", f'<a href="http://s{i}.net/"><a href="http://s{(i + 5) % 24}.net/">') for i in range(24)] + [(f"http://friend{i}.info/", "") for i in range(24)]
+    return [(k, *page) for k, page in enumerate(pages)]
+
+
+def test_edges_decide_hosts_without_rules_at_the_learned_threshold(spark, monkeypatch):
+    rows = clustered()
+    table = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = u.judge(table).collect()
+    assert not hold(found, brute(rows)) and {r.verdict for r in found if r.host.startswith("feeder")} == {"block"}
+    assert {r.verdict for r in found if r.host.startswith("friend")} == {"allow"}
+    monkeypatch.setattr(u, "host_edges", lambda pages, hosts: spark.createDataFrame([], "kind string, src string, dst string, w double"))
+    bare = {r.page_id: r.verdict for r in u.judge(table).collect()}
+    assert {bare[r.page_id] for r in found if r.host.startswith("feeder")} == {"allow"}
+
+
 def test_learned_threshold():
     assert u.learned([]) == u.learned([(3, 5, 0)]) == u.THRESHOLD
     assert u.learned([(-20, 0, 9), (10, 1, 2), (60, 8, 1)]) == 60 / u.STEPS
