@@ -9,10 +9,11 @@ from lorequarry.functions import text as T
 from lorequarry.operators import compress as K
 from lorequarry.operators import context as C
 from lorequarry.operators import dictionary as DI
+from lorequarry.operators import render as R
 from lorequarry.operators import search as S
 from lorequarry.plans.registry import both, query
 from lorequarry.plans.search import BM25_SQL, keyword
-from lorequarry.session import read_table
+from lorequarry.session import cut, read_table
 
 both("intent_weights", "SELECT doc_id, round(n_chars * CASE WHEN doc_id % 3 = 0 THEN 1.25E0 WHEN doc_id % 3 = 1 THEN 1.1E0 ELSE 0.9E0 END, 3) AS weighed FROM {documents}")
 both("best_per_document", "SELECT source, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS rn FROM {documents}) t WHERE rn = 1")
@@ -156,3 +157,54 @@ def dictionary_budget(spark, sf_dir):
 def dictionary_level(spark, sf_dir):
     """The fullest reading of each dictionary that fits 2100 tokens."""
     return DI.reading_level(dictionary_entries(spark, sf_dir), 2100)
+
+
+#: The same four renderings, put together from strings of rows. Words of a query that look like secrets are masked.
+_SECRET = """(length({0}) >= 12 AND len(list_distinct(string_split({0}, ''))) >= 6 AND length({0}) - length(replace({0}, ' ', '')) < 2
+    AND list_sum(list_transform(list_distinct(string_split({0}, '')), lambda c: -((length({0}) - length(replace({0}, c, ''))) / length({0})) * log2((length({0}) - length(replace({0}, c, ''))) / length({0})))) >= 3)"""
+_MASK = "CASE WHEN length({0}) < 16 THEN '«curto»' ELSE left({0}, 4) || '…' || right({0}, 4) END"
+_ESCAPED = "replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+_RENDER_SQL = f"""WITH {BM25_SQL}, h AS (SELECT query_id, doc_id, rank, score, source || '/' || doc_id || '.md' AS path, lang, text, len(string_split(text, chr(10))) AS lines, doc_id % 3 = 0 AS comp,
+        {_TOKENS.format("text")} AS tokens, {_TOKENS.format("'## [' || rank || '] ' || source || '/' || doc_id || '.md'")} AS header FROM kr JOIN d USING (doc_id) WHERE rank <= 20),
+    u AS (SELECT *, sum(tokens + header) OVER (PARTITION BY query_id ORDER BY rank ROWS UNBOUNDED PRECEDING) + 20 <= 1500 AS kept FROM h),
+    mk AS (SELECT item_id AS query_id, array_to_string(list_transform(string_split(text, ' '), lambda w: CASE WHEN {_SECRET.format("w")} THEN {_MASK.format("w")} ELSE w END), ' ') AS masked, text FROM benchmark),
+    e AS (SELECT query_id, CASE WHEN length(text) > 96 OR contains(text, ' ') THEN masked ELSE text END AS said FROM mk),
+    g AS (SELECT query_id, left(said, 96) || CASE WHEN length(said) > 96 THEN '…' ELSE '' END AS said FROM e),
+    a AS (SELECT query_id, CAST(coalesce(sum(tokens) FILTER (kept), 0) AS BIGINT) AS used, count(DISTINCT path) FILTER (kept) AS sources, list_sort(list_distinct(list(path) FILTER (kept))) AS paths, count(*) FILTER (NOT kept) AS lost,
+        string_agg('## [' || rank || '] ' || path || ':1-' || lines || ' › ' || lang || CASE WHEN comp THEN '  (comprimido)' ELSE '' END || chr(10) || chr(10) || text || chr(10) || chr(10), '' ORDER BY rank) FILTER (kept) AS md,
+        string_agg('  <fragment source="' || {_ESCAPED.format("path")} || '" lines="1-' || lines || '" compressed="' || comp || '">' || chr(10) || '    ' || {_ESCAPED.format("text")} || chr(10) || '  </fragment>' || chr(10), '' ORDER BY rank) FILTER (kept) AS xm,
+        string_agg('  [' || rank || '] ' || path || ':1-' || lines || ' › ' || lang || chr(10) || '       score ' || printf('%.4f', score) || ' · ' || tokens || ' tokens · via keyword' || CASE WHEN comp THEN ', comprimido por ' || chr(39) || 'prune' || chr(39) ELSE '' END || chr(10), '' ORDER BY rank) FILTER (kept) AS ex,
+        string_agg('    ' || left(CAST(doc_id AS VARCHAR), 14) || '  budget: ' || tokens, chr(10) ORDER BY rank) FILTER (NOT kept AND late <= 5) AS examples,
+        list({{'document_path': path, 'lines': [1, lines], 'symbol': lang, 'score': round(score, 6), 'tokens': tokens, 'compressed': comp, 'strategy': 'prune', 'reason': 'keyword', 'content': text}} ORDER BY rank) FILTER (kept) AS fragments,
+        list({{'id': CAST(doc_id AS VARCHAR), 'why': 'budget: ' || tokens}} ORDER BY rank) FILTER (NOT kept AND late <= 5) AS shown
+        FROM (SELECT *, row_number() OVER (PARTITION BY query_id, kept ORDER BY rank) AS late FROM u) t GROUP BY query_id),
+    pk AS (SELECT g.query_id, said, coalesce(used, 0) AS used, coalesce(sources, 0) AS sources, coalesce(paths, []) AS paths, coalesce(lost, 0) AS lost, coalesce(md, '') AS md, coalesce(xm, '') AS xm, coalesce(ex, '') AS ex,
+        coalesce(examples, '') AS examples, coalesce(fragments, []) AS fragments, coalesce(shown, []) AS shown FROM g LEFT JOIN a USING (query_id)),
+    r AS (SELECT query_id, 'markdown' AS format, '# Contexto — ' || said || chr(10) || chr(10) || md || '---' || chr(10) || sources || ' fonte(s) · ~' || used || ' / 1500 tokens' || CASE WHEN lost > 0 THEN ' · ' || lost || ' candidatos descartados' ELSE '' END AS rendered FROM pk
+        UNION ALL SELECT query_id, 'xml', '<context query="' || replace({_ESCAPED.format("said")}, '"', '&quot;') || '">' || chr(10) || xm || '  <meta tokens="' || used || '" budget="1500" sources="' || sources || '" />' || chr(10) || '</context>' FROM pk
+        UNION ALL SELECT query_id, 'json', CAST(to_json({{'query': said, 'intent': 'lookup', 'estimated_tokens': used, 'budget': 1500, 'sources': paths, 'fragments': fragments, 'dropped': lost,
+            'reasons': CASE WHEN lost > 0 THEN [{{'n': lost, 'why': 'budget'}}] ELSE [] END, 'examples': shown}}) AS VARCHAR) FROM pk
+        UNION ALL SELECT query_id, 'explain', rtrim('Intenção detectada: lookup' || chr(10) || 'Orçamento: ' || used || ' / 1500 tokens' || chr(10) || chr(10) || 'INCLUÍDOS:' || chr(10) || ex
+            || CASE WHEN lost > 0 THEN chr(10) || 'DESCARTADOS (' || lost || '):' || chr(10) || '  ' || lpad(CAST(lost AS VARCHAR), 4, ' ') || '  budget' || chr(10) || chr(10) || '  exemplos:' || chr(10) || examples ELSE '' END, chr(10)) FROM pk)
+    SELECT query_id, format, CAST(length(rendered) AS BIGINT) AS chars, sha256(rendered) AS hash FROM r"""
+
+
+@query("rendered_packs", _RENDER_SQL)
+def rendered_packs(spark, sf_dir):
+    """Keyword hits under 1500 tokens as Markdown, XML, JSON and an explanation, with what the budget left out."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    hits = keyword(spark, sf_dir, 20).join(docs, "doc_id")
+    header = T.token_count(F.format_string("## [%d] %s/%d.md", "rank", "source", "doc_id"))
+    rows = hits.select(
+        "query_id", "doc_id", F.col("rank").alias("place"), F.format_string("%s/%d.md", "source", "doc_id").alias("path"), F.lit(1).alias("first_line"), F.size(F.split("text", "\n", -1)).alias("last_line"),
+        F.col("lang").alias("name"), T.token_count(F.col("text")).cast("long").alias("tokens"), "score", (F.col("doc_id") % 3 == 0).alias("compressed"), F.lit("prune").alias("strategy"),
+        F.lit("keyword").alias("reason"), "text", header.alias("header"),
+    )
+    rows = cut(rows)  # twenty hits of each query of the batch, rendered four times
+    kept = C.hard_cap(rows, 1500, 20).where("NOT shortened")
+    lost = rows.join(kept.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti")
+    lost = lost.select("query_id", F.col("doc_id").alias("id"), F.concat(F.lit("budget: "), F.col("tokens").cast("string")).alias("why"), "place")
+    packs = read_table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"), F.lit("lookup").alias("intent"), F.lit(1500).alias("budget"))
+    forms = {"markdown": R.markdown(packs, kept, lost), "xml": R.xml(packs, kept), "json": R.json(packs, kept, lost), "explain": R.explain(packs, kept, lost)}
+    each = [df.select("query_id", F.lit(name).alias("format"), F.length("rendered").cast("long").alias("chars"), F.sha2("rendered", 256).alias("hash")) for name, df in forms.items()]
+    return each[0].unionByName(each[1]).unionByName(each[2]).unionByName(each[3])

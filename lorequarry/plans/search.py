@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lorequarry.functions import stats
 from lorequarry.functions import text as T
 from lorequarry.operators import embedding
+from lorequarry.operators import evaluation as EV
 from lorequarry.operators import index as IX
 from lorequarry.operators import search as S
 from lorequarry.plans.registry import query
@@ -336,3 +337,48 @@ def index_phrases(spark, sf_dir):
     words = F.slice(IX.tokens(F.col("text")), 2, 3)
     asked = queries_of(spark, sf_dir).where(F.size(IX.tokens(F.col("text"))) >= 4).select("query_id", F.concat(F.lit('"'), F.array_join(words, " "), F.when(F.col("query_id") % 5 != 0, '"').otherwise("")).alias("text"))
     return index.search(asked, raw=True).select("query_id", "doc_id", "rank", F.round("score", 4).alias("score"))
+
+
+#: Every passage as a case in three modes: hits, first places, gains, and what passages without a document are shown.
+_MODES_SQL = f"""{BM25_SQL}, {FUSED_SQL}, {RERANK_SQL},
+    rel AS (SELECT DISTINCT item_id AS query_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)),
+    need AS (SELECT query_id, count(*) AS n FROM rel GROUP BY query_id),
+    hm AS (SELECT 'keyword' AS mode, query_id, doc_id, rank, score FROM kr WHERE rank <= 10 UNION ALL SELECT 'semantic', query_id, doc_id, rank, score FROM cr WHERE rank <= 10
+           UNION ALL SELECT 'hybrid', query_id, doc_id, rank, round(s, 7) FROM rr WHERE rank <= 10),
+    cs AS (SELECT item_id AS query_id, CASE WHEN length(text) > 400 THEN 'long' ELSE 'short' END AS class, CASE item_id % 3 WHEN 0 THEN 'easy' WHEN 1 THEN 'medium' ELSE 'hard' END AS difficulty, mode
+           FROM benchmark, (VALUES ('keyword'), ('semantic'), ('hybrid')) m(mode)),
+    gn AS (SELECT mode, query_id, min(rank) AS first, sum(1 / log2(rank + 1)) AS gain FROM hm JOIN rel USING (query_id, doc_id) GROUP BY ALL),
+    jd AS (SELECT cs.*, need.n, gn.first, coalesce(gain, 0) / list_sum(list_transform(range(1, least(need.n, 10) + 1), lambda r: 1 / log2(r + 1))) AS ndcg, t.score AS top, need.n IS NOT NULL AND coalesce(gn.first <= 5, false) AS hit
+           FROM cs LEFT JOIN need USING (query_id) LEFT JOIN gn USING (mode, query_id) LEFT JOIN (SELECT * FROM hm WHERE rank = 1) t USING (mode, query_id))"""
+
+
+def case_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages as cases of three modes; a passage that no document holds has no answer."""
+    asked = queries_of(spark, sf_dir)
+    level = F.element_at(F.array(*map(F.lit, ("easy", "medium", "hard"))), (F.col("query_id") % 3 + 1).cast("int"))
+    cases = asked.select("query_id", F.when(F.length("text") > 400, "long").otherwise("short").alias("class"), level.alias("difficulty"))
+    legs = {"keyword": keyword(spark, sf_dir), "semantic": semantic(spark, sf_dir), "hybrid": reranked(spark, sf_dir).where("rank <= 10")}
+    hits = [df.select(F.lit(mode).alias("mode"), "query_id", "rank", "doc_id", "score") for mode, df in legs.items()]
+    return EV.judged(cases, relevance(spark, sf_dir), hits[0].unionByName(hits[1]).unionByName(hits[2]), tuple(legs))
+
+
+@query("eval_modes", f"""WITH {_MODES_SQL}, th AS (SELECT mode, top AS threshold FROM (SELECT mode, top, row_number() OVER (PARTITION BY mode ORDER BY top) AS r, count(*) OVER (PARTITION BY mode) AS n FROM jd WHERE hit AND top IS NOT NULL) t
+        WHERE r = (n - 1) // 10 + 1),
+    ag AS (SELECT mode, threshold, CAST(count(n) AS DOUBLE) AS m, CAST(count(*) FILTER (hit) AS DOUBLE) AS k, avg(CASE WHEN n IS NOT NULL THEN coalesce(1.0 / first, 0) END) AS mrr, avg(ndcg) FILTER (n IS NOT NULL) AS ndcg,
+        count(*) FILTER (n IS NULL) AS none, count(*) FILTER (n IS NULL AND top >= threshold) AS fp FROM jd LEFT JOIN th USING (mode) GROUP BY ALL), z AS (SELECT *, k / m AS p, {stats.Z95} AS z FROM ag)
+    SELECT mode, CAST(m AS BIGINT) AS cases, CAST(k AS BIGINT) AS hits, round(p, 4) AS recall_at_5, round(mrr, 4) AS mrr, round(ndcg, 4) AS ndcg_at_10, round(threshold, 4) AS threshold, none AS no_answer_cases, fp AS false_positives,
+        round(greatest(0, (p + z * z / (2 * m) - z * sqrt(p * (1 - p) / m + z * z / (4 * m * m))) / (1 + z * z / m)), 4) AS low, round(least(1, (p + z * z / (2 * m) + z * sqrt(p * (1 - p) / m + z * z / (4 * m * m))) / (1 + z * z / m)), 4) AS high FROM z""")
+def eval_modes(spark, sf_dir):
+    rows = EV.mode_metrics(case_results(spark, sf_dir))
+    return rows.select("mode", "cases", "hits", *[F.round(c, 4).alias(c) for c in ("recall_at_5", "mrr", "ndcg_at_10", "threshold", "low", "high")], "no_answer_cases", "false_positives")
+
+
+@query("eval_mode_groups", f"""WITH {_MODES_SQL} SELECT mode, 'class' AS "by", class AS key, count(*) FILTER (hit) AS hits, count(*) AS cases FROM jd WHERE n IS NOT NULL GROUP BY mode, class
+    UNION ALL SELECT mode, 'difficulty', difficulty, count(*) FILTER (hit), count(*) FROM jd WHERE n IS NOT NULL GROUP BY mode, difficulty""")
+def eval_mode_groups(spark, sf_dir):
+    return EV.mode_groups(case_results(spark, sf_dir))
+
+
+@query("eval_failures", f"WITH {_MODES_SQL} SELECT mode, query_id, CAST(first AS INTEGER) AS first FROM jd WHERE n IS NOT NULL AND NOT hit")
+def eval_failures(spark, sf_dir):
+    return EV.failures(case_results(spark, sf_dir)).select("mode", "query_id", F.col("first").cast("int").alias("first"))

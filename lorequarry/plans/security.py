@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lorequarry.operators import ignore
+from lorequarry.operators import filenames, ignore
 from lorequarry.operators import security as S
 from lorequarry.plans.registry import both, query
 from lorequarry.session import read_table
@@ -96,3 +96,38 @@ def severity_adjust(spark, sf_dir):
 @query("scan_report", "SELECT CAST(count(*) FILTER (doc_id % 7 = 0) AS BIGINT) AS files, CAST(count(*) FILTER (doc_id % 7 = 0) AS BIGINT) AS findings, false AS failed FROM documents")
 def scan_report(spark, sf_dir):
     return S.findings(seeded(spark, sf_dir)).agg(F.countDistinct("doc_id").alias("files"), F.count("*").alias("findings"), F.coalesce(F.max("severity") >= 4, F.lit(False)).alias("failed"))
+
+
+#: File names that documents are given in turn, below their source and language.
+_NAMES = (".env", ".env.example", "prod.env", "cert.pem", "server.key", "id_rsa.pub", ".ssh/known", "credentials.json", "credentials.py", "secrets.yaml", "my_secrets.md", "tokens.json", "tokens.ts",
+          "api_token.txt", "auth_token.go", "passwd.bak", ".netrc", ".aws/config", "gcp-x.json", "v.kdbx", "main.tfvars", "app.py", "README.md")
+_PATHS = f"""n AS (SELECT doc_id, source || '/' || lang || '/' || doc_id || '/' || {list(_NAMES)}[doc_id % {len(_NAMES)} + 1] AS path FROM documents),
+    s AS (SELECT *, string_split(path, '/')[-1] AS name, regexp_matches(path, '[.](py|ts|go|md)$') AS code FROM n),
+    v AS (SELECT doc_id, path, CASE WHEN regexp_matches(name, '[.](example|sample|template|dist)$') OR name = '.env.test' THEN NULL WHEN regexp_matches(name, '^[.]env([.]|$)|[.]env$') THEN 'dotenv'
+        WHEN regexp_matches(name, '[.](pem|p12|pfx|jks|keystore|asc)$') THEN 'pem' WHEN regexp_matches(name, '[.](key|ppk)$') THEN 'private-key' WHEN regexp_matches(name, '^id_(rsa|ed25519)([.]|$)') OR contains(path, '/.ssh/') THEN 'ssh-private-key'
+        WHEN contains(name, 'credential') AND NOT code THEN 'credentials' WHEN contains(name, 'secrets') AND NOT code THEN 'secrets' WHEN (regexp_matches(name, '^tokens?([.](txt|json|ya?ml|toml))?$') OR regexp_matches(name, '[_-]tokens?([.]|$)')) AND NOT code THEN 'tokens'
+        WHEN regexp_matches(name, '^passw(or)?d') AND NOT code THEN 'password-file' WHEN name IN ('.netrc', '_netrc', '.pgpass', '.my.cnf') THEN 'shell-credentials' WHEN contains(path, '/.aws/') OR regexp_matches(name, '^gcp-.*[.]json$') THEN 'cloud-credentials'
+        WHEN name LIKE '%.kdbx' THEN 'password-manager' WHEN regexp_matches(name, '[.]tf(state|vars)$') THEN 'terraform-state' END AS rule FROM s)"""
+
+
+def named(spark, sf_dir):
+    name = F.element_at(F.array(*map(F.lit, _NAMES)), (F.col("doc_id") % len(_NAMES) + 1).cast("int"))
+    return read_table(spark, sf_dir, "documents").select("doc_id", "n_chars", F.concat_ws("/", "source", "lang", "doc_id", name).alias("path"))
+
+
+@query("filename_findings", f"WITH {_PATHS} SELECT doc_id, path, rule, CAST(CASE WHEN rule = 'terraform-state' THEN 3 WHEN rule IS NOT NULL THEN 4 END AS INTEGER) AS severity FROM v")
+def filename_findings(spark, sf_dir):
+    """What the names of files condemn: templates pass, code passes where the content decides."""
+    return named(spark, sf_dir).withColumn("f", filenames.finding(F.col("path"))).select("doc_id", "path", "f.rule", "f.severity")
+
+
+@query("verdict_reuse", f"""WITH {_PATHS} SELECT d.doc_id, CASE WHEN d.doc_id % 10 <> 0 AND d.doc_id % 4 <> 1 THEN CASE WHEN rule IS NULL THEN 'clean' ELSE 'block' END END AS verdict,
+    d.doc_id % 10 <> 0 AND d.doc_id % 4 <> 1 AS reused FROM v JOIN documents d USING (doc_id)""")
+def verdict_reuse(spark, sf_dir):
+    """Kept verdicts, of which every tenth file has another size and every fourth was made under another policy."""
+    now, then = (filenames.context(filenames.DENIED, {"policy": p}, {"rules": 1}) for p in ("balanced", "strict"))
+    files = named(spark, sf_dir).select("doc_id", "path", F.col("n_chars").alias("size"), F.col("doc_id").alias("modified"))
+    made = F.when(F.col("doc_id") % 4 == 1, then).otherwise(now)
+    verdict = F.when(filenames.finding(F.col("path")).isNull(), "clean").otherwise("block")
+    kept = files.select("path", (F.col("size") + (F.col("doc_id") % 10 == 0).cast("int")).alias("size"), "modified", made.alias("context"), verdict.alias("verdict"))
+    return filenames.reusable(files, kept, now).select("doc_id", "verdict", "reused")

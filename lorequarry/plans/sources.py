@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from datetime import date
 
 from pyspark.sql import functions as F
 
@@ -10,7 +11,7 @@ from lorequarry.functions import ids as I
 from lorequarry.functions import vector as V
 from lorequarry.plans.registry import query
 from lorequarry.session import checkpoint_dir, read_table
-from lorequarry.sources import files, vectors
+from lorequarry.sources import files, telemetry, vectors
 
 
 def folder(spark) -> str:
@@ -52,3 +53,23 @@ def vector_store_roundtrip(spark, sf_dir):
     met = held.join(back.select("id", F.col("codes").alias("c"), F.col("scale").alias("s"), F.col("offset").alias("o")), "id", "left")
     same = F.col("codes").eqNullSafe(F.col("c")) & F.col("scale").eqNullSafe(F.col("s")) & F.col("offset").eqNullSafe(F.col("o"))
     return met.select("vec_id", (F.conv(F.substring("id", 1, 2), 16, 10).cast("int") % 16).alias("shard"), same.alias("same"))
+
+
+_CALLS = """c AS (SELECT event_type AS tool, CAST(ts AS DATE) AS day, value AS ms, CASE WHEN user_id % 5 <> 0 THEN event_type <> 'error' END AS ok FROM events WHERE ts >= TIMESTAMP '2024-01-05')"""
+
+
+@query("telemetry_log", f"""WITH {_CALLS} SELECT day, tool, count(*) AS calls, round(quantile_cont(ms, 0.5), 4) AS p50, round(quantile_cont(ms, 0.95), 4) AS p95, count(ok) AS known, count(*) FILTER (NOT ok) AS errors,
+    round(count(*) FILTER (NOT ok) / nullif(count(ok), 0), 6) AS error_rate FROM c WHERE ms IS NOT NULL GROUP BY day, tool""")
+def telemetry_log(spark, sf_dir):
+    """Events as calls through the log: written in two batches, the second of them twice, days before the fifth of January expired, and read back."""
+    path = folder(spark)
+    ok = F.when(F.col("user_id") % 5 != 0, F.col("event_type") != "error")
+    calls = read_table(spark, sf_dir, "events").select(
+        "event_id", "ts", F.col("event_type").alias("tool"), F.col("value").alias("ms"), F.col("user_id").cast("string").alias("project"), ok.alias("ok"), F.lit("failed").alias("error"),
+        F.lit(False).alias("degraded"), F.col("props").alias("text"),
+    )
+    for batch in (0, 1, 1):
+        telemetry.append(telemetry.entries(calls.where(F.col("event_id") % 2 == batch), ("failed",)), path, batch)
+    telemetry.expire(spark, path, date(2024, 1, 8), 3)
+    rows = telemetry.tool_statistics(telemetry.read(spark, path), ("day", "tool"))
+    return rows.select("day", "tool", "calls", F.round("p50", 4).alias("p50"), F.round("p95", 4).alias("p95"), "known", "errors", F.round("error_rate", 6).alias("error_rate"))
