@@ -77,11 +77,17 @@ def is_identifier(text: Column) -> Column:
     return text.rlike(IDENTIFIER)
 
 
+def intent_core(pattern: str) -> str:
+    """An intent's pattern without the word boundaries at its ends, whose meaning differs between engines and versions."""
+    return pattern.removeprefix(r"\b").removesuffix(r"\b")
+
+
 def intent(text: Column) -> Column:
+    """The first intent one of whose words stands in the text as a whole word, in any case; letters with diacritics are letters."""
     out = F.lit("general")
     for name, patterns in reversed(INTENTS):
         for pattern in patterns:
-            out = F.when(text.rlike(f"(?i){pattern}"), F.lit(name)).otherwise(out)
+            out = F.when(text.rlike(rf"(?iu)(?<![\p{{L}}\p{{N}}_]){intent_core(pattern)}(?![\p{{L}}\p{{N}}_])"), F.lit(name)).otherwise(out)
     return out
 
 

@@ -64,7 +64,7 @@ def detectors(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", T.is_question(F.col("text")).alias("question"), T.is_identifier(F.col("text")).alias("identifier"))
 
 
-@query("intent_detect", "SELECT conv_id, turn, CASE " + " ".join(f"WHEN regexp_matches(text, '(?i){p}') THEN '{n}'" for n, patterns in T.INTENTS for p in patterns) + " ELSE 'general' END AS intent FROM conversations")
+@query("intent_detect", "SELECT conv_id, turn, CASE " + " ".join(rf"WHEN regexp_matches(text, '(?i)(^|[^\p{{L}}\p{{N}}_]){T.intent_core(p)}([^\p{{L}}\p{{N}}_]|$)') THEN '{n}'" for n, patterns in T.INTENTS for p in patterns) + " ELSE 'general' END AS intent FROM conversations")
 def intent_detect(spark, sf_dir):
     return read_table(spark, sf_dir, "conversations").select("conv_id", "turn", T.intent(F.col("text")).alias("intent"))
 

@@ -63,5 +63,11 @@ def test_equal_prices_have_one_handler(spark, tmp_path):
     assert got == [("Brand#1", 5.0, 4), ("brand#12", None, None)]
 
 
+def test_intents_are_whole_words_of_any_letters(spark, tmp_path):
+    texts = ["fixé it", "éfix", "o que é isto", "O QUE É", "FALHA!", "fix", None, "add_on", "erro2", "quê qual"]
+    (got,) = held(spark, tmp_path, {"conversations": ([(1, k, t) for k, t in enumerate(texts)], "conv_id long, turn long, text string")}, ["intent_detect"])
+    assert [r[2] for r in sorted(got, key=lambda r: r[1])] == ["general", "general", "locate", "locate", "fix", "fix", "general", "general", "general", "locate"]
+
+
 def test_every_oracle_has_a_query():
     assert registry.ORACLES.keys() <= registry.QUERIES.keys()
