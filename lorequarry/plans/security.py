@@ -67,7 +67,10 @@ def seeded(spark, sf_dir):
     return read_table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 7 == 0, F.concat("text", secret)).otherwise(F.col("text")).alias("text"))
 
 
-_FOUND = r"""WITH s AS (SELECT doc_id, text || chr(10) || 'api_key = "' || substr(sha256(CAST(doc_id AS VARCHAR)), 1, 32) || '"' AS text, substr(sha256(CAST(doc_id AS VARCHAR)), 1, 32) AS v FROM documents WHERE doc_id % 7 = 0)"""
+#: A planted value counts where it looks random: three bits a character, as the rule asks (``RULES``); documents without text hold none.
+_RANDOM = "list_aggregate(string_split(v, ''), 'entropy') >= 3.0"
+_FOUND = rf"""WITH p AS (SELECT doc_id, text || chr(10) || 'api_key = "' || substr(sha256(CAST(doc_id AS VARCHAR)), 1, 32) || '"' AS text, substr(sha256(CAST(doc_id AS VARCHAR)), 1, 32) AS v FROM documents WHERE doc_id % 7 = 0),
+    s AS (SELECT * FROM p WHERE text IS NOT NULL AND {_RANDOM})"""
 
 
 @query("security_findings", _FOUND + " SELECT doc_id, 'generic-secret-assignment' AS rule, 3 AS severity, CAST(len(string_split(text, chr(10))) AS INTEGER) AS line, substr(sha256(v), 1, 16) AS digest FROM s")
@@ -93,7 +96,7 @@ def severity_adjust(spark, sf_dir):
     return read_table(spark, sf_dir, "events").select("event_id", S.adjusted(s, u == 0, u == 1, e == "error").cast("int").alias("severity"))
 
 
-@query("scan_report", "SELECT CAST(count(*) FILTER (doc_id % 7 = 0) AS BIGINT) AS files, CAST(count(*) FILTER (doc_id % 7 = 0) AS BIGINT) AS findings, false AS failed FROM documents")
+@query("scan_report", _FOUND + " SELECT count(DISTINCT doc_id) AS files, count(*) AS findings, false AS failed FROM s")
 def scan_report(spark, sf_dir):
     return S.findings(seeded(spark, sf_dir)).agg(F.countDistinct("doc_id").alias("files"), F.count("*").alias("findings"), F.coalesce(F.max("severity") >= 4, F.lit(False)).alias("failed"))
 
