@@ -15,8 +15,12 @@ greatest by its fields; a query without words, or a malformed raw one, gives no
 
 from __future__ import annotations
 
+import functools
 import re
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,8 +29,13 @@ from lorequarry.operators.search import B, FLOOR, K1, ranked
 from lorequarry.session import cut
 
 BUCKETS = 64
+#: Documents whose postings of a bucket make one file, so that files, and the tasks that write them, are alike at every size.
+FILE_DOCS = 1 << 15
+#: Tokens that a task groups at once.
+RUN_TOKENS = 1 << 21
 #: Terms that a search may broadcast to the postings; more of them are joined by a shuffle.
 BROADCAST_TERMS = 100_000
+_POSTING = "term string, doc_id long, field string, positions array<int>, tf int"
 #: A raw query: words or quoted phrases, each with an optional prefix mark, between OR.
 _ITEM = r'(?:"[^"]*"|[\p{L}\p{N}_]+)\*?'
 RAW = rf"^\s*{_ITEM}(?:\s+OR\s+{_ITEM})*\s*$"
@@ -37,6 +46,38 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(T.folded(F.coalesce(text, F.lit("")))), F.lit(T.WORD), F.lit(0))
 
 
+def _postings(fields: tuple[str, ...]):
+    """(doc_id, tokens of each field) to postings (term, doc_id, field, positions, tf): what a document holds meets in its own row, without a shuffle."""
+
+    def grouped(field: str, doc: np.ndarray, sizes: np.ndarray, words: pa.Array) -> pa.RecordBatch:
+        coded = words.dictionary_encode()
+        codes, n = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), max(len(coded.dictionary), 1)
+        key = np.repeat(np.arange(len(doc)), sizes) * n + codes
+        place = np.arange(len(codes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
+        tf = np.diff(np.append(first, len(key)))
+        held = pa.ListArray.from_arrays(pa.array(np.append(first, len(key)), pa.int32()), pa.array(place[order], pa.int32()))
+        columns = [coded.dictionary.take(pa.array(key[first] % n)), pa.array(doc[key[first] // n], pa.int64()), pa.array([field] * len(first), pa.string()), held, pa.array(tf, pa.int32())]
+        return pa.RecordBatch.from_arrays(columns, ["term", "doc_id", "field", "positions", "tf"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            doc = batch.column(0).to_numpy()
+            for k, field in enumerate(fields):
+                lists, start = batch.column(k + 1), 0
+                ends = np.cumsum(np.diff(lists.offsets.to_numpy()))
+                while start < len(doc):  # runs of about RUN_TOKENS tokens, of one document at least
+                    done = ends[start - 1] if start else 0
+                    stop = max(start + 1, int(np.searchsorted(ends, done + RUN_TOKENS, side="right")))
+                    part = lists.slice(start, stop - start)
+                    yield grouped(field, doc[start:stop], np.diff(part.offsets.to_numpy()), part.flatten())
+                    start = stop
+
+    return run
+
+
 class Index:
     """The index in a folder that driver and executors share; ``fields`` are the columns of documents that it covers."""
 
@@ -62,13 +103,15 @@ class Index:
     def _bucket(self, term: Column) -> Column:
         return F.pmod(F.xxhash64(term), F.lit(self.buckets)).cast("int")
 
-    def _write(self, postings: DataFrame, lengths: DataFrame, segment: int) -> None:
-        """Postings are range-sorted by bucket, term and document: a hot term is split among tasks, and files are sorted."""
-        rows = postings.withColumn("bucket", self._bucket(F.col("term")))
-        held = rows.repartitionByRange("bucket", "term", "doc_id").sortWithinPartitions("bucket", "term", "doc_id")
-        held.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/postings/segment={segment}")
-        self.spark.read.parquet(f"{self.path}/postings/segment={segment}").select("term").distinct().write.mode("overwrite").parquet(f"{self.path}/terms/segment={segment}") if not held.isEmpty() else None
-        lengths.write.mode("overwrite").parquet(f"{self.path}/lengths/segment={segment}")
+    def _write(self, postings: DataFrame, docs: int, segment: int) -> DataFrame:
+        """Postings of about ``docs`` documents, dealt by bucket and a share of the documents, so that a hot term is split among tasks; files are sorted."""
+        rows, path = postings.withColumn("bucket", self._bucket(F.col("term"))), f"{self.path}/postings/segment={segment}"
+        shares = max(1, -(-docs // FILE_DOCS))
+        held = rows.repartition("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(shares))).sortWithinPartitions("bucket", "term", "doc_id")
+        held.write.mode("overwrite").partitionBy("bucket").parquet(path)
+        written = self.spark.read.schema(_POSTING).parquet(path)
+        written.select("term").distinct().write.mode("overwrite").parquet(f"{self.path}/terms/segment={segment}")
+        return written
 
     def apply(self, docs: DataFrame | None = None, deleted: DataFrame | None = None) -> int:
         """Inserts or replaces ``docs`` (doc_id and the fields) and deletes the ids of ``deleted``, as one segment; its number."""
@@ -81,14 +124,11 @@ class Index:
         rows = docs.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(whole).alias("d"))
         if gone is not None:
             rows = rows.join(gone.select("doc_id"), "doc_id", "left_anti")
-        split = cut(rows.select("doc_id", *[tokens(F.col(f"d.{f}")).alias(f) for f in self.fields]))  # the one pass that tokenises
-        parts = [split.select("doc_id", F.lit(f).alias("field"), F.posexplode(f).alias("at", "term")) for f in self.fields]
-        posts = parts[0]
-        for part in parts[1:]:
-            posts = posts.unionByName(part)
-        posts = posts.groupBy("term", "doc_id", "field").agg(F.array_sort(F.collect_list("at")).alias("positions")).withColumn("tf", F.size("positions"))
-        size = split.select("doc_id", sum((F.size(f) for f in self.fields[1:]), F.size(self.fields[0])).cast("long").alias("dl"))
-        self._write(posts, size if gone is None else size.unionByName(gone), segment)
+        split = rows.select("doc_id", *[tokens(F.col(f"d.{f}")).alias(f) for f in self.fields])
+        written = self._write(split.mapInArrow(_postings(self.fields), _POSTING), docs.count(), segment)  # the one pass that tokenises
+        found = written.groupBy("doc_id").agg(F.sum("tf").alias("dl"))
+        size = rows.select("doc_id").join(found, "doc_id", "left").select("doc_id", F.coalesce("dl", F.lit(0)).cast("long").alias("dl"))
+        (size if gone is None else size.unionByName(gone)).write.mode("overwrite").parquet(f"{self.path}/lengths/segment={segment}")
         self._commit(generation + 1, [*segments, segment])
         return segment
 
@@ -102,7 +142,7 @@ class Index:
         return newest.select("doc_id", "x.segment", "x.dl").where("dl IS NOT NULL")
 
     def postings(self, segments: list[int], buckets: list[int] | None = None) -> DataFrame:
-        rows = self._read("postings", segments, "term string, doc_id long, field string, positions array<int>, tf int")
+        rows = self._read("postings", segments, _POSTING)
         return rows if buckets is None else rows.where(F.col("bucket").isin(buckets))
 
     def merge(self) -> int:
@@ -112,7 +152,8 @@ class Index:
             return segments[0] if segments else 0
         segment, live = max(segments) + 1, cut(self.live(segments))
         posts = self.postings(segments).join(live.select("doc_id", "segment"), ["doc_id", "segment"], "left_semi").select("term", "doc_id", "field", "positions", "tf")
-        self._write(posts, live.select("doc_id", "dl"), segment)
+        self._write(posts, live.count(), segment)
+        live.select("doc_id", "dl").write.mode("overwrite").parquet(f"{self.path}/lengths/segment={segment}")
         self._commit(generation + 1, [segment])
         return segment
 
@@ -140,14 +181,19 @@ class Index:
         met = self.postings(segments, buckets).join(F.broadcast(terms) if n_terms <= BROADCAST_TERMS else terms, "term").join(live, ["doc_id", "segment"])
         met = met.select("unit", "of", "at", "doc_id", "dl", "field", "positions", "tf", w.alias("w"))
         single = met.where("of = 1").groupBy("unit", "doc_id", "dl").agg(F.sum(F.col("w") * F.col("tf")).alias("tf"))
-        starts = met.where("of > 1").select("unit", "of", "at", "doc_id", "dl", "field", "w", F.explode("positions").alias("p"))
-        whole = starts.groupBy("unit", "of", "doc_id", "dl", "field", "w", (F.col("p") - F.col("at")).alias("start")).agg(F.countDistinct("at").alias("n")).where("n = of")
-        found = single.unionByName(whole.groupBy("unit", "doc_id", "dl").agg(F.sum("w").alias("tf")))
+        # a phrase stands where all of its places give the same start; a token has one place, so a start counts each place once
+        starts = met.where("of > 1").select("unit", "of", "at", "doc_id", "dl", "field", "w", F.transform("positions", lambda p: p - F.col("at")).alias("s"))
+        whole = starts.groupBy("unit", "of", "doc_id", "dl", "field", "w").agg(F.collect_set("at").alias("ats"), F.array_sort(F.flatten(F.collect_list("s"))).alias("s")).where("size(ats) = of")
+        whole = whole.withColumn("n", F.size(F.filter("s", lambda x, i: F.try_element_at("s", i + F.col("of")) == x))).where("n > 0")
+        found = single.unionByName(whole.groupBy("unit", "doc_id", "dl").agg(F.sum(F.col("w") * F.col("n")).alias("tf")))
+        # what a document scores meets in one place before queries spread it: many queries may share a unit
+        found = cut(found)
         df = found.groupBy("unit").agg(F.count("*").cast("double").alias("df"))
         idf = F.greatest(F.ln((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(FLOOR))
         weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avg_dl")))
-        weighed = found.join(df, "unit").join(F.broadcast(stats)).select("unit", "doc_id", weight.alias("s"))  # one row of totals
-        return weighed.join(asked.select("query_id", "unit"), "unit").groupBy("query_id", "doc_id").agg(F.round(F.sum("s"), 6).alias("score"))
+        named = asked.select("query_id", "unit").join(df, "unit").join(F.broadcast(stats))  # one row of totals
+        few = named if asked.count() > BROADCAST_TERMS else F.broadcast(named)  # counted
+        return found.repartition("doc_id").join(few, "unit").select("query_id", "doc_id", weight.alias("s")).groupBy("query_id", "doc_id").agg(F.round(F.sum("s"), 6).alias("score"))
 
     def _expanded(self, each: DataFrame, segments: list[int]) -> DataFrame:
         """(unit, of, at, term): the word itself, or every term of the index that starts with it where the place is open."""

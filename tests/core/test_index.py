@@ -84,3 +84,19 @@ def test_a_search_reads_only_asked_buckets(spark, tmp_path):
     index.apply(spark.createDataFrame([(i, f"w{i} common") for i in range(200)], "doc_id long, text string"))
     plan = index.postings([1], [3])._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters" in plan and "bucket" in plan.split("PartitionFilters")[1].split("]")[0]
+
+
+def test_postings_meet_in_their_documents_and_phrases_count_repeats(spark, tmp_path, monkeypatch):
+    lists = ix.pa.array([["b", "a", "b"], [], ["c"] * 4, ["a"]], ix.pa.list_(ix.pa.string()))
+    monkeypatch.setattr(ix, "RUN_TOKENS", 3)
+    batch = ix.pa.RecordBatch.from_arrays([ix.pa.array([7, 8, 9, 10]), lists, lists], ["doc_id", "x", "y"])
+    rows = [tuple(r.values()) for out in ix._postings(("x", "y"))([batch.slice(0, 2), batch.slice(2)]) for r in out.to_pylist()]
+    want = [(t, d, f, p, len(p)) for t, d, p in [("b", 7, [0, 2]), ("a", 7, [1]), ("c", 9, [0, 1, 2, 3]), ("a", 10, [0])] for f in "xy"]
+    assert sorted(rows) == sorted(want)
+    monkeypatch.setattr(ix, "FILE_DOCS", 5)
+    docs = {i: {"text": "la la la de la " * (i % 3) + f"la de w{i % 4}"} for i in range(40)}
+    index = ix.Index(spark, str(tmp_path / "i"), buckets=2)
+    index.apply(spark.createDataFrame([(i, d["text"]) for i, d in docs.items()], "doc_id long, text string"))
+    asked = {1: [(["la", "la"], False)], 2: [(["la", "de", "la"], False)], 3: [(["de", "w"], True)]}
+    said = [(q, " OR ".join(f'"{" ".join(w)}"' + "*" * pre for w, pre in units)) for q, units in asked.items()]
+    assert scores(index, spark, said, raw=True) == brute(docs, asked, {})
