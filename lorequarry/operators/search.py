@@ -16,6 +16,8 @@ K1, B, FLOOR = 1.2, 0.75, 1e-6
 RRF_K = 60
 #: Queries of one block of vector search, which every task holds; a larger batch is searched block by block.
 QUERIES = 4096
+#: Scores that a task of vector search holds at once: a batch of rows meets its queries in tiles of so many.
+CELLS = 1 << 20
 KEYWORD_WEIGHT, SEMANTIC_WEIGHT = 0.8, 1.0
 #: Fixed factors of the deterministic rerank.
 SYMBOL, DOC_QUESTION, CODE_IDENTIFIER, SHORT, REDACTED = 1.5, 1.2, 1.2, 0.8, 0.9
@@ -115,9 +117,26 @@ def vector_scores(rows: DataFrame, queries: DataFrame, most: int, dims: int | No
     return functools.reduce(DataFrame.unionByName, [_block_scores(rows, block, most, dims) for block in _blocks(queries)])
 
 
+def _best(vec: np.ndarray, m: np.ndarray, q: np.ndarray, most: int, dims: int | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(query, row, coarse, score) of the ``most`` best rows of each query, tile by tile of queries; ties go to the smaller id."""
+    u, c = _unit(m), _coarse(m, dims) if dims else None
+    step = max(1, CELLS // len(vec))
+    for first in range(0, len(q), step):
+        asked = q[first : first + step]
+        score = np.round(u @ asked.T, 6)
+        coarse = np.round(c @ _unit(asked[:, :dims]).T, 6) if dims else score
+        by = np.where(np.isnan(coarse), -np.inf, coarse)
+        # all that reach the last place are sorted, so ties at it are settled by id
+        k, at = np.nonzero((by >= np.partition(by, len(vec) - most, axis=0)[len(vec) - most]).T) if len(vec) > most else np.divmod(np.arange(by.size), len(vec))
+        order = np.lexsort((vec[at], -by[at, k], k))
+        k, at = k[order], at[order]
+        kept = np.arange(len(k)) - np.searchsorted(k, k) < most
+        k, at = k[kept], at[kept]
+        yield first + k, at, coarse[at, k], score[at, k]
+
+
 def _block_scores(rows: DataFrame, queries: DataFrame, most: int, dims: int | None) -> DataFrame:
     ids, q = _stated(queries)
-    qc = _unit(q[:, :dims]) if dims else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -125,12 +144,8 @@ def _block_scores(rows: DataFrame, queries: DataFrame, most: int, dims: int | No
             if not len(vec) or not len(ids):
                 continue
             m = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(vec), -1)
-            score = np.round(_unit(m) @ q.T, 6)
-            coarse = np.round(_coarse(m, dims) @ qc.T, 6) if dims else score
-            best = np.lexsort((np.broadcast_to(vec[:, None], coarse.shape), -coarse), axis=0)[:most]
-            k = np.broadcast_to(np.arange(len(ids)), best.shape).ravel()
-            at = best.ravel()
-            yield pa.RecordBatch.from_arrays([pa.array(ids[k]), pa.array(vec[at]), pa.array(coarse[at, k]), pa.array(score[at, k])], ["query_id", "vec_id", "coarse", "score"])
+            for k, at, coarse, score in _best(vec, m, q, most, dims):
+                yield pa.RecordBatch.from_arrays([pa.array(ids[k]), pa.array(vec[at]), pa.array(coarse), pa.array(score)], ["query_id", "vec_id", "coarse", "score"])
 
     return rows.select("vec_id", "embedding").mapInArrow(run, "query_id long, vec_id long, coarse double, score double")
 

@@ -192,3 +192,28 @@ def test_min_score_and_scope(spark):
     said = spark.createDataFrame([("all",), ("project:a:b",), ("project:",), ("current",), ("other",), (None,)], "said string")
     got = [tuple(r.s) for r in said.select(S.scope(F.col("said")).alias("s")).collect()]
     assert got == [("all", None), ("project", "a:b"), ("project", ""), ("current", None), ("current", None), ("current", None)]
+
+
+def test_vector_tiles_bound_memory_and_keep_ties(monkeypatch):
+    import tracemalloc
+
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    m, q = rng.integers(-1, 2, (500, 6)).astype(float), S._unit(rng.integers(-1, 2, (40, 6)).astype(float))  # many equal scores
+    vec = rng.permutation(500) + 1000
+    for dims in (None, 4):
+        score = np.round(S._unit(m) @ q.T, 6)
+        coarse = np.round(S._coarse(m, dims) @ S._unit(q[:, :dims]).T, 6) if dims else score
+        want = [(k, r) for k in range(40) for r in sorted(range(500), key=lambda r: (-coarse[r, k], vec[r]))[:10]]
+        monkeypatch.setattr(S, "CELLS", 3000)
+        got = [(a, b) for k, at, _, _ in S._best(vec, m, q, 10, dims) for a, b in zip(k.tolist(), at.tolist(), strict=True)]
+        assert got == want
+        few = [(a, b) for k, at, _, _ in S._best(vec[:7], m[:7], q, 10, dims) for a, b in zip(k.tolist(), at.tolist(), strict=True)]
+        assert len(few) == 7 * 40
+    monkeypatch.undo()
+    tracemalloc.start()
+    for _ in S._best(np.arange(10000), rng.random((10000, 64)), S._unit(rng.random((600, 64))), 100, 32):
+        pass
+    assert tracemalloc.get_traced_memory()[1] < 120e6  # the whole product alone is 48 MB in each of some eight arrays
+    tracemalloc.stop()
