@@ -11,9 +11,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorequarry.functions import text as T
+from lorequarry.session import cut
 
 K1, B, FLOOR = 1.2, 0.75, 1e-6
 RRF_K = 60
+#: Pairs of queries and terms that keyword search may broadcast to the postings; more of them are joined by a shuffle.
+BROADCAST_TERMS = 100_000
 #: Queries of one block of vector search, which every task holds; a larger batch is searched block by block.
 QUERIES = 4096
 #: Scores that a task of vector search holds at once: a batch of rows meets its queries in tiles of so many.
@@ -32,21 +35,25 @@ def query_terms(queries: DataFrame) -> DataFrame:
 def bm25(docs: DataFrame, terms: DataFrame, prefix: bool = False) -> DataFrame:
     """(query_id, doc_id, score): BM25 of every document that holds a term; OR semantics.
 
-    Only postings of asked terms are built: tokens meet the distinct terms before any aggregation. With ``prefix`` a term
+    Only postings of asked terms are built: tokens meet the distinct terms before any aggregation, in the one pass over texts.
+    Each document also counts under the empty term, which gives the totals. Postings then move once, by document, and there
+    meet the queries, so what moves does not grow with the queries that share a term. With ``prefix`` a term
     stands for every token that starts with it (terms are cut at eight characters, so the join stays an equality).
     """
+    terms = cut(terms.where("term <> ''"))
+    small = F.broadcast if terms.count() <= BROADCAST_TERMS else lambda df: df
     tokens = docs.select("doc_id", T.words(F.coalesce(F.col("text"), F.lit(""))).alias("tokens"))
-    size = tokens.select("doc_id", F.size("tokens").cast("double").alias("dl"))
-    stats = size.agg(F.count("*").cast("double").alias("n_docs"), F.avg("dl").alias("avg_dl"))
     word = F.substring("t", 1, 8) if prefix else F.col("t")
-    asked = terms.select("term").distinct()
-    posts = tokens.select("doc_id", F.size("tokens").cast("double").alias("dl"), F.explode("tokens").alias("t")).select("doc_id", "dl", word.alias("term"))
-    tf = posts.join(asked, "term").groupBy("term", "doc_id", "dl").agg(F.count("*").cast("double").alias("tf"))
+    asked = terms.select("term").unionByName(docs.sparkSession.range(1).select(F.lit("").alias("term"))).distinct()
+    posts = tokens.select("doc_id", F.size("tokens").cast("double").alias("dl"), F.explode(F.concat(F.array(F.lit("")), "tokens")).alias("t")).select("doc_id", "dl", word.alias("term"))
+    held = cut(posts.join(small(asked), "term").groupBy("term", "doc_id", "dl").agg(F.count("*").cast("double").alias("tf")))
+    stats = held.where("term = ''").agg(F.sum("tf").alias("n_docs"), (F.sum(F.col("dl") * F.col("tf")) / F.sum("tf")).alias("avg_dl"))
+    tf = held.where("term <> ''")
     df = tf.groupBy("term").agg(F.count("*").cast("double").alias("df"))
     idf = F.greatest(F.ln((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(FLOOR))
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avg_dl")))
-    weighed = tf.join(df, "term").join(F.broadcast(stats)).select("term", "doc_id", weight.alias("w"))  # one row of totals
-    return weighed.join(terms, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum("w"), 6).alias("score"))
+    named = small(terms.join(df, "term").join(F.broadcast(stats)))  # one row of totals
+    return tf.repartition("doc_id").join(named, "term").select("query_id", "doc_id", weight.alias("w")).groupBy("query_id", "doc_id").agg(F.round(F.sum("w"), 6).alias("score"))
 
 
 def bm25_fields(docs: DataFrame, terms: DataFrame, weights: dict[str, float]) -> DataFrame:

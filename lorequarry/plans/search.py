@@ -12,7 +12,7 @@ from lorequarry.operators import evaluation as EV
 from lorequarry.operators import index as IX
 from lorequarry.operators import search as S
 from lorequarry.plans.registry import query
-from lorequarry.session import read_table
+from lorequarry.session import cut, read_table
 
 _WORDS = r"regexp_extract_all(lower(coalesce({}, '')), '[\p{{L}}\p{{N}}]+')"
 
@@ -175,13 +175,14 @@ def semantic_search(spark, sf_dir):
     return semantic(spark, sf_dir).select("query_id", "doc_id", "rank", F.round("score", 5).alias("score"))
 
 
-def rankings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [keyword(spark, sf_dir, 30).withColumn("source", F.lit("keyword")), semantic(spark, sf_dir, 30).withColumn("source", F.lit("semantic"))]
-    return rows[0].unionByName(rows[1]).select("source", "query_id", "doc_id", "rank")
+def legs(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The first thirty of each query by keyword and by vector, materialised: a few thousand rows that several readers share."""
+    return {"keyword": cut(keyword(spark, sf_dir, 30)), "semantic": cut(semantic(spark, sf_dir, 30))}
 
 
-def fused(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.rrf(rankings(spark, sf_dir), {"keyword": S.KEYWORD_WEIGHT, "semantic": S.SEMANTIC_WEIGHT})
+def fused(spark: SparkSession, sf_dir: str, held: dict[str, DataFrame] | None = None) -> DataFrame:
+    rows = [df.select(F.lit(source).alias("source"), "query_id", "doc_id", "rank") for source, df in (held or legs(spark, sf_dir)).items()]
+    return S.rrf(rows[0].unionByName(rows[1]), {"keyword": S.KEYWORD_WEIGHT, "semantic": S.SEMANTIC_WEIGHT})
 
 
 @query("rrf_fusion", f"WITH {BM25_SQL}, {FUSED_SQL} SELECT query_id, doc_id, round(score, 6) AS score, matched_by FROM fu")
@@ -198,13 +199,13 @@ RERANK_SQL = r"""
     rr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 7) DESC, doc_id) AS rank FROM k)"""
 
 
-def reranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+def reranked(spark: SparkSession, sf_dir: str, held: dict[str, DataFrame] | None = None) -> DataFrame:
     """Fused hits times the declared factors; kinds and tiers of documents derive from their ids."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
     tier = F.when(F.col("doc_id") % 10 == 3, "work").when(F.col("doc_id") % 10 == 7, "test").otherwise("knowledge")
     kind = F.when(F.col("doc_id") % 2 == 0, "doc").otherwise("code")
     factor = S.rerank_factor(F.col("text"), F.lit(None).cast("string"), kind, F.col("n_chars") / 4, F.lit(False), tier)
-    hits = fused(spark, sf_dir).join(docs, "doc_id").join(F.broadcast(queries_of(spark, sf_dir)), "query_id")  # the batch of queries
+    hits = fused(spark, sf_dir, held).join(docs, "doc_id").join(F.broadcast(queries_of(spark, sf_dir)), "query_id")  # the batch of queries
     return S.ranked(hits.withColumn("score", F.round(F.col("score") * factor, 7)), 1 << 30)
 
 
@@ -228,21 +229,29 @@ EVAL_SQL = """
 
 
 def relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(query_id, doc_id) of the documents that hold a passage verbatim. A passage's rarest long word finds the candidates."""
-    docs, asked = read_table(spark, sf_dir, "documents").select("doc_id", "text"), queries_of(spark, sf_dir)
-    words = docs.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(T.WORD), F.lit(0)))).alias("w"))
-    # the first and last word of a passage may be cut inside a document's word, so neither serves
-    inner = asked.select("query_id", F.regexp_extract_all("text", F.lit(T.WORD), F.lit(0)).alias("ws")).select("query_id", F.explode(F.array_distinct(F.slice("ws", 2, F.greatest(F.size("ws") - 2, F.lit(1))))).alias("w"))
-    spread = words.join(inner.select("w").distinct(), "w").groupBy("w").count()
-    rarest = inner.join(spread, "w", "left").groupBy("query_id").agg(F.min_by("w", F.struct(F.coalesce("count", F.lit(0)), "w")).alias("w"))
-    found = words.join(rarest, "w").select("query_id", "doc_id")
-    return found.join(docs, "doc_id").join(asked.withColumnRenamed("text", "passage"), "query_id").where("contains(text, passage)").select("query_id", "doc_id").distinct()
-
-
-def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(query_id, doc_id) of the documents that hold a passage verbatim, materialised.
+
+    A passage's longest inner word finds the candidates within a document's own row, so texts are read once and not moved.
+    The first and last word may be cut inside a document's word, so neither serves; shorter passages meet every document.
+    """
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    words = lambda text: F.regexp_extract_all(text, F.lit(T.WORD), F.lit(0))
+    inner = F.when(F.size("ws") > 2, F.slice("ws", F.lit(2), F.greatest(F.size("ws") - 2, F.lit(1))))
+    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    asked = cut(queries_of(spark, sf_dir).select("query_id", F.col("text").alias("passage"), words(F.col("text")).alias("ws")).select("query_id", "passage", longest.alias("w")))
+    anchors = F.broadcast(asked.agg(F.collect_set("w").alias("anchors")))  # one row, a word per passage of the batch
+    met = docs.crossJoin(anchors).select("doc_id", "text", F.explode(F.array_intersect(words(F.col("text")), "anchors")).alias("w"))
+    found = met.join(F.broadcast(asked), "w").where("contains(text, passage)").select("query_id", "doc_id")  # the batch of queries
+    short = asked.where("w IS NULL")
+    if not short.isEmpty():
+        found = found.unionByName(docs.join(F.broadcast(short), F.expr("contains(text, passage)")).select("query_id", "doc_id"))
+    return cut(found.distinct())
+
+
+def judged(spark: SparkSession, sf_dir: str, hits: DataFrame | None = None, rel: DataFrame | None = None) -> DataFrame:
     """Per answerable query: rank of the first relevant hit, and nDCG over the first ten."""
-    rel = relevance(spark, sf_dir)
-    hits = keyword(spark, sf_dir).join(rel, ["query_id", "doc_id"]).select("query_id", "rank")
+    rel = relevance(spark, sf_dir) if rel is None else rel
+    hits = (keyword(spark, sf_dir) if hits is None else hits).join(rel, ["query_id", "doc_id"]).select("query_id", "rank")
     per = rel.groupBy("query_id").agg(F.count("*").alias("n")).join(hits, "query_id", "left").groupBy("query_id", "n").agg(F.min("rank").alias("first"), F.coalesce(F.sum(1 / F.log2(F.col("rank") + 1)), F.lit(0.0)).alias("dcg"))
     ideal = F.aggregate(F.sequence(F.lit(1), F.least(F.col("n"), F.lit(10)).cast("int")), F.lit(0.0), lambda s, r: s + 1 / F.log2(r + 1))
     return per.select("query_id", "first", (F.col("dcg") / ideal).alias("ndcg"))
@@ -271,11 +280,11 @@ def wilson_interval(spark, sf_dir):
     FROM benchmark b LEFT JOIN t1 ON t1.query_id = b.item_id, lim WHERE b.item_id NOT IN (SELECT query_id FROM rel) GROUP BY threshold""")
 def no_answer_threshold(spark, sf_dir):
     """Unanswerable queries whose best score reaches the tenth percentile of right answers."""
-    first = S.ranked(S.bm25(read_table(spark, sf_dir, "documents"), S.query_terms(queries_of(spark, sf_dir))), 1).select("query_id", "score")
-    judged_ = judged(spark, sf_dir)
+    hits, rel = cut(keyword(spark, sf_dir)), relevance(spark, sf_dir)
+    first, judged_ = hits.where("rank = 1").select("query_id", "score"), judged(spark, sf_dir, hits, rel)
     good = first.join(judged_.where("first <= 5"), "query_id").agg(F.array_sort(F.collect_list("score")).alias("s"))  # a score per query of the batch
     limit = good.select(F.element_at("s", (F.floor(0.10 * (F.size("s") - 1)) + 1).cast("int")).alias("threshold"))
-    none = queries_of(spark, sf_dir).join(relevance(spark, sf_dir), "query_id", "left_anti").select("query_id").join(first, "query_id", "left")
+    none = queries_of(spark, sf_dir).join(rel, "query_id", "left_anti").select("query_id").join(first, "query_id", "left")
     return none.join(F.broadcast(limit)).groupBy(F.round("threshold", 4).alias("threshold")).agg(F.count("*").alias("no_answer_cases"), F.count_if(F.col("score") >= F.col("threshold")).alias("false_positives"))
 
 
@@ -357,9 +366,10 @@ def case_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = queries_of(spark, sf_dir)
     level = F.element_at(F.array(*map(F.lit, ("easy", "medium", "hard"))), (F.col("query_id") % 3 + 1).cast("int"))
     cases = asked.select("query_id", F.when(F.length("text") > 400, "long").otherwise("short").alias("class"), level.alias("difficulty"))
-    legs = {"keyword": keyword(spark, sf_dir), "semantic": semantic(spark, sf_dir), "hybrid": reranked(spark, sf_dir).where("rank <= 10")}
-    hits = [df.select(F.lit(mode).alias("mode"), "query_id", "rank", "doc_id", "score") for mode, df in legs.items()]
-    return EV.judged(cases, relevance(spark, sf_dir), hits[0].unionByName(hits[1]).unionByName(hits[2]), tuple(legs))
+    held = legs(spark, sf_dir)
+    modes = held | {"hybrid": reranked(spark, sf_dir, held)}
+    hits = [df.where("rank <= 10").select(F.lit(mode).alias("mode"), "query_id", "rank", "doc_id", "score") for mode, df in modes.items()]
+    return cut(EV.judged(cases, relevance(spark, sf_dir), hits[0].unionByName(hits[1]).unionByName(hits[2]), tuple(modes)))  # a row per case and mode
 
 
 @query("eval_modes", f"""WITH {_MODES_SQL}, th AS (SELECT mode, top AS threshold FROM (SELECT mode, top, row_number() OVER (PARTITION BY mode ORDER BY top) AS r, count(*) OVER (PARTITION BY mode) AS n FROM jd WHERE hit AND top IS NOT NULL) t

@@ -75,5 +75,16 @@ def test_planted_values_count_where_they_look_random(spark, tmp_path):
     assert [r[0] for r in found] == [r[0] for r in lines] == [r[0] for r in verdicts] == [7] and report == [(1, 1, False)]
 
 
+def test_passages_of_few_words_are_found_in_whole_texts(spark, tmp_path):
+    from lorequarry.plans import search
+
+    docs = [(1, "an oxbow lake"), (2, "one two three fours"), (3, None), (4, "x one two three four y"), (4, "lake")]
+    asked = [(10, "lake"), (11, "bow la"), (12, "e two three four"), (13, "none"), (14, "two three")]
+    for name, rows in (("documents", docs), ("benchmark", asked)):
+        spark.createDataFrame(rows, f"{'doc_id' if name == 'documents' else 'item_id'} long, text string").write.parquet(f"{tmp_path}/{name}.parquet")
+    got = {tuple(r) for r in search.relevance(spark, str(tmp_path)).collect()}
+    assert got == {(a, d) for a, p in asked for d, t in docs if t and p in t}
+
+
 def test_every_oracle_has_a_query():
     assert registry.ORACLES.keys() <= registry.QUERIES.keys()
