@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,8 +16,10 @@ from lorequarry.session import cut
 
 K1, B, FLOOR = 1.2, 0.75, 1e-6
 RRF_K = 60
-#: Pairs of queries and terms that keyword search may broadcast to the postings; more of them are joined by a shuffle.
+#: Pairs of queries and terms that every task of keyword search may hold; more of them are joined by a shuffle.
 BROADCAST_TERMS = 100_000
+#: Postings that a task of keyword search scores at once, whole documents at a time.
+POSTINGS = 1 << 18
 #: Queries of one block of vector search, which every task holds; a larger batch is searched block by block.
 QUERIES = 4096
 #: Scores that a task of vector search holds at once: a batch of rows meets its queries in tiles of so many.
@@ -32,27 +35,127 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(F.array_distinct(T.words(F.col("text")))).alias("term"))
 
 
-def bm25(docs: DataFrame, terms: DataFrame, prefix: bool = False) -> DataFrame:
+def bm25(docs: DataFrame, terms: DataFrame, prefix: bool = False, most: int | None = None) -> DataFrame:
     """(query_id, doc_id, score): BM25 of every document that holds a term; OR semantics.
 
-    Only postings of asked terms are built: tokens meet the distinct terms before any aggregation, in the one pass over texts.
-    Each document also counts under the empty term, which gives the totals. Postings then move once, by document, and there
-    meet the queries, so what moves does not grow with the queries that share a term. With ``prefix`` a term
-    stands for every token that starts with it (terms are cut at eight characters, so the join stays an equality).
+    Only postings of asked terms are built, counted within each document's row, and move once, by document. A task then adds
+    up the scores of its documents in tiles; with ``most`` it hands on only so many of the best of each query, ties to the smaller id.
+    Each document also counts under the number -1, which gives the totals. Beyond BROADCAST_TERMS pairs of queries and terms
+    both steps are shuffled joins, with the same scores. With ``prefix`` a term stands for every token that starts with it
+    (terms are cut at eight characters, so they meet by equality).
     """
-    terms = cut(terms.where("term <> ''"))
-    small = F.broadcast if terms.count() <= BROADCAST_TERMS else lambda df: df
+    terms = cut(terms.where("term <> ''").select("query_id", "term"))
+    if terms.count() > BROADCAST_TERMS:
+        return _joined(docs, terms, prefix)
+    pairs = terms.toArrow().combine_chunks()
+    asked, queries = pairs.column("term").unique(), pairs.column("query_id").unique()
+    number = pc.index_in(pairs.column("term"), asked).to_numpy()
+    order = np.argsort(number, kind="stable")
+    of = pc.index_in(pairs.column("query_id"), queries, skip_nulls=False).to_numpy()[order]
+    ids = docs.schema["doc_id"].dataType.simpleString()
+    tokens = docs.select("doc_id", T.words(F.coalesce(F.col("text"), F.lit(""))).alias("tokens"))
+    posts = tokens.mapInArrow(_postings(asked, prefix), f"doc_id {ids}, dl long, term int, tf long")
+    held = cut(posts.repartition("doc_id").groupBy("doc_id", "dl", "term").agg(F.sum("tf").cast("double").alias("tf")))
+    n, avg = held.where("term = -1").agg(F.sum("tf"), F.sum(F.col("dl") * F.col("tf")) / F.sum("tf")).first()
+    df, found = np.zeros(len(asked)), held.where("term >= 0").groupBy("term").agg(F.count("*").alias("df")).toArrow()  # a row per asked term
+    df[found.column("term").to_numpy()] = found.column("df").to_numpy()
+    idf = np.maximum(np.log(((n or 0) - df + 0.5) / (df + 0.5)), FLOOR)
+    firsts = np.searchsorted(number[order], np.arange(len(asked) + 1))
+    rows = held.where("term >= 0").sortWithinPartitions("doc_id")
+    return rows.mapInArrow(_summed(idf, avg or 1.0, firsts, of, queries, most), f"query_id {terms.schema['query_id'].dataType.simpleString()}, doc_id {ids}, score double")
+
+
+def _postings(asked: pa.ChunkedArray, prefix: bool):
+    """(doc_id, tokens) to (doc_id, dl, term, tf): numbers of asked terms and their counts in each row, and one -1 a row."""
+    asked = asked.combine_chunks() if isinstance(asked, pa.ChunkedArray) else asked
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            size = pc.list_value_length(lists).to_numpy().astype(np.int64)
+            flat = lists.flatten()
+            met = pc.index_in(pc.utf8_slice_codeunits(flat, 0, 8) if prefix else flat, asked).fill_null(-1).to_numpy().astype(np.int64)
+            row = np.repeat(np.arange(len(size)), size)
+            key, tf = np.unique((row * len(asked) + met)[met >= 0], return_counts=True)
+            row, term = np.divmod(key, max(len(asked), 1))
+            row, term, tf = (np.concatenate(x) for x in ((row, np.arange(len(size))), (term, np.full(len(size), -1)), (tf, np.ones(len(size), dtype=np.int64))))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(size[row]), pa.array(term.astype(np.int32)), pa.array(tf)], ["doc_id", "dl", "term", "tf"])
+
+    return run
+
+
+def _summed(idf: np.ndarray, avg: float, firsts: np.ndarray, of: np.ndarray, queries, most: int | None):
+    """(doc_id, dl, term, tf) in the order of documents to (query_id, doc_id, score); the queries of a term lie in ``of`` from its first place on."""
+    queries = queries.combine_chunks() if isinstance(queries, pa.ChunkedArray) else queries
+
+    def scored(table: pa.Table) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+        dl, term, tf = (table.column(c).to_numpy() for c in ("dl", "term", "tf"))
+        docs = table.column("doc_id").combine_chunks()
+        now, before = docs.slice(1), docs.slice(0, len(docs) - 1)
+        other = pc.or_(pc.not_equal(now, before).fill_null(False), pc.xor(now.is_null(), before.is_null()))
+        new = np.flatnonzero(np.concatenate(([True], other.to_numpy(zero_copy_only=False))))
+        place = np.repeat(np.arange(len(new)), np.diff(np.append(new, len(docs))))
+        w = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avg))
+        times = firsts[term + 1] - firsts[term]
+        ends = np.cumsum(times)
+        at = np.arange(ends[-1]) - np.repeat(ends - times - firsts[term], times)
+        key, inverse = np.unique(np.repeat(place, times) * len(queries) + of[at], return_inverse=True)
+        d, q = np.divmod(key, len(queries))
+        return q, docs.take(pa.array(new[d])), np.round(np.bincount(inverse, np.repeat(w, times), len(key)), 6)
+
+    def best(q: np.ndarray, score: np.ndarray) -> np.ndarray:
+        """Places of the ``most`` best of each query, in the order of documents, which settles ties by id."""
+        order = np.lexsort((-score, q))
+        q = q[order]
+        return np.sort(order[np.arange(len(q)) - np.searchsorted(q, q) < most])
+
+    def tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += len(batch)
+            if n >= POSTINGS:
+                table = pa.Table.from_batches(held).combine_chunks()
+                same = pc.equal(table.column("doc_id"), table.column("doc_id")[n - 1]).fill_null(table.column("doc_id")[n - 1].as_py() is None)
+                first = n - int(pc.sum(same).as_py())  # the last document goes on in the next batch
+                if first:
+                    yield table.slice(0, first)
+                held = table.slice(first).to_batches()
+                n -= first
+        if n:
+            yield pa.Table.from_batches(held).combine_chunks()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        top = None
+        out = lambda q, docs, score: pa.RecordBatch.from_arrays([queries.take(pa.array(q)), docs, pa.array(score)], ["query_id", "doc_id", "score"])
+        for table in tiles(batches):
+            now = scored(table)
+            if most is None:
+                yield out(*now)
+                continue
+            if top is not None:
+                now = np.concatenate((top[0], now[0])), pa.concat_arrays([top[1], now[1]]), np.concatenate((top[2], now[2]))
+            order = best(now[0], now[2])
+            top = now[0][order], now[1].take(pa.array(order)), now[2][order]
+        if top is not None:
+            yield out(*top)
+
+    return run
+
+
+def _joined(docs: DataFrame, terms: DataFrame, prefix: bool) -> DataFrame:
+    """BM25 by shuffled joins, for more terms than a task should hold."""
     tokens = docs.select("doc_id", T.words(F.coalesce(F.col("text"), F.lit(""))).alias("tokens"))
     word = F.substring("t", 1, 8) if prefix else F.col("t")
     asked = terms.select("term").unionByName(docs.sparkSession.range(1).select(F.lit("").alias("term"))).distinct()
     posts = tokens.select("doc_id", F.size("tokens").cast("double").alias("dl"), F.explode(F.concat(F.array(F.lit("")), "tokens")).alias("t")).select("doc_id", "dl", word.alias("term"))
-    held = cut(posts.join(small(asked), "term").groupBy("term", "doc_id", "dl").agg(F.count("*").cast("double").alias("tf")))
+    held = cut(posts.join(asked, "term").groupBy("term", "doc_id", "dl").agg(F.count("*").cast("double").alias("tf")))
     stats = held.where("term = ''").agg(F.sum("tf").alias("n_docs"), (F.sum(F.col("dl") * F.col("tf")) / F.sum("tf")).alias("avg_dl"))
     tf = held.where("term <> ''")
     df = tf.groupBy("term").agg(F.count("*").cast("double").alias("df"))
     idf = F.greatest(F.ln((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(FLOOR))
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avg_dl")))
-    named = small(terms.join(df, "term").join(F.broadcast(stats)))  # one row of totals
+    named = terms.join(df, "term").join(F.broadcast(stats))  # one row of totals
     return tf.repartition("doc_id").join(named, "term").select("query_id", "doc_id", weight.alias("w")).groupBy("query_id", "doc_id").agg(F.round(F.sum("w"), 6).alias("score"))
 
 

@@ -34,7 +34,7 @@ def queries_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keyword(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
-    return S.ranked(S.bm25(read_table(spark, sf_dir, "documents"), S.query_terms(queries_of(spark, sf_dir))), k)
+    return S.ranked(S.bm25(read_table(spark, sf_dir, "documents"), S.query_terms(queries_of(spark, sf_dir)), most=k), k)
 
 
 @query("keyword_bm25", f"WITH {BM25_SQL} SELECT query_id, doc_id, CAST(rank AS INTEGER) AS rank, round(score, 4) AS score FROM kr WHERE rank <= 10")
@@ -55,7 +55,7 @@ def keyword_hydrated(spark, sf_dir):
 def keyword_filtered(spark, sf_dir):
     """Filters stand below the ranking: a glob is case-insensitive, as the reference behaviour has it."""
     docs = read_table(spark, sf_dir, "documents").where((F.col("lang") == "en") & F.col("source").ilike("SRC1%"))
-    return S.ranked(S.bm25(docs, S.query_terms(queries_of(spark, sf_dir))), 10).select("query_id", "doc_id", "rank", F.round("score", 4).alias("score"))
+    return S.ranked(S.bm25(docs, S.query_terms(queries_of(spark, sf_dir)), most=10), 10).select("query_id", "doc_id", "rank", F.round("score", 4).alias("score"))
 
 
 @query("keyword_weighted", r"""WITH f AS (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+')) AS term, 1.0 AS w FROM documents UNION ALL SELECT doc_id, unnest(regexp_extract_all(lower(split_part(text, chr(10), 1)), '[\p{L}\p{N}]+')), 4.0 FROM documents
