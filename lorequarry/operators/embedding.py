@@ -1,19 +1,24 @@
 """Deterministic hashing vectors: no model and no network.
 
 ``embed`` hashes with BLAKE2b in Arrow batches. ``Hashing`` is an embedder for search: documents and queries go through the
-same Columns, hashed with MD5, so nothing leaves the JVM and SQL can state the same vectors.
+same steps, hashed with MD5 in Arrow batches, so that SQL can state the same vectors.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
+from hashlib import md5
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lorequarry.session import cut
+
 
 def hashed(text: str, dims: int) -> np.ndarray:
     """Unigrams add 1 and 0.5 in two slots, bigrams 0.75; scaled to length one, and never the zero vector."""
@@ -41,6 +46,19 @@ def embed(docs: DataFrame, dims: int) -> DataFrame:
     return rows.drop("text").join(vectors, "hash").select("doc_id", "hash", "vector")
 
 
+def slotted(text: bytes, dims: int) -> np.ndarray:
+    """Weights of a lower-cased text's slots: of words by the first 60 bits of their MD5, of neighbours likewise."""
+    words = text.split()
+    if not words:
+        return np.eye(1, dims)[0]
+    pairs = [b"%b %b" % two for two in zip(words, words[1:], strict=False)]
+    seen = Counter(words)
+    number = lambda said: np.frombuffer(b"".join([md5(w, usedforsecurity=False).digest() for w in said]), dtype=">u8")[::2].astype(np.uint64) >> np.uint64(4)
+    one, n, size = number(seen), np.fromiter(seen.values(), dtype=float, count=len(seen)), np.uint64(dims)
+    slots = np.bincount((one % size).astype(np.int64), n, dims) + np.bincount(((one >> np.uint64(16)) % size).astype(np.int64), n * 0.5, dims)
+    return slots + 0.75 * np.bincount((number(pairs) % size).astype(np.int64), minlength=dims)
+
+
 class Hashing:
     """Embeds rows (an id column and ``text``): a word adds 1 and 0.5 in two slots, a pair of neighbours 0.75; of length one."""
 
@@ -48,19 +66,23 @@ class Hashing:
         self.dims = dims
 
     def documents(self, docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-        """(vec_id, embedding); a null or blank text has its first slot alone, repeated ids add up."""
-        words = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"\s+"), lambda w: w != "")
-        number = lambda t: F.conv(F.substring(F.md5(t), 1, 15), 16, 10).cast("long")
-        held = docs.select(F.col(id_col).alias("vec_id"), words.alias("words"))
-        one = held.select("vec_id", F.explode("words").alias("t")).groupBy("vec_id", "t").agg(F.count("*").alias("n")).select("vec_id", "n", number(F.col("t")).alias("h"))
-        slots = F.explode(F.array(F.struct(F.pmod("h", F.lit(self.dims)).alias("slot"), (F.col("n") * 1.0).alias("w")), F.struct(F.pmod(F.shiftright("h", 16), F.lit(self.dims)).alias("slot"), (F.col("n") * 0.5).alias("w")))).alias("x")
-        pair = F.zip_with("words", F.slice("words", F.lit(2), F.greatest(F.size("words") - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
-        two = held.where(F.size("words") > 1).select("vec_id", F.explode(F.slice(pair, F.lit(1), F.size("words") - 1)).alias("t")).select("vec_id", F.pmod(number(F.col("t")), F.lit(self.dims)).alias("slot"), F.lit(0.75).alias("w"))
-        none = held.where(F.size("words") == 0).select("vec_id", F.lit(0).cast("long").alias("slot"), F.lit(1.0).alias("w"))
-        summed = one.select("vec_id", slots).select("vec_id", "x.slot", "x.w").unionByName(two).unionByName(none).groupBy("vec_id", "slot").agg(F.sum("w").alias("w"))
-        # at most ``dims`` entries a row
-        sparse = summed.groupBy("vec_id").agg(F.map_from_entries(F.collect_list(F.struct("slot", "w"))).alias("m"))
-        dense = sparse.select("vec_id", F.transform(F.sequence(F.lit(0), F.lit(self.dims - 1)), lambda k: F.coalesce(F.try_element_at("m", k.cast("long")), F.lit(0.0))).alias("v"))
+        """(vec_id, embedding); a null or blank text has its first slot alone, repeated ids add up.
+
+        A row's slots are summed within its row, so what moves is one vector a row; sums of quarters are exact in any order.
+        """
+        dims, kind = self.dims, docs.schema[id_col].dataType.simpleString()
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                slots = np.zeros((len(batch), dims))
+                for k, text in enumerate(batch.column(1).cast(pa.binary())):
+                    slots[k] = slotted(text.as_py(), dims)
+                vectors = pa.ListArray.from_arrays(pa.array(np.arange(0, slots.size + 1, dims, dtype=np.int32)), pa.array(slots.ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column(0), vectors], ["vec_id", "v"])
+
+        rows = docs.select(F.col(id_col).alias("vec_id"), F.lower(F.coalesce("text", F.lit(""))).alias("text")).mapInArrow(run, f"vec_id {kind}, v array<double>")
+        summed = rows.groupBy("vec_id").agg(*[F.sum(F.col("v")[k]).alias(f"v{k}") for k in range(dims)])
+        dense = cut(summed.select("vec_id", F.array(*[f"v{k}" for k in range(dims)]).alias("v")))
         length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
         return dense.withColumn("length", length).select("vec_id", F.transform("v", lambda x: x / F.col("length")).alias("embedding"))
 
