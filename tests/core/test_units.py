@@ -101,3 +101,16 @@ def test_a_renamed_class_keeps_its_methods_but_not_their_vectors(spark):
     assert got == {("added", True, 1), ("removed", False, 1), ("moved", True, 2), ("kept", False, 2)}
     kept = U.valid_vectors(old.select("chunk_id", "symbol"), changes)
     assert {r.symbol for r in kept.collect()} == {None, "helper"}
+
+
+def test_each_line_is_counted_once(monkeypatch):
+    counted = []
+    real = U.count_tokens
+    monkeypatch.setattr(U, "count_tokens", lambda text: counted.append(text) or real(text))
+    body = "".join(f"    def m{k}(self):\n        return '{'longish words, ' * (60 if k % 3 else 2)}'\n\n" for k in range(12))
+    prose = "# Head\n\n" + "some words of prose\r\n\r\n" * 90 + "\ttiny é_x\n" * 3
+    for lang, text in (("python", f"import os\n\nclass Body:\n{body}"), ("markdown", prose), ("sql", "SELECT 1;\n" * 40), (None, "a\n\n\nb\r")):
+        counted.clear()
+        made, _ = U.chunks("p", lang, text, 64, 24)
+        assert len(counted) <= len(U.re.split(r"\r\n|\r|\n", text)) + 1  # and the names of a class's methods
+        assert [c.tokens for c in made] == [sum(-(-len(t) // 4) for t in U.re.findall(r"\w+|[^\w\s]", c.content)) for c in made] and made
