@@ -217,3 +217,14 @@ def test_vector_tiles_bound_memory_and_keep_ties(monkeypatch):
         pass
     assert tracemalloc.get_traced_memory()[1] < 120e6  # the whole product alone is 48 MB in each of some eight arrays
     tracemalloc.stop()
+
+
+def test_expand_reads_only_what_it_stands_on(spark, monkeypatch):
+    edges = spark.createDataFrame([(f"{a}-{b}", a, b, 1.0 / (1 + b % 3)) for a in range(40) for b in range(40, 60) if (a * b) % 7 == 1], "rid string, src long, dst long, weight double")
+    seeds = spark.createDataFrame([(1, 1.0), (2, 0.5)], "node long, score double")
+    met, real = [], graph._at
+    monkeypatch.setattr(graph, "_at", lambda rows, nodes: met.append(nodes.count()) or real(rows, nodes))
+    want = sorted(map(tuple, graph.expand(edges, seeds, fanout=3).collect()))
+    assert met[0] == 2 and len(met) == 4 and max(met) <= len(want)
+    monkeypatch.setattr(graph, "BROADCAST_NODES", 0)
+    assert sorted(map(tuple, graph.expand(edges, seeds, fanout=3).collect())) == want
