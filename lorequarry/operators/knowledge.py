@@ -21,6 +21,8 @@ from lorequarry.session import cut
 #: Touched documents up to which an update is local.
 MOST = 50
 HOMONYMS = 4
+#: Entities with a clear name that may be broadcast to the mentions; more of them are joined by a shuffle.
+BROADCAST_NAMES = 200_000
 LAYER = "derived"
 Extractor = Callable[[DataFrame], tuple[DataFrame, DataFrame]]
 
@@ -36,9 +38,12 @@ class Graph:
 
 def _linked(mentions: DataFrame, entities: DataFrame) -> DataFrame:
     clear = entities.groupBy("name").agg(F.count("*").alias("n")).where(F.col("n") <= HOMONYMS).select("name")
-    named = entities.join(clear, "name", "left_semi").select(F.col("id").alias("dst"), "name", F.col("document_id").alias("of"))
-    met = mentions.select("document_id", "src", "name").distinct().join(named, "name").where(F.col("of") != F.col("document_id"))
-    return met.select("src", "dst", "document_id", F.lit(LAYER).alias("layer")).distinct()
+    named = cut(entities.join(clear, "name", "left_semi").select(F.col("id").alias("dst"), "name", F.col("document_id").alias("of")))
+    # most mentions name no entity: they meet the names before they move, and what is left is made distinct
+    few = named.limit(BROADCAST_NAMES + 1).count() <= BROADCAST_NAMES
+    met = mentions.select("document_id", "src", "name").join(F.broadcast(named) if few else named, "name").where(F.col("of") != F.col("document_id"))
+    # the layer is added behind the cut: edges are the most that is written
+    return cut(met.select("src", "dst", "document_id").distinct()).withColumn("layer", F.lit(LAYER))
 
 
 def _entities(rows: DataFrame) -> DataFrame:
@@ -56,12 +61,15 @@ def build(docs: DataFrame, extract: Extractor, other: Graph | None = None, reaso
         foreign = other.edges.where(F.col("layer") != LAYER)
         ends = entities.select("id")
         foreign = foreign.join(ends.withColumnRenamed("id", "src"), "src", "left_semi").join(ends.withColumnRenamed("id", "dst"), "dst", "left_semi")
-        edges = edges.unionByName(foreign.select(*edges.columns))
-    return Graph(entities, cut(edges), reason)
+        edges = edges.unionByName(cut(foreign.select(*edges.columns)))
+    return Graph(entities, edges, reason)
 
 
 def update(graph: Graph, docs: DataFrame, touched: DataFrame, extract: Extractor, most: int = MOST, manifest: Column | None = None) -> Graph:
-    """The graph after the documents (doc_id) of ``touched`` changed; ``docs`` is what is there now."""
+    """The graph after the documents (doc_id) of ``touched`` changed; ``docs`` is what is there now.
+
+    A local update writes the new edges alone and filters the others where they lie, so a long series of updates wants a cut now and then.
+    """
     ids = cut(touched.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id IS NOT NULL").distinct())
     n = ids.count()
     if not n:
@@ -85,7 +93,7 @@ def update(graph: Graph, docs: DataFrame, touched: DataFrame, extract: Extractor
         return build(docs, extract, graph, "another set of entities")
     born = F.broadcast(ids.withColumnRenamed("doc_id", "document_id"))
     kept = graph.edges.where(F.col("layer") != LAYER).unionByName(graph.edges.where(F.col("layer") == LAYER).join(born, "document_id", "left_anti").select(*graph.edges.columns))
-    return Graph(graph.entities, cut(kept.unionByName(_linked(mentions, mine).select(*graph.edges.columns))), None)
+    return Graph(graph.entities, kept.unionByName(_linked(mentions, mine).select(*graph.edges.columns)), None)
 
 
 def titles_and_words(words: Callable[[Column], Column]) -> Extractor:

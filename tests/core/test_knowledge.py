@@ -47,3 +47,18 @@ def test_when_a_change_is_not_local(spark):
     assert k.update(graph, df.where("doc_id <> 1"), ids(spark, 1), EXTRACT).reason == "documents that are gone"
     assert k.update(graph, frame(spark, docs | {40: "new x"}), ids(spark, 40), EXTRACT).reason == "another set of entities"
     assert k.update(k.Graph(graph.entities.limit(0), graph.edges.limit(0)), df, ids(spark, 1), EXTRACT).reason == "no graph yet"
+
+
+def test_mentions_meet_clear_names_before_they_move(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"w{i % 40} and w{i % 7} the w{i % 7} w{(i * 3) % 40}") for i in range(120)], "doc_id long, text string")
+    found, mentions = k.titles_and_words(T.words)(docs)
+    mentions = mentions.unionByName(mentions)  # repeated rows count once
+    entities = k._entities(found)
+    joins, real = [], k.F.broadcast
+    monkeypatch.setattr(k.F, "broadcast", lambda df: joins.append(df) or real(df))
+    edges = k._linked(mentions, entities)
+    assert len(joins) == 1
+    want = sorted(map(tuple, edges.collect()))
+    assert want and len(set(want)) == len(want)
+    monkeypatch.setattr(k, "BROADCAST_NAMES", 0)
+    assert sorted(map(tuple, k._linked(mentions, entities).collect())) == want
