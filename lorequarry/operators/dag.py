@@ -1,7 +1,7 @@
 """Dependency graphs over edges (src requires dst): closure, order, and the cycle that a new edge would close.
 
 Each works by rounds of joins over what is new since the round before, cut in the checkpoint folder; a round count is at most
-the longest path. Nulls at either end are no edges; repeated edges count once; a self-loop is a cycle of one.
+the longest path, and its logarithm for the closure of graphs that do not fan out. Nulls at either end are no edges; repeated edges count once; a self-loop is a cycle of one.
 """
 
 from __future__ import annotations
@@ -11,26 +11,43 @@ from pyspark.sql import functions as F
 
 from lorequarry.session import cut
 
+#: Rows that a round of the closure may meet, as a multiple of the pairs known.
+WIDE = 4
+
 
 def _clean(edges: DataFrame) -> DataFrame:
     return cut(edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct())
 
 
 def closure(edges: DataFrame) -> DataFrame:
-    """(src, dst, depth): everything that src requires, directly or not, with the least number of steps. Semi-naive."""
-    edges = _clean(edges)
-    step = edges.select(F.col("src").alias("dst"), F.col("dst").alias("next"))
-    known = new = edges.withColumn("depth", F.lit(1))
-    depth = 1
-    while True:
-        depth += 1
-        reached = new.join(step, "dst").select("src", F.col("next").alias("dst")).distinct()
-        new = cut(reached.join(known.select("src", "dst"), ["src", "dst"], "left_anti").withColumn("depth", F.lit(depth)))
-        if new.isEmpty():
-            return known
-        known = known.unionByName(new)
-        if depth % 8 == 0:
+    """(src, dst, depth): everything that src requires, directly or not, with the least number of steps.
+
+    With all pairs of up to n steps known, those of n + 1 to 2 n steps are a pair of just n steps and a known one behind it, so
+    rounds grow with the logarithm of the longest path and known pairs move once a round. Where paths fan out so much that
+    this would meet more than WIDE times the known pairs, a round goes one edge further instead.
+    """
+    edges = _clean(edges).withColumn("depth", F.lit(1))
+    known = front = edges
+    depth, rounds, pairs = 1, 0, edges.count()
+    while not front.isEmpty():
+        step, far = edges, 1
+        if depth > 1 and _meetings(front, known) <= WIDE * pairs:
+            step, far = known, depth
+        behind = step.select(F.col("src").alias("dst"), F.col("dst").alias("next"), F.col("depth").alias("more"))
+        reached = front.join(behind, "dst").groupBy("src", F.col("next").alias("dst")).agg((F.min("more") + depth).cast("int").alias("depth"))
+        new, depth = cut(reached.join(known.select("src", "dst"), ["src", "dst"], "left_anti")), depth + far
+        known, pairs = known.unionByName(new), pairs + new.count()
+        front = new.where(F.col("depth") == depth)
+        rounds += 1
+        if rounds % 8 == 0:
             known = cut(known)
+    return known
+
+
+def _meetings(front: DataFrame, known: DataFrame) -> int:
+    """How many rows the join of pairs with those behind them has."""
+    before, after = front.groupBy("dst").agg(F.count("*").alias("a")), known.groupBy(F.col("src").alias("dst")).agg(F.count("*").alias("b"))
+    return before.join(after, "dst").agg(F.coalesce(F.sum(F.col("a") * F.col("b")), F.lit(0))).first()[0]
 
 
 def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:

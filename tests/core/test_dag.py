@@ -74,3 +74,17 @@ def test_a_new_edge_closes_the_shortest_and_least_cycle(spark):
             best = ends[0] if ends else None
             front = [[*p, w] for p in front for w in out.get(p[-1], [])] if len(front[0]) < 45 and len(front) < 20_000 else []
         assert got[s, d] == best
+
+
+def test_closure_doubles_and_does_not_meet_too_many(spark, monkeypatch):
+    chain = [(k + 1, k) for k in range(40)] + [(k + 2, k) for k in range(0, 30, 3)] + [(100, 101), (101, 102), (102, 100)]
+    rounds, real = [], dag.cut
+    monkeypatch.setattr(dag, "cut", lambda df: rounds.append(1) or real(df))
+    want = {(a, b, d) for a in {x for x, _ in chain} for b, d in paths_from(chain, a).items()}
+    assert set(map(tuple, dag.closure(frame(spark, chain)).collect())) == want
+    assert len(rounds) <= 8
+    wide = [(0, k) for k in range(1, 21)] + [(a, b) for a in range(1, 21) for b in range(21, 41)] + [(b, c) for b in range(21, 41) for c in range(41, 61)] + [(c, 61) for c in range(41, 61)] + [(61, 62), (62, 0)]
+    for limit in (4, 0):
+        monkeypatch.setattr(dag, "WIDE", limit)
+        want = {(a, b, d) for a in {x for x, _ in wide} for b, d in paths_from(wide, a).items()}
+        assert set(map(tuple, dag.closure(frame(spark, wide)).collect())) == want
