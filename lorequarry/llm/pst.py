@@ -1,23 +1,26 @@
 """Language-model scores from a probabilistic suffix tree over tokens.
 
 Tokens are words and one end per text. The root knows the whole vocabulary: P(w) = (c + 0.5) / (N + 0.5 (V + 1)). Contexts
-are one to three earlier tokens, or the text's start and those after it. A context that at least ``max(LEAST, SHARE N)``
-training tokens follow is a candidate state, and so are its next tokens seen as often there. With c(s) occurrences, a state
-s gives a kept next token (c(s w) - D) / c(s), plus what is left over, L(s), times its probability under the longest retained
-suffix of s; other tokens get L(s) times that alone, so that every distribution sums to one. A state is retained when the
-log-likelihood that it gains over that suffix, its divergence times c(s), exceeds ln(N) / 2 for each kept token. A text is
-scored token by token in the longest retained suffix of what came before.
-
-Counting covers every training text at every size. Words are counted by one aggregation. N-grams follow in two rounds: an
-n-gram with a share of S of all tokens has at least that share within one span of some task, so the first round marks what
-reaches it in a span (most n-grams reach it nowhere) in a bitmap of fixed size, and the second counts exactly what the bitmap
-lets through; a count below the limit is then dropped. By their share there are at most 1 / SHARE of the words and n-grams
-of an order, which bounds what is broadcast; the rest of the vocabulary, which grows with the corpus, stays in a table that
-the rarer words of texts are joined with.
+are one to three earlier tokens, or the text's start and those after it. A context that at least LEAST training tokens follow
+is a candidate state at any size of the corpus, and so are its next tokens seen as often there (``SHARE`` may ask for more; it
+is 0). With c(s) occurrences, a state s gives a kept next token (c(s w) - D) / c(s), plus what is left over, L(s), times its
+probability under the longest retained suffix of s; other tokens get L(s) times that alone, so that every distribution sums to
+one. A state is retained when the log-likelihood that it gains over that suffix, its divergence times c(s), exceeds ln(N) / 2
+for each kept token. A text is scored token by token in the longest retained suffix of what came before.
+
+Counting covers every training text at every size. Words are counted by one aggregation. N-grams follow in two rounds: the
+first sums occurrences in hashed buckets, which are never less than those of an n-gram in them, into a bitmap of buckets that
+reach the limit; the second counts exactly what the bitmap lets through, and a count below the limit is then dropped.
+
+Scoring is a sum over n-grams. With G(s) the sum of log L over the retained suffixes of s, a token's log probability is that of
+the root, plus G of what came before, plus E(s w) = log P(w | s) - G(s) - log P(w) for the longest s w that is kept in a
+retained state s. So a state is worth log L(s) wherever it occurs, and s w is worth E(s w) less E of its longest such suffix:
+a text's score is its base score plus what its n-grams are worth. The HOT n-grams and words that occur most are broadcast; the
+others, which grow with the corpus, stay in tables that are joined with the texts' other words and n-grams.
 
 Defined results: a null text is empty and has its end alone; a null id counts as the empty string in the choice of training
 texts; repeated rows are scored one by one; without training texts V and N are 0 and every score is that of the root; an
-empty table gives no rows; other columns are not read. Codes of n-grams are 64-bit polynomials of word numbers.
+empty table gives no rows; other columns are not read. Codes of n-grams are 64-bit polynomials of the words' XXH64.
 """
 
 from __future__ import annotations
@@ -29,18 +32,23 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorequarry.llm.common import texts
 from lorequarry.session import cut
 
 #: Longest context; share of all training tokens and number of times that an n-gram must have; the discount of a kept one.
-DEPTH, SHARE, LEAST, DISCOUNT = 3, 1e-6, 4, 0.5
+DEPTH, SHARE, LEAST, DISCOUNT = 3, 0.0, 4, 0.5
 #: Distinct words that a task counts before it hands them on, tokens of a span, and bytes of text that are split at once.
 WORDS, SPAN, RUN = 1 << 17, 1 << 21, 1 << 21
-#: Bits of the map of n-grams worth counting: 8 MB.
-BITS = 26
+#: Words and n-grams that are broadcast; the others are joined.
+HOT_WORDS, HOT = 1 << 18, 1 << 20
+#: Most bits of either half of the map of n-grams worth counting and of that of n-grams to ask for, 64 MB each; bits that are put together at once.
+BITS, CHUNK = 29, 20
+#: Training tokens for each part that n-grams are counted in.
+PART = 1 << 19
 RARE, START, END = 0, 1, 2
 _B, _MIX = 0x9E3779B97F4A7C15 | 1, np.uint64(0xD6E8FEB86659FD93)
 
@@ -75,157 +83,219 @@ def encode(held: list[bytes], numbers: dict[bytes, int]) -> tuple[np.ndarray, li
     return np.fromiter(map(numbers.get, flat, repeat(RARE)), dtype=np.int32, count=len(flat)), flat
 
 
-def longer(codes: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """Codes of the n-grams that end at each place, from those of the (n - 1)-grams; a 1-gram's code is its number."""
-    out = np.zeros(len(ids), dtype=np.uint64)
-    np.multiply(codes[:-1], np.uint64(_B), out=out[1:])
-    out += ids.astype(np.uint64)
+def _hash(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, words, repeat(42)), dtype=np.uint64, count=len(words))
+
+
+def hashed(ids: np.ndarray, flat: list[bytes], hashes: np.ndarray) -> np.ndarray:
+    """XXH64 of each token: of those with a number from a table, of rare ones from the word."""
+    out, rare = hashes[ids], np.flatnonzero(ids == RARE)
+    if len(rare):
+        out[rare] = _hash([flat[i] for i in rare.tolist()])
     return out
 
 
-def ages(ids: np.ndarray) -> np.ndarray:
-    """How many tokens up to each place are in one text and not rare, the start counted; DEPTH + 1 stands for more."""
-    out = np.zeros(len(ids), dtype=np.int8)
-    ok, begins = ids != RARE, ids == START
-    for n in range(1, DEPTH + 2):
-        now = ok.copy() if n == 1 else np.concatenate(([False], out[:-1] == n - 1)) & ok & ~begins
-        out[now] = n
+def longer(codes: np.ndarray) -> np.ndarray:
+    """Codes of the n-grams that end at each place, from those of the (n - 1)-grams in them; a 1-gram's code is its token's hash."""
+    out = np.zeros(len(codes), dtype=np.uint64)
+    np.multiply(codes[:-1], np.uint64(_B), out=out[1:])
+    out += codes
     return out
 
 
-def _bucket(codes: np.ndarray) -> np.ndarray:
-    return (codes ^ (codes >> np.uint64(29))) * _MIX >> np.uint64(64 - BITS)
+def ages(begins: np.ndarray) -> np.ndarray:
+    """How many tokens up to each place are in one text, the start counted; DEPTH + 1 stands for more."""
+    at = np.arange(len(begins))
+    return np.minimum(at - np.maximum.accumulate(np.where(begins, at, 0)) + 1, DEPTH + 1).astype(np.int8)
+
+
+def _bucket(codes: np.ndarray, bits: int) -> np.ndarray:
+    return (codes ^ (codes >> np.uint64(29))) * _MIX >> np.uint64(64 - bits)
 
 
-def _spans(batches: Iterator[pa.RecordBatch], numbers: dict[bytes, int]) -> Iterator[np.ndarray]:
-    held, n = [], 0
+def _half(n: int, codes: np.ndarray, bits: int) -> np.ndarray:
+    """Buckets of n-grams: pairs in one half of the map, longer ones in the other."""
+    return _bucket(codes, bits) + np.uint64((n > 2) << bits)
+
+
+def _in(marks: np.ndarray, buckets: np.ndarray) -> np.ndarray:
+    return (marks[buckets >> np.uint64(6)] >> (buckets & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+def _spans(batches: Iterator[pa.RecordBatch], state) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Hashes of the tokens of texts, and where texts begin."""
+    numbers, hashes = state.value
+    held, begins, n = [], [], 0
     for batch in batches:
         for _, run in texts(batch.column(0), RUN):
-            ids, _ = encode(run, numbers)
-            held.append(ids)
+            ids, flat = encode(run, numbers)
+            held.append(hashed(ids, flat, hashes))
+            begins.append(ids == START)
             n += len(ids)
             if n >= SPAN:
-                yield np.concatenate(held)
-                held, n = [], 0
+                yield np.concatenate(held), np.concatenate(begins)
+                held, begins, n = [], [], 0
     if held:
-        yield np.concatenate(held)
+        yield np.concatenate(held), np.concatenate(begins)
 
 
-def _levels_of(ids: np.ndarray, often) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(n, places, codes, codes of (n - 1)-grams at all places) for n from 2 up.
+def _planes(values: np.ndarray) -> bytes:
+    """Bytes of integers, first of all the lowest ones, which compresses better."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T).tobytes()
 
-    Each time ``often`` is called with the n-grams' codes and says which may go on to longer ones.
-    """
-    age, codes, good = ages(ids), ids.astype(np.uint64), None
-    for n in range(2, DEPTH + 2):
-        before, codes = codes, longer(codes, ids)
-        mine = age >= n
-        if good is not None:
-            mine[1:] &= good[1:] & good[:-1]
-        at = np.flatnonzero(mine)
-        own = codes[at]
-        yield n, at, own, before
-        good = np.zeros(len(ids), dtype=bool)
-        good[at] = often(own)
-        if not good.any():
-            break
 
+def _values(raw: np.ndarray, kind: type) -> np.ndarray:
+    return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
-def _among(held: np.ndarray, codes: np.ndarray) -> np.ndarray:
-    """Which codes are in a sorted array."""
-    if not len(held):
-        return np.zeros(len(codes), dtype=bool)
-    return held[np.minimum(np.searchsorted(held, codes), len(held) - 1)] == codes
 
+def _sketch(state, bits: int):
+    """(text) to (chunk, n, packed): per span and chunk of the map, the buckets met and how often (255 stands for more)."""
 
-def _mark(state, share: float):
-    """(text) to (word, bits) of the bitmap: n-grams that have the share within a span."""
+    def packed(met: np.ndarray) -> pa.RecordBatch:
+        met.sort()
+        first = np.flatnonzero(np.diff(met, prepend=~met[:1]))
+        buckets, c = met[first], np.minimum(np.diff(first, append=len(met)), 255).astype(np.uint8)
+        chunks, begin = np.unique(buckets >> np.uint32(CHUNK), return_index=True)
+        out, ends = [], np.append(begin[1:], len(buckets))
+        for i, j in zip(begin, ends, strict=True):
+            low = np.diff(buckets[i:j] & np.uint32((1 << CHUNK) - 1), prepend=np.uint32(0))
+            out.append(pa.compress(_planes(low) + c[i:j].tobytes(), "zstd", asbytes=True))
+        return pa.RecordBatch.from_arrays([pa.array(chunks.astype(np.int32)), pa.array((ends - begin).astype(np.int32)), pa.array(out, pa.binary())], ["chunk", "n", "packed"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids in _spans(batches, state.value):
-            least = max(1, math.ceil(share * int((ids != START).sum())))
-            held = np.zeros(0, dtype=np.uint64)
-            for _, _, codes, _ in _levels_of(ids, lambda x: _among(held, x)):  # noqa: B023
-                unique, c = np.unique(codes, return_counts=True)
-                held = unique[c >= least]
-                b = np.unique(_bucket(held))
-                if not len(b):
-                    continue
-                words, first = np.unique(b >> np.uint64(6), return_index=True)
-                bits = np.bitwise_or.reduceat(np.uint64(1) << (b & np.uint64(63)), first)
-                yield pa.RecordBatch.from_arrays([pa.array(words.astype(np.int32)), pa.array(bits.view(np.int64))], ["word", "bits"])
+        for tokens, begins in _spans(batches, state):
+            age, codes, met = ages(begins), tokens, []
+            for n in range(2, DEPTH + 2):
+                codes = longer(codes)
+                met.append(_half(n, codes[age >= n], bits).astype(np.uint32))
+                if n == 2 or n == DEPTH + 1:
+                    yield packed(np.concatenate(met))
+                    met.clear()
 
     return run
 
 
-def _count(state, bitmap):
-    """(text) to (n, code, ctx, suf, sym, c): marked n-grams, with the codes of what precedes the last token and follows the first."""
+def _reach(least: int):
+    """(chunk, n, packed) of one chunk to (chunk, bits): its buckets that are met ``least`` times in all."""
+
+    def run(group: pa.Table) -> pa.Table:
+        total = np.zeros(1 << CHUNK, dtype=np.int64)
+        for n, packed in zip(group.column("n").to_pylist(), group.column("packed"), strict=True):
+            raw = np.frombuffer(pa.decompress(packed.as_buffer(), 5 * n, "zstd"), dtype=np.uint8)
+            low = np.cumsum(_values(raw[: 4 * n], np.uint32))
+            c = raw[4 * n :].astype(np.int64)
+            total[low] += np.where(c == 255, least, c)
+        bits = np.packbits(total >= least, bitorder="little").tobytes()
+        return pa.table({"chunk": group.column("chunk").slice(0, 1), "bits": pa.array([bits], pa.binary())})
+
+    return run
+
+
+def _count(state, bitmap, bits: int, parts: int):
+    """(text) to (part, n, packed): marked n-grams of a span, as the codes of what precedes the last token and follows the first, length and count."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks = bitmap.value
-
-        def marked(codes: np.ndarray) -> np.ndarray:
-            b = _bucket(codes)
-            return (marks[b >> np.uint64(6)] >> (b & np.uint64(63)) & np.uint64(1)).astype(bool)
-
-        for ids in _spans(batches, state.value):
-            for n, at, codes, before in _levels_of(ids, marked):
-                some = np.flatnonzero(marked(codes))
-                unique, first, c = np.unique(codes[some], return_index=True, return_counts=True)
-                if not len(unique):
-                    continue
-                last = at[some[first]]
-                columns = [unique, before[last - 1], before[last]]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([n] * len(c), pa.int32()), *(pa.array(x.view(np.int64)) for x in columns), pa.array(ids[last].astype(np.int64)), pa.array(c.astype(np.int64))],
-                    ["n", "code", "ctx", "suf", "sym", "c"],
-                )
+        for tokens, begins in _spans(batches, state):
+            age, codes, good, rows = ages(begins), tokens, None, []
+            for n in range(2, DEPTH + 2):
+                before, codes = codes, longer(codes)
+                mine = age >= n
+                if good is not None:  # no n-gram occurs more often than those within it
+                    mine[1:] &= good[1:] & good[:-1]
+                at = np.flatnonzero(mine)
+                at = at[_in(marks, _half(n, codes[at], bits))]
+                if not len(at):
+                    break
+                good = np.zeros(len(tokens), dtype=bool)
+                good[at] = True
+                unique, first, c = np.unique(codes[at], return_index=True, return_counts=True)
+                last = at[first]
+                rows.append((unique, before[last - 1], before[last], np.full(len(c), n, np.uint8), c.astype(np.uint32)))
+            if not rows:
+                continue
+            code, ctx, suf, length, c = map(np.concatenate, zip(*rows, strict=True))
+            part = (_bucket(code, 32) % np.uint64(parts)).astype(np.int32)
+            order = np.lexsort((ctx, part))
+            ctx, suf, length, c = ctx[order], suf[order], length[order], c[order]
+            held, begin = np.unique(part[order], return_index=True)
+            ends, out = np.append(begin[1:], len(c)), []
+            for i, j in zip(begin, ends, strict=True):
+                raw = _planes(np.diff(ctx[i:j], prepend=np.uint64(0))) + _planes(c[i:j]) + length[i:j].tobytes() + suf[i:j].tobytes()
+                out.append(pa.compress(raw, "zstd", asbytes=True))
+            yield pa.RecordBatch.from_arrays([pa.array(held), pa.array((ends - begin).astype(np.int32)), pa.array(out, pa.binary())], ["part", "n", "packed"])
 
     return run
 
 
-class Model:
-    """What a task scores with: word numbers, the root's log probabilities, and per context length its states and kept n-grams."""
+def _total(least: int):
+    """(part, n, packed) of one part to (n, code, ctx, suf, c) of its n-grams that occur ``least`` times in all."""
+
+    def run(group: pa.Table) -> pa.Table:
+        rows = []
+        for n, packed in zip(group.column("n").to_pylist(), group.column("packed"), strict=True):
+            raw = np.frombuffer(pa.decompress(packed.as_buffer(), 21 * n, "zstd"), dtype=np.uint8)
+            rows.append((np.cumsum(_values(raw[: 8 * n], np.uint64), dtype=np.uint64), _values(raw[8 * n : 12 * n], np.uint32), raw[12 * n : 13 * n], np.frombuffer(raw[13 * n :].tobytes(), np.uint64)))
+        ctx, c, length, suf = map(np.concatenate, zip(*rows, strict=True))
+        code = ctx * np.uint64(_B) + suf
+        order = np.argsort(code)
+        code = code[order]
+        first = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1])))
+        total = np.add.reduceat(c[order].astype(np.int64), first)
+        some = total >= least
+        at = order[first[some]]
+        columns = [pa.array(length[at].astype(np.int32)), *(pa.array(x.view(np.int64)) for x in (code[first[some]], ctx[at], suf[at])), pa.array(total[some])]
+        return pa.Table.from_arrays(columns, ["n", "code", "ctx", "suf", "c"])
+
+    return run
 
-    def __init__(self, numbers: dict[bytes, int], counts: np.ndarray, root: np.ndarray, states: list, kept: list):
-        self.numbers, self.counts, self.root, self.states, self.kept = numbers, counts, root, states, kept
 
-    @staticmethod
-    def find(table: tuple[np.ndarray, np.ndarray], codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        keys, values = table
-        if not len(keys):
-            return np.zeros(len(codes), dtype=bool), np.zeros(len(codes))
-        at = np.minimum(np.searchsorted(keys, codes), len(keys) - 1)
-        return keys[at] == codes, values[at]
+class Model:
+    """What a task scores with: hot words' numbers, hashes, counts and root log10 probabilities, what hot n-grams are worth, and maps of these and of those to ask for."""
+
+    def __init__(self, numbers: dict[bytes, int], hashes: np.ndarray, counts: np.ndarray, root: np.ndarray, worth: tuple[np.ndarray, np.ndarray, np.ndarray], others: np.ndarray, n_states: int):
+        self.numbers, self.hashes, self.counts, self.root = numbers, hashes, counts, root
+        self.codes, self.last, self.ctx = worth
+        self.bits = _power(16 * len(self.codes), 6, 24)
+        self.marks, self.others, self.n_states = np.zeros(1 << (self.bits - 6), dtype=np.uint64), others, n_states
+        b = _bucket(self.codes, self.bits)
+        np.bitwise_or.at(self.marks, b >> np.uint64(6), np.uint64(1) << (b & np.uint64(63)))
+
+    def places(self, ids: np.ndarray, tokens: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(places, rows of the hot table) of hot n-grams of each length, and (places, codes) of others that may be worth something."""
+        age, codes = ages(ids == START), tokens
+        for n in range(1, DEPTH + 2):
+            codes = codes if n == 1 else longer(codes)
+            at = np.flatnonzero(age >= n)
+            own = codes[at]
+            hot = np.flatnonzero(_in(self.marks, _bucket(own, self.bits)))
+            row = np.searchsorted(self.codes, own[hot])
+            if len(self.codes):
+                met = self.codes[np.minimum(row, len(self.codes) - 1)] == own[hot]
+                hot, row = hot[met], row[met]
+            asked = np.zeros(0, dtype=np.int64)
+            if len(self.others):
+                some = _in(self.others, _bucket(own, (len(self.others) * 64).bit_length() - 1))
+                some[hot] = False
+                asked = np.flatnonzero(some)
+            yield at[hot], row, at[asked], own[asked]
 
     def score(self, ids: np.ndarray) -> np.ndarray:
-        """log10 probability of each token; of rare ones only what states leave to the root."""
-        age, codes = ages(ids), [ids.astype(np.uint64)]
-        for _ in range(DEPTH):
-            codes.append(longer(codes[-1], ids))
+        """log10 probability of each token from hot n-grams; of rare ones only what states leave to the root."""
         out = np.where(ids == RARE, 0.0, self.root[ids])
-        open_ = np.flatnonzero(ids != START)
-        extra, done = np.zeros(len(ids)), np.zeros(len(ids), dtype=bool)
-        for m in range(DEPTH, 0, -1):
-            at = open_[(age[open_ - 1] >= m) & ~done[open_]]
-            if not len(at) or not len(self.states[m - 1][0]):
-                continue
-            hit, left = self.find(self.states[m - 1], codes[m - 1][at - 1])
-            at, left = at[hit], left[hit]
-            full = age[at] >= m + 1  # a rare token is kept nowhere
-            known, p = self.find(self.kept[m - 1], codes[m][at])
-            known &= full
-            extra[at[~known]] += left[~known]
-            out[at[known]] = p[known] + extra[at[known]]
-            done[at[known]] = True
-        return np.where(done, out, out + extra)
+        for at, row, _, _ in self.places(ids, self.hashes[ids]):
+            out[at] += self.last[row]
+            here = at + 1 < len(ids)
+            out[at[here] + 1] += self.ctx[row[here]]
+        return out
 
 
 def _rows(state):
-    """(id, held, text) to one row a text: counts, sums over tokens that are not rare, and its rare words."""
+    """(id, held, text) to one row a text: counts, sums over what is hot, its rare words, and its n-grams that may be worth something."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = state.value
+        worth = model.last + model.ctx
         for batch in batches:
             for first, run_of in texts(batch.column(2), RUN):
                 ids, flat = encode(run_of, model.numbers)
@@ -234,8 +304,17 @@ def _rows(state):
                 owner = np.repeat(np.arange(len(starts)), size + 1)
                 rare, own = ids == RARE, ids != START
                 total = lambda x: np.bincount(owner, weights=np.where(own, x, 0.0), minlength=len(starts))  # noqa: E731, B023
-                base, score = total(np.where(rare, 0.0, model.root[ids])), total(model.score(ids))
+                base = total(np.where(rare, 0.0, model.root[ids]))
                 known = total(model.counts[ids] > 0).astype(np.int64)
+                more, asked, whose = np.zeros(len(starts)), [], []
+                for at, row, other, codes in model.places(ids, hashed(ids, flat, model.hashes)):
+                    more += np.bincount(owner[at], weights=worth[row], minlength=len(starts))
+                    asked.append(codes)
+                    whose.append(owner[other])
+                asked, whose = np.concatenate(asked), np.concatenate(whose)
+                order = np.argsort(whose, kind="stable")
+                offsets = np.searchsorted(whose[order], np.arange(len(starts) + 1)).astype(np.int32)
+                asked = pa.ListArray.from_arrays(pa.array(offsets), pa.array(asked[order].view(np.int64)))
                 places = np.flatnonzero(rare)
                 cuts = np.searchsorted(owner[places], np.arange(len(starts) + 1))
                 words, times = [], []
@@ -244,68 +323,133 @@ def _rows(state):
                     words.append(b" ".join(seen))
                     times.append(list(seen.values()))
                 kept = [batch.column(c).slice(first, len(starts)) for c in range(2)]
-                columns = [*kept, pa.array(size), pa.array(known), pa.array(base), pa.array(score), pa.array(words, pa.binary()).cast(pa.string()), pa.array(times, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(columns, ["id", "held", "n", "known", "base", "score", "rare", "times"])
+                columns = [*kept, pa.array(size), pa.array(known), pa.array(base), pa.array(more), pa.array(words, pa.binary()).cast(pa.string()), pa.array(times, pa.list_(pa.int64())), asked]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "held", "n", "known", "base", "hot", "rare", "times", "asked"])
 
     return run
 
 
 def _levels(counted: DataFrame, ones: DataFrame, tokens: int, distinct: int) -> list[DataFrame]:
-    """Per context length (code, ctx, p, left, retained), materialised: probabilities of kept tokens, shorter states mixed in."""
-    root = (F.col("c_sym") + 0.5) / F.lit(tokens + 0.5 * (distinct + 1))
-    before, below, out = ones.select(F.col("id").alias("ctx"), F.col("c").alias("c_ctx")), None, []
+    """Per context length (code, ctx, c, c_ctx, lp, g, own_g, worth), materialised.
+
+    lp: log10 probability of a kept token, shorter states mixed in; g: G of the context, and own_g the context's own part of
+    it (0 unless retained); worth: E less E of the longest suffix.
+    """
+    root = F.log10((F.col("c") + 0.5) / F.lit(tokens + 0.5 * (distinct + 1)))
+    below, out = ones.select(F.col("id").alias("suf"), root.alias("lp_suf"), F.lit(0.0).alias("g_suf")), []
+    before = ones.select(F.col("id").alias("ctx"), F.col("c").alias("c_ctx"))
     for n in range(2, DEPTH + 2):
-        rows = counted.where(F.col("n") == n)
-        if below is None:
-            rows = rows.join(ones.select(F.col("id").alias("sym"), F.col("c").alias("c_sym")), "sym").withColumn("pp", root)
-        else:
-            rows = rows.join(below.select(F.col("code").alias("suf"), F.col("p").alias("pp")), "suf")
-        rows = rows.join(before, "ctx").select("code", "ctx", "c", "c_ctx", "pp", ((F.col("c") - DISCOUNT) / F.col("c_ctx")).alias("own"))
-        left = rows.groupBy("ctx").agg((1 - F.sum("own")).alias("left"), (F.first("c_ctx") - F.sum("c")).alias("rest"), F.count("*").alias("k"))
-        met = rows.join(left, "ctx")
-        gain = met.groupBy("ctx").agg((F.sum(F.col("c") * F.log(F.col("own") / F.col("pp") + F.col("left"))) + F.first("rest") * F.log(F.first("left"))).alias("gain"), F.first("k").alias("k"))
-        retained = gain.select("ctx", (F.col("gain") > F.col("k") * (math.log(max(tokens, 2)) / 2)).alias("retained"))
-        p = F.when(F.col("retained"), F.col("own") + F.col("left") * F.col("pp")).otherwise(F.col("pp"))
-        below = cut(met.join(retained, "ctx").select("code", "ctx", p.alias("p"), "left", "retained"))
-        out.append(below)
-        before = counted.where(F.col("n") == n).select(F.col("code").alias("ctx"), F.col("c").alias("c_ctx"))
+        rows = counted.where(F.col("n") == n).join(below, "suf").join(before, "ctx")
+        rows = rows.select("code", "ctx", "c", "c_ctx", "lp_suf", "g_suf", F.pow(F.lit(10.0), "lp_suf").alias("pp"), ((F.col("c") - DISCOUNT) / F.col("c_ctx")).alias("own"))
+        of = Window.partitionBy("ctx")
+        met = rows.withColumn("left", 1 - F.sum("own").over(of)).withColumn("rest", F.col("c_ctx") - F.sum("c").over(of)).withColumn("k", F.count("*").over(of))
+        gain = F.sum(F.col("c") * F.log(F.col("own") / F.col("pp") + F.col("left"))).over(of) + F.col("rest") * F.log("left")
+        met = met.withColumn("held", gain > F.col("k") * (math.log(max(tokens, 2)) / 2))
+        held = F.col("held")
+        lp = F.when(held, F.log10(F.col("own") + F.col("left") * F.col("pp"))).otherwise(F.col("lp_suf"))
+        met = met.withColumn("lp", lp).withColumn("own_g", F.when(held, F.log10("left")).otherwise(0.0)).withColumn("g", F.col("g_suf") + F.col("own_g"))
+        worth = (F.col("lp") - F.col("g")) - (F.col("lp_suf") - F.col("g_suf"))
+        level = cut(met.select("code", "ctx", "c", "c_ctx", "lp", "g", "own_g", F.when(held, worth).otherwise(0.0).alias("worth")))
+        out.append(level)
+        below = level.select(F.col("code").alias("suf"), F.col("lp").alias("lp_suf"), F.col("g").alias("g_suf"))
+        before = level.select(F.col("code").alias("ctx"), F.col("c").alias("c_ctx"))
     return out
 
 
-def _sorted(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(code, value) as arrays in order of the code; at most 1 / SHARE rows."""
-    table = rows.toArrow()
-    code = table.column(0).to_numpy().view(np.uint64)
-    order = np.argsort(code)
-    return code[order], table.column(1).to_numpy()[order]
+def _bin(c: str):
+    """A class of counts, sixteen to each power of two."""
+    return F.floor(F.log2(c) * 16).cast("int")
+
+
+def _most(sizes: dict[int, int], most: int) -> int:
+    """The smallest class such that it and those above hold at most ``most``."""
+    held, at = 0, max(sizes, default=0) + 1
+    for k in sorted(sizes, reverse=True):
+        held += sizes[k]
+        if held > most:
+            break
+        at = k
+    return at
+
+
+def _power(n: float, least: int, most: int) -> int:
+    return min(max(math.ceil(math.log2(max(n, 1))), least), most)
+
+
+def _numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word, c) to (id, c): words' hashes."""
+    for batch in batches:
+        ids = _hash(batch.column(0).cast(pa.binary()).to_pylist())
+        yield pa.RecordBatch.from_arrays([pa.array(ids.view(np.int64)), batch.column(1)], ["id", "c"])
+
+
+def _mark(bits: int):
+    """(code) to (word, bits) of a bitmap."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            b = np.unique(_bucket(batch.column(0).to_numpy().view(np.uint64), bits))
+            if len(b):
+                words, first = np.unique(b >> np.uint64(6), return_index=True)
+                held = np.bitwise_or.reduceat(np.uint64(1) << (b & np.uint64(63)), first)
+                yield pa.RecordBatch.from_arrays([pa.array(words.astype(np.int32)), pa.array(held.view(np.int64))], ["word", "bits"])
+
+    return run
+
+
+def _worth(levels: list[DataFrame]) -> DataFrame:
+    """(code, c, last, ctx): what an n-gram adds to its last token, and as a state to the token after it, where either is not 0."""
+    out = None
+    for level in levels:
+        last = level.where("worth <> 0").select("code", "c", F.col("worth").alias("last"), F.lit(0.0).alias("ctx"))
+        states = level.where("own_g <> 0").groupBy(F.col("ctx").alias("code")).agg(F.first("c_ctx").alias("c"), F.lit(0.0).alias("last"), F.first("own_g").alias("ctx"))
+        rows = last.unionByName(states)
+        out = rows if out is None else out.unionByName(rows)
+    return cut(out.groupBy("code").agg(F.max("c").alias("c"), F.sum("last").alias("last"), F.sum("ctx").alias("ctx")))
 
 
-def train(trained: DataFrame) -> tuple[DataFrame, Model, int, int, int]:
-    """The vocabulary (word, c), what tasks score with, N, V and the count below which a word is rare, from rows (text)."""
+def train(trained: DataFrame) -> tuple[DataFrame, Model, int, int, DataFrame]:
+    """Rare words (word, c), what tasks score with, N, V and what other n-grams are worth (code, worth), from rows (text)."""
     spark = trained.sparkSession
     vocabulary = cut(trained.mapInArrow(count_words, "word string, c long").groupBy("word").agg(F.sum("c").alias("c")))
     sums = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v"), F.coalesce(F.sum(F.when(F.col("word") == "", F.col("c"))), F.lit(0)).alias("ends")).first()
     least = max(LEAST, math.ceil(SHARE * sums.n))
-    # at most 1 / SHARE words: each has at least that share of all tokens
-    often = vocabulary.where((F.col("c") >= least) & (F.col("word") != "")).orderBy(F.desc("c"), "word").toArrow()
-    words = [w.encode() for w in often.column("word").to_pylist()]
+    words = vocabulary.where(F.col("word") != "")
+    common = _most({r.b: r.n for r in words.groupBy(_bin("c").alias("b")).agg(F.count("*").alias("n")).collect()}, HOT_WORDS)  # at most 16 rows a power of two
+    often = words.where(_bin("c") >= common).orderBy(F.desc("c"), "word").toArrow()  # at most HOT_WORDS words
+    hot = [w.encode() for w in often.column("word").to_pylist()]
     counts = np.concatenate(([0, 0, sums.ends], often.column("c").to_numpy())).astype(np.int64)
-    numbers = {b" ": START, b"": END} | dict(zip(words, range(END + 1, END + 1 + len(words)), strict=True))
-    held = spark.sparkContext.broadcast(numbers)
-    marked = trained.mapInArrow(_mark(held, least / max(sums.n, 1)), "word int, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()  # at most 2^20 rows
-    bitmap = np.zeros(1 << (BITS - 6), dtype=np.uint64)
-    bitmap[marked.column("word").to_numpy()] = marked.column("bits").to_numpy().view(np.uint64)
+    numbers = {b" ": START, b"": END} | dict(zip(hot, range(END + 1, END + 1 + len(hot)), strict=True))
+    hashes = np.concatenate((np.zeros(1, np.uint64), _hash([b" ", b"", *hot])))
+    held = spark.sparkContext.broadcast((numbers, hashes))
+    bits = _power(sums.n, CHUNK, BITS)
+    sketch = trained.mapInArrow(_sketch(held, bits), "chunk int, n int, packed binary")
+    reached = sketch.groupBy("chunk").applyInArrow(_reach(least), "chunk int, bits binary").toArrow()  # the bitmap, at most 128 MB
+    bitmap = np.zeros(2 << (bits - 6), dtype=np.uint64)
+    width = 1 << (CHUNK - 6)
+    for k, part in zip(reached.column("chunk").to_pylist(), reached.column("bits"), strict=True):
+        bitmap[k * width : (k + 1) * width] = np.frombuffer(part.as_buffer(), dtype=np.uint64)
     marks = spark.sparkContext.broadcast(bitmap)
-    found = trained.mapInArrow(_count(held, marks), "n int, code long, ctx long, suf long, sym long, c long")
-    counted = cut(found.groupBy("n", "code").agg(F.max("ctx").alias("ctx"), F.max("suf").alias("suf"), F.max("sym").alias("sym"), F.sum("c").alias("c")).where(F.col("c") >= least))
-    known = counts.copy()
-    known[START] = sums.ends  # a start before every text
-    ones = spark.createDataFrame(pa.table({"id": np.arange(START, len(known)), "c": known[START:]}))
-    levels = [x.where("retained") for x in _levels(counted, ones, sums.n, sums.v)]
-    states = [_sorted(x.select("ctx", F.log10("left").alias("left")).distinct()) for x in levels]
-    kept = [_sorted(x.select("code", F.log10("p").alias("p"))) for x in levels]
+    found = trained.mapInArrow(_count(held, marks, bits, 1 << _power(sums.n / PART, 0, 12)), "part int, n int, packed binary")
+    counted = cut(found.groupBy("part").applyInArrow(_total(least), "n int, code long, ctx long, suf long, c long"))
+    start = spark.createDataFrame(pa.table({"id": hashes[START : START + 1].view(np.int64), "c": np.array([sums.ends], np.int64)}))  # a start before every text
+    ones = cut(vocabulary.where(F.col("c") >= least).mapInArrow(_numbers, "id long, c long").unionByName(start))
+    worth = _worth(_levels(counted, ones, sums.n, sums.v))
+    classes = worth.groupBy(_bin("c").alias("b")).agg(F.count("*").alias("n"), F.sum(F.when(F.col("ctx") != 0, 1).otherwise(0)).alias("states")).collect()
+    at = _most({r.b: r.n for r in classes}, HOT)
+    table = worth.where(_bin("c") >= at).select("code", "last", "ctx").toArrow()  # at most HOT n-grams
+    codes = table.column("code").to_numpy().view(np.uint64)
+    order = np.argsort(codes)
+    rest, n = worth.where(_bin("c") < at), sum(r.n for r in classes if r.b < at)
+    others = np.zeros(0, dtype=np.uint64)
+    if n:
+        wide = _power(128 * n, 6, BITS)
+        some = rest.select("code").mapInArrow(_mark(wide), "word int, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()  # at most 2^23 rows
+        others = np.zeros(1 << (wide - 6), dtype=np.uint64)
+        others[some.column("word").to_numpy()] = some.column("bits").to_numpy().view(np.uint64)
     root = np.log10((counts + 0.5) / (sums.n + 0.5 * (sums.v + 1)))
-    return vocabulary, Model(numbers, counts, root, states, kept), sums.n, sums.v, least
+    model = Model(numbers, hashes, counts, root, (codes[order], table.column("last").to_numpy()[order], table.column("ctx").to_numpy()[order]), others, sum(r.states for r in classes))
+    return words.where(_bin("c") < common), model, sums.n, sums.v, rest.select("code", (F.col("last") + F.col("ctx")).alias("worth"))
 
 
 def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -313,19 +457,22 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     text = F.col(text_col).cast("string")
     remainder = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % 5
     rows = docs.select(F.col(id_col).cast("long").alias("id"), (remainder == 1).alias("held"), text.alias("text"))
-    vocabulary, model, tokens, distinct, least = train(rows.where(~F.col("held")).select("text"))
+    words, model, tokens, distinct, worth = train(rows.where(~F.col("held")).select("text"))
     state = docs.sparkSession.sparkContext.broadcast(model)
-    schema = "id long, held boolean, n long, known long, base double, score double, rare string, times array<long>"
+    schema = "id long, held boolean, n long, known long, base double, hot double, rare string, times array<long>, asked array<long>"
     scored = cut(rows.mapInArrow(_rows(state), schema).withColumn("row", F.monotonically_increasing_id()))
     pairs = F.explode(F.arrays_zip(F.split("rare", " ").alias("word"), F.col("times").alias("times"))).alias("x")
     rare = scored.where("rare <> ''").select("row", pairs).select("row", F.col("x.word").alias("word"), F.col("x.times").alias("m"))
-    met = rare.join(vocabulary.where(F.col("c") < least), "word", "left")
+    met = rare.join(words, "word", "left")
     log = F.log10((F.coalesce("c", F.lit(0)) + 0.5) / F.lit(tokens + 0.5 * (distinct + 1)))
-    more = met.groupBy("row").agg(F.sum(F.col("m") * log).alias("more"), F.sum(F.when(F.col("c") > 0, F.col("m")).otherwise(0)).alias("found"))
-    add = F.coalesce("more", F.lit(0.0))
+    of_words = met.select("row", (F.col("m") * log).alias("more"), F.when(F.col("c") > 0, F.col("m")).otherwise(0).alias("found"), F.lit(0.0).alias("states"))
+    asked = scored.where(F.size("asked") > 0).select("row", F.explode("asked").alias("code"))
+    of_states = asked.join(worth, "code").select("row", F.lit(0.0).alias("more"), F.lit(0).cast("long").alias("found"), F.col("worth").alias("states"))
+    more = of_words.unionByName(of_states).groupBy("row").agg(F.sum("more").alias("more"), F.sum("found").alias("found"), F.sum("states").alias("states"))
+    base = F.col("base") + F.coalesce("more", F.lit(0.0))
     return scored.join(more, "row", "left").select(
         "id", F.col("held").alias("held_out"), F.col("n").alias("n_tokens"), (F.col("known") + F.coalesce("found", F.lit(0))).alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + add).alias("base_score"), (F.col("score") + add).alias("score"), F.lit(sum(len(s[0]) for s in model.states)).cast("long").alias("n_states"),
+        base.alias("base_score"), (base + F.col("hot") + F.coalesce("states", F.lit(0.0))).alias("score"), F.lit(model.n_states).cast("long").alias("n_states"),
     )
 
 

@@ -98,6 +98,28 @@ def test_scores_are_the_definition(spark, monkeypatch, share):
     assert sum(g[6] for g in got if g[1]) > sum(g[5] for g in got if g[1]) + 10  # unseen texts are likelier than under the root
 
 
+def test_few_hot_words_and_ngrams(spark, monkeypatch):
+    rng = random.Random(6)
+    phrases = ["the old house by the sea", "a green apple a day", "of the people by the people"]
+    rows = [(i, " ".join(rng.choice(phrases) if rng.random() < 0.6 else f"w{rng.randrange(60)} the" for _ in range(rng.randrange(1, 9)))) for i in range(120)]
+    monkeypatch.setattr(p, "HOT_WORDS", 3)
+    monkeypatch.setattr(p, "HOT", 5)  # the rest comes from joins
+    hold(spark, rows)
+    monkeypatch.setattr(p, "HOT_WORDS", 0)
+    monkeypatch.setattr(p, "HOT", 0)
+    hold(spark, rows)
+
+
+def test_states_do_not_need_a_share_of_the_corpus(spark):
+    train = [i for i in range(40) if zlib.crc32(str(i).encode()) % 5 != 1]
+    other = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 5 == 1)
+    rows = [(i, "a " * 1_100_000) for i in train[:5]] + [(i, "q r s t u v") for i in [*train[5:9], other]]  # four in 5.5 million tokens
+    got = {r.doc_id: r for r in p.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}[other]
+    assert got.held_out and got.n_known == 7 and got.train_tokens == 5_500_033
+    assert got.base_score == pytest.approx(6 * math.log10(4.5 / (5_500_033 + 0.5 * 9)) + math.log10(9.5 / (5_500_033 + 0.5 * 9)))
+    assert got.score > got.base_score + 30
+
+
 def test_distributions_sum_to_one(spark):
     rows = [(i, "x y z x y z x y q " * 3) for i in range(60)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
