@@ -4,6 +4,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import pyarrow.compute  # noqa: F401
 import pytest
 
 from lorequarry.llm import pst as p
@@ -140,3 +141,25 @@ def test_awkward_texts(spark):
     hold(spark, rows)
     hold(spark, [(i, t) for i, t in rows if i is not None and zlib.crc32(str(i).encode()) % 5 == 1])  # nothing to learn from
     assert p.digest(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_ngrams_travel_in_few_bytes(spark):
+    rng = random.Random(8)
+    words = [f"w{int(400 * rng.random() ** 3)}" for _ in range(60_000)]
+    batch = p.pa.RecordBatch.from_pydict({"text": [" ".join(words[k : k + 100]) for k in range(0, len(words), 100)]})
+    names = [b" ", b"", *sorted({w.encode() for w in words}, key=lambda w: -words.count(w.decode()))]
+    numbers = dict(zip(names, range(1, len(names) + 1), strict=True))
+    held = type("Held", (), {"value": (numbers, p.np.concatenate((p.np.zeros(1, p.np.uint64), p._hash(names))))})
+    marks = type("Marks", (), {"value": p.np.full(2 << 14, 2**64 - 1, p.np.uint64)})
+    out = list(p._count(held, marks, 20, 4)(iter([batch])))
+    n = sum(sum(b.column("n").to_pylist()) for b in out)
+    size = sum(len(x) for b in out for x in b.column("packed").to_pylist())
+    assert size < 8 * n  # two codes alone are 16 bytes
+    total = Counter()
+    for part in range(4):
+        table = p.pa.Table.from_batches(out)
+        table = table.filter(p.pa.compute.equal(table.column("part"), part))
+        for length, code, ctx, suf, c in zip(*p._total(held, 1)(table).to_pydict().values(), strict=True):
+            assert (ctx * p._B + suf - code) % 2**64 == 0
+            total[length] += c
+    assert total == {k: (102 - k + 1) * 600 for k in (2, 3, 4)}
