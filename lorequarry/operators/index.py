@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorequarry.functions import text as T
+from lorequarry.functions.stats import rounded
 from lorequarry.operators.search import B, FLOOR, K1, ranked
 from lorequarry.session import cut
 
@@ -157,13 +158,13 @@ class Index:
         self._commit(generation + 1, [segment])
         return segment
 
-    def search(self, queries: DataFrame, k: int = 10, raw: bool = False, weights: dict[str, float] | None = None, among: DataFrame | None = None) -> DataFrame:
+    def search(self, queries: DataFrame, k: int = 10, raw: bool = False, weights: dict[str, float] | None = None, among: DataFrame | None = None, apart: bool = False) -> DataFrame:
         """(query_id, doc_id, score, rank): the k best of each query; ``among`` limits hits, not statistics, to its doc_ids."""
-        scored = self.scores(queries, raw, weights)
+        scored = self.scores(queries, raw, weights, apart)
         return ranked(scored if among is None else scored.join(among.select("doc_id").distinct(), "doc_id", "left_semi"), k)
 
-    def scores(self, queries: DataFrame, raw: bool = False, weights: dict[str, float] | None = None) -> DataFrame:
-        """(query_id, doc_id, score): BM25 of every document that has a unit of the query."""
+    def scores(self, queries: DataFrame, raw: bool = False, weights: dict[str, float] | None = None, apart: bool = False) -> DataFrame:
+        """(query_id, doc_id, score): BM25 of every document that has a unit of the query; ``apart`` counts phrases that share words once, from the left on."""
         _, segments = self.segments()
         asked = cut(units(queries, raw))
         if not segments or asked.isEmpty():
@@ -184,7 +185,9 @@ class Index:
         # a phrase stands where all of its places give the same start; a token has one place, so a start counts each place once
         starts = met.where("of > 1").select("unit", "of", "at", "doc_id", "dl", "field", "w", F.transform("positions", lambda p: p - F.col("at")).alias("s"))
         whole = starts.groupBy("unit", "of", "doc_id", "dl", "field", "w").agg(F.collect_set("at").alias("ats"), F.array_sort(F.flatten(F.collect_list("s"))).alias("s")).where("size(ats) = of")
-        whole = whole.withColumn("n", F.size(F.filter("s", lambda x, i: F.try_element_at("s", i + F.col("of")) == x))).where("n > 0")
+        stands = F.filter("s", lambda x, i: F.try_element_at("s", i + F.col("of")) == x)
+        after = lambda a, x: F.when(x >= a["end"], F.struct((a["n"] + 1).alias("n"), (x + F.col("of")).alias("end"))).otherwise(a)
+        whole = whole.withColumn("n", F.aggregate(stands, F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")), after)["n"] if apart else F.size(stands)).where("n > 0")
         found = single.unionByName(whole.groupBy("unit", "doc_id", "dl").agg(F.sum(F.col("w") * F.col("n")).alias("tf")))
         # what a document scores meets in one place before queries spread it: many queries may share a unit
         found = cut(found)
@@ -193,7 +196,7 @@ class Index:
         weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avg_dl")))
         named = asked.select("query_id", "unit").join(df, "unit").join(F.broadcast(stats))  # one row of totals
         few = named if asked.count() > BROADCAST_TERMS else F.broadcast(named)  # counted
-        return found.repartition("doc_id").join(few, "unit").select("query_id", "doc_id", weight.alias("s")).groupBy("query_id", "doc_id").agg(F.round(F.sum("s"), 6).alias("score"))
+        return found.repartition("doc_id").join(few, "unit").select("query_id", "doc_id", weight.alias("s")).groupBy("query_id", "doc_id").agg(rounded(F.sum("s"), 6).alias("score"))
 
     def _expanded(self, each: DataFrame, segments: list[int]) -> DataFrame:
         """(unit, of, at, term): the word itself, or every term of the index that starts with it where the place is open."""

@@ -345,7 +345,7 @@ def index_phrases(spark, sf_dir):
     index.apply(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     words = F.slice(IX.tokens(F.col("text")), 2, 3)
     asked = queries_of(spark, sf_dir).where(F.size(IX.tokens(F.col("text"))) >= 4).select("query_id", F.concat(F.lit('"'), F.array_join(words, " "), F.when(F.col("query_id") % 5 != 0, '"').otherwise("")).alias("text"))
-    return index.search(asked, raw=True).select("query_id", "doc_id", "rank", F.round("score", 4).alias("score"))
+    return index.search(asked, raw=True, apart=True).select("query_id", "doc_id", "rank", stats.rounded(F.col("score"), 4).alias("score"))
 
 
 #: Every passage as a case in three modes: hits, first places, gains, and what passages without a document are shown.

@@ -1,4 +1,5 @@
 import os
+import random
 
 import duckdb
 import pytest
@@ -75,6 +76,16 @@ def test_planted_values_count_where_they_look_random(spark, tmp_path):
     assert [r[0] for r in found] == [r[0] for r in lines] == [r[0] for r in verdicts] == [7] and report == [(1, 1, False)]
 
 
+def test_phrases_are_counted_and_rounded_as_their_sql_does(spark, tmp_path):
+    rng = random.Random(4)
+    phrases = [" ".join(rng.choices("der und lake oxbow fen".split(), k=3)) for _ in range(40)] + ["der und der", "la la la"]
+    docs = [(i, " ".join(rng.choices(["der", "und", "la la", "der und der und", *phrases], k=rng.randrange(1, 40)))) for i in range(300)] + [(300, None), (301, "")]
+    asked = [(i, f"first {p} last") for i, p in enumerate(phrases, 1)]
+    tables = {"documents": (docs, "doc_id long, text string"), "benchmark": (asked, "item_id long, text string")}
+    (got,) = held(spark, tmp_path, tables, ["index_phrases"])
+    assert len(got) > 200
+
+
 def test_passages_of_few_words_are_found_in_whole_texts(spark, tmp_path):
     from lorequarry.plans import search
 
