@@ -100,3 +100,35 @@ def test_postings_meet_in_their_documents_and_phrases_count_repeats(spark, tmp_p
     asked = {1: [(["la", "la"], False)], 2: [(["la", "de", "la"], False)], 3: [(["de", "w"], True)]}
     said = [(q, " OR ".join(f'"{" ".join(w)}"' + "*" * pre for w, pre in units)) for q, units in asked.items()]
     assert scores(index, spark, said, raw=True) == brute(docs, asked, {})
+
+
+def test_words_looked_up_in_tasks_score_as_joined_ones_and_texts_do_not_move(spark, tmp_path, monkeypatch):
+    rng = random.Random(2)
+    vocabulary = ["na", "naïve", "nah", "lake", "la", "laken", "𝒜b", "𝒜bc"]
+    docs = {i: {"text": " ".join(rng.choices(vocabulary, k=rng.randrange(0, 25))), "title": rng.choice(vocabulary)} for i in range(120)}
+    frame = spark.createDataFrame([(i, d["text"], d["title"]) for i, d in docs.items()], "doc_id long, text string, title string").repartition(6)
+    monkeypatch.setattr(ix, "TASK_DOCS", 20)
+    monkeypatch.setattr(ix, "MET", 50)
+    index = ix.Index(spark, str(tmp_path / "i"), ("text", "title"), buckets=2)
+    assert "Exchange" not in index._spread(frame.where("doc_id >= 0"))._jdf.queryExecution().executedPlan().toString().split("Exchange RoundRobin")[0]
+    index.apply(frame)
+    asked = [(1, 'na* OR "la lake"'), (2, "la* OR naive"), (3, '"lake la"* OR 𝒜b*'), (4, '"na"'), (5, "absent"), (6, '"absent la"')]
+    units = {1: [(["na"], True), (["la", "lake"], False)], 2: [(["la"], True), (["naive"], False)], 3: [(["lake", "la"], True), (["𝒜b"], True)], 4: [(["na"], False)]}
+    want, weights = brute(docs, units, {"title": 2.0}), {"title": 2.0}
+    queries = spark.createDataFrame(asked, "query_id long, text string")
+    some = spark.createDataFrame([(i,) for i in range(0, 120, 7)], "doc_id long")
+    for most in (ix.BROADCAST_TERMS, 0):
+        monkeypatch.setattr(ix, "BROADCAST_TERMS", most)
+        whole = {(r.query_id, r.doc_id): r.score for r in index.scores(queries, True, weights).collect()}
+        assert {k: round(v, 4) for k, v in whole.items()} == want
+        best = {(q, d) for q in units for _, d in sorted((-s, d) for (p, d), s in whole.items() if p == q)[:3]}
+        assert {(r.query_id, r.doc_id) for r in index.search(queries, 3, True, weights).collect()} == best
+        assert {(r.query_id, r.doc_id) for r in index.search(queries, 200, True, weights, some).collect()} == {k for k in want if k[1] % 7 == 0}
+
+
+def test_a_search_moves_little_of_what_it_reads(spark, tmp_path):
+    """Prefixes of many terms moved all postings twice, with their positions; now only what fits moves, and lengths."""
+    index = ix.Index(spark, str(tmp_path / "i"), buckets=2)
+    index.apply(spark.createDataFrame([(i, " ".join(f"w{i * 7 % 97}x{k}" for k in range(60))) for i in range(200)], "doc_id long, text string"))
+    plan = index.scores(spark.createDataFrame([(1, "a w3")], "query_id long, text string"), most=5)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "positions" not in plan
