@@ -54,19 +54,21 @@ def tokens(text: Column) -> Column:
 
 
 def _postings(fields: tuple[str, ...]):
-    """(doc_id, tokens of each field) to postings (term, doc_id, field, positions, tf): what a document holds meets in its own row, without a shuffle."""
+    """(doc_id, tokens of each field) to postings (term, doc_id, field, positions, tf): what a document holds meets in its own row, without a shuffle. Each run comes in the order of terms."""
 
     def grouped(field: str, doc: np.ndarray, sizes: np.ndarray, words: pa.Array) -> pa.RecordBatch:
         coded = words.dictionary_encode()
-        codes, n = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), max(len(coded.dictionary), 1)
-        key = np.repeat(np.arange(len(doc)), sizes) * n + codes
-        place = np.arange(len(codes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        rows, inverse = max(len(doc), 1), pc.sort_indices(coded.dictionary).to_numpy()
+        ranks = np.empty(len(inverse), np.int64)
+        ranks[inverse] = np.arange(len(inverse))
+        key = ranks[coded.indices.to_numpy(zero_copy_only=False)] * rows + np.repeat(np.arange(len(doc)), sizes)
+        place = np.arange(len(key)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         order = np.argsort(key, kind="stable")
         key = key[order]
         first = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
         tf = np.diff(np.append(first, len(key)))
         held = pa.ListArray.from_arrays(pa.array(np.append(first, len(key)), pa.int32()), pa.array(place[order], pa.int32()))
-        columns = [coded.dictionary.take(pa.array(key[first] % n)), pa.array(doc[key[first] // n], pa.int64()), pa.array([field] * len(first), pa.string()), held, pa.array(tf, pa.int32())]
+        columns = [coded.dictionary.take(pa.array(inverse[key[first] // rows])), pa.array(doc[key[first] % rows], pa.int64()), pa.array([field] * len(first), pa.string()), held, pa.array(tf, pa.int32())]
         return pa.RecordBatch.from_arrays(columns, ["term", "doc_id", "field", "positions", "tf"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,10 +203,10 @@ class Index:
     def _bucket(self, term: Column) -> Column:
         return F.pmod(F.xxhash64(term), F.lit(self.buckets)).cast("int")
 
-    def _write(self, postings: DataFrame, segment: int) -> DataFrame:
-        """Postings as files of buckets, sorted by term in the partitions that they come in."""
+    def _write(self, postings: DataFrame, segment: int, *order: str) -> DataFrame:
+        """Postings as files of buckets, in the partitions that they come in; new ones come in runs sorted by term, so that only the number of the bucket is sorted."""
         rows, path = postings.withColumn("bucket", self._bucket(F.col("term"))), f"{self.path}/postings/segment={segment}"
-        rows.sortWithinPartitions("bucket", "term", "doc_id").write.mode("overwrite").partitionBy("bucket").parquet(path)
+        rows.sortWithinPartitions("bucket", *order).write.mode("overwrite").partitionBy("bucket").parquet(path)
         written = self.spark.read.schema(_POSTING).parquet(path)
         written.select("term").distinct().write.mode("overwrite").parquet(f"{self.path}/terms/segment={segment}")
         return written
@@ -262,7 +264,7 @@ class Index:
         posts = self.postings(segments).join(live.select("doc_id", "segment"), ["doc_id", "segment"], "left_semi").select("term", "doc_id", "field", "positions", "tf")
         # dealt by bucket and a share of the documents, so that a hot term is split among tasks
         shares = max(1, -(-live.count() // FILE_DOCS))
-        self._write(posts.repartition(self._bucket(F.col("term")), F.pmod(F.xxhash64("doc_id"), F.lit(shares))), segment)
+        self._write(posts.repartition(self._bucket(F.col("term")), F.pmod(F.xxhash64("doc_id"), F.lit(shares))), segment, "term", "doc_id")
         live.select("doc_id", "dl").write.mode("overwrite").parquet(f"{self.path}/lengths/segment={segment}")
         self._commit(generation + 1, [segment])
         return segment
