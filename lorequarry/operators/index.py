@@ -37,7 +37,7 @@ FILE_DOCS = 1 << 15
 #: Documents that are worth a task, and its files, of their own.
 TASK_DOCS = 1 << 10
 #: Tokens that a task groups at once.
-RUN_TOKENS = 1 << 21
+RUN_TOKENS = 1 << 19
 #: Fitting postings that a task of a search adds up at once.
 MET = 1 << 20
 #: Asked words that a search may give to every task; more of them are joined by a shuffle.
